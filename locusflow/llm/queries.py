@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import OP10_SQL, op10_benchmark_decontamination
 from .packing import op5_best_fit_packing
+from .quality import op7_quality_rules
+from .secrets import op9_secret_scans
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_best_fit_packing, op7_quality_rules, op9_secret_scans, op10_benchmark_decontamination)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {op10_benchmark_decontamination.__name__: OP10_SQL}
