@@ -37,7 +37,7 @@ OPEN_BINS = 256
 CLOSING_ID = 0
 #: Before a single space that a non-space follows, the pre-tokenizer always begins a new word.
 BOUNDARY = re.compile(r" (?=\S)")
-SPACE_RUN = re.compile(r" \s")
+SPACE_RUN = re.compile(r"\s\s")
 SPECIAL = "<|endoftext|>"
 
 
@@ -82,33 +82,54 @@ class Bins:
         return bin_
 
 
+def split(text: str) -> list[str]:
+    """Pieces whose ids, joined, are the text's: plain ones follow a space, "\\n..." a line break, "\\0..." nothing."""
+    if not text:
+        return []
+    if text[-1].isspace() or SPACE_RUN.search(text):  # only before single spaces, then
+        parts = BOUNDARY.split(text)
+        if not parts[0]:
+            return parts[1:]
+        parts[0] = "\0" + parts[0]
+        return parts
+    if text[0].isspace():
+        return (text if text[0] == "\n" else text[1:] if text[0] == " " else "\0" + text).replace("\n", " \n").strip(" ").split(" ")
+    return ("\0" + text.replace("\n", " \n")).split(" ")
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
     tokenizer, memo = load(path)
-    cut: list[list[str] | None] = []
-    for text in texts:
-        if SPECIAL in text:
-            cut.append(None)
-            continue
-        parts = BOUNDARY.split(text) if text[-1:] == " " or SPACE_RUN.search(text) else text.split(" ")
-        if text.startswith(" ") and not parts[0]:
-            parts = parts[1:]
-        else:
-            parts[0] = "\0" + parts[0]  # a first word has no space before it
-        cut.append(parts)
+    cut = [None if SPECIAL in text else split(text) for text in texts]
+    line = _ids(tokenizer, "\n")
     for batch in by_bytes(memo.missing({w for ws in cut if ws for w in ws})):
-        real = [w[1:] if w[:1] == "\0" else " " + w for w in batch]
-        for w, e in zip(batch, tokenizer.encode_batch_fast(real, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+        _learn(tokenizer, batch, memo, line)
     get = memo.__getitem__
-    out = [
-        np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if ws is None else b"".join(map(get, ws))
-        for text, ws in zip(texts, cut, strict=True)
-    ]
+    out = [_ids(tokenizer, text) if ws is None else b"".join(map(get, ws)) for text, ws in zip(texts, cut, strict=True)]
     memo.trim()
     return out
 
 
+def _ids(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def _learn(tokenizer, batch: list[str], memo: dict[str, bytes], line: bytes) -> None:
+    """Encodes new pieces in one go, a line break between them, and cuts the ids at the breaks."""
+    single = [w for w in batch if "\n" not in w[1:]]
+    texts = [w[1:] if w[0] in "\0\n" else " " + w for w in single]
+    flat = np.frombuffer(_ids(tokenizer, "\n".join(texts)), dtype="<u4")
+    ends = np.append(np.flatnonzero(flat == np.frombuffer(line, dtype="<u4")[0]), len(flat))
+    if len(ends) == len(single) and len(line) == 4:
+        data, at = flat.tobytes(), 0
+        for w, end in zip(single, ends.tolist(), strict=True):
+            memo[w] = (line if w[0] == "\n" else b"") + data[4 * at : 4 * end]
+            at = end + 1
+        batch = [w for w in batch if "\n" in w[1:]]
+    for w in batch:
+        memo[w] = _ids(tokenizer, w[1:]) if w[0] == "\0" else _ids(tokenizer, w) if w[0] == "\n" else _ids(tokenizer, " " + w)
+
+
 def pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: the first takes the remainder."""
     first = n % capacity or capacity

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_formatting
 from .decontamination import OP10_SQL, op10_benchmark_decontamination
+from .lm import op1_lm_scoring
 from .packing import op5_best_fit_packing
 from .quality import op7_quality_rules
 from .secrets import op9_secret_scans
 from .simhash import op4_simhash
 from .token_counts import op3_token_counts
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_simhash, op5_best_fit_packing, op6_chat_formatting, op7_quality_rules, op9_secret_scans, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_token_counts, op4_simhash, op5_best_fit_packing, op6_chat_formatting, op7_quality_rules, op8_toxicity, op9_secret_scans, op10_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {op6_chat_formatting.__name__: OP6_SQL, op10_benchmark_decontamination.__name__: OP10_SQL}
