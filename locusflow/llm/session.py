@@ -31,5 +31,5 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of a frame's size, without a job."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+    size = str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return min(int(size), 1 << 50)
