@@ -30,15 +30,19 @@ from xxhash import xxh64_intdigest
 
 from .components import components
 from .session import bounded_batches, cut, documents
-from .textblocks import blocks
+from .textblocks import blocks, mix
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 FAN = 16
 HOT_KEY = 4_096
+LEADERS = 8
 ROWS_AT_ONCE = 1 << 17
 PAIRS_AT_ONCE = 1 << 20
+_RNG = np.random.Generator(np.random.PCG64(41))
+_FACTORS = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
+_OFFSETS = _RNG.integers(0, 1 << 63, size=256, dtype=np.uint64)
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -49,15 +53,23 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     parts = shingles(text, size)
-    if not parts:
+    return np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=len(parts))
+
+
+def from_hashes(hashes: np.ndarray) -> int:
+    """Bit i is set when it is in over half of the hashes."""
+    if not len(hashes):
         return 0
-    hashes = np.fromiter(map(xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=len(parts))
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > len(parts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    return from_hashes(shingle_hashes(text, size))
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -76,6 +88,39 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sh
     return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t").mapInArrow(run, f"k {kind}, fp bigint").withColumnRenamed("k", key)
 
 
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys of bands of minima over `rows` permutations each, from a text's shingle hashes."""
+    least = np.full(bands * rows, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12), None] * _FACTORS[: bands * rows] + _OFFSETS[: bands * rows]
+        np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0), out=least)
+    key = np.arange(bands, dtype=np.uint64)
+    for i in range(rows):
+        key = mix(key + least[i::rows])
+    return key
+
+
+def banded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int, bands: int, rows: int) -> DataFrame:
+    """(key, fp, keys): fingerprints with the keys of their bands; a narrow map."""
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, dtype=np.uint64)
+            keys = np.zeros((batch.num_rows, bands), dtype=np.uint64)
+            for block in blocks(batch.column("t")):
+                for i in range(len(block)):
+                    hashes = shingle_hashes(block.row(i), shingle)
+                    out[block.first_row + i] = from_hashes(hashes)
+                    keys[block.first_row + i] = band_keys(hashes, bands, rows)
+            flat = pa.array(keys.view(np.int64).reshape(-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out.view(np.int64)), lists], ["k", "fp", "keys"])
+
+    return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t").mapInArrow(run, f"k {kind}, fp bigint, keys array<bigint>").withColumnRenamed("k", key)
+
+
 def cuts(bits: list[int], parts: int) -> list[list[int]]:
     """Bit places dealt into so many runs of about equal length."""
     return [list(map(int, x)) for x in np.array_split(np.array(bits), parts)]
@@ -117,15 +162,18 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return x
 
 
-def _levels(keys: np.ndarray, codes: np.ndarray) -> list[dict[str, np.ndarray]]:
-    """The index over members sorted by (key, Gray rank), leaves first, until each key has one root."""
+def _levels(keys: np.ndarray, codes: np.ndarray, labels: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """The index over members sorted by (key, label, Gray rank), leaves first, until each key has one root.
+
+    A node holds the bits that all below share (mask, code) and their label, or -1 where labels differ.
+    """
     first = np.arange(len(keys))
-    level = {"key": keys, "first": first, "last": first + 1, "mask": np.full(len(keys), ~np.uint64(0)), "code": codes}
+    level = {"key": keys, "first": first, "last": first + 1, "mask": np.full(len(keys), ~np.uint64(0)), "code": codes, "label": labels}
     out = [level]
     while True:
         key = level["key"]
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        begins, group = np.flatnonzero(new), np.cumsum(new) - 1
         if len(begins) == len(key):
             return out
         place = np.arange(len(key)) - begins[group]
@@ -135,7 +183,8 @@ def _levels(keys: np.ndarray, codes: np.ndarray) -> list[dict[str, np.ndarray]]:
         owner = np.repeat(np.arange(len(starts)), ends - starts)
         differ = (level["code"] ^ lead[owner]) | ~level["mask"]
         mask = ~np.bitwise_or.reduceat(differ, starts)
-        level = {"key": key[starts], "first": starts, "last": ends, "mask": mask, "code": lead & mask}
+        same = np.minimum.reduceat(level["label"], starts) == np.maximum.reduceat(level["label"], starts)
+        level = {"key": key[starts], "first": starts, "last": ends, "mask": mask, "code": lead & mask, "label": np.where(same, level["label"][starts], -1)}
         out.append(level)
 
 
@@ -156,9 +205,9 @@ def _expand(a: np.ndarray, b: np.ndarray, level: dict[str, np.ndarray]) -> Itera
         at = to
 
 
-def linked(keys: np.ndarray, codes: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs, in the order given, of members of one key within max_bits; sorted by (key, Gray rank)."""
-    levels = _levels(keys, codes)
+def linked(keys: np.ndarray, codes: np.ndarray, labels: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of members of one key and two labels within max_bits; all sorted by (key, label, Gray rank)."""
+    levels = _levels(keys, codes, labels)
     if len(levels) == 1:
         return
     roots = np.arange(len(levels[-1]["key"]))
@@ -168,19 +217,38 @@ def linked(keys: np.ndarray, codes: np.ndarray, max_bits: int) -> Iterator[tuple
         below = levels[depth - 1]
         for x, y in _expand(a, b, levels[depth] | {"leaf": depth == 1}):
             apart = np.bitwise_count((below["code"][x] ^ below["code"][y]) & below["mask"][x] & below["mask"][y])
-            near = apart <= max_bits
+            near = (apart <= max_bits) & ((below["label"][x] != below["label"][y]) | (below["label"][x] < 0))
             if depth == 1:
                 yield x[near], y[near]
             elif near.any():
                 stack.append((depth - 1, x[near], y[near]))
 
 
+def _led(keys: np.ndarray, codes: np.ndarray, max_bits: int) -> np.ndarray:
+    """Labels from a few rounds in which the first member of a key without one leads all that are near it."""
+    label = np.arange(len(keys))
+    left = label
+    for _ in range(LEADERS):
+        if not len(left):
+            break
+        new = np.concatenate([[True], keys[left][1:] != keys[left][:-1]])
+        leader = left[np.flatnonzero(new)][np.cumsum(new) - 1]
+        near = np.bitwise_count(codes[left] ^ codes[leader]) <= max_bits
+        label[left[near]] = leader[near]
+        left = left[~near]
+    return label
+
+
 def local_links(keys: np.ndarray, codes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, least linked fingerprint) that join what is linked within equal keys."""
+    """Edges (fingerprint, another of its component) that join what is linked within equal keys."""
     order = np.lexsort((gray_rank(codes), keys))
     keys, codes = keys[order], codes[order]
-    label = np.arange(len(keys))
-    for x, y in linked(keys, codes, max_bits):
+    first = _led(keys, codes, max_bits)
+    order = np.lexsort((np.arange(len(keys)), first, keys))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    keys, codes, label = keys[order], codes[order], place[first[order]]
+    for x, y in linked(keys, codes, label.copy(), max_bits):
         while len(x):
             p, q = label[x], label[y]
             while (label[p] != p).any() or (label[q] != q).any():
@@ -196,8 +264,8 @@ def local_links(keys: np.ndarray, codes: np.ndarray, max_bits: int) -> tuple[np.
     return codes[moved], codes[label[moved]]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b) edges between distinct fingerprints whose components are those of all pairs within max_bits."""
+def links(routed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b) edges between distinct fingerprints whose components are those of all pairs of equal keys within max_bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_keys, kept_codes, held = [], [], 0
@@ -224,20 +292,44 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if held:
             yield from flush(True)
 
-    routed = route(fps, max_bits)
     return routed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(key, fp, component): the component is the smallest key reachable over links."""
-    marked = cut(fingerprints(docs, key=key, text=text, shingle=shingle))
+def _named(marked: DataFrame, routed: DataFrame, max_bits: int, key: str) -> DataFrame:
+    """(key, fp, component) of marked rows (key, fp), linked over routed rows (key, fp)."""
     distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("first")))
-    labels = components(links(distinct.select("fp"), max_bits), "a", "b")
+    labels = components(links(routed, max_bits), "a", "b")
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
     return marked.join(named.join(least, "label").select("fp", "component"), "fp").select(key, "fp", "component")
 
 
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(key, fp, component): the component is the smallest key reachable over links of at most max_bits."""
+    marked = cut(fingerprints(docs, key=key, text=text, shingle=shingle))
+    return _named(marked, route(marked.select("fp").distinct(), max_bits), max_bits, key)
+
+
+def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, slack: int = 2, bands: int = 25, rows: int = 5) -> DataFrame:
+    """(key, fp, component) for texts whose shingle sets have about this Jaccard similarity or more.
+
+    Two sets of Jaccard similarity s differ in 64 acos(2 s / (1 + s)) / pi fingerprint bits on average,
+    about ten for 0.8: too many for blocks of equal bits. Here bands of shingle minima bring
+    candidates together (a pair of similarity 0.8 shares one of 25 bands of 5 with probability above
+    0.9999), and the Gray-order index links those within that many bits and `slack`.
+    """
+    max_bits = round(64 * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi) + slack
+    marked = cut(banded(docs, key=key, text=text, shingle=shingle, bands=bands, rows=rows))
+    routed = marked.select(F.explode("keys").alias("key"), "fp").distinct()
+    return _named(marked.select(key, "fp"), routed, max_bits, key)
+
+
+def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of each component's smallest key, all columns; further rows of equal key stay with it."""
+    kept = similar_texts(docs, key=key, text=text, **options).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_key")).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import gru
 from .session import bounded_batches, documents
@@ -298,7 +299,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                 out[block.first_row : block.first_row + len(block)] = score_block(shared.value, block)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(run, docs.schema.add("_score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
