@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from importlib import import_module
+
+from .plans.registry import FOUND
+
+for _name in ("place_queries",):
+    import_module(f"locusflow.plans.{_name}")
+
+QUERIES = {name: f for name, (f, _) in FOUND.items()}
+ORACLES = {name: sql for name, (_, sql) in FOUND.items() if sql}
+FLAGSHIP = "nearest_eight"

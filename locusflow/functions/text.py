@@ -9,15 +9,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC form. Spark has none of its own: call it once per name, at ingest."""
     return s.str.normalize("NFKC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """HTML entities as characters."""
     return s.map(lambda x: None if x is None else html.unescape(x))
@@ -228,7 +229,7 @@ def transliterate(words: dict[str, str]):
         close()
         return " ".join("".join(out).split())
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def names(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield part.map(one)
