@@ -122,6 +122,6 @@ def dedupe_nearby(items: DataFrame, *, richness: Column, km: float = 0.1, size:
 
 def first_known_key(rows: DataFrame, dim: DataFrame, *, key: str, value: str, separator: str = ";") -> DataFrame:
     """rows with `value` of the dimension for the first element of a `a;b;c` key that it holds; others null."""
-    parts = rows.select("id", F.posexplode(F.transform(F.split(key, separator), F.trim)).alias("_pos", "_key"))
+    parts = rows.select("id", F.posexplode(F.transform(F.split(key, separator), lambda x: F.trim(x))).alias("_pos", "_key"))
     hit = parts.join(dim.select(F.col(key).alias("_key"), F.col(value)), "_key").groupBy("id").agg(F.min_by("_key", "_pos").alias("matched_key"), F.min_by(value, "_pos").alias(value))
     return rows.join(hit, "id", "left")

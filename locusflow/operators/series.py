@@ -176,4 +176,4 @@ def clustered(curves: DataFrame, key: str, values: str, k: int, most: int = 1_00
         part = part.sort_values(key)
         return pd.DataFrame({key: part[key], "cluster": average_linkage(part[values].tolist(), k)})
 
-    return curves.select(key, values).groupBy(F.lit(1)).applyInPandas(run, f"{key} {kind}, cluster int")
+    return curves.select(key, values, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, f"{key} {kind}, cluster int")

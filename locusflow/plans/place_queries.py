@@ -285,7 +285,7 @@ def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, name).createOrReplaceTempView(f"lf_{name}")
     return spark.sql("""WITH RECURSIVE e AS (SELECT concat('n', n_nationkey) AS child, concat('r', n_regionkey) AS parent FROM lf_nation UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM lf_customer UNION ALL SELECT concat('r', r_regionkey), 'world' FROM lf_region),
 w(start, at, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT w.start, e.parent, w.depth + 1 FROM w JOIN e ON e.child = w.at WHERE w.depth < 15)
-SELECT start, max(depth) AS depth, bool_or(up = 'r1') AS inside FROM w GROUP BY start""")
+SELECT start, max(depth) AS depth, bool_or(at = 'r1') AS inside FROM w GROUP BY start""")
 
 
 __all__ = ["text"]
