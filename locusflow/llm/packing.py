@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .session import bounded_batches, documents
-from .token_counts import by_bytes, load, ranges
+from .token_counts import LONG_WORD, MEMO_WORDS, load, ranges
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -97,39 +98,57 @@ def split(text: str) -> list[str]:
     return ("\0" + text.replace("\n", " \n")).split(" ")
 
 
+class Ids(dict):
+    """Ids of pieces, found by the tokenizer when first asked for; two generations as in `Memo`."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.old: dict[str, bytes] = {}
+        self.passing: list[str] = []
+        self.line, self.ends = self.of("\n"), {c: self.of(c) for c in ".,"}
+
+    def of(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.old.get(w)
+        if ids is None:
+            if w[-1:] in self.ends and len(w) > 2 and w[-2].isalpha() and w[-2] < "\u0250":
+                ids = self[w[:-1]] + self.ends[w[-1]]  # a stop after a letter is a word of its own
+            elif w[0] == "\n":
+                ids = self.line + self["\0" + w[1:]]
+            else:
+                ids = self.of(w[1:] if w[0] == "\0" else " " + w)
+        self[w] = ids
+        if len(w) > LONG_WORD:
+            self.passing.append(w)
+        return ids
+
+    def trim(self) -> None:
+        for w in self.passing:
+            self.pop(w, None)
+        self.passing.clear()
+        if len(self) > MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+_ids: dict[str, Ids] = {}
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
-    tokenizer, memo = load(path)
-    cut = [None if SPECIAL in text else split(text) for text in texts]
-    line = _ids(tokenizer, "\n")
-    for batch in by_bytes(memo.missing({w for ws in cut if ws for w in ws})):
-        _learn(tokenizer, batch, memo, line)
-    get = memo.__getitem__
-    out = [_ids(tokenizer, text) if ws is None else b"".join(map(get, ws)) for text, ws in zip(texts, cut, strict=True)]
+    memo = _ids.get(path)
+    if memo is None:
+        memo = _ids[path] = Ids(load(path)[0])
+    get, out = memo.__getitem__, []
+    for text in texts:
+        out.append(memo.of(text) if SPECIAL in text else b"".join(map(get, split(text))))
     memo.trim()
     return out
 
 
-def _ids(tokenizer, text: str) -> bytes:
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-
-def _learn(tokenizer, batch: list[str], memo: dict[str, bytes], line: bytes) -> None:
-    """Encodes new pieces in one go, a line break between them, and cuts the ids at the breaks."""
-    single = [w for w in batch if "\n" not in w[1:]]
-    texts = [w[1:] if w[0] in "\0\n" else " " + w for w in single]
-    flat = np.frombuffer(_ids(tokenizer, "\n".join(texts)), dtype="<u4")
-    ends = np.append(np.flatnonzero(flat == np.frombuffer(line, dtype="<u4")[0]), len(flat))
-    if len(ends) == len(single) and len(line) == 4:
-        data, at = flat.tobytes(), 0
-        for w, end in zip(single, ends.tolist(), strict=True):
-            memo[w] = (line if w[0] == "\n" else b"") + data[4 * at : 4 * end]
-            at = end + 1
-        batch = [w for w in batch if "\n" in w[1:]]
-    for w in batch:
-        memo[w] = _ids(tokenizer, w[1:]) if w[0] == "\0" else _ids(tokenizer, w) if w[0] == "\n" else _ids(tokenizer, " " + w)
-
-
 def pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: the first takes the remainder."""
     first = n % capacity or capacity
