@@ -38,12 +38,18 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_CANDIDATE = 20
 WINDOW = 20
 LIMITS = {"entropy_hex": 3.1, "entropy_mixed": 3.6}
-ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # a UUID
-    r"|[0-9+/_=-]+"  # digits and separators
-    r"|[A-Za-z]+"  # one word
-    r"|(?:(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4})[-_/=+]+)*(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4})"  # words joined
-)
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+SEPARATOR = re.compile(r"[-_/=+]+")
+PLAIN_PART = re.compile(r"[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}")
+
+
+def allowed(s: str) -> bool:
+    """A UUID, digits and separators only, one word, or words and short numbers joined by separators."""
+    if UUID.fullmatch(s) or s.isalpha():
+        return True
+    parts = SEPARATOR.split(s)
+    return all(p.isdigit() or not p for p in parts) or all(PLAIN_PART.fullmatch(p) for p in parts)
+
 
 _CANDIDATE = np.zeros(256, dtype=bool)
 _CANDIDATE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
@@ -53,7 +59,7 @@ Span = tuple[str, int, int]
 
 def entropy_spans(s: str, window: int = WINDOW) -> list[Span]:
     """Merged runs of flagged windows in one candidate string, as (kind, start, end)."""
-    if len(s) < window or ALLOWED.fullmatch(s):
+    if len(s) < window or allowed(s):
         return []
     out: list[Span] = []
     counts: dict[str, int] = {}
