@@ -30,6 +30,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of a frame's size, without a job."""
-    size = str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(int(size), 1 << 50)
+    """The optimiser's estimate of a frame's size, without a job; a block a partition where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.rdd.getNumPartitions() << 24

@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     bounded_batches(spark)
     size = input_bytes(docs)
-    buckets = max(64, size >> 22)
+    buckets = min(max(64, size >> 22), 1 << 18)
     parts = max(64, size >> 22)
     rows = docs.selectExpr(f"cast(`{key}` AS bigint) AS k", f"cast(`{text}` AS string) AS t")
 
@@ -264,15 +264,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 once, n = np.unique(hashes, return_counts=True)
                 bucket = (once >> np.uint64(32)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+                begins = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)))
                 rng = np.random.Generator(np.random.PCG64(number))
                 some = rng.choice(at, min(SAMPLE_EACH, len(at)), replace=False) if len(at) else at
                 sample = b"".join(block.data[a : a + kmer] for a in some.tolist())
                 out = [(0, number, -1, _pack("<i8", own.fill_null(-(1 << 63)).to_numpy()), _pack("<i8", block.offsets), press.compress(block.data), sample)]
-                for b in range(buckets):
-                    if ends[b] < ends[b + 1]:
-                        p = order[ends[b] : ends[b + 1]]
-                        out.append((1, number, b, _pack("<u8", once[p]), _pack("<u1", n[p] > 1), b"", b""))
+                for p in np.split(order, begins[1:]) if len(order) else ():
+                    out.append((1, number, int(bucket[p[0]]), _pack("<u8", once[p]), _pack("<u1", n[p] > 1), b"", b""))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4], strict=True)], names)
 
