@@ -117,3 +117,14 @@ def vector_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return table(spark, sf_dir, "embeddings").select("vec_id", (F.array_position(v, F.array_max(v)) - 1).alias("best"), F.round(norm, 5).alias("norm"))
+
+
+@query()
+def simulated_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Success of four ranking policies over simulated users; tested against single walks."""
+    from ..operators.simulate import simulate
+    from .tables import items
+
+    turns = simulate(items(spark, sf_dir), 40)
+    out = e.simulation_summary(turns, "policy")
+    return out.select("policy", "turns", *(F.round(c, 5).alias(c) for c in ("success", "late_success", "mean_rank", "kinds", "short")))

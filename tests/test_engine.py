@@ -261,3 +261,20 @@ def test_every_oracle_has_its_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_simulated_walks_don_t_depend_on_tasks(spark):
+    from locusflow.operators import simulate
+
+    rng = np.random.default_rng(1)
+    rows = [(f"i{n}", ("meal", "bar")[n % 2], f"s{n % 7}", 35 + float(rng.uniform(-0.01, 0.01)), 139 + float(rng.uniform(-0.01, 0.01)), float(rng.uniform())) for n in range(300)]
+    items = spark.createDataFrame(rows, "id string, category string, sub string, lat double, lon double, popularity double")
+    s = simulate.Settings(plan=("meal", "bar") * 6)
+    got = simulate.simulate(items, 6, settings=s).collect()
+    assert len(got) == 6 * 4 * 12
+    table = items.orderBy("id").toPandas()
+    catalogue = simulate._Catalogue(*(table[c].to_numpy() for c in ("id", "category", "sub", "lat", "lon", "popularity")))
+    want = sorted(t for p in simulate.POLICIES for seed in range(6) for t in simulate.walk(catalogue, p, seed, s))
+    assert sorted(tuple(r) for r in got) == want
+    success = {p: sum(t[4] for t in want if t[0] == p) for p in simulate.POLICIES}
+    assert success["learned"] >= success["fixed"] - 3
