@@ -39,7 +39,7 @@ FAN = 16
 HOT_KEY = 4_096
 LEADERS = 8
 ROWS_AT_ONCE = 1 << 17
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(41))
 _FACTORS = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 _OFFSETS = _RNG.integers(0, 1 << 63, size=256, dtype=np.uint64)
@@ -211,17 +211,21 @@ def linked(keys: np.ndarray, codes: np.ndarray, labels: np.ndarray, max_bits: in
     if len(levels) == 1:
         return
     roots = np.arange(len(levels[-1]["key"]))
-    stack = [(len(levels) - 1, roots, roots)]
-    while stack:
-        depth, a, b = stack.pop()
-        below = levels[depth - 1]
-        for x, y in _expand(a, b, levels[depth] | {"leaf": depth == 1}):
-            apart = np.bitwise_count((below["code"][x] ^ below["code"][y]) & below["mask"][x] & below["mask"][y])
-            near = (apart <= max_bits) & ((below["label"][x] != below["label"][y]) | (below["label"][x] < 0))
-            if depth == 1:
-                yield x[near], y[near]
-            elif near.any():
-                stack.append((depth - 1, x[near], y[near]))
+    yield from _descend(levels, len(levels) - 1, roots, roots, max_bits)
+
+
+def _descend(levels: list[dict[str, np.ndarray]], depth: int, a: np.ndarray, b: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Goes down from each portion of node pairs before it takes the next, so few pairs are held at once."""
+    below = levels[depth - 1]
+    for x, y in _expand(a, b, levels[depth] | {"leaf": depth == 1}):
+        apart = np.bitwise_count((below["code"][x] ^ below["code"][y]) & below["mask"][x] & below["mask"][y])
+        near = (apart <= max_bits) & ((below["label"][x] != below["label"][y]) | (below["label"][x] < 0))
+        if not near.any():
+            continue
+        if depth == 1:
+            yield x[near], y[near]
+        else:
+            yield from _descend(levels, depth - 1, x[near], y[near], max_bits)
 
 
 def _led(keys: np.ndarray, codes: np.ndarray, max_bits: int) -> np.ndarray:

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+#: Just below a power of two, so that tables over a block's places take no more than they must.
+BLOCK_BYTES = (2 << 20) - 4096
 
 #: Bytes 0x09-0x0D and 0x20 separate words.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -116,7 +117,7 @@ def _power_table(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
             np.multiply.accumulate(table, out=table)
             out.append(table)
         have = (out[0], out[1])
-        if size <= 2 * BLOCK_BYTES:
+        if size <= 1 << 21:
             _powers[lane] = have
     return have
 

@@ -25,7 +25,7 @@ from .session import bounded_batches, documents
 VOCABULARY = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 BATCH_BYTES = 1 << 16
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 LONG_WORD = 64
 SPACES = re.compile(r"[\t\n\x0b\x0c\r ]+")
 

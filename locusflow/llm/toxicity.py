@@ -41,7 +41,7 @@ MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 3000, 20_000
 EPOCHS, MIN_STEPS, BATCH, RATE = 4, 240, 64, 0.01
 #: Character n-grams in bytes: from the word's beginning, and anywhere.
 PREFIXES, GRAM = (4, 5, 6), 5
-SCORE_WINDOWS = 4_096
+SCORE_WINDOWS = 2_048
 
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
@@ -295,7 +295,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for block in blocks(batch.column(text), 1 << 21):
+            for block in blocks(batch.column(text), 1 << 20):
                 out[block.first_row : block.first_row + len(block)] = score_block(shared.value, block)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "_score"])
 
