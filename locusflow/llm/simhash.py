@@ -40,6 +40,7 @@ HOT_KEY = 4_096
 LEADERS = 8
 ROWS_AT_ONCE = 1 << 17
 PAIRS_AT_ONCE = 1 << 18
+SHINGLES_AT_ONCE = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(41))
 _FACTORS = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 _OFFSETS = _RNG.integers(0, 1 << 63, size=256, dtype=np.uint64)
@@ -100,25 +101,47 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def set_id(distinct: np.ndarray) -> int:
+    """A 64-bit name of a set of shingle hashes, given sorted."""
+    return xxh64_intdigest(distinct.tobytes(), SEED)
+
+
 def banded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int, bands: int, rows: int) -> DataFrame:
-    """(key, fp, keys): fingerprints with the keys of their bands; a narrow map."""
+    """(key, fp, sid, n, keys): fingerprints, the name and size of the shingle set, and the keys of its bands; a narrow map."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows, dtype=np.uint64)
+            out, sids = np.zeros(batch.num_rows, dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64)
+            sizes = np.zeros(batch.num_rows, dtype=np.int64)
             keys = np.zeros((batch.num_rows, bands), dtype=np.uint64)
             for block in blocks(batch.column("t")):
                 for i in range(len(block)):
                     hashes = shingle_hashes(block.row(i), shingle)
-                    out[block.first_row + i] = from_hashes(hashes)
-                    keys[block.first_row + i] = band_keys(hashes, bands, rows)
+                    distinct = np.unique(hashes)
+                    at = block.first_row + i
+                    out[at], sids[at], sizes[at] = from_hashes(hashes), set_id(distinct), len(distinct)
+                    keys[at] = band_keys(distinct, bands, rows)
             flat = pa.array(keys.view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out.view(np.int64)), lists], ["k", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out.view(np.int64)), pa.array(sids.view(np.int64)), pa.array(sizes), lists], ["k", "fp", "sid", "n", "keys"])
 
-    return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t").mapInArrow(run, f"k {kind}, fp bigint, keys array<bigint>").withColumnRenamed("k", key)
+    return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t").mapInArrow(run, f"k {kind}, fp bigint, sid bigint, n bigint, keys array<bigint>").withColumnRenamed("k", key)
+
+
+def shingle_sets(docs: DataFrame, *, text: str = "text", shingle: int) -> DataFrame:
+    """(sid, h): every row's distinct shingle hashes, sorted, as bytes; a narrow map."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("t")):
+                sets = [np.unique(shingle_hashes(block.row(i), shingle)) for i in range(len(block))]
+                sids = np.array([set_id(x) for x in sets], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(sids.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], ["sid", "h"])
+
+    return docs.selectExpr(f"cast(`{text}` AS string) AS t").mapInArrow(run, "sid bigint, h binary")
 
 
 def cuts(bits: list[int], parts: int) -> list[list[int]]:
@@ -299,33 +322,107 @@ def links(routed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return routed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _named(marked: DataFrame, routed: DataFrame, max_bits: int, key: str) -> DataFrame:
-    """(key, fp, component) of marked rows (key, fp), linked over routed rows (key, fp)."""
-    distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("first")))
-    labels = components(links(routed, max_bits), "a", "b")
-    named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+def _named(marked: DataFrame, labels: DataFrame, key: str, by: str = "fp") -> DataFrame:
+    """(key, fp, component) of marked rows, whose column `by` has the labels (node, label)."""
+    distinct = cut(marked.groupBy(by).agg(F.min(key).alias("first")))
+    named = distinct.join(labels, distinct[by] == labels["node"], "left").select(by, "first", F.coalesce("label", by).alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
-    return marked.join(named.join(least, "label").select("fp", "component"), "fp").select(key, "fp", "component")
+    return marked.join(named.join(least, "label").select(by, "component"), by).select(key, "fp", "component")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(key, fp, component): the component is the smallest key reachable over links of at most max_bits."""
     marked = cut(fingerprints(docs, key=key, text=text, shingle=shingle))
-    return _named(marked, route(marked.select("fp").distinct(), max_bits), max_bits, key)
+    found = links(route(marked.select("fp").distinct(), max_bits), max_bits)
+    return _named(marked, components(found, "a", "b"), key)
+
+
+def alike(shared: int | np.ndarray, n: int | np.ndarray, m: int | np.ndarray, similarity: float) -> bool | np.ndarray:
+    """Whether sets of n and m members, of which so many are shared, have this Jaccard similarity or more."""
+    return shared + 1e-9 >= similarity * (n + m - shared)
 
 
-def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, slack: int = 2, bands: int = 25, rows: int = 5) -> DataFrame:
-    """(key, fp, component) for texts whose shingle sets have about this Jaccard similarity or more.
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float, hot_key: int = HOT_KEY) -> DataFrame:
+    """The pairs (a, b) of set names whose sets (sid, h) are alike; a name in very many pairs is dealt over tasks."""
 
-    Two sets of Jaccard similarity s differ in 64 acos(2 s / (1 + s)) / pi fingerprint bits on average,
-    about ten for 0.8: too many for blocks of equal bits. Here bands of shingle minima bring
-    candidates together (a pair of similarity 0.8 shares one of 25 bands of 5 with probability above
-    0.9999), and the Gray-order index links those within that many bits and `slack`.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                keep.append(bool(alike(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), similarity)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    many = pairs.groupBy("a").agg((F.count("*") / hot_key).cast("bigint").alias("more"))
+    left = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("more") + 1).alias("s"))
+    left = left.join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
+    right = many.join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a")
+    right = right.select("a", "ha", F.explode(F.expr("sequence(0L, more)")).alias("s"))
+    return left.join(right, ["a", "s"]).select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint")
+
+
+def across(sids: np.ndarray, labels: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of alike sets that join all labels so joined; where there are two parts, pairs of unequal part only."""
+    n = np.array([len(x) for x in sets])
+    keep = np.flatnonzero(n)
+    sids, labels, parts, n = sids[keep], labels[keep], parts[keep], n[keep]
+    names, label = np.unique(labels, return_inverse=True)
+    if len(names) < 2:
+        return
+    values, ids = np.unique(np.concatenate([sets[i] for i in keep]), return_inverse=True)
+    starts = np.cumsum(n) - n
+    two = len(np.unique(parts)) > 1
+    mark = np.zeros(len(values), dtype=np.int32)
+    most = np.argmax(np.bincount(label))
+    for i in np.flatnonzero(label != most):  # each pair of two labels has one of these
+        other = (label != label[i]) & ((parts != parts[i]) | (not two)) & (n + 1e-9 >= similarity * n[i]) & (n[i] + 1e-9 >= similarity * n)
+        if not other.any():
+            continue
+        own = ids[starts[i] : starts[i] + n[i]]
+        mark[own] = 1
+        met = np.flatnonzero(other & alike(np.add.reduceat(mark[ids], starts), n[i], n, similarity))
+        mark[own] = 0
+        for at in met[np.unique(label[met], return_index=True)[1]].tolist():
+            yield int(sids[i]), int(sids[at])
+        if len(met):
+            label[np.isin(label, label[met])] = label[i]
+
+
+def remaining(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, most: int = SHINGLES_AT_ONCE) -> DataFrame:
+    """Alike pairs (a, b) of equal keys and two labels; keys above so many shingles go by pairs of blocks."""
+    members = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("label", "sid").alias("label"))
+    mixed = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), (F.sum("n") / most).cast("int").alias("more")).where("l <> m").select("key", "more")
+    i = F.pmod(F.xxhash64("sid"), F.col("more") + 1).cast("int")
+    dealt = members.join(mixed, "key").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("more"))))
+    dealt = dealt.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "sid", "label")
+
+    def run(table: pa.Table) -> pa.Table:
+        sids, own, parts = (table.column(c).to_numpy() for c in ("sid", "label", "i"))
+        pairs = []
+        if table.column("x")[0] == table.column("y")[0] or len(np.unique(parts)) > 1:
+            pairs = list(across(sids, own, parts, [np.frombuffer(h.as_buffer(), "<u8") for h in table.column("h")], similarity))
+        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+    return dealt.join(sets, "sid").groupBy("key", "x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
+def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
+    """(key, fp, component) for texts whose shingle sets have this Jaccard similarity or more.
+
+    Bands of shingle minima bring candidates together (a pair of similarity 0.8 shares one of 25 bands
+    of 5 with probability above 0.9999); a link is a candidate pair whose shingle sets, compared whole,
+    are alike. First each key's least set meets all others of the key, a pair a member; then those that
+    are still of two components meet within each key.
     """
-    max_bits = round(64 * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi) + slack
     marked = cut(banded(docs, key=key, text=text, shingle=shingle, bands=bands, rows=rows))
-    routed = marked.select(F.explode("keys").alias("key"), "fp").distinct()
-    return _named(marked.select(key, "fp"), routed, max_bits, key)
+    routed = marked.where("n > 0").dropDuplicates(["sid"]).select("sid", "n", F.explode("keys").alias("key"))
+    leaders = routed.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
+    shared = cut(routed.join(leaders, "key").select("key", "sid", "n", F.col("leader.sid").alias("a"), F.col("leader.n").alias("m")))
+    sets = cut(shingle_sets(docs, text=text, shingle=shingle).groupBy("sid").agg(F.first("h").alias("h")).join(shared.select("sid").distinct(), "sid", "left_semi"))
+    near = F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")
+    led = cut(confirmed(shared.where((F.col("a") != F.col("sid")) & near).select("a", F.col("sid").alias("b")).distinct(), sets, similarity))
+    rest = remaining(shared, cut(components(led, "a", "b")), sets, similarity)
+    return _named(marked, components(led.unionByName(rest), "a", "b"), key, "sid")
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

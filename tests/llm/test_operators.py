@@ -222,6 +222,49 @@ def test_similar_texts(spark):
     assert {r.doc_id for r in simhash.keep_first(df).collect()} == {1, 3, 5}
 
 
+def brute_similar(texts):
+    """The least index of each text's component over pairs of Jaccard similarity 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def similar_corpus():
+    """Pairs of chosen similarity, pairs of 9 and 8 words, and groups of edited copies that hold each other loosely."""
+    draw = random.Random(8)
+
+    def fresh(n):
+        return [f"w{draw.randrange(10**9)}" for _ in range(n)]
+
+    texts = []
+    for shared, a, b in [(70, 15, 15), (79, 10, 11), (80, 10, 10), (85, 7, 8), (8, 1, 1)] * 12:
+        base = fresh(shared + 4)
+        texts += [" ".join(base + fresh(a)), " ".join(base + fresh(b))]
+    for _ in range(12):
+        base = fresh(9)
+        texts += [" ".join(base), " ".join(base[:8])]
+    for _ in range(3):
+        base = fresh(120)
+        for _ in range(40):
+            words = list(base)
+            for at in draw.sample(range(len(words)), draw.randrange(1, 5)):
+                words[at] = fresh(1)[0]
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_similar_texts_are_those_of_brute_force(spark):
+    texts = similar_corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component for r in simhash.similar_texts(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_similar(texts)
+
+
 def brute_removal(rows, length=100):
     seen, out = set(), {}
     for k, t in sorted(rows):
