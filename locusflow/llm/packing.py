@@ -144,7 +144,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         memo = _ids[path] = Ids(load(path)[0])
     get, out = memo.__getitem__, []
     for text in texts:
-        out.append(memo.of(text) if SPECIAL in text else b"".join(map(get, split(text))))
+        out.append(memo.of(text) if SPECIAL in text or "\0" in text else b"".join(map(get, split(text))))
     memo.trim()
     return out
 

@@ -92,6 +92,11 @@ def test_packing_words_join_to_the_text(text):
     assert packing.encode([text], path) == [want]
 
 
+@pytest.mark.parametrize("text", ["a \0b", "\0a b", "a \0", "x\n\0y z", " \0", "a\0b c"])
+def test_packing_keeps_nul_characters(text):
+    test_packing_words_join_to_the_text(text)
+
+
 def test_bins_take_the_fullest_that_fits():
     b = packing.Bins(10, 2)
     assert [b.place(n) for n in (6, 7, 3, 4, 10)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0)]
