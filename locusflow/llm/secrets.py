@@ -4,8 +4,8 @@ Candidates are maximal runs of `[A-Za-z0-9+/_=-]` of `MIN_CANDIDATE` or more cha
 `WINDOW` characters slides over each; its Shannon entropy comes from counts changed by one character
 in and one out. A window is flagged when its entropy reaches the limit of its class (hexadecimal, or
 mixed: letters of both cases or letters and digits), and adjoining flagged windows make one span.
-Candidates of the allow list (identifiers in UUID form, digits only, words joined by - _ / =) give
-none, and a span lying within a pattern's span isn't repeated.
+Candidates of the allow list (identifiers in UUID form, digits only, letters of one case or in CamelCase
+words, words joined by - _ / =) give none, and a span lying within a pattern's span isn't repeated.
 
 Cases: a null or empty text has no spans; offsets are code points, ends exclusive; spans are ordered
 by start, then kind as in `KINDS`; repeated rows give repeated results; an empty table gives no rows.
@@ -41,12 +41,22 @@ LIMITS = {"entropy_hex": 3.1, "entropy_mixed": 3.6}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 SEPARATOR = re.compile(r"[-_/=+]+")
 PLAIN_PART = re.compile(r"[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}")
+CAMEL_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+VOWEL = re.compile(r"[aeiouyAEIOUY]")
+
+
+def words_in_case(s: str) -> bool:
+    """Whether letters of both cases split into CamelCase words: 3.5 letters or more on average, few single ones, vowels in those of three or more."""
+    parts = CAMEL_PART.findall(s)
+    return 2 * len(s) >= 7 * len(parts) and sum(len(p) == 1 for p in parts) <= 1 and all(VOWEL.search(p) for p in parts if len(p) > 2 and not p.isupper())
 
 
 def allowed(s: str) -> bool:
-    """A UUID, digits and separators only, one word, or words and short numbers joined by separators."""
-    if UUID.fullmatch(s) or s.isalpha():
+    """A UUID, digits and separators only, letters of one case or in CamelCase words, or words and short numbers joined by separators."""
+    if UUID.fullmatch(s):
         return True
+    if s.isalpha():
+        return s.islower() or s.isupper() or words_in_case(s)
     parts = SEPARATOR.split(s)
     return all(p.isdigit() or not p for p in parts) or all(PLAIN_PART.fullmatch(p) for p in parts)
 

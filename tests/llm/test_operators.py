@@ -142,6 +142,14 @@ def test_secrets(spark, docs, empty):
     assert secrets.redact(docs).columns == docs.columns and secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_of_letters_only():
+    draw = random.Random(4)
+    keys = ["".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(32)) for _ in range(500)]
+    assert sum(bool(secrets.entropy_spans(k)) for k in keys) >= 490
+    for word in ["Donaudampfschifffahrtsgesellschaft", "getElementsByTagNameFromDocument", "XMLHttpRequestEventTargetHandler", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "AbstractSingletonProxyFactoryBean"]:
+        assert secrets.entropy_spans(word) == []
+
+
 def brute_simhash(text, size):
     import xxhash
 
