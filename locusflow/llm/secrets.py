@@ -46,9 +46,9 @@ VOWEL = re.compile(r"[aeiouyAEIOUY]")
 
 
 def words_in_case(s: str) -> bool:
-    """Whether letters of both cases split into CamelCase words: 3.5 letters or more on average, few single ones, vowels in those of three or more."""
+    """Whether letters of both cases split into CamelCase words: 3.5 letters or more on average, at most one single, vowels in those of three or more (but for one, such as Http, where words are of 4.5 letters or more)."""
     parts = CAMEL_PART.findall(s)
-    return 2 * len(s) >= 7 * len(parts) and sum(len(p) == 1 for p in parts) <= 1 and all(VOWEL.search(p) for p in parts if len(p) > 2 and not p.isupper())
+    return 2 * len(s) >= 7 * len(parts) and sum(len(p) == 1 for p in parts) <= 1 and sum(not VOWEL.search(p) for p in parts if len(p) > 2 and not p.isupper()) <= (2 * len(s) >= 9 * len(parts))
 
 
 def allowed(s: str) -> bool:
