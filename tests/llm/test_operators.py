@@ -127,6 +127,22 @@ def test_quality_rejects_repetition_and_noise(spark):
     assert bands.outside(2000, 10) and bands.outside(2000, 1990) and not bands.outside(2000, 1000)
 
 
+def test_quality_judges_the_end_of_a_text_and_base64():
+    import base64
+
+    import zstandard
+
+    press, bands, draw = zstandard.ZstdCompressor(level=3, write_checksum=False), quality.Bands(), random.Random(6)
+    varied = " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(1300)).encode()[:8192]
+    ratio, chunks, out, passes = quality.compression(varied + (b"One sentence over and over again. " * 200)[:4095], bands, press)
+    assert not bands.outside(8192 + 4095, round((8192 + 4095) / ratio)) and (chunks, out, passes) == (3, 1, False)
+    assert quality.compression(varied, bands, press)[1:] == (2, 0, True) and quality.compression(varied[:6000], bands, press)[1:] == (2, 0, True)
+    assert not quality.compression(varied[:3000] + b"again " * 683, bands, press)[3]
+    for n in (1024, 4096, 8192, 65536):
+        code = base64.b64encode(draw.randbytes(n))[:n]
+        assert not quality.compression(b" ".join(code[i : i + 12] for i in range(0, n, 12))[:n], bands, press)[3]
+
+
 def test_secrets(spark, docs, empty):
     rng = random.Random(3)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
