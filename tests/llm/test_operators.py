@@ -337,21 +337,57 @@ def test_loser_tree_merges_with_prefixes():
         assert a[:h] == b[:h] and (h == min(len(a), len(b)) or a[h] != b[h])
 
 
+def brute_log_probabilities(tokens, counts, n, v):
+    """log10 p of each token of a text by exact counts of words, pairs and triples, cut to their powers of two."""
+
+    def q(gram):
+        c = counts[gram] if len(gram) < 3 or counts[gram] > 1 else 0
+        return c.bit_length()
+
+    def value(q):
+        return (2 ** (q - 1) + 2**q - 1) / 2 if q else 0.0
+
+    out = []
+    for i, c in enumerate(tokens):
+        b = tokens[i - 1] if i else "\0"
+        p = (value(q((b, c))) + lm.MU * (value(q((c,))) + 1) / (n + v + 1)) / (value(q((b,))) + lm.MU)
+        if i:
+            a = tokens[i - 2] if i > 1 else "\0"
+            if q((a, b)) > 1:
+                p = lm.LAMBDA * value(q((a, b, c))) / value(q((a, b))) + (1 - lm.LAMBDA) * p
+        out.append(math.log10(p))
+    return out
+
+
 def test_lm_scores(spark, docs):
-    got = by_id(lm.score_texts(docs))
+    got = by_id(lm.score_texts(docs, bits_each=80))
     tokens = {i * 3: [*WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")), "\0"] for i, t in enumerate(TEXTS)}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in tokens}
-    counts = collections.Counter(w for k, ws in tokens.items() if not held[k] for w in ws)
-    n, v = sum(counts.values()), len(counts)
+    counts = collections.Counter()
+    for k, ws in tokens.items():
+        if not held[k]:
+            counts.update((w,) for w in ws)
+            counts.update(zip(["\0", *ws], ws, strict=False))
+            counts.update(zip(["\0", *ws], ws, ws[1:], strict=False))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
     for k, ws in tokens.items():
-        assert (got[k].held_out, got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (held[k], len(ws), sum(counts[w] > 0 for w in ws), n)
-        assert math.isclose(got[k].base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert got[k].score < 0
-    apart = by_id(lm.score_texts(docs, max_filter_bytes=1))
-    tail = by_id(lm.score_texts(docs, hot_words_most=20))
-    for k in tokens:
-        assert math.isclose(apart[k].score, got[k].score, rel_tol=1e-9)
-        assert (tail[k].n_known, round(tail[k].base_score, 6)) == (got[k].n_known, round(got[k].base_score, 6))
+        assert (got[k].held_out, got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (held[k], len(ws), sum(counts[w,] > 0 for w in ws), n)
+        assert math.isclose(got[k].base_score, sum(math.log10((counts[w,] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+        each = brute_log_probabilities(ws, counts, n, v)
+        assert max(each) <= 0 and math.isclose(got[k].score, sum(each), rel_tol=1e-9)
+    plain = by_id(lm.score_texts(docs))
+    for options in ({"max_filter_bytes": 1}, {"hot_words_most": 20}, {"max_filter_bytes": 1, "hot_words_most": 0}):
+        other = by_id(lm.score_texts(docs, **options))
+        for k in tokens:
+            assert math.isclose(other[k].score, plain[k].score, rel_tol=1e-9) and math.isclose(other[k].base_score, plain[k].base_score, rel_tol=1e-9)
+            assert (other[k].n_known, other[k].n_tokens) == (plain[k].n_known, plain[k].n_tokens)
+
+
+def test_lm_scores_in_groups_of_texts(spark, docs, monkeypatch):
+    want = by_id(lm.score_texts(docs))
+    monkeypatch.setattr(lm, "GROUP_BYTES", 3000)
+    got = by_id(lm.score_texts(docs, max_filter_bytes=1))
+    assert all(math.isclose(got[k].score, want[k].score, rel_tol=1e-9) for k in want)
 
 
 def test_bloom_filter_holds_every_count():
