@@ -2,14 +2,19 @@
 
 A window is `WINDOW` consecutive words of a benchmark item (a shorter item is one window). Of each
 window the n-gram of `ANCHOR` words with the least hash is its anchor, so neighbouring windows mostly
-share one. The hash set of anchors is broadcast (behind a count; beyond `BROADCAST_ROWS` it is a
-shuffled join); every position of every document is probed with its n-gram's hash in one pass over
-the table, inside generated code, and each hit is verified word by word against the item. Only
-verified windows count, so hashes never decide a result.
+share one. Every position of every document is probed with its n-gram's hash, inside generated code, and
+each hit is verified word by word against the item. Only verified windows count, so hashes never
+decide a result.
+
+The anchors are counted, with the bytes of their words. Up to `BROADCAST_BYTES` they are broadcast with their
+words, and one pass finds and verifies. Beyond it only their hashes are, in as many slices as keep each
+below the bound, a pass over the table for each; the few positions found, with the words near them,
+then meet the anchors in a shuffled join. Documents never travel.
 
 Cases: a null or empty text has no words; items without words have no windows; the same window in
 several items counts for each; equal rows are scanned once per copy and each keeps its own result
-row; rows of one doc_id with different texts stay apart; empty tables give no hits or no rows.
+row; rows of one doc_id with different texts stay apart, null keys too; columns of any further name
+pass through `remove_spans`; empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import cut
+
 WINDOW = 10
 ANCHOR = 5
-BROADCAST_ROWS = 2_000_000
+#: Bounds in bytes for what is broadcast; a row of a hash set or an anchor is reckoned to take so many beside its words.
+BROADCAST_BYTES = 32 << 20
+HASH_BYTES, ANCHOR_BYTES = 32, 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words before A-Z are lowered, as a Java class and as characters to trim.
 RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -70,48 +79,45 @@ def anchors(bench: DataFrame, *, item: str = "item_id", text: str = "text", wind
     )
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, anchor: int = ANCHOR, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_hits(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, anchor: int = ANCHOR, broadcast_bytes: int = BROADCAST_BYTES, only_hit: bool = False) -> DataFrame:
     """A row per distinct (key, text): (k, text_hash, text_length, copies, n_words, hits, items).
 
     `hits` are the word positions inside occurrences of windows, `items` the items' ids as strings.
+    `only_hit` leaves out documents without hits (copies and n_words are then not counted).
     """
     found = anchors(bench, item=item, text=text, window=window, anchor=anchor)
-    sizes = {r["size"]: r["n"] for r in found.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `anchor` rows
+    letters = F.sum(F.aggregate("a_words", F.lit(0), lambda n, w: n + F.octet_length(w) + F.lit(16)))
+    sizes = {r["size"]: (r["n"], r["bytes"]) for r in found.groupBy("size").agg(F.count("*").alias("n"), letters.alias("bytes")).collect()}  # at most `anchor` rows
+    whole = sum(ANCHOR_BYTES * n + b for n, b in sizes.values()) <= broadcast_bytes
     scanned = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("text_hash"), F.length(text).alias("text_length"), raw_words(F.col(text)).alias("w"))
     scanned = scanned.withColumn("h", word_hashes(F.col("w")))
+    reach = window - 1  # a window about an anchor begins and ends within so many words of it
     parts = []
     for number, size in enumerate(sorted(sizes, reverse=True) or [anchor]):
         side = found.where(F.col("size") == size).drop("size")
-        if sum(sizes.values()) <= broadcast_rows:
-            side = F.broadcast(side)
-        # The first pass has a position -1 for every document: it matches nothing and keeps the document.
-        first = -1 if number == 0 else 0
-        at = scanned.where(F.size("h") >= size) if number else scanned
-        at = at.withColumn("pos", F.explode(F.sequence(F.lit(first), F.greatest(F.size("h") - size, F.lit(first)))))
-        probe = F.when(F.col("pos") >= 0, F.xxhash64(*(F.get("h", F.col("pos") + i) for i in range(size))))
-        joined = at.withColumn("a_hash", probe).join(side, "a_hash", "left").where(F.col("item").isNotNull() | (F.col("pos") < 0))
-        shift = F.col("pos") - F.col("a_pos")  # from a position in the item to that in the document
-        low = F.greatest(shift + F.col("first"), F.lit(0))
-        near = F.when(F.col("item").isNotNull(), lowered(F.slice("w", low + 1, F.size("a_words"))))
-
-        def hit(start: Column, shift: Column = shift, low: Column = low) -> Column:
-            there = F.slice("near", start + shift - low + 1, F.col("len"))
-            return (start + shift >= 0) & (start + shift + F.col("len") <= F.size("w")) & (there == F.slice("a_words", start - F.col("first") + 1, F.col("len")))
-
-        starts = F.when(F.col("item").isNotNull(), F.filter(F.sequence("first", "last"), lambda s: F.coalesce(hit(s), F.lit(False))))
-        covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s + F.col("shift"), s + F.col("shift") + F.col("len") - 1))))
-        verified = joined.withColumn("shift", shift).withColumn("near", near).withColumn("starts", starts)
-        parts.append(
-            verified.select(
-                *("k", "text_hash", "text_length"),
-                F.when(F.col("pos") < 0, F.size("w")).alias("n_words"),
-                F.when(F.size("starts") > 0, F.col("item")).alias("item"),
-                F.when(F.size("starts") > 0, covered).alias("covered"),
-            )
-        )
+        slices = 1 if whole else max(1, -(-HASH_BYTES * sizes[size][0] // max(broadcast_bytes, HASH_BYTES)))
+        for s in range(slices):
+            # The first pass has a position -1 for every document: it matches nothing and keeps the document.
+            first = -1 if number == 0 and s == 0 and not only_hit else 0
+            at = scanned.where(F.size("h") >= size) if first == 0 else scanned
+            at = at.withColumn("pos", F.explode(F.sequence(F.lit(first), F.greatest(F.size("h") - size, F.lit(first)))))
+            at = at.withColumn("a_hash", F.when(F.col("pos") >= 0, F.xxhash64(*(F.get("h", F.col("pos") + i) for i in range(size)))))
+            if whole:
+                met = at.join(F.broadcast(side), "a_hash", "left").where(F.col("item").isNotNull() | (F.col("pos") < 0))
+                near_from = F.lit(0)
+                parts.append(_verified(met.withColumn("near_w", F.col("w")), near_from))
+                continue
+            marks = side.where(F.pmod("a_hash", F.lit(slices)) == s).select("a_hash").distinct().withColumn("held", F.lit(True))
+            met = at.join(F.broadcast(marks), "a_hash", "left").where(F.col("held") | (F.col("pos") < 0))
+            low = F.greatest(F.col("pos") - reach, F.lit(0))
+            few = met.select("k", "text_hash", "text_length", "pos", F.size("w").alias("n_w"), F.slice("w", low + 1, F.lit(2 * window + size)).alias("near_w"), F.when(F.col("pos") < 0, F.xxhash64("k", "text_hash")).otherwise(F.col("a_hash")).alias("a_hash"))
+            joined = few.join(side, "a_hash", "left").where(F.col("item").isNotNull() | (F.col("pos") < 0)).withColumn("item", F.when(F.col("pos") >= 0, F.col("item")))
+            parts.append(_verified(joined, low))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
+    if only_hit:
+        rows = rows.where(F.col("item").isNotNull())
     return rows.groupBy("k", "text_hash", "text_length").agg(
         F.count("n_words").alias("copies"),
         F.max("n_words").alias("n_words"),
@@ -120,23 +126,50 @@ def find_hits(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: s
     )
 
 
-def remove_spans(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def _verified(met: DataFrame, near_from: Column) -> DataFrame:
+    """(k, text_hash, text_length, n_words, item, covered) of positions with an anchor; near_w: the text's words from near_from on."""
+    n_w = F.col("n_w") if "n_w" in met.columns else F.size("w")
+    shift = F.col("pos") - F.col("a_pos")  # from a position in the item to that in the document
+    low = F.greatest(shift + F.col("first"), F.lit(0))
+    near = F.when(F.col("item").isNotNull(), lowered(F.slice("near_w", low - near_from + 1, F.size("a_words"))))
+
+    def hit(start: Column) -> Column:
+        there = F.slice("near", start + shift - low + 1, F.col("len"))
+        return (start + shift >= 0) & (start + shift + F.col("len") <= n_w) & (there == F.slice("a_words", start - F.col("first") + 1, F.col("len")))
+
+    starts = F.when(F.col("item").isNotNull(), F.filter(F.sequence("first", "last"), lambda s: F.coalesce(hit(s), F.lit(False))))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s + shift, s + shift + F.col("len") - 1))))
+    return met.withColumn("near", near).withColumn("starts", starts).select(
+        *("k", "text_hash", "text_length"),
+        F.when(F.col("pos") < 0, n_w).alias("n_words"),
+        F.when(F.size("starts") > 0, F.col("item")).alias("item"),
+        F.when(F.size("starts") > 0, covered).alias("covered"),
+    )
+
+
+def remove_spans(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
     """The same columns with every hit word and the separators after it taken out of the text.
 
-    Documents without hits pass unchanged; documents left without a word go.
+    Documents without hits pass unchanged; documents left without a word go. Documents with hits are
+    few: their positions are written to a checkpoint, measured, and broadcast where the bound allows.
     """
-    hits = find_hits(docs, bench, key=key, text=text, **options).where(F.size("hits") > 0)
-    hits = hits.select(F.col("k").alias("_k"), F.col("text_hash").alias("_hash"), F.col("text_length").alias("_length"), F.col("hits").alias("_hits"))
-    same = (F.col(key).eqNullSafe(F.col("_k"))) & (F.xxhash64(text) == F.col("_hash")) & (F.length(text).eqNullSafe(F.col("_length")))
-    lead = F.regexp_extract(text, "^" + RAW_SEPARATORS + "*", 0)
+    hits = find_hits(docs, bench, key=key, text=text, broadcast_bytes=broadcast_bytes, only_hit=True, **options).select("k", "text_hash", "text_length", "hits")
+    hits = cut(hits)
+    took = hits.agg(F.sum(F.size("hits") * 8 + ANCHOR_BYTES)).first()[0] or 0
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("own_k"), F.xxhash64(text).alias("own_hash"), F.length(text).alias("own_length"))
+    same = F.col("own_k").eqNullSafe(F.col("k")) & (F.col("own_hash") == F.col("text_hash")) & F.col("own_length").eqNullSafe(F.col("text_length"))
+    joined = base.join(F.broadcast(hits) if took <= broadcast_bytes else hits, same, "left")
+    whole = F.col("row")[text]
+    lead = F.regexp_extract(whole, "^" + RAW_SEPARATORS + "*", 0)
     word = RAW_SEPARATORS.replace("[", "[^", 1)
-    parts = F.regexp_extract_all(text, F.lit(f"({word}+{RAW_SEPARATORS}*)"), F.lit(1))
-    inside = F.map_from_arrays("_hits", F.transform("_hits", lambda _: F.lit(True)))
+    parts = F.regexp_extract_all(whole, F.lit(f"({word}+{RAW_SEPARATORS}*)"), F.lit(1))
+    inside = F.map_from_arrays("hits", F.transform("hits", lambda _: F.lit(True)))
     kept = F.filter(parts, lambda _, i: ~F.map_contains_key(inside, i))
-    left = F.concat(lead, F.array_join(kept, ""))
-    joined = docs.join(hits, same, "left").withColumn("_left", F.when(F.col("_hits").isNotNull(), left))
-    bare = F.btrim("_left", F.lit(TRIMMED))
-    return joined.where(F.col("_hits").isNull() | (bare != "")).withColumn(text, F.coalesce("_left", text)).select(*docs.columns)
+    left = F.when(F.col("hits").isNotNull(), F.concat(lead, F.array_join(kept, "")))
+    joined = joined.select("row", left.alias("left"))
+    bare = F.btrim("left", F.lit(TRIMMED))
+    changed = F.when(F.col("left").isNull(), whole).otherwise(F.col("left"))
+    return joined.where(F.col("left").isNull() | (bare != "")).select(*(changed.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
