@@ -11,14 +11,16 @@ each with the bytes before it that its strings need.
    rest - to ranges of the suffix order, cut at quantiles of a bounded sample.
 4. A range merges its runs with a loser tree whose nodes remember common prefixes: characters known
    to be equal are never compared again. Neighbours that share the k-mer are one group; in it equal
-   suffixes, and equal strings of different ones, fall to the earliest.
+   suffixes, and equal strings of different ones, fall to the earliest. A k-mer of more than `HOT_KMER`
+   places (the edge of a line that very many documents hold) may have as many surroundings: its strings
+   go by their own 128-bit hashes instead, once a block each, so no range gathers them.
 5. Repeats return to their blocks, where the bytes they cover go.
 
 Equal suffixes are merged before they travel, so a passage in very many documents costs a row a block.
 Texts are held compressed in the checkpoint and travel so.
 
-Order: by key, then block and row (rows of one key), then place. Keys are integers; a null key comes
-first. Cases: a null or empty text has no bytes and nothing removed; texts below `LENGTH` bytes stay
+Order: by key, then block and row (rows of one key), then place. Keys are integers, others are refused; a null key
+comes first; other columns are not read. Cases: a null or empty text has no bytes and nothing removed; texts below `LENGTH` bytes stay
 whole; of equal rows the later one goes whole; an empty table gives no rows.
 """
 
@@ -34,6 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .session import bounded_batches, cut, documents, input_bytes
 from .textblocks import Block, blocks, span_hashes
@@ -41,6 +44,7 @@ from .textblocks import Block, blocks, span_hashes
 LENGTH = 100
 KMER = 20
 SAMPLE_BLOCKS, SAMPLE_EACH = 2048, 64
+HOT_KMER = 8_192
 BREAK = 0xFF  # no byte of UTF-8
 _PLACE_BITS = 26
 Order = tuple[int, int, int, int]
@@ -235,13 +239,73 @@ def group_repeats(group: list[tuple[bytes, int, tuple]], length: int = LENGTH) -
             yield block, row, start, end
 
 
+def _among(hashes: np.ndarray, lists: list[bytes]) -> np.ndarray:
+    wanted = np.sort(np.frombuffer(b"".join(lists), "<u8"))
+    if not len(wanted):
+        return np.zeros(len(hashes), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
+
+
+def _runs_of(starts: np.ndarray, count: int, length: int) -> np.ndarray:
+    """(row-wise) starts[i] .. starts[i] + length, neighbours of one row joined: rows (row, start, end); starts: (row, place), sorted."""
+    row, place = starts
+    new = np.ones(count, bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] > place[:-1] + length)
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], count) - 1
+    return np.column_stack([row[begins], place[begins], place[ends] + length])
+
+
+def _strings(block: Block, keys: np.ndarray, first: np.ndarray, last: np.ndarray, row: np.ndarray, length: int, number: int, parts: int) -> list[tuple]:
+    """Rows of runs for strings first..last of each anchor: the earliest of equal ones by hash, and the later ones as repeats."""
+    if not len(first):
+        return []
+    n = last - first + 1
+    start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    own = np.repeat(row, n)
+    h1, h2 = (span_hashes(block.array, start, start + length, lane) for lane in (0, 1))
+    place = start - block.offsets[own]
+    order = np.lexsort((place, own, keys[own], h2, h1))
+    h1, h2, own, place = h1[order], h2[order], own[order], place[order]
+    same = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
+    out = []
+    if same.any():
+        at = np.lexsort((place[same], own[same]))
+        out.append((number % parts, number, None, None, None, _pack("<i8", _runs_of((own[same][at], place[same][at]), len(at), length))))
+    h1, h2, own, place = h1[~same], h2[~same], own[~same], place[~same]
+    part = (h1 >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        tags = np.stack([keys[own[p]], own[p], place[p]])
+        out.append((int(part[p[0]]), number, None, None, np.stack([h1[p], h2[p]]).astype("<u8").tobytes(), _pack("<i8", tags)))
+    return out
+
+
+def _later_strings(strings: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """(block, repeats) of strings (two hashes; key, row, place; block) that an equal one comes before."""
+    if not strings:
+        return
+    h1, h2 = np.concatenate([x[0] for x in strings], axis=1)
+    key, row, place = np.concatenate([x[1] for x in strings], axis=1)
+    block = np.concatenate([x[2] for x in strings])
+    order = np.lexsort((place, row, block, key, h2, h1))
+    same = np.concatenate([[False], (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])])
+    late = order[same]
+    late = late[np.lexsort((place[late], row[late], block[late]))]
+    for own in np.split(late, np.flatnonzero(np.diff(block[late])) + 1):
+        if len(own):
+            yield int(block[own[0]]), list(map(tuple, _runs_of((row[own], place[own]), len(own), length).tolist()))
+
+
 def _pack(kind: str, x) -> bytes:
     return np.asarray(x).astype(kind).tobytes()
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, kmer: int = KMER, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, kmer: int = KMER, hot_kmer: int = HOT_KMER, with_text: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} is no integer: number the rows, for repeats fall to the earliest")
     bounded_batches(spark)
     size = input_bytes(docs)
     buckets = min(max(64, size >> 22), 1 << 18)
@@ -270,7 +334,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 sample = b"".join(block.data[a : a + kmer] for a in some.tolist())
                 out = [(0, number, -1, _pack("<i8", own.fill_null(-(1 << 63)).to_numpy()), _pack("<i8", block.offsets), press.compress(block.data), sample)]
                 for p in np.split(order, begins[1:]) if len(order) else ():
-                    out.append((1, number, int(bucket[p[0]]), _pack("<u8", once[p]), _pack("<u1", n[p] > 1), b"", b""))
+                    out.append((1, number, int(bucket[p[0]]), _pack("<u8", once[p]), _pack("<u4", n[p]), b"", b""))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4], strict=True)], names)
 
@@ -290,21 +354,19 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = stored.where("kind = 0").select("block", "a", "b", "c")
 
     def name(table: pa.Table) -> pa.Table:
-        """For each block of a bucket its k-mers that occur again."""
+        """For each block of a bucket its k-mers that occur again, those of very many places apart."""
         held = [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
-        many = np.concatenate([np.frombuffer(x, "<u1") for x in table.column("b").to_pylist()])
+        places = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("b").to_pylist()]).astype(np.int64)
         hashes = np.concatenate(held)
         owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        order = np.argsort(hashes, kind="stable")
-        same = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1], [False]])
-        again = np.zeros(len(hashes), bool)
-        again[order] = same[:-1] | same[1:]
-        again |= many > 0
+        _, back = np.unique(hashes, return_inverse=True)
+        places = np.bincount(back, weights=places)[back]
+        again, hot = places > 1, places > hot_kmer
         ids = table.column("block").to_pylist()
-        out = [(ids[i], _pack("<u8", hashes[again & (owner == i)])) for i in np.unique(owner[again])]
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["block", "again"])
+        out = [(ids[i], _pack("<u8", hashes[again & ~hot & (owner == i)]), _pack("<u8", hashes[hot & (owner == i)])) for i in np.unique(owner[again])]
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["block", "again", "hot"])
 
-    again = stored.where("kind = 1").select("bucket", "block", "a", "b").groupBy("bucket").applyInArrow(name, "block bigint, again binary")
+    again = stored.where("kind = 1").select("bucket", "block", "a", "b").groupBy("bucket").applyInArrow(name, "block bigint, again binary, hot binary")
     picked = stored.where("kind = 0").orderBy(F.xxhash64("block"), "block").select("d").limit(SAMPLE_BLOCKS).toArrow()
     sample = b"".join(picked.column("d").to_pylist())
     some = sorted(sample[i : i + kmer] for i in range(0, len(sample), kmer))
@@ -323,9 +385,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         if own.num_rows and named.num_rows:
             number, keys, block = opened(own)
             at, first, last, row, hashes = anchors(block, length, kmer)
-            wanted = np.sort(np.frombuffer(b"".join(named.column("again").to_pylist()), "<u8"))
-            spot = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-            use = np.flatnonzero(wanted[spot] == hashes)
+            use = np.flatnonzero(_among(hashes, named.column("again").to_pylist()))
+            hot = np.flatnonzero(_among(hashes, named.column("hot").to_pylist()))
+            out += _strings(block, keys, first[hot], last[hot], row[hot], length, number, parts)
             mark, data, entries = bytes([BREAK]), block.data, []
             start = block.offsets[row]
             for a, f, e, r, o in zip(at[use].tolist(), first[use].tolist(), (last[use] + length).tolist(), row[use].tolist(), start[use].tolist(), strict=True):
@@ -351,16 +413,21 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     runs = texts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(sort, "part int, block bigint, shared binary, lengths binary, rest binary, tags binary")
 
     def combine(table: pa.Table) -> pa.Table:
-        """Merges the runs of a range; gives repeats by block."""
+        """Merges the runs of a range, and strings by their hashes; gives repeats by block."""
         late: dict[int, list[tuple[int, int, int]]] = {}
-        own = []
+        own, strings = [], []
         for x in table.to_pylist():
             tags = np.frombuffer(x["tags"], "<i8")
-            if x["rest"] is None:
+            if x["lengths"] is None and x["rest"] is not None:
+                hashes = np.frombuffer(x["rest"], "<u8").reshape(2, -1)
+                strings.append((hashes, tags.reshape(3, -1), np.full(hashes.shape[1], x["block"])))
+            elif x["rest"] is None:
                 late.setdefault(x["block"], []).extend(map(tuple, tags.reshape(-1, 3).tolist()))
             else:
                 tags = tags.reshape(-1, 4)
                 own.append(Run(x["shared"], x["lengths"], x["rest"], np.column_stack([tags[:, 0], np.full(len(tags), x["block"]), tags[:, 1:]])))
+        for block, rows in _later_strings(strings, length):
+            late.setdefault(block, []).extend(rows)
         group: list[tuple[bytes, int, tuple]] = []
 
         def close() -> None:
