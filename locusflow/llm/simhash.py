@@ -14,7 +14,8 @@ bits in both masks differ in more than `max_bits` places. Links found are reduce
 fingerprint and key before they leave the task; alternating stars join them into components.
 
 Cases: a null or empty text has fingerprint zero, linked like any other; fewer words than a shingle
-make one shingle; repeated rows share a fingerprint; an empty table gives no rows.
+make one shingle; repeated rows share a fingerprint; other columns are not read, or pass through `keep_first`
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ LEADERS = 8
 ROWS_AT_ONCE = 1 << 17
 PAIRS_AT_ONCE = 1 << 18
 SHINGLES_AT_ONCE = 1 << 20
+#: A bound in bytes for what is broadcast, and what a row that goes, or a name of a set, is reckoned to take.
+BROADCAST_BYTES, GONE_BYTES = 32 << 20, 64
 _RNG = np.random.Generator(np.random.PCG64(41))
 _FACTORS = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 _OFFSETS = _RNG.integers(0, 1 << 63, size=256, dtype=np.uint64)
@@ -107,7 +110,7 @@ def set_id(distinct: np.ndarray) -> int:
 
 
 def banded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int, bands: int, rows: int) -> DataFrame:
-    """(key, fp, sid, n, keys): fingerprints, the name and size of the shingle set, and the keys of its bands; a narrow map."""
+    """(key, text_hash, fp, sid, n, keys): fingerprints, the name and size of the shingle set, and the keys of its bands; a narrow map."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -125,9 +128,9 @@ def banded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle:
                     keys[at] = band_keys(distinct, bands, rows)
             flat = pa.array(keys.view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out.view(np.int64)), pa.array(sids.view(np.int64)), pa.array(sizes), lists], ["k", "fp", "sid", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("x"), pa.array(out.view(np.int64)), pa.array(sids.view(np.int64)), pa.array(sizes), lists], ["k", "text_hash", "fp", "sid", "n", "keys"])
 
-    return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t").mapInArrow(run, f"k {kind}, fp bigint, sid bigint, n bigint, keys array<bigint>").withColumnRenamed("k", key)
+    return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t", f"xxhash64(`{text}`) AS x").mapInArrow(run, f"k {kind}, text_hash bigint, fp bigint, sid bigint, n bigint, keys array<bigint>").withColumnRenamed("k", key)
 
 
 def shingle_sets(docs: DataFrame, *, text: str = "text", shingle: int) -> DataFrame:
@@ -322,12 +325,12 @@ def links(routed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return routed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _named(marked: DataFrame, labels: DataFrame, key: str, by: str = "fp") -> DataFrame:
-    """(key, fp, component) of marked rows, whose column `by` has the labels (node, label)."""
+def _named(marked: DataFrame, labels: DataFrame, key: str, by: str = "fp", *more: str) -> DataFrame:
+    """(key, fp, component, more) of marked rows, whose column `by` has the labels (node, label)."""
     distinct = cut(marked.groupBy(by).agg(F.min(key).alias("first")))
     named = distinct.join(labels, distinct[by] == labels["node"], "left").select(by, "first", F.coalesce("label", by).alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
-    return marked.join(named.join(least, "label").select(by, "component"), by).select(key, "fp", "component")
+    return marked.join(named.join(least, "label").select(by, "component"), by).select(key, "fp", "component", *more)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -407,7 +410,7 @@ def remaining(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
 
 
 def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
-    """(key, fp, component) for texts whose shingle sets have this Jaccard similarity or more.
+    """(key, fp, component, text_hash) for texts whose shingle sets have this Jaccard similarity or more.
 
     Bands of shingle minima bring candidates together (a pair of similarity 0.8 shares one of 25 bands
     of 5 with probability above 0.9999); a link is a candidate pair whose shingle sets, compared whole,
@@ -418,17 +421,28 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", s
     routed = marked.where("n > 0").dropDuplicates(["sid"]).select("sid", "n", F.explode("keys").alias("key"))
     leaders = routed.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
     shared = cut(routed.join(leaders, "key").select("key", "sid", "n", F.col("leader.sid").alias("a"), F.col("leader.n").alias("m")))
-    sets = cut(shingle_sets(docs, text=text, shingle=shingle).groupBy("sid").agg(F.first("h").alias("h")).join(shared.select("sid").distinct(), "sid", "left_semi"))
+    met = cut(shared.select("sid").distinct())
+    small = met.count() * GONE_BYTES <= BROADCAST_BYTES
+    sets = cut(shingle_sets(docs, text=text, shingle=shingle).join(F.broadcast(met) if small else met, "sid", "left_semi").groupBy("sid").agg(F.first("h").alias("h")))
     near = F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")
     led = cut(confirmed(shared.where((F.col("a") != F.col("sid")) & near).select("a", F.col("sid").alias("b")).distinct(), sets, similarity))
     rest = remaining(shared, cut(components(led, "a", "b")), sets, similarity)
-    return _named(marked, components(led.unionByName(rest), "a", "b"), key, "sid")
+    return _named(marked, components(led.unionByName(rest), "a", "b"), key, "sid", "text_hash")
 
 
-def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of each component's smallest key, all columns; further rows of equal key stay with it."""
-    kept = similar_texts(docs, key=key, text=text, **options).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_key")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
+    """The rows of each component's smallest key, with the columns they have.
+
+    Rows are told apart by key and text: of rows of equal key and text all stay or all go, and so with null
+    keys, which stay where no row with a key is like them. The rows that go are counted; up to the bound
+    they are broadcast, so texts don't travel.
+    """
+    found = similar_texts(docs, key=key, text=text, **options)
+    gone = cut(found.where(~F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("gone_key"), F.col("text_hash").alias("gone_hash")).distinct())
+    took = gone.count() * GONE_BYTES
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("own_key"), F.xxhash64(text).alias("own_hash"))
+    same = F.col("own_key").eqNullSafe(F.col("gone_key")) & (F.col("own_hash") == F.col("gone_hash"))
+    return rows.join(F.broadcast(gone) if took <= broadcast_bytes else gone, same, "left_anti").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
