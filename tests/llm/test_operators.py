@@ -322,6 +322,26 @@ def test_suffix_dedup_of_periodic_texts(spark):
         assert (got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == want
 
 
+def test_suffix_dedup_of_a_line_in_many_documents(spark):
+    """A line with other words about it each time: its edges' k-mers have as many surroundings as documents hold it."""
+    draw = random.Random(7)
+    line = "This line stands in very many documents, word for word, and ends with the name of a licence that all of them share."
+
+    def some(n):
+        return " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randrange(2, 9))) for _ in range(n))
+
+    rows = [(i, f"{some(draw.randrange(12))} {line[draw.randrange(12):]} {some(draw.randrange(1, 3))} {draw.choice(['tail of some', 'other tail'])} {some(12)}") for i in range(400)]
+    rows += [(i, rows[i - 400][1]) for i in range(400, 420)] + [(None, line), (500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_removal([(-1 if k is None else k, t) for k, t in rows])
+    for hot in (0, 60, 10**6):
+        got = {-1 if r.doc_id is None else r.doc_id: r for r in suffix_dedup.remove_repeats(df, hot_kmer=hot).collect()}
+        for k, w in want.items():
+            assert (got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == w
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(df.selectExpr("cast(doc_id AS string) AS doc_id", "text"))
+
+
 def test_loser_tree_merges_with_prefixes():
     strings = sorted({"".join(random.choice("ab") for _ in range(random.randrange(1, 12))).encode() for _ in range(300)})
     runs, want = [], []
@@ -469,7 +489,7 @@ def brute_hits(text, items, window=10):
 def test_decontamination(spark, docs, empty):
     items = [(1, " ".join(LONG.split()[100:130])), (2, "Two, words"), (3, None), (4, " ".join(LONG.split()[120:133]).upper()), (5, "one"), (12, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for options in ({}, {"broadcast_rows": 0}):
+    for options in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 600}):
         got = {r.k: r for r in decontamination.find_hits(docs, bench, **options).collect()}
         for i, text in enumerate(TEXTS):
             r = got[i * 3]
@@ -496,9 +516,11 @@ def test_chats(spark):
     talk = [("user", "hi"), ("assistant", "yes?"), ("user", None), ("", "x")]
     for conv, n in ((1, 1), (2, 2), (3, 4), (4, 4), (5, 2)):
         rows += [(conv, t, *talk[t]) for t in range(n)]
-    rows += [(6, 0, "user", "hi"), (6, 1, "assistant", "no"), (7, 0, "user", "b"), (7, 0, "user", "a"), (None, 0, "user", "alone")]
+    rows += [(6, 0, "user", "hi"), (6, 1, "assistant", "no"), (7, 0, "user", "b"), (7, 0, "user", "a"), (None, 0, "user", "alone"), (None, 1, "user", "alone"), (None, 0, "", "other"), (None, 0, "user", "hi"), (8, 0, "user", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
-    assert {k: (r.n_turns, r.n_copies) for k, r in got.items()} == {3: (4, 2), 6: (2, 1), 7: (2, 1), None: (1, 1)}
+    shown = chat.format_chats(df).collect()
+    got = {r.conv_id: r for r in shown if r.conv_id is not None}
+    assert {k: (r.n_turns, r.n_copies) for k, r in got.items()} == {3: (4, 2), 6: (2, 1), 7: (2, 1), 8: (1, 1)}
+    assert sorted((r.n_copies, r.text) for r in shown if r.conv_id is None) == [(1, "<|im_start|>user\nother<|im_end|>\n"), (2, "<|im_start|>user\nalone<|im_end|>\n")]
     assert got[3].text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes?<|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>user\nx<|im_end|>\n"
     assert chat.format_chats(df.limit(0)).count() == 0
