@@ -12,13 +12,16 @@ Labels come from a bounded sample: the first `max_toxic` and `max_clean` trainin
 a hash of their keys, and of those only texts of at most `max_bytes`; scoring covers all rows and whole
 texts. Nothing but the text enters a score.
 
-Cases: a null, empty or wordless text scores 0; without labels of both kinds every score is 0;
-labels of several rows for one key count once, as the greatest; repeated rows score alike.
+Cases: a null, empty or wordless text scores 0; without labels of both kinds every score is 0, so
+nothing is rejected; null keys take no part in training and are scored; labels of several rows for one key count once, as the greatest; of several texts with one key
+the least is learnt from; repeated rows score alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import gru
-from .session import bounded_batches, documents
+from .session import bounded_batches, cut, documents, free_name
 from .textblocks import LOWER, Block, blocks, mix, segments, span_hashes
 
 WINDOW, STRIDE = 48, 32
@@ -39,6 +42,7 @@ LEXICON = 1 << 16
 SHRINK, VECTOR_SUPPORT = 8, 12
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 3000, 20_000
 EPOCHS, MIN_STEPS, BATCH, RATE = 4, 240, 64, 0.01
+SEED, COUNT_ENTRIES = 11, 4_000_000
 #: Character n-grams in bytes: from the word's beginning, and anywhere.
 PREFIXES, GRAM = (4, 5, 6), 5
 SCORE_WINDOWS = 2_048
@@ -158,43 +162,54 @@ def score_block(model: Model, block: Block) -> np.ndarray:
     return scores
 
 
-def build_lexicon(parts: list[Words], labels: np.ndarray, limit: int = LEXICON) -> Model:
-    """Entries held by two texts or more, the `limit` with the most evidence against independence."""
+NO_MODEL = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), (0, 0), {})
+
+
+def count_keys(parts: Iterable[Words], labels: Iterable[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, toxic, clean): how many texts of each label hold a key, added up over some millions of entries at a time."""
     keys, toxic, clean = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = [np.unique(np.concatenate([w.word_keys, w.gram_keys])) for w in parts]
-    at = 0
-    while at < len(own):  # counts are added up over some millions of entries at a time
-        to, size = at, 0
-        while to < len(own) and size < 4_000_000:
-            size, to = size + len(own[to]), to + 1
-        label = np.repeat(labels[at:to], [len(k) for k in own[at:to]])
-        keys, back = np.unique(np.concatenate([keys, *own[at:to]]), return_inverse=True)
+    held, held_labels, size = [], [], 0
+
+    def add() -> None:
+        nonlocal keys, toxic, clean
+        label = np.repeat(np.array(held_labels, np.int64), [len(k) for k in held])
+        keys, back = np.unique(np.concatenate([keys, *held]), return_inverse=True)
         toxic = np.bincount(back, weights=np.concatenate([toxic, label]), minlength=len(keys)).astype(np.int64)
         clean = np.bincount(back, weights=np.concatenate([clean, 1 - label]), minlength=len(keys)).astype(np.int64)
-        at = to
-    nt, nc = int(labels.sum()), int((1 - labels).sum())
+
+    for words, label in zip(parts, labels, strict=True):
+        held.append(np.unique(np.concatenate([words.word_keys, words.gram_keys])))
+        held_labels.append(label)
+        size += len(held[-1])
+        if size >= COUNT_ENTRIES:
+            add()
+            held, held_labels, size = [], [], 0
+    if held:
+        add()
+    return keys, toxic, clean
+
+
+def pick_lexicon(keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, totals: tuple[int, int], limit: int = LEXICON) -> Model:
+    """Entries held by two texts or more, the `limit` with the most evidence against independence; of ties the least keys."""
     many = toxic + clean >= 2
     keys, toxic, clean = keys[many], toxic[many], clean[many]
-    expected = (toxic + clean) * nt / max(nt + nc, 1)
+    expected = (toxic + clean) * totals[0] / max(sum(totals), 1)
     evidence = (toxic - expected) ** 2 / np.maximum(expected, 1e-9)
     best = np.sort(np.argsort(-evidence, kind="stable")[:limit])
-    return Model(keys[best], toxic[best], clean[best], (nt, nc), {})
+    return Model(keys[best], toxic[best], clean[best], totals, {})
 
 
-def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) -> Model:
-    """A model from labelled texts; `prior`: the share of label 1 that scores should assume."""
-    y = np.array(labels, dtype=np.int64)
-    parts = [read_words(next(blocks(pa.array([t])))) for t in texts]
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), (0, 0), {})
-    if not len(y) or y.min() == y.max():
-        return empty
-    model = build_lexicon(parts, y)
-    if not len(model.keys):
-        return empty
-    rng = np.random.Generator(np.random.PCG64(seed))
+def prepared(model: Model, seed: int) -> Model:
+    """The same with parameters as they are before training."""
     model.params = gru.init(3 + 2 * VECTOR, HIDDEN, seed) | {"E": np.zeros((len(model.keys), VECTOR), np.float32)}
+    return model
+
+
+def learn_windows(model: Model, examples: list[Example], prior: float, seed: int = SEED) -> Model:
+    """Trains on windows; `prior`: the share of label 1 that scores should assume."""
+    prepared(model, seed)
+    rng = np.random.Generator(np.random.PCG64(seed))
     p, adam = model.params, gru.Adam(model.params, RATE)
-    examples = [x for d, w in enumerate(parts) for x in _examples(model, w, int(y[d]), rng)]
     for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // max(len(examples), 1)))):
         order = rng.permutation(len(examples))
         for at in range(0, len(order), BATCH):
@@ -204,6 +219,22 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 11) ->
     return model
 
 
+def read_text(text: str) -> Words:
+    return read_words(next(blocks(pa.array([text]))))
+
+
+def train(texts: list[str], labels: list[int], prior: float) -> Model:
+    """A model from labelled texts at hand."""
+    if len(set(labels)) < 2:
+        return NO_MODEL
+    parts = [read_text(t) for t in texts]
+    model = pick_lexicon(*count_keys(parts, labels), (sum(labels), len(labels) - sum(labels)))
+    if not len(model.keys):
+        return NO_MODEL
+    prepared(model, SEED)
+    return learn_windows(model, [x for t, w, y in zip(texts, parts, labels, strict=True) for x in chosen_windows(model, w, y, zlib.crc32(t.encode()))], prior)
+
+
 @dataclass
 class Example:
     """One window: its label, the place of each step among its distinct words, their inputs and n-grams."""
@@ -214,7 +245,7 @@ class Example:
     trace: tuple
 
 
-def _examples(model: Model, words: Words, label: int, rng: np.random.Generator) -> list[Example]:
+def chosen_windows(model: Model, words: Words, label: int, seed: int) -> list[Example]:
     """The text's window of the greatest odds; of a clean text another at random too."""
     first, length, _ = window_starts(words.rows, 1)
     if not len(first):
@@ -223,7 +254,7 @@ def _examples(model: Model, words: Words, label: int, rng: np.random.Generator)
     ids, mask = gathered(words.ids, first, length)
     odds = np.where(mask, np.maximum(x[:, 0], x[:, 1])[ids], -9)
     best = int(np.argmax(odds.max(axis=0) + 0.01 * np.where(mask, odds, 0).clip(0).sum(axis=0)))
-    chosen = {best} if label else {best, int(rng.integers(len(first)))}
+    chosen = {best} if label else {best, int(np.random.Generator(np.random.PCG64(seed)).integers(len(first)))}
     out = []
     for k in sorted(chosen):
         used, place = np.unique(words.ids[first[k] : first[k] + length[k]], return_inverse=True)
@@ -273,21 +304,79 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Model:
-    """Trains on the driver from a bounded sample: at most (max_toxic + max_clean) * max_bytes."""
-    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def sampled(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, max_toxic: int, max_clean: int, max_bytes: int) -> tuple[DataFrame | None, float]:
+    """(rows (y, t) of the labelled sample, the share of label 1 among all training labels)."""
+    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("k").isNotNull() & ~held_out("k")).groupBy("k").agg(F.max("y").alias("y"))
+    counts = {r["y"]: r["n"] for r in rows.where("y IN (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1) or not counts.get(0):
-        return train([], [], 0.5)
-    order = F.xxhash64(key)
-    sample = [rows.where(f"y = {y}").orderBy(order, key).limit(n).select(F.col(key).alias("_key"), "y") for y, n in ((1, max_toxic), (0, max_clean))]
-    picked = docs.where(F.octet_length(text) <= max_bytes).join(F.broadcast(sample[0].unionByName(sample[1])), F.col(key) == F.col("_key"))
-    got = picked.groupBy("_key").agg(F.min(text).alias("t"), F.first("y").alias("y")).orderBy("_key").toArrow()
-    return train([t or "" for t in got.column("t").to_pylist()], got.column("y").to_pylist(), counts[1] / (counts[0] + counts[1]))
+        return None, 0.5
+    chosen = [rows.where(f"y = {y}").orderBy(F.xxhash64("k"), "k").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
+    texts = docs.select(F.col(key).alias("d"), F.col(text).alias("t")).where(F.octet_length("t") <= max_bytes)
+    picked = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("d") == F.col("k"))
+    return picked.groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y")).select("k", "y", "t"), counts[1] / (counts[0] + counts[1])
 
 
-def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(all columns, score): the greatest score of a text's windows; a narrow map."""
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Model:
+    """Trains on a bounded sample of (max_toxic + max_clean) texts of max_bytes at most.
+
+    Tasks count the lexicon's keys and pick the windows; one task, whose input the bound holds too,
+    trains on those windows. The driver sees counts, the lexicon and the model.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows, prior = sampled(docs, labels, key=key, text=text, label=label, max_toxic=max_toxic, max_clean=max_clean, max_bytes=max_bytes)
+    if rows is None:
+        return NO_MODEL
+    rows = cut(rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, own = batch.column("t").to_pylist(), batch.column("y").to_pylist()
+            if texts:
+                keys, toxic, clean = count_keys(map(read_text, texts), own)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(clean)], ["key", "toxic", "clean"])
+
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    totals = (n.get(1, 0), n.get(0, 0))
+    if not all(totals):
+        return NO_MODEL
+    summed = rows.select("y", "t").mapInArrow(count, "key bigint, toxic bigint, clean bigint").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    expected = (F.col("toxic") + F.col("clean")) * F.lit(totals[0] / sum(totals))
+    evidence = F.pow(F.col("toxic") - expected, 2) / expected
+    got = summed.where("toxic + clean >= 2").orderBy(F.desc(evidence), F.expr("key < 0"), "key").limit(LEXICON).toArrow()
+    model = pick_lexicon(*sorted_counts(*(got.column(c).to_numpy() for c in ("key", "toxic", "clean"))), totals)
+    if not len(model.keys):
+        return NO_MODEL
+    shared = spark.sparkContext.broadcast(prepared(model, SEED))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for y, t in zip(batch.column("y").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                seed = zlib.crc32(t.encode())
+                out += [(seed, i, pickle.dumps(x)) for i, x in enumerate(chosen_windows(shared.value, read_text(t), y, seed))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["a", "b", "window"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [pickle.loads(x) for batch in batches for x in batch.column("window").to_pylist()]
+        if examples:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn_windows(shared.value, examples, prior).params)], pa.binary())], ["params"])
+
+    found = rows.select("y", "t").mapInArrow(windows, "a bigint, b bigint, window binary")
+    learnt = found.repartition(1).sortWithinPartitions("a", "b", "window").mapInArrow(learn, "params binary").collect()
+    if not learnt:
+        return NO_MODEL
+    model.params = pickle.loads(bytes(learnt[0]["params"]))
+    return model
+
+
+def sorted_counts(keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as collected, by unsigned key."""
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], toxic[order], clean[order]
+
+
+def _scored(docs: DataFrame, model: Model, text: str, finish: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: StructType) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -297,13 +386,25 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
             out = np.zeros(batch.num_rows)
             for block in blocks(batch.column(text), 1 << 20):
                 out[block.first_row : block.first_row + len(block)] = score_block(shared.value, block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "_score"])
+            yield finish(batch, out)
+
+    return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """All columns and, last, the greatest score of a text's windows: `_score`, or a free name like it; a narrow map."""
+    name = free_name(docs, "_score")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return _scored(docs, model, text, lambda batch, out: pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name]), schema)
+
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, with the columns they have."""
+    return _scored(docs, model, text, lambda batch, out: batch.filter(pa.array(out < threshold)), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    scored = score(docs.select("doc_id", "text"), model)
+    scored = score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
