@@ -38,6 +38,36 @@ def neighbours(i: Column, j: Column) -> Column:
     return F.array(*(F.struct(F.lit(n).alias("ord"), (i + di).alias("i"), (j + dj).alias("j")) for n, (di, dj) in enumerate(steps)))
 
 
+def _cells_in_row(i: Column, size: float) -> Column:
+    """How many equal cells a row of the grid is cut into: no two points within the distance are more than one apart."""
+    edge = F.greatest(F.abs(i), F.abs(i + 1)) * size + size  # towards the pole, with the next row
+    wide = F.lit(size) / F.cos(F.radians(F.least(edge, F.lit(89.0))))
+    return F.when((edge < 89.0) & (wide < 30), F.floor(360.0 / wide)).otherwise(1)
+
+
+def _column_in_row(i: Column, lon: Column, size: float) -> Column:
+    n = _cells_in_row(i, size)
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * n), n)
+
+
+def near_cell(lat: Column, lon: Column, km: float) -> Column:
+    """The cell (i, j) of a grid whose columns widen towards the poles and close at the date line."""
+    size = km / 110.0
+    i = cell(lat, size)
+    return F.struct(i.alias("i"), _column_in_row(i, lon, size).alias("j"))
+
+
+def near_cells(lat: Column, lon: Column, km: float) -> Column:
+    """All cells of `near_cell` that can hold a point within km: at most nine."""
+    size = km / 110.0
+    out = []
+    for step in (-1, 0, 1):
+        i = cell(lat, size) + step
+        for over in (-1, 0, 1):
+            out.append(F.struct(i.alias("i"), F.pmod(_column_in_row(i, lon, size) + over, _cells_in_row(i, size)).alias("j")))
+    return F.array_distinct(F.array(*out))
+
+
 def box(lat: Column, lon: Column, at_lat: float, at_lon: float, km: float) -> Column:
     """The degree box about a point that holds its circle; plain comparisons reach the scan."""
     from math import cos, radians

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,6 +34,17 @@ def norm(s: Column) -> Column:
     return bare(nfkc(F.coalesce(s, F.lit(""))))
 
 
+def norm_of(s: str | None) -> str:
+    """`norm` of one value, where a query is built."""
+    return re.sub(r"[\W_]", "", unicodedata.normalize("NFKC", s or "").lower())
+
+
+def folded(s: Column, done: bool = False) -> Column:
+    """The NFKC form of a name, empty for null; `done`: it is in that form already, so no Python runs."""
+    s = F.coalesce(s, F.lit(""))
+    return s if done else nfkc(s)
+
+
 def term_key(s: Column) -> Column:
     """NFKC, lower case, without spaces, middle dots, slashes and brackets."""
     return F.regexp_replace(F.lower(nfkc(F.coalesce(s, F.lit("")))), r"[\s·・/()（）]", "")
@@ -58,8 +69,9 @@ def same_name(a: Column, b: Column) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: F.contains(x, y) | F.contains(y, x)))
 
 
-def first_match(s: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """(label of the first pattern that matches, labels of all that do) by ordered rules (label, pattern)."""
+def first_match(s: Column, rules: list[tuple[str, str]], *, done: bool = False) -> tuple[Column, Column]:
+    """(label of the first pattern that matches, labels of all that do) by ordered rules (label, pattern), on NFKC text."""
+    s = folded(s, done)
     hits = F.array_distinct(F.array_compact(F.array(*(F.when(s.rlike(f"(?iu){p}"), label) for label, p in rules))))
     return F.get(hits, F.lit(0)), hits
 
@@ -119,119 +131,3 @@ def template_fields(body: Column) -> Column:
 def templates(page: Column, kind: str) -> Column:
     """Bodies of {{kind|...}} occurrences, in order."""
     return F.regexp_extract_all(page, F.lit(r"(?is)\{\{\s*" + kind + r"\s*\|((?:[^{}]|\{\{[^{}]*\}\})*)\}\}"), F.lit(1))
-
-
-# Kana to Hangul. Rows of the syllabary share consonants, so the table comes from a few row rules.
-_LEADS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
-_VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
-#: Fixed values: (kana of a row, consonant at a word's start, consonant elsewhere).
-_ROWS = (
-    ("あいうえお", "ㅇ", "ㅇ"), ("かきくけこ", "ㄱ", "ㅋ"), ("がぎぐげご", "ㄱ", "ㄱ"), ("さしすせそ", "ㅅ", "ㅅ"), ("ざじずぜぞ", "ㅈ", "ㅈ"),
-    ("た..てと", "ㄷ", "ㅌ"), ("だ..でど", "ㄷ", "ㄷ"), (".ち...", "ㅈ", "ㅊ"), (".ぢ...", "ㅈ", "ㅈ"), ("..つ..", "ㅆ", "ㅆ"), ("..づ..", "ㅈ", "ㅈ"),
-    ("なにぬねの", "ㄴ", "ㄴ"), ("はひふへほ", "ㅎ", "ㅎ"), ("ばびぶべぼ", "ㅂ", "ㅂ"), ("ぱぴぷぺぽ", "ㅍ", "ㅍ"), ("まみむめも", "ㅁ", "ㅁ"),
-    ("らりるれろ", "ㄹ", "ㄹ"), ("や.ゆ.よ", "ㅇ", "ㅇ"), ("わ...を", "ㅇ", "ㅇ"), ("..ゔ..", "ㅂ", "ㅂ"),
-)
-#: Vowels that differ from those of their column.
-_VOWEL_OF = {"す": "ㅡ", "ず": "ㅡ", "つ": "ㅡ", "づ": "ㅡ", "や": "ㅑ", "ゆ": "ㅠ", "よ": "ㅛ", "わ": "ㅘ"}
-_KANA = {k: (start, inner, _VOWEL_OF.get(k, v)) for row, start, inner in _ROWS for k, v in zip(row, "ㅏㅣㅜㅔㅗ", strict=True) if k != "."}
-_SMALL = dict(zip("ゃゅょぁぃぅぇぉ", "ㅑㅠㅛㅏㅣㅜㅔㅗ", strict=True))
-_PLAIN = {"ㅑ": "ㅏ", "ㅠ": "ㅜ", "ㅛ": "ㅗ"}
-_GLIDES = {("う", "ㅣ"): "ㅟ", ("う", "ㅔ"): "ㅞ", ("う", "ㅗ"): "ㅝ", ("し", "ㅔ"): "ㅖ"}
-_FINALS = {"ん": 4, "っ": 19}  # places of ㄴ and ㅅ among finals
-_SPELLED = {"ん": "ㄴ", "っ": "ㅅ"}
-
-
-def _is_open(c: str) -> bool:
-    return "가" <= c <= "힣" and (ord(c) - 0xAC00) % 28 == 0
-
-
-def hangul_of(kana: str, loan: bool = False) -> str:
-    """A reading in hiragana as Hangul; `loan`: aspirated consonants at the start too."""
-    out: list[str] = []
-    held = ""  # the last vowel, for long vowels
-    at = 0
-    while at < len(kana):
-        c, after = kana[at], kana[at + 1 : at + 2]
-        at += 1
-        if c in _FINALS:
-            if c == "っ" and not after:
-                continue
-            if out and _is_open(out[-1]):
-                out[-1] = chr(ord(out[-1]) + _FINALS[c])
-            else:
-                out.append(_SPELLED[c])
-        elif c == "ー" or (c == "う" and held in ("ㅗ", "ㅜ", "ㅛ", "ㅠ")) or (c == "お" and held in ("ㅗ", "ㅛ")):
-            continue
-        elif c not in _KANA:
-            out.append(c)
-            held = ""
-        else:
-            start, inner, vowel = _KANA[c]
-            lead = inner if out or loan else start
-            if after in _SMALL and after:
-                at += 1
-                vowel = _SMALL[after]
-                if vowel in _PLAIN:
-                    vowel = _PLAIN[vowel] if c in "じぢち" else vowel
-                elif c == "ふ":
-                    lead = "ㅍ"
-                else:
-                    vowel = _GLIDES.get((c, vowel), vowel)
-            out.append(chr(0xAC00 + (_LEADS.index(lead) * 21 + _VOWELS.index(vowel)) * 28))
-            held = vowel
-    return "".join(out)
-
-
-def to_hiragana(s: str) -> str:
-    return "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in s)
-
-
-def hiragana(s: Column) -> Column:
-    """Katakana as hiragana."""
-    kata = "".join(map(chr, range(0x30A1, 0x30F7)))
-    return F.translate(s, kata, "".join(chr(ord(c) - 0x60) for c in kata))
-
-
-def transliterate(words: dict[str, str]):
-    """A function of names: known words as given (longest first), kana by sound, all else as it is.
-
-    Readings of kanji need a dictionary that isn't part of this package: such runs stay.
-    Apply it to distinct names and join back.
-    """
-    ordered = sorted(words, key=len, reverse=True)
-
-    def one(name: str | None) -> str | None:
-        if name is None:
-            return None
-        out, run, at = [], "", 0
-        s = unicodedata.normalize("NFKC", name).strip()
-
-        def close() -> None:
-            nonlocal run
-            if run:
-                loan = all("゠" <= c <= "ヿ" for c in run)
-                out.append(hangul_of(to_hiragana(run), loan))
-                run = ""
-
-        while at < len(s):
-            word = next((w for w in ordered if s.startswith(w, at)), None)
-            if word:
-                close()
-                out.append(f" {words[word]} ")
-                at += len(word)
-            elif "ぁ" <= s[at] <= "ヿ" and s[at] != "・":
-                run += s[at]
-                at += 1
-            else:
-                close()
-                out.append(" " if s[at] == "・" else s[at])
-                at += 1
-        close()
-        return " ".join("".join(out).split())
-
-    @F.pandas_udf(StringType())
-    def names(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(one)
-
-    return names

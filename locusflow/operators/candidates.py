@@ -71,7 +71,10 @@ def _exclude(c: Constraints, x: Context, t: Taxonomy, attractions: tuple[str, ..
 def _brand(c: Constraints, x: Context, t: Taxonomy, attractions: tuple[str, ...]) -> Column | None:
     if not c.include_brand:
         return None
-    return F.exists(F.array(*(text.norm(F.lit(b)) for b in c.include_brand)), lambda b: F.contains(F.col("brand_key"), b))
+    out = F.lit(False)
+    for b in c.include_brand:
+        out |= F.contains(F.col("brand_key"), F.lit(text.norm_of(b)))
+    return out
 
 
 def _visited(c: Constraints, x: Context, t: Taxonomy, attractions: tuple[str, ...]) -> Column | None:
@@ -103,15 +106,13 @@ def mark_seen(items: DataFrame, visited: list[str], km: float = SAME_PLACE_KM) -
     """`_seen`: visited itself, or of a visited place's name within km of it (double entries).
 
     The visited places of one user are a handful; they are looked up by id, and their surroundings
-    found by cell, so the catalogue is filtered and not paired.
+    found by cells that hold all within km, so the catalogue is filtered and not paired.
     """
-    size = km / 100
     mine = items.where(F.col("id").isin(*visited)).select(F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), F.col("keys").alias("v_keys"))
-    mine = mine.withColumn("c", F.explode(geo.neighbours(geo.cell(F.col("v_lat"), size), geo.cell(F.col("v_lon"), size))))
-    mine = mine.select("v_lat", "v_lon", "v_keys", F.col("c.i").alias("_i"), F.col("c.j").alias("_j"))
-    placed = items.withColumns({"_i": geo.cell(F.col("lat"), size), "_j": geo.cell(F.col("lon"), size)})
+    mine = mine.withColumn("_c", F.explode(geo.near_cells(F.col("v_lat"), F.col("v_lon"), km)))
+    placed = items.withColumn("_c", geo.near_cell(F.col("lat"), F.col("lon"), km))
     near = geo.haversine_km(F.col("v_lat"), F.col("v_lon"), F.col("lat"), F.col("lon")) <= km
-    twins = placed.join(mine, ["_i", "_j"]).where(near & text.same_name(F.col("v_keys"), F.col("keys"))).select("id").distinct()
+    twins = placed.join(mine, "_c").where(near & text.same_name(F.col("v_keys"), F.col("keys"))).select("id").distinct()
     seen = twins.withColumn("_twin", F.lit(True))
     return items.join(seen, "id", "left").withColumn("_seen", F.col("id").isin(*visited) | F.coalesce("_twin", F.lit(False))).drop("_twin")
 
@@ -140,13 +141,17 @@ def _pool(items: DataFrame, c: Constraints, x: Context) -> DataFrame:
 
 
 def trace(items: DataFrame, c: Constraints, x: Context, taxonomy: Taxonomy, rules: list[Rule] | None = None, attractions: tuple[str, ...] = ATTRACTIONS) -> DataFrame:
-    """(step, rule, n_left): rows left after each rule, all from one pass."""
-    steps, so_far, counts = ["all"], F.lit(True), [F.count("*").alias("c0")]
+    """(step, rule, n_left): rows left after each rule, all from one pass; step 0 is the whole catalogue.
+
+    With a location the rules count what lies in its box, as the query itself looks no further.
+    """
+    inside = geo.box(F.col("lat"), F.col("lon"), x.lat, x.lon, c.max_distance_km) if x.lat is not None else F.lit(True)
+    steps, so_far, counts = ["all"], inside, [F.count("*").alias("c0")]
     for n, (name, p) in enumerate(compiled(c, x, taxonomy, rules, attractions), 1):
         so_far = so_far & p
         steps.append(name)
         counts.append(F.count_if(so_far).alias(f"c{n}"))
-    totals = _pool(items, c, x).agg(*counts)
+    totals = place(mark_seen(items, x.visited) if x.visited else items, x).agg(*counts)
     rows = F.array(*(F.struct(F.lit(n).alias("step"), F.lit(s).alias("rule"), F.col(f"c{n}").alias("n_left")) for n, s in enumerate(steps)))
     return totals.select(F.inline(rows))
 

@@ -37,74 +37,92 @@ def confirmed(turns: DataFrame, *, actor: str = "actor", order: list[str], chose
     return last.join(closed.where("_closed"), [actor, "segment"]).drop("_n", "_chosen", "_closed")
 
 
+Seen = dict[str, int]  # observed value -> times, in order of first sight
+
+
+def middle(seen: Seen) -> str | None:
+    """The median of observed numbers."""
+    values = sorted(float(v) for v, n in seen.items() for _ in range(n))
+    return str(median(values)) if len(values) >= LEAST else None
+
+
+def prevailing(seen: Seen) -> str | None:
+    """The value that makes up the required share of enough observations."""
+    of = sum(seen.values())
+    return next((v for v, n in seen.items() if of >= LEAST and n >= DOMINANCE * of), None)
+
+
+#: How a trait's value follows from its evidence; traits not named here go by `prevailing`.
+INFERRED = {"max_distance_km": middle}
+#: What a turn may state, and the trait that it is evidence of; `after` stands for the last chosen category.
+STATED = {"local": "local", "max_distance_km": "max_distance_km", "next_category": "after"}
+TASTED = ("meal", "bar")
+
+
 @dataclass
 class Profile:
-    """A user's state; pure steps, used alike by batches and streams."""
+    """A user's state as a table of evidence, trait -> observed values; pure steps, used alike by batches and streams."""
 
-    counts: dict[str, dict[str, int]] = field(default_factory=dict)
-    distances: list[float] = field(default_factory=list)
-    explicit: dict[str, str] = field(default_factory=dict)
-    pending: list[tuple[str, str]] = field(default_factory=list)
-    last_category: str | None = None
+    evidence: dict[str, Seen] = field(default_factory=dict)
+    said: dict[str, str] = field(default_factory=dict)
+    open: dict[str, str] = field(default_factory=dict)  # trait -> value stated since the last choice
+    after: str | None = None
     turn: int = 0
     visited: list[str] = field(default_factory=list)
 
-    def value(self, trait: str) -> str | None:
-        """Said outright, else inferred from evidence, else null."""
-        if trait in self.explicit:
-            return self.explicit[trait]
-        if trait == "max_distance_km":
-            return str(median(self.distances)) if len(self.distances) >= LEAST else None
-        seen = self.counts.get(trait, {})
-        n = sum(seen.values())
-        if n < LEAST:
+    def trait(self, stated: str) -> str | None:
+        """The trait that a stated field is evidence of; null where it takes an earlier choice and there is none."""
+        name = STATED[stated]
+        return name if name != "after" else self.after and f"after_{self.after}"
+
+    def value(self, trait: str | None) -> str | None:
+        """Said outright, else inferred, else null."""
+        if trait is None:
             return None
-        top = max(seen.values())
-        return next(k for k, v in seen.items() if v == top) if top / n >= DOMINANCE else None
+        return self.said.get(trait) or INFERRED.get(trait, prevailing)(self.evidence.get(trait, {}))
+
+    def observe(self, trait: str, value: str) -> None:
+        word = str(value) if trait in INFERRED else str(value).lower()
+        seen = self.evidence.setdefault(trait, {})
+        seen[word] = seen.get(word, 0) + 1
 
     def say(self, trait: str, value: str) -> None:
-        self.explicit[trait] = value
-        if trait != "max_distance_km":
-            self._add(trait, value)
-
-    def intend(self, said: dict[str, str]) -> dict[str, str]:
-        """Keeps what was said as pending evidence and fills what wasn't from the profile."""
-        self.pending = [(k, said[k]) for k in ("local", "max_distance_km") if k in said]
-        if "next_category" in said and self.last_category:
-            self.pending.append((f"after_{self.last_category}", said["next_category"]))
-        out = dict(said)
-        if "next_category" not in out and self.last_category and (v := self.value(f"after_{self.last_category}")):
-            out["next_category"] = v
-        for k in ("max_distance_km", "local"):
-            if k not in out and (v := self.value(k)) is not None:
-                out[k] = v
-        out.setdefault("max_distance_km", str(DEFAULT_KM))
-        return out
+        """A lasting preference: it holds at once, and counts as evidence except where evidence is measured."""
+        self.said[trait] = value
+        if trait not in INFERRED:
+            self.observe(trait, value)
+
+    def intend(self, turn: dict[str, str]) -> dict[str, str]:
+        """The turn with what it leaves open filled from the profile. What it states waits for a choice; a later turn replaces it."""
+        traits = {stated: self.trait(stated) for stated in STATED}
+        self.open = {traits[stated]: turn[stated] for stated in STATED if stated in turn and traits[stated]}
+        known = {stated: v for stated, trait in traits.items() if (v := self.value(trait)) is not None}
+        return {"max_distance_km": str(DEFAULT_KM)} | known | turn
 
     def choose(self, item: str, category: str, sub: str) -> None:
-        """A choice confirms the pending evidence and ends the turn."""
-        for trait, value in self.pending:
-            self._add(trait, value)
-        self.pending = []
-        self.turn += 1
-        if category in ("meal", "bar"):
-            self._add("cuisine", sub)
-        self.last_category = category
+        """A choice confirms what is open and ends the turn."""
+        confirmed, self.open = dict(self.open), {}
+        if category in TASTED:
+            confirmed["cuisine"] = sub
+        for trait, value in confirmed.items():
+            self.observe(trait, value)
+        self.turn, self.after = self.turn + 1, category
         self.visited.append(item)
 
-    def _add(self, trait: str, value: str) -> None:
-        if trait == "max_distance_km":
-            self.distances.append(float(value))
-        else:
-            seen = self.counts.setdefault(trait, {})
-            seen[str(value).lower()] = seen.get(str(value).lower(), 0) + 1
+    def summary(self) -> dict[str, str]:
+        """A line per lasting trait: its value and where it is from, or how much evidence there is."""
+        out = {}
+        for trait in ("local", "max_distance_km", "cuisine"):
+            value, n = self.value(trait), sum(self.evidence.get(trait, {}).values())
+            out[trait] = f"{value} ({'said' if trait in self.said else 'inferred'})" if value is not None else f"open ({n}/{LEAST})"
+        return out
 
     def dump(self) -> dict:
         return asdict(self)
 
     @staticmethod
     def load(state: dict) -> Profile:
-        return Profile(**{**state, "pending": [tuple(p) for p in state.get("pending", [])]})
+        return Profile(**state)
 
 
 def step(profile: Profile, event: dict) -> None:
@@ -112,6 +130,6 @@ def step(profile: Profile, event: dict) -> None:
     if event["kind"] == "say":
         profile.say(event["trait"], event["value"])
     elif event["kind"] == "intend":
-        profile.intend({k: event[k] for k in ("next_category", "max_distance_km", "local") if event.get(k) is not None})
+        profile.intend({k: event[k] for k in STATED if event.get(k) is not None})
     elif event["kind"] == "choose":
         profile.choose(event["item"], event["category"], event["sub"])

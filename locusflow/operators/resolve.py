@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +11,30 @@ from ..functions import geo, text
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; where none is named, as in tests, a new folder."""
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a new one only on local threads, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def within_cells(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Rows of both sides in cells that hold every pair within km, anywhere on the globe: an equi-join on the cell.
+
+    left: l_lat, l_lon; right: r_lat, r_lon.
+    """
+    spread = left.withColumn("_c", F.explode(geo.near_cells(F.col("l_lat"), F.col("l_lon"), km)))
+    return spread.join(right.withColumn("_c", geo.near_cell(F.col("r_lat"), F.col("r_lon"), km)), "_c").drop("_c")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, *, size: float, towards_zero: bool = False) -> DataFrame:
-    """Rows of both sides in the same or adjoining cells, an equi-join on the cell.
+    """Rows of both sides in the same or adjoining cells of so many degrees, an equi-join on the cell.
 
-    left: l_lat, l_lon; right: r_lat, r_lon. `ord` is the place of the cell in the 3 x 3 scan. Cells must be
-    at least as wide as the distance that the caller tests.
+    left: l_lat, l_lon; right: r_lat, r_lon. `ord` is the place of the cell in the 3 x 3 scan. Cells of
+    equal degrees are narrow far from the equator: `within_cells` is for distances.
     """
     grid = geo.cell_towards_zero if towards_zero else geo.cell
     spread = left.withColumn("_c", F.explode(geo.neighbours(grid(F.col("l_lat"), size), grid(F.col("l_lon"), size))))
@@ -32,14 +43,13 @@ def near_pairs(left: DataFrame, right: DataFrame, *, size: float, towards_zero:
     return spread.join(placed, ["_i", "_j"]).drop("_i", "_j")
 
 
-def nearest_match(left: DataFrame, right: DataFrame, *, metres: float = 100.0, size: float | None = None, same: Column | None = None, compat: bool = False) -> DataFrame:
+def nearest_match(left: DataFrame, right: DataFrame, *, metres: float = 100.0, same: Column | None = None, compat: bool = False) -> DataFrame:
     """For each l_id the nearest r row within `metres` for which `same` holds, with dist_m.
 
-    Cells of about 1.6 times the distance hold every pair up to 51 degrees of latitude; `compat` takes
-    0.001 degree cells cut towards zero, which miss some pairs of 91-100 m. Ties: cell order, then r_id.
+    `compat` takes 0.001 degree cells cut towards zero, which miss some pairs of 91-100 m. Ties: cell order
+    there, then r_id.
     """
-    size = size or (0.001 if compat else metres / 111_000 * 1.6)
-    pairs = near_pairs(left, right, size=size, towards_zero=compat)
+    pairs = near_pairs(left, right, size=0.001, towards_zero=True) if compat else within_cells(left, right, metres / 1000).withColumn("ord", F.lit(0))
     pairs = pairs.withColumn("dist_m", geo.flat_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("dist_m") <= metres)
     if same is not None:
         pairs = pairs.where(same)
@@ -88,12 +98,12 @@ def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(fell.withColumn("_fell", F.lit(True)), "id", "left").select("id", F.col("_fell").isNull().alias("kept"))
 
 
-def near_doubles(items: DataFrame, *, km: float = 0.1, size: float = 0.002, same: Column | None = None, within: str | None = "category") -> DataFrame:
+def near_doubles(items: DataFrame, *, km: float = 0.1, same: Column | None = None, within: str | None = "category") -> DataFrame:
     """(a, b) pairs of items of one kind, within km, of one name; columns id, lat, lon, keys."""
     keep = ["id", "lat", "lon", "keys"] + ([within] if within else [])
     left = items.select(*(F.col(c).alias(f"l_{c}") for c in keep))
     right = items.select(*(F.col(c).alias(f"r_{c}") for c in keep))
-    pairs = near_pairs(left, right, size=size).where(F.col("l_id") < F.col("r_id"))
+    pairs = within_cells(left, right, km).where(F.col("l_id") < F.col("r_id"))
     if within:
         pairs = pairs.where(F.col(f"l_{within}").eqNullSafe(F.col(f"r_{within}")))
     near = geo.haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")) <= km
@@ -101,12 +111,12 @@ def near_doubles(items: DataFrame, *, km: float = 0.1, size: float = 0.002, same
     return pairs.where(near & match).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
-def dedupe_nearby(items: DataFrame, *, richness: Column, km: float = 0.1, size: float = 0.002, same: Column | None = None) -> DataFrame:
+def dedupe_nearby(items: DataFrame, *, richness: Column, km: float = 0.1, same: Column | None = None) -> DataFrame:
     """Items without near doubles: the richer one stays (then the smaller id), and takes over the sources.
 
     `richness`: a number, more is richer after popularity.
     """
-    pairs = checkpointed(near_doubles(items, km=km, size=size, same=same))
+    pairs = checkpointed(near_doubles(items, km=km, same=same))
     met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     nodes = checkpointed(items.withColumn("_rich", richness).join(met, "id", "left_semi").select("id", "popularity", "_rich", "sources", F.struct(-F.col("popularity"), -F.col("_rich"), F.col("id")).alias("rank")))
     kept = greedy_independent(nodes.select("id", "rank"), pairs)

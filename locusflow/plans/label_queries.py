@@ -107,7 +107,7 @@ _RULES_SQL = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matche
 
 @query(f"SELECT p_partkey AS id, {_RULES_SQL}[1] AS label, CAST(len({_RULES_SQL}) AS INT) AS matched FROM part")
 def keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label, hits = text.first_match(F.col("p_name"), RULES)
+    label, hits = text.first_match(F.col("p_name"), RULES, done=True)
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("label"), F.size(hits).alias("matched"))
 
 

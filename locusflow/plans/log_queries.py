@@ -188,7 +188,7 @@ def profile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_events(ev: DataFrame) -> DataFrame:
     kind = F.when(F.col("type") == "select", "choose").when(F.col("type") == "view", "intend").otherwise("say")
     none = F.lit(None).cast("string")
-    return ev.where("type in ('select', 'view') or k % 37 = 0").select(
+    return ev.select(
         "actor", "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.when(kind == "say", "local").alias("trait"), F.when(kind == "say", "true").alias("value"),
         F.when((kind == "intend") & (F.col("k") % 2 == 0), "bar").alias("next_category"), F.when((kind == "intend") & (F.col("k") % 3 == 0), F.round(F.col("value") / 10, 1).cast("string")).alias("max_distance_km"),
         F.when((kind == "intend") & (F.col("k") % 5 == 0), "true").otherwise(none).alias("local"), F.concat(F.lit("p"), F.col("k").cast("string")).alias("item"), F.when(F.col("k") % 2 == 0, "meal").otherwise("sight").alias("category"), "sub",

@@ -45,7 +45,7 @@ _PASS = [
     ("exclude", "NOT (coalesce(list_has_any(fine, ['f4', 'f5']), false) OR coalesce(broad IN ('b0'), false))"),
     ("distance", "dist <= 5"),
 ]
-_TRACE = " UNION ALL ".join(f"SELECT {n} AS step, '{name}' AS rule, count(*) FILTER (WHERE {' AND '.join(p for _, p in _PASS[: n + 1])}) AS n_left FROM d" for n, (name, _) in enumerate(_PASS))
+_TRACE = " UNION ALL ".join(f"SELECT {n} AS step, '{name}' AS rule, count(*) FILTER (WHERE {' AND '.join(p for _, p in _PASS[: n + 1])}) AS n_left FROM {'d' if n else 'items'}" for n, (name, _) in enumerate(_PASS))
 
 
 @query(f"WITH {ITEMS_SQL}, d AS (SELECT *, {_D} AS dist FROM items WHERE {_BOX.format(km=5.0)}) {_TRACE}")
@@ -218,13 +218,13 @@ def near_any_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ITEMS_SQL} SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.id < b.id AND a.category = b.category AND {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 0.5
 AND {SAME_SQL.format(a="regexp_replace(a.name, '[^a-z0-9]', '', 'g')", b="regexp_replace(b.name, '[^a-z0-9]', '', 'g')")}""")
 def near_double_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.near_doubles(items(spark, sf_dir), km=0.5, size=0.006)
+    return resolve.near_doubles(items(spark, sf_dir), km=0.5)
 
 
 @query()
 def without_near_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy removal, as a pass in order of richness would; tested against that pass."""
-    return resolve.dedupe_nearby(items(spark, sf_dir), richness=F.size("fine"), km=0.5, size=0.006).select("id", "sources")
+    return resolve.dedupe_nearby(items(spark, sf_dir), richness=F.size("fine"), km=0.5).select("id", "sources")
 
 
 _HASH_SQL = "'0123456789bcdefghjkmnpqrstuvwxyz'"
@@ -248,8 +248,8 @@ SELECT id, array_to_string(list_sort(named), ',') AS named, CASE WHEN starts_wit
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fine kinds by name under their parent, and overrides by name and region."""
     rows = items(spark, sf_dir)
-    over = TAXONOMY.overriding(F.col("name"), F.col("lat"), F.col("lon"))
-    return rows.select("id", F.array_join(F.array_sort(TAXONOMY.named(F.col("name"), F.col("cuisine"))), ",").alias("named"), over["fine"].alias("override"))
+    over = TAXONOMY.overriding(F.col("name"), F.col("lat"), F.col("lon"), done=True)
+    return rows.select("id", F.array_join(F.array_sort(TAXONOMY.named(F.col("name"), F.col("cuisine"), done=True)), ",").alias("named"), over["fine"].alias("override"))
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT id, array_to_string(list_sort(list_distinct(flatten(list_transform(fine, lambda f: CASE f WHEN 'f1' THEN ['f1', 'f2', 'f3'] WHEN 'f4' THEN ['f4', 'f5'] ELSE [f] END)))), ',') AS expanded FROM items WHERE fine IS NOT NULL""")
@@ -287,5 +287,3 @@ def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 w(start, at, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT w.start, e.parent, w.depth + 1 FROM w JOIN e ON e.child = w.at WHERE w.depth < 15)
 SELECT start, max(depth) AS depth, bool_or(at = 'r1') AS inside FROM w GROUP BY start""")
 
-
-__all__ = ["text"]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.functions import geo, text
+from locusflow.functions import geo, kana, text
 from locusflow.functions.taxonomy import Taxonomy
 from locusflow.operators import candidates as c
 from locusflow.operators import evaluation, labels, logs, profile, ranking, resolve, series
@@ -55,7 +55,38 @@ def test_visited_and_its_doubles_stay_out(places):
 
 def test_trace_counts_each_rule(places):
     rows = c.trace(places, Constraints("bar", include_sub=["선술집"], max_distance_km=2), Context(33.59, 130.40), TAXONOMY).orderBy("step").collect()
-    assert [(r.rule, r.n_left) for r in rows] == [("all", 3), ("category", 2), ("include", 1), ("distance", 1)]
+    assert [(r.rule, r.n_left) for r in rows] == [("all", 4), ("category", 2), ("include", 1), ("distance", 1)]
+
+
+@pytest.mark.parametrize("lat,lon", [(35.0, 139.0009), (35.0, 139.00095), (69.9, 18.9), (-78.4, 106.8), (12.0, 179.9999), (0.0005, -180.0)])
+def test_doubles_within_a_hundred_metres_are_seen(spark, lat, lon):
+    """Every double up to 100 m away stays out, on either side of a cell's edge, far north and over the date line; those beyond stay in."""
+    rows, far = [("v", "店名", lat, lon)], set()
+    for n, (bearing, metres) in enumerate((b, m) for b in range(0, 360, 30) for m in (40, 91.5, 95.6, 99.9, 100.6, 150)):
+        up = metres * math.cos(math.radians(bearing)) / 111194.93
+        over = metres * math.sin(math.radians(bearing)) / 111194.93 / math.cos(math.radians(lat + up / 2))
+        east = (lon + over + 540) % 360 - 180
+        rows.append((f"d{n}", "店名", lat + up, east))
+        if km(lat, lon, lat + up, east) > 0.1:
+            far.add(f"d{n}")
+    df = spark.createDataFrame(rows, "id string, name string, lat double, lon double").withColumn("keys", text.name_keys(F.col("name")))
+    got = c.mark_seen(df, ["v"])
+    assert set(ids(got.where("not _seen"))) == far
+    left = df.where("id = 'v'").select(F.col("id").alias("l_id"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
+    met = resolve.within_cells(left, df.select(F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), 0.1)
+    assert {r[0] for r in rows} - far <= {r.r_id for r in met.collect()} and met.groupBy("r_id").count().agg({"count": "max"}).first()[0] == 1
+
+
+def test_brands_need_no_python(places):
+    plan = c.candidates(places.withColumn("brand_key", F.lit("x")), Constraints("bar", include_brand=["Ｂｒａｎｄ #7"]), Context(), TAXONOMY).select("id")._jdf.queryExecution().toString()
+    assert "brand7" in plan and "nfkc" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_full_width_names_meet_rules(spark):
+    t = Taxonomy(parent={"ramen": "noodle"}, name_rules=[("ramen", "ramen")], overrides=[{"pattern": "^bar", "fine": "b", "parent": "bar", "note": ""}])
+    df = spark.createDataFrame([("Ｒａｍｅｎ屋", "noodle"), ("Ｂａｒ　X", "bar")], "name string, cuisine string")
+    got = df.select(t.named(F.col("name"), F.col("cuisine")).alias("n"), t.overriding(F.col("name"), F.lit(0.0), F.lit(0.0))["fine"].alias("o"), text.first_match(F.col("name"), [("x", "ramen")])[0].alias("m")).collect()
+    assert [(r.n, r.o, r.m) for r in got] == [(["ramen"], None, "x"), ([], "b", None)]
 
 
 def test_no_location_gives_null_distances(places):
@@ -79,15 +110,21 @@ def test_names(spark):
     assert tuple(pair.select(text.same_name(F.col("a"), F.col("b")), text.same_name(F.col("a"), F.col("c"))).first()) == (True, False)
 
 
-@pytest.mark.parametrize("kana,loan,want", [("とうきょう", False, "도쿄"), ("かふぇ", True, "카페"), ("らーめん", False, "라멘"), ("きっさ", False, "깃사"), ("おおさか", False, "오사카"), ("しんじゅく", False, "신주쿠"), ("うぃ", True, "위"), ("つきじ", False, "쓰키지")])
-def test_kana_by_sound(kana, loan, want):
-    assert text.hangul_of(kana, loan) == want
+@pytest.mark.parametrize("reading,loan,want", [("とうきょう", False, "도쿄"), ("かふぇ", True, "카페"), ("らーめん", False, "라멘"), ("きっさ", False, "깃사"), ("おおさか", False, "오사카"), ("しんじゅく", False, "신주쿠"), ("うぃ", True, "위"), ("つきじ", False, "쓰키지"), ("ちゃや", False, "자야"), ("こちょう", False, "고초"), ("しぇふ", True, "셰후"), ("ふぁん", True, "판"), ("じゅーす", True, "주스"), ("てぃー", True, "티"), ("うぇすと", True, "웨스토"), ("をん", False, "온"), ("あっ", False, "아"), ("んあっか", False, "ㄴ앗카"), ("きゃく", False, "갸쿠"), ("ゔぁ", True, "바"), ("おう", False, "오"), ("xお", False, "x오")])
+def test_kana_by_sound(reading, loan, want):
+    assert kana.hangul_of(reading, loan) == want
+
+
+def test_every_kana_has_a_syllable():
+    for c in map(chr, range(0x3041, 0x3097)):
+        if "SMALL" not in kana.unicodedata.name(c) and c not in "んゐゑ":
+            assert "가" <= kana.hangul_of(c) <= "힣", c
 
 
 def test_transliteration_keeps_what_it_cannot_read(spark):
-    names = spark.createDataFrame([("ラーメン タロウ",), ("Bar・キツネ",), ("漢字",), (None,)], "s string")
-    got = [r.x for r in names.select(text.transliterate({"ラーメン": "라멘"})(F.col("s")).alias("x")).collect()]
-    assert got == ["라멘 타로", "Bar 키쓰네", "漢字", None]
+    names = spark.createDataFrame([("ラーメン タロウ",), ("Bar・キツネ",), ("漢字",), (None,), ("ｶﾌｪ",), ("たろう店",), ("たろう本店",), ("きた駅",), ("ABC店 x",), ("plain",)], "s string")
+    got = [r.x for r in names.select(kana.transliterate({"ラーメン": "라멘", "駅": "역"})(F.col("s")).alias("x")).collect()]
+    assert got == ["라멘 타로", "Bar 키쓰네", "漢字", None, "카페", "다로점", "다로本店", "기타역", "ABC店 x", "plain"]
 
 
 def test_templates_and_prices(spark):
@@ -168,10 +205,12 @@ def test_profile_state_machine():
         p.intend({"max_distance_km": "9"})
         p.intend({"max_distance_km": value, "next_category": "bar"})
         p.choose("i", "meal", "noodle")
-    assert p.distances == [0.5, 2.0, 1.0] and p.value("max_distance_km") == "1.0" and p.value("cuisine") == "noodle"
-    assert p.counts["after_meal"] == {"bar": 2} and p.value("after_meal") is None
+    assert p.evidence["max_distance_km"] == {"0.5": 1, "2.0": 1, "1.0": 1} and p.value("max_distance_km") == "1.0" and p.value("cuisine") == "noodle"
+    assert p.evidence["after_meal"] == {"bar": 2} and p.value("after_meal") is None
+    assert p.intend({"local": "true"}) == {"local": "true", "max_distance_km": "1.0"} and profile.Profile().intend({}) == {"max_distance_km": "1.0"}
+    assert p.summary() == {"local": "open (0/3)", "max_distance_km": "1.0 (inferred)", "cuisine": "noodle (inferred)"}
     p.say("local", "True")
-    p._add("local", "false")
+    p.observe("local", "false")
     assert p.value("local") == "True" and profile.Profile.load(p.dump()) == p
 
 
