@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import nearest_rank, running_totals
+
+#: A bound in bytes for a block of query vectors that is broadcast.
+BLOCK_BYTES = 64 << 20
+
 
 def per_class(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     """(label, tp, fp, fn, f1) of every gold or predicted label."""
@@ -40,31 +45,41 @@ def agreement(rows: DataFrame, by: str, same: Column) -> DataFrame:
 
 
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """One row (auc) by rank sums with mean ranks for ties, from counts per distinct score.
-
-    Counts are summed over a sorted list of distinct scores; round scores first if there are very many.
-    """
-    counts = rows.groupBy(F.col(score).alias("_s")).agg(F.sum((F.col(label) == 1).cast("int")).alias("_p"), F.sum((F.col(label) != 1).cast("int")).alias("_q"))
-    below = F.coalesce(F.sum("_q").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.withColumn("_b", below).agg(F.sum(F.col("_p") * (F.col("_b") + F.col("_q") / 2)).alias("_u"), F.sum("_p").alias("_np"), F.sum("_q").alias("_nq"))
+    """One row (auc) by rank sums with mean ranks for ties, from counts per distinct score."""
+    counts = rows.groupBy(F.col(score).alias("_s")).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("p"), F.sum((F.col(label) != 1).cast("bigint")).alias("q"))
+    sums = running_totals(counts, ["_s"], ["q"]).agg(F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2)).alias("_u"), F.sum("p").alias("_np"), F.sum("q").alias("_nq"))
     return sums.select((F.col("_u") / (F.col("_np") * F.col("_nq"))).alias("auc"))
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, places: int = 6) -> DataFrame:
+def neighbours(queries: DataFrame, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, places: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, neighbour, similarity, place): the k most similar rows by cosine, itself excluded, exact.
 
-    A stated query set against all rows, in blocks: queries come packed in blocks of 256, each meets each
-    Arrow batch in one matrix product and keeps its k best, so what leaves a task is k rows a query.
+    A stated query set against all rows, in blocks: the queries are measured first, and each block of at
+    most `block_bytes` goes over the table once. There, 256 queries at a time meet an Arrow batch in one
+    matrix product and keep their k best, so what leaves a task is k rows a query.
     """
+    packed = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
+    took = packed.agg(F.sum(8 * F.size("v") + 8)).first()[0] or 0
+    blocks = max(1, -(-took // block_bytes))
+    near = None
+    for n in range(blocks):
+        part = packed.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n) if blocks > 1 else packed
+        found = _nearest(part, rows, key, vector, k, places)
+        near = found if near is None else near.unionByName(found)
+    order = Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbour")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _nearest(packed: DataFrame, rows: DataFrame, key: str, vector: str, k: int, places: int) -> DataFrame:
+    """The k best of each task's rows for one block of queries."""
     import numpy as np
     import pandas as pd
 
-    packed = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
-    got = packed.orderBy("q").toPandas()  # the query set: bounded by its caller
+    got = packed.orderBy("q").toPandas()  # one block
     ids = got["q"].to_numpy()
     unit = np.stack(got["v"].to_list()).astype("float64") if len(got) else np.zeros((0, 1))
     unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, unit))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, unit))
 
     def run(batches):
         q, u = shared.value
@@ -82,9 +97,7 @@ def neighbours(queries: DataFrame, rows: DataFrame, *, key: str = "vec_id", vect
                     best = best[np.isfinite(line[best])]
                     yield pd.DataFrame({key: q[at + i], "neighbour": own[best], "similarity": line[best]})
 
-    near = rows.select(F.col(key).cast("long").alias("r"), F.col(vector).alias("v")).where(F.col("v").isNotNull()).mapInPandas(run, f"{key} bigint, neighbour bigint, similarity double")
-    order = Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbour")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return rows.select(F.col(key).cast("long").alias("r"), F.col(vector).alias("v")).where(F.col("v").isNotNull()).mapInPandas(run, f"{key} bigint, neighbour bigint, similarity double")
 
 
 def voted(near: DataFrame, labels: DataFrame, *, key: str = "vec_id", label: str = "label") -> DataFrame:
@@ -93,13 +106,13 @@ def voted(near: DataFrame, labels: DataFrame, *, key: str = "vec_id", label: str
     return votes.groupBy(key).agg(F.min_by(label, F.struct(-F.col("_w"), F.col(label))).alias("voted"))
 
 
-def latency(rows: DataFrame, *, by: str, ms: str, failed: Column) -> DataFrame:
-    """(by, n, errors, p50, p95, p99) with nearest-rank percentiles."""
-    n = F.count("*").over(Window.partitionBy(by))
-    at = F.row_number().over(Window.partitionBy(by).orderBy(ms)) - 1
-    numbered = rows.withColumns({"_n": n, "_at": at, "_f": failed.cast("int")})
-    pick = lambda q: F.max(F.when(F.col("_at") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * q)), F.col(ms)))
-    return numbered.groupBy(by).agg(F.count("*").alias("n"), F.sum("_f").alias("errors"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
+def latency(rows: DataFrame, *, by: str, ms: str, failed: Column, seconds: float | None = None) -> DataFrame:
+    """(by, n, errors, p50, p95, p99[, rate]) with nearest-rank percentiles; `seconds`: the length of the test, for requests a second."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(failed.cast("int")).alias("errors"))
+    marks = nearest_rank(rows, ms, [0.5, 0.95, 0.99], [by])
+    pick = lambda q: F.max(F.when(F.col("q") == q, F.col(ms)))
+    out = counts.join(marks.groupBy(by).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99")), by, "left")
+    return out.withColumn("rate", F.col("n") / F.lit(float(seconds))) if seconds else out
 
 
 def compared(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def last_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The record of the greatest seq for each key."""
@@ -96,6 +98,8 @@ def cascade(base: Column, directory: Column, parent_of_directory: Column, broad:
 
 
 def chunked(rows: DataFrame, order: list[str], size: int, by: list[str] | None = None) -> DataFrame:
-    """`chunk` numbers of `size` rows each, in order within groups."""
-    window = Window.partitionBy(*(by or [])).orderBy(*order)
+    """`chunk` numbers of `size` rows each, in order within groups, or over all rows."""
+    if not by:
+        return numbered(rows, order, "_place").withColumn("chunk", F.floor(F.col("_place") / size).cast("long")).drop("_place")
+    window = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("chunk", F.floor((F.row_number().over(window) - 1) / size).cast("long"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import interpolated, nearest_rank
+
 SMOOTHING = 5
 
 
@@ -22,10 +26,9 @@ def complete(series: DataFrame, key: str, months: list[str], ym: str = "ym") ->
 
 
 def share(series: DataFrame, value: str, by: list[str], smoothing: float = SMOOTHING) -> DataFrame:
-    """`share`: (v + s) over the mean of (v + s) of the same period."""
-    part = Window.partitionBy(*by)
-    v = F.col(value) + smoothing
-    return series.withColumn("share", v / F.sum(v).over(part) * F.count("*").over(part))
+    """`share`: (v + s) over the mean of (v + s) of the same period; periods are summed before they meet the series again."""
+    mean = series.groupBy(*by).agg(F.avg(F.col(value) + smoothing).alias("_mean"))
+    return series.join(mean, by).withColumn("share", (F.col(value) + smoothing) / F.col("_mean")).drop("_mean")
 
 
 def log_ratio(a: Column, b: Column) -> Column:
@@ -85,45 +88,17 @@ def trend(series: DataFrame, key: str, value: str, period: Column, *, epsilon: f
 def growth(series: DataFrame, key: str, before: Column, after: Column, smoothing: float = 50) -> DataFrame:
     """(key, growth): log2 of after over before, less the median of all."""
     rows = series.groupBy(key).agg(before.alias("_a"), after.alias("_b")).withColumn("_g", F.log2((F.col("_b") + smoothing) / (F.col("_a") + smoothing)))
-    middle = rows.agg(F.median("_g").alias("_m"))
+    middle = interpolated(rows, "_g", {"_m": 0.5})
     return rows.join(F.broadcast(middle)).select(key, (F.col("_g") - F.col("_m")).alias("growth"))
 
 
-def nearest_rank(rows: DataFrame, value: str, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by, q, value): the element at place floor(q n) of the sorted values, at most the last."""
-    by = by or []
-    n = F.count("*").over(Window.partitionBy(*by))
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    numbered = rows.where(F.col(value).isNotNull()).select(*by, value, at.alias("_at"), n.alias("_n"))
-    wanted = F.explode(F.array(*(F.lit(float(q)) for q in quantiles)))
-    return numbered.withColumn("q", wanted).where(F.col("_at") == F.least(F.col("_n") - 1, F.floor(F.col("q") * F.col("_n")))).select(*by, "q", value)
-
-
 def clipped_scale(rows: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """`scaled`: log1p of the value, cut to its low and high nearest-rank quantiles, onto 0.2 .. 1.0."""
-    marks = rank_cuts(rows, value, [low, high]).agg(F.log1p(F.min(value)).alias("_lo"), F.log1p(F.max(value)).alias("_hi"))
+    marks = nearest_rank(rows, value, [low, high]).agg(F.log1p(F.min(value)).alias("_lo"), F.log1p(F.max(value)).alias("_hi"))
     x = (F.log1p(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     return rows.join(F.broadcast(marks)).withColumn("scaled", 0.2 + 0.8 * F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).drop("_lo", "_hi")
 
 
-def rank_cuts(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
-    """(q, value): global nearest-rank quantiles without one task that sorts all rows.
-
-    Rows are counted per distinct value, values are dealt into ranges by Spark's own percentiles (a
-    bounded array), and only running totals of ranges and the ranges that hold a mark are looked at.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    edges = counts.agg(F.array_distinct(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 4096)).alias("_edges"))
-    tagged = counts.join(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    ranges = tagged.groupBy("_range").agg(F.sum("_c").alias("_in"))  # 64 rows at most
-    before = ranges.select("_range", "_in", (F.sum("_in").over(Window.orderBy("_range")) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy()).alias("_n"))
-    marks = before.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in quantiles)))).withColumn("_at", F.least(F.col("_n") - 1, F.floor(F.col("q") * F.col("_n"))))
-    marks = marks.where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_in")))
-    running = Window.partitionBy("q").orderBy(value)
-    near = tagged.join(F.broadcast(marks.select("_range", "q", "_at", "_before")), "_range").withColumn("_upto", F.col("_before") + F.sum("_c").over(running))
-    return near.where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c"))).select("q", value)
-
-
 def peak_month(values: Column) -> Column:
     return F.array_position(values, F.array_max(values))
 
@@ -143,33 +118,38 @@ def season_months(day: Column, month: Column) -> Column:
 
 
 def average_linkage(curves: list[list[float]], k: int) -> list[int]:
-    """Clusters 1..k of a few curves by average linkage on correlation distance; numbered by first member."""
-    import numpy as np
+    """Clusters 1..k of curves by average linkage on correlation distance; numbered by first member.
 
+    The mean distance of two groups is one less the product of their mean unit curves, so a group is its
+    mean and its size. Chains of nearest neighbours give the merges in any order; the closest n - k of
+    them count. Memory grows with the curves, time with their square.
+    """
     x = np.asarray(curves, dtype=float)
     x = x - x.mean(axis=1, keepdims=True)
     norms = np.linalg.norm(x, axis=1, keepdims=True)
-    d = 1 - (x / np.where(norms > 0, norms, 1)) @ (x / np.where(norms > 0, norms, 1)).T
-    groups = [[i] for i in range(len(x))]
-    while len(groups) > k:
-        pairs = [(float(d[np.ix_(a, b)].mean()), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
-        _, i, j = min(pairs)
-        groups[i] = groups[i] + groups[j]
-        del groups[j]
-    label = [0] * len(x)
-    for n, g in enumerate(sorted(groups, key=min), 1):
-        for i in g:
-            label[i] = n
-    return label
-
-
-def clustered(curves: DataFrame, key: str, values: str, k: int, most: int = 1_000) -> DataFrame:
-    """(key, cluster) of category curves: a small dimension, checked to be one before one task takes it."""
-    import pandas as pd
-
-    n = curves.count()
-    if n > most:
-        raise ValueError(f"{n} curves: average linkage is for {most} at most")
+    mean, size, alive = x / np.where(norms > 0, norms, 1), np.ones(len(x)), np.ones(len(x), bool)
+    merges, chain = [], []
+    while alive.sum() > 1:
+        chain = chain or [int(np.argmax(alive))]
+        apart = np.where(alive, 1 - mean @ mean[chain[-1]], np.inf)
+        apart[chain[-1]] = np.inf
+        if len(chain) > 1 and apart[chain[-2]] <= apart.min():
+            a, b = sorted((chain.pop(), chain.pop()))
+            merges.append((float(1 - mean[a] @ mean[b]), a, b))
+            mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive[b] = False
+        else:
+            chain.append(int(np.argmin(apart)))
+    group = np.arange(len(x))
+    for _, a, b in sorted(merges)[: len(x) - k]:
+        group[group == group[b]] = group[a]
+    _, first, back = np.unique(group, return_index=True, return_inverse=True)
+    return (np.argsort(np.argsort(first))[back] + 1).tolist()
+
+
+def clustered(curves: DataFrame, key: str, values: str, k: int) -> DataFrame:
+    """(key, cluster) of the curves of categories: a dimension, which one task takes."""
     kind = curves.schema[key].dataType.simpleString()
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -177,3 +157,22 @@ def clustered(curves: DataFrame, key: str, values: str, k: int, most: int = 1_00
         return pd.DataFrame({key: part[key], "cluster": average_linkage(part[values].tolist(), k)})
 
     return curves.select(key, values, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, f"{key} {kind}, cluster int")
+
+
+def cluster_curves(curves: DataFrame, clusters: DataFrame, key: str, values: str) -> DataFrame:
+    """(cluster, members, curve, peak): the mean curve of each cluster and its month of the greatest mean, in order of that month."""
+    points = curves.join(clusters, key).select("cluster", key, F.posexplode(values).alias("m", "v"))
+    by_month = points.groupBy("cluster", "m").agg(F.avg("v").alias("v"), F.count_distinct(key).alias("n"))
+    whole = by_month.groupBy("cluster").agg(F.max("n").alias("members"), F.transform(F.array_sort(F.collect_list(F.struct("m", "v"))), lambda p: p["v"]).alias("curve"))
+    return whole.withColumn("peak", peak_month(F.col("curve"))).orderBy("peak", "cluster")
+
+
+def september_year(day: Column) -> Column:
+    """The year that begins in September of the year before."""
+    return F.year(F.add_months(day, 4))
+
+
+def added_up(maps: DataFrame, key: str, monthly: str) -> DataFrame:
+    """(key, monthly): maps of YYYYMM to views of one key, added up month by month."""
+    sums = unfold(maps, key, monthly).groupBy(key, "ym").agg(F.sum("views").alias("views"))
+    return sums.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ym", "views")))).alias(monthly))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ordered
 from ..operators import series as s
 from .registry import query, table
 
@@ -55,10 +56,11 @@ def season_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(known, "qid").groupBy("qid", F.substring("ym", 5, 2).cast("int").alias("mo")).agg(F.round(F.avg(F.col("views") / F.col("mean")), 3).alias("r"))
 
 
-@query(f"""WITH {_M}, k AS (SELECT qid FROM q GROUP BY qid HAVING count(*) >= 12 AND sum(views) >= 100) SELECT qid, CAST(12 AS INT) AS months FROM k""")
+@query(f"""WITH {_M}, k AS (SELECT qid FROM q GROUP BY qid HAVING count(*) >= 12 AND sum(views) >= 100) SELECT qid, array_to_string(list(CAST(coalesce(CAST(round(r * 100) AS INT), 100) AS VARCHAR) ORDER BY m.m), ',') AS season FROM k CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS m) m
+LEFT JOIN (SELECT qid, CAST(substr(ym, 5) AS INT) AS m, avg(views / mean) AS r FROM q JOIN (SELECT qid, avg(views) AS mean FROM q GROUP BY qid) USING (qid) GROUP BY ALL) s USING (qid, m) GROUP BY qid""")
 def season_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.seasonality(_by_place(spark, sf_dir), "qid", "views", F.substring("ym", 5, 2).cast("int"), least_total=100)
-    return rows.select("qid", F.size("season").alias("months"))
+    return rows.select("qid", F.array_join(F.transform("season", lambda v: F.round(v * 100).cast("int").cast("string")), ",").alias("season"))
 
 
 @query(f"""WITH {_M}, d0 AS (SELECT qid, CAST(substr(ym, 5) AS INT) AS m, median(views) AS med FROM q GROUP BY ALL), d AS (SELECT qid, m, med / list_extract([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31], m) AS d FROM d0)
@@ -98,13 +100,13 @@ def complete_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT round(quantile_cont(o_totalprice, 0.01), 4) AS p1, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders")
 def interpolated_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.percentile("o_totalprice", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    return table(spark, sf_dir, "orders").agg(p.alias("p")).select(*(F.round(F.get("p", F.lit(i)), 4).alias(n) for i, n in enumerate(("p1", "p50", "p99"))))
+    found = ordered.interpolated(table(spark, sf_dir, "orders"), "o_totalprice", {"p1": 0.01, "p50": 0.5, "p99": 0.99})
+    return found.select(*(F.round(n, 4).alias(n) for n in ("p1", "p50", "p99")))
 
 
 @query("WITH k AS (SELECT o_totalprice AS value, row_number() OVER (ORDER BY o_totalprice) - 1 AS place, count(*) OVER () AS n FROM orders) SELECT q, value FROM k, (VALUES (0.01::DOUBLE), (0.5::DOUBLE), (0.99::DOUBLE)) v(q) WHERE place = least(n - 1, floor(q * n)::BIGINT)")
 def nearest_rank_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.rank_cuts(table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("value")), "value", [0.01, 0.5, 0.99])
+    return ordered.nearest_rank(table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("value")), "value", [0.01, 0.5, 0.99])
 
 
 @query("""WITH k AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS place, count(*) OVER () AS n FROM orders),
@@ -179,7 +181,8 @@ def curve_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_M}, l AS (SELECT qid, sum(views) AS level FROM q GROUP BY qid) SELECT qid % 5 AS kind, round(median(level), 3) AS mid, round(quantile_cont(level, 0.25), 3) AS low, round(quantile_cont(level, 0.75), 3) AS high FROM l GROUP BY ALL")
 def level_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _by_place(spark, sf_dir).groupBy("qid").agg(F.sum("views").alias("level"))  # noqa: E741
-    return l.groupBy((F.col("qid") % 5).alias("kind")).agg(F.round(F.median("level"), 3).alias("mid"), F.round(F.percentile("level", F.lit(0.25)), 3).alias("low"), F.round(F.percentile("level", F.lit(0.75)), 3).alias("high"))
+    found = ordered.interpolated(l.select((F.col("qid") % 5).alias("kind"), "level"), "level", {"mid": 0.5, "low": 0.25, "high": 0.75}, ["kind"])
+    return found.select("kind", *(F.round(n, 3).alias(n) for n in ("mid", "low", "high")))
 
 
 @query(f"WITH {_M}, a AS (SELECT qid, ym, views FROM m WHERE lang = '1-URGENT'), b AS (SELECT qid, ym, views FROM m WHERE lang = '5-LOW') SELECT a.qid, count(*) AS months, CAST(sum(a.views) AS BIGINT) AS a, CAST(sum(b.views) AS BIGINT) AS b FROM a JOIN b USING (qid, ym) GROUP BY ALL")

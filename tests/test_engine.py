@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from locusflow.functions import geo, kana, text
 from locusflow.functions.taxonomy import Taxonomy
 from locusflow.operators import candidates as c
-from locusflow.operators import evaluation, labels, logs, profile, ranking, resolve, series
+from locusflow.operators import evaluation, labels, logs, ordered, profile, ranking, resolve, series
 from locusflow.operators.candidates import Constraints, Context
 from locusflow.plans.stages import Runner, Stage
 from locusflow.sources import readers, writers
@@ -230,10 +230,54 @@ def test_average_linkage():
 
 def test_rank_cuts_are_nearest_rank(spark):
     values = sorted(random.Random(3).choices(range(500), k=997))
-    got = {r.q: r.value for r in series.rank_cuts(spark.createDataFrame([(v,) for v in values], "value int"), "value", [0.0, 0.01, 0.5, 0.99, 1.0]).collect()}
+    got = {r.q: r.value for r in ordered.nearest_rank(spark.createDataFrame([(v,) for v in values], "value int"), "value", [0.0, 0.01, 0.5, 0.99, 1.0]).collect()}
     assert got == {q: values[min(996, int(q * 997))] for q in (0.0, 0.01, 0.5, 0.99, 1.0)}
 
 
+def plain_linkage(curves, k):
+    """Average linkage pair by pair."""
+    d = 1 - np.corrcoef(np.asarray(curves))
+    groups = [[i] for i in range(len(d))]
+    while len(groups) > k:
+        _, i, j = min((float(d[np.ix_(a, b)].mean()), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        groups[i] += groups.pop(j)
+    label = [0] * len(d)
+    for n, g in enumerate(sorted(groups, key=min), 1):
+        for i in g:
+            label[i] = n
+    return label
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_average_linkage_equals_pairs(seed):
+    curves = np.random.default_rng(seed).standard_normal((40, 12)).tolist()
+    for k in (1, 2, 5, 17, 40):
+        assert series.average_linkage(curves, k) == plain_linkage(curves, k)
+
+
+def test_order_statistics_by_group_and_ties(spark):
+    rng = random.Random(9)
+    rows = [(g, float(rng.choice([0, 0, 0, rng.gauss(0, 5)]))) for g in "ab" for _ in range(301)] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.low, r.mid) for r in ordered.interpolated(df, "v", {"low": 0.1, "mid": 0.5}, ["g"]).collect()}
+    for g in "abc":
+        own = [v for h, v in rows if h == g]
+        assert got[g] == pytest.approx(tuple(np.quantile(own, [0.1, 0.5])))
+    assert "d" not in got
+    n = [(r.place, r.v) for r in ordered.numbered(df.where("v is not null"), ["v", "g"]).collect()]
+    assert [v for _, v in sorted(n)] == sorted(v for _, v in rows if v is not None) and sorted(p for p, _ in n) == list(range(len(n)))
+    totals = ordered.running_totals(df.where("v is not null").selectExpr("v", "1L AS one"), ["v"], ["one"]).collect()
+    assert sorted(r.one_before for r in totals) == list(range(len(n)))
+    assert ordered.interpolated(df.limit(0), "v", {"m": 0.5}).count() in (0, 1)
+
+
+def test_neighbours_in_blocks(spark):
+    x = np.random.default_rng(2).standard_normal((60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole, cut = (sorted(map(tuple, evaluation.neighbours(df.where("vec_id < 9"), df, k=4, block_bytes=b).collect())) for b in (1 << 20, 200))
+    assert whole == cut and len(whole) == 36
+
+
 def test_neighbours_equal_brute_force(spark):
     x = np.random.default_rng(2).standard_normal((60, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
