@@ -1,7 +1,8 @@
 """Simulated users with hidden tastes walk through a plan of turns under several ranking policies.
 
-Each (policy, seed) is an independent walk, so walks spread over tasks; all policies of a seed share its
-user. The catalogue goes to the tasks as a few columns after a check of its size.
+Each (policy, seed) is an independent walk; all policies of a seed share its user and its start. A walk
+goes no further than its turns times the widest radius, so a seed's task gets the places about its start, found
+by cells, whatever the size of the catalogue; what a task holds is bounded by how many places lie so near.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
 from .ranking import DISTANCE_WEIGHT, EVENTS, SETTLING, SHOWN
+from .resolve import within_cells
 
 POLICIES = ("learned", "fixed", "distance", "random")
 OUT = "policy string, seed long, turn int, category string, chosen boolean, rank int, shown int, subs int, short boolean"
@@ -61,10 +64,11 @@ class _Learner:
         self.reactions += 1
 
 
-def _tastes(catalogue: _Catalogue, rng: np.random.Generator, s: Settings) -> dict[tuple[str, str], float]:
+def _tastes(kinds: list[tuple[str, str]], rng: np.random.Generator, s: Settings) -> dict[tuple[str, str], float]:
+    """kinds: all (category, sub) of the catalogue."""
     taste = {}
-    for category in sorted(set(catalogue.category)):
-        subs = sorted(set(catalogue.sub[catalogue.category == category]))
+    for category in sorted({c for c, _ in kinds}):
+        subs = sorted({k for c, k in kinds if c == category})
         for sub, liked in zip(subs, rng.uniform(0, s.dull, len(subs)), strict=True):
             taste[category, sub] = float(liked)
         for sub, liked in zip(rng.permutation(subs)[: len(s.favourites)], s.favourites, strict=False):
@@ -72,11 +76,18 @@ def _tastes(catalogue: _Catalogue, rng: np.random.Generator, s: Settings) -> dic
     return taste
 
 
-def walk(catalogue: _Catalogue, policy: str, seed: int, s: Settings) -> list[tuple]:
+def begin(kinds: list[tuple[str, str]], n: int, seed: int, s: Settings) -> tuple[np.random.Generator, dict[tuple[str, str], float], int]:
+    """(random numbers, the user's tastes, the place of the start among n places in order of id)."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    taste, learner = _tastes(catalogue, rng, s), _Learner()
-    start = int(rng.integers(len(catalogue.id)))
-    lat, lon, visited, out = catalogue.lat[start], catalogue.lon[start], set(), []
+    taste = _tastes(kinds, rng, s)
+    return rng, taste, int(rng.integers(n))
+
+
+def walk(catalogue: _Catalogue, start: tuple[float, float], kinds: list[tuple[str, str]], n: int, policy: str, seed: int, s: Settings) -> list[tuple]:
+    """The turns of one user; catalogue: places in order of id, all of them or those that the walk can reach."""
+    rng, taste, _ = begin(kinds, n, seed, s)
+    learner = _Learner()
+    (lat, lon), visited, out = start, set(), []
     for turn, category in enumerate(s.plan):
         km = catalogue.km(lat, lon)
         fits = (catalogue.category == category) & ~np.isin(catalogue.id, list(visited))
@@ -109,21 +120,29 @@ def walk(catalogue: _Catalogue, policy: str, seed: int, s: Settings) -> list[tup
     return out
 
 
-def simulate(items: DataFrame, seeds: int, *, policies: tuple[str, ...] = POLICIES, settings: Settings | None = None, most_items: int = 2_000_000) -> DataFrame:
+def simulate(items: DataFrame, seeds: int, *, policies: tuple[str, ...] = POLICIES, settings: Settings | None = None) -> DataFrame:
     """A row per simulated turn of every (policy, seed); summarise with `evaluation.simulation_summary`."""
     s = settings or Settings()
     columns = ["id", "category", "sub", "lat", "lon", "popularity"]
-    n = items.count()
-    if n > most_items:
-        raise ValueError(f"{n} items: narrow the catalogue to a region of at most {most_items}")
-    rows = items.select(*columns).orderBy("id").toPandas()
-    spark = items.sparkSession
-    shared = spark.sparkContext.broadcast(_Catalogue(*(rows[c].to_numpy() for c in columns)))
-
-    def run(parts):
+    placed = numbered(items.select(*columns), ["id"], "_place")
+    n = placed.count()
+    kinds = sorted((r["category"], r["sub"]) for r in items.select("category", "sub").distinct().collect())  # a dimension
+    if not n:
+        return items.sparkSession.createDataFrame([], OUT)
+
+    def starts(parts):
         for part in parts:
-            turns = [t for policy, seed in zip(part["policy"], part["seed"], strict=True) for t in walk(shared.value, policy, int(seed), s)]
-            yield pd.DataFrame(turns, columns=["policy", "seed", "turn", "category", "chosen", "rank", "shown", "subs", "short"]).astype({"rank": "Int32"})
+            yield pd.DataFrame({"seed": part["id"], "_place": [begin(kinds, n, int(seed), s)[2] for seed in part["id"]]})
+
+    users = items.sparkSession.range(seeds).mapInPandas(starts, "seed long, _place long")
+    users = users.join(placed.select("_place", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon")), "_place").drop("_place")
+    near = within_cells(users, items.select(*columns, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), len(s.plan) * s.radii[-1] + 0.1).drop("r_lat", "r_lon")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        catalogue = _Catalogue(*(rows[c].to_numpy() for c in columns))
+        start, seed = (rows["l_lat"].iloc[0], rows["l_lon"].iloc[0]), int(rows["seed"].iloc[0])
+        turns = [t for policy in policies for t in walk(catalogue, start, kinds, n, policy, seed, s)]
+        return pd.DataFrame(turns, columns=["policy", "seed", "turn", "category", "chosen", "rank", "shown", "subs", "short"]).astype({"rank": "Int32"})
 
-    walks = spark.range(seeds).select(F.explode(F.array(*map(F.lit, policies))).alias("policy"), F.col("id").alias("seed"))
-    return walks.repartition("seed", "policy").mapInPandas(run, OUT)
+    return near.groupBy("seed").applyInPandas(run, OUT)

@@ -45,12 +45,13 @@ def majority_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'x' || (p_size % 3) END AS a, CASE WHEN p_partkey % 3 > 0 THEN 'x' || (p_partkey % 3) END AS b, CASE WHEN p_partkey % 5 = 0 THEN 'x0' END AS c, CASE WHEN p_partkey % 101 = 0 THEN 'hand' END AS manual FROM part),
 n AS (SELECT *, list_filter([a, b, c], lambda x: x IS NOT NULL) AS cast_ FROM v), k AS (SELECT *, len(cast_) AS m, len(list_distinct(cast_)) AS d,
  list_max(list_transform(['x0', 'x1', 'x2'], lambda x: len(list_filter(cast_, lambda y: y = x)))) AS top FROM n)
-SELECT id, CASE WHEN manual IS NOT NULL THEN 'manual' WHEN m = 0 THEN 'none' WHEN d = 1 AND m > 1 THEN 'high' WHEN m = 1 THEN 'single' WHEN top > 1 THEN 'majority' ELSE 'conflict' END AS grade FROM k""")
+SELECT id, CASE WHEN manual IS NOT NULL THEN 'manual' WHEN m = 0 THEN 'none' WHEN d = 1 AND m > 1 THEN 'high' WHEN m = 1 THEN 'single' WHEN top > 1 THEN 'majority' ELSE 'conflict' END AS grade,
+ CASE WHEN manual IS NOT NULL THEN manual WHEN m = 0 OR (d > 1 AND top = 1) THEN NULL ELSE list_reverse_sort(list_filter(['x0', 'x1', 'x2'], lambda x: len(list_filter(cast_, lambda y: y = x)) = top))[1] END AS decision FROM k""")
 def three_way_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, size = F.col("p_partkey"), F.col("p_size")
     code = lambda x: F.concat(F.lit("x"), x.cast("string"))
     rows = table(spark, sf_dir, "part").select(n.alias("id"), F.when(size % 2 == 0, code(size % 3)).alias("a"), F.when(n % 3 > 0, code(n % 3)).alias("b"), F.when(n % 5 == 0, "x0").alias("c"), F.when(n % 101 == 0, "hand").alias("manual"))
-    return l.three_way_vote(rows, ["a", "b", "c"], manual="manual").select("id", "grade")
+    return l.three_way_vote(rows, ["a", "b", "c"], manual="manual").select("id", "grade", "decision")
 
 
 @query("WITH c AS (SELECT p_name AS key, p_type AS value, count(*) AS n, min(p_partkey) AS seq FROM part GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, seq) AS place FROM c) SELECT key, value FROM k WHERE place = 1")
@@ -111,9 +112,10 @@ def keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("label"), F.size(hits).alias("matched"))
 
 
-@query("SELECT p_partkey AS id, (p_partkey - 1 - p_partkey) * 0 + CAST(floor((row_number() OVER (ORDER BY p_partkey) - 1) / 25) AS BIGINT) AS chunk FROM part")
+@query("SELECT p_partkey AS id, CAST(floor((row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1) / 25) AS BIGINT) AS chunk FROM part")
 def chunks_of_25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return l.chunked(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), ["id"], 25)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
+    return l.chunked(rows, [F.desc("p_retailprice"), "id"], 25).select("id", "chunk")
 
 
 @query("""WITH k AS (SELECT o_orderkey AS id, unnest(['c' || (o_custkey + 700), 'c' || o_custkey, 'c' || (o_custkey % 10)]) AS key, unnest([1, 2, 3]) AS pos FROM orders), d AS (SELECT 'c' || c_custkey AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 2 = 0),
@@ -140,9 +142,9 @@ def only_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kids.groupBy("parent").agg(F.count("*").alias("n"), F.min("kid").alias("kid")).where("n = 1").select("parent", "kid")
 
 
-@query("""SELECT page_id, length(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) AS plain, len(regexp_extract_all(html, '<p>')) AS paragraphs, split_part(url, '/', 3) AS host, list_extract(string_split(url, '/'), -1) AS tail FROM pages""")
+@query("""SELECT page_id, md5(left(trim(regexp_replace(html, '<[^>]+>', '', 'g')), 160)) AS plain, len(regexp_extract_all(html, '<p>')) AS paragraphs, split_part(url, '/', 3) AS host, list_extract(string_split(url, '/'), -1) AS tail FROM pages""")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text.strip_tags(F.col("html"))).cast("long").alias("plain"), F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).cast("long").alias("paragraphs"), F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), text.leaf(F.col("url"), "/").alias("tail"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_tags(F.col("html"), 160)).alias("plain"), F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).cast("long").alias("paragraphs"), F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), text.leaf(F.col("url"), "/").alias("tail"))
 
 
 @query("""SELECT p_partkey AS id, list_extract(string_split('A > ' || p_type || ' > ' || p_name, ' > '), -1) AS leaf, regexp_extract('amenity=x brand=' || p_brand || ' name=' || p_name, 'brand=(\\S+)', 1) AS brand,

@@ -149,11 +149,11 @@ def reaction_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.reactions(events(spark, sf_dir), user="actor").select("actor", "n_reactions", F.round("w", 6).alias("w"))
 
 
-_TOP = f"""WITH {ITEMS_SQL}, {_PREF}, u AS (SELECT DISTINCT actor FROM ev WHERE actor % 10 = 0),
+_TOP = f"""WITH {ITEMS_SQL}, {_PREF}, u AS (SELECT DISTINCT actor, 34.9 + ((actor * 6007) % 20011) * 0.00001::DOUBLE AS u_lat, 138.9 + ((actor * 8081) % 20021) * 0.00001::DOUBLE AS u_lon FROM ev),
 w AS (SELECT actor, count(*) FILTER (WHERE type <> 'view') / (count(*) FILTER (WHERE type <> 'view') + 5.0::DOUBLE) AS w FROM ev GROUP BY actor),
-d AS (SELECT *, {_D} AS dist FROM items WHERE category = 'meal'),
-s AS (SELECT u.actor, d.id, d.n, d.sub, d.dist, round(coalesce(a / (a + b), 0.5), 6) AS content, w.w, popularity FROM d JOIN u ON dist <= 5 JOIN w USING (actor) LEFT JOIN pref USING (actor, sub)),
-r AS (SELECT *, round((1 - w) * popularity + w * content - 0.1 * dist / 5.0, 3) AS score FROM s),
+d AS (SELECT u.actor, i.*, {km_sql('u_lat', 'u_lon', 'lat', 'lon')} AS dist FROM items i, u WHERE category = 'meal'),
+s AS (SELECT d.actor, d.id, d.n, d.sub, d.dist, round(coalesce(a / (a + b), 0.5), 6) AS content, w.w, popularity FROM d JOIN w USING (actor) LEFT JOIN pref USING (actor, sub) WHERE dist <= 2),
+r AS (SELECT *, round((1 - w) * popularity + w * content - 0.1 * dist / 2.0, 3) AS score FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY score DESC, dist, id) AS rank FROM r),
 top AS (SELECT actor, sub FROM k WHERE rank < 8),
 x AS (SELECT k.*, row_number() OVER (PARTITION BY actor ORDER BY (NOT EXISTS (SELECT 1 FROM top WHERE top.actor = k.actor AND top.sub = k.sub)) DESC, content + 0.3 * ((n * 1103515 + 12345) % 1000003 / 1000003.0) DESC, id) AS pick FROM k WHERE rank >= 8)
@@ -162,15 +162,16 @@ SELECT actor, id, CAST(rank AS INT) AS rank, 'top' AS slot, score FROM k WHERE r
 
 @query(_TOP)
 def personal_top_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight per user, the last to explore. Users come as a side table; items meet them by cell."""
+    """Eight for every user within two kilometres of where they are, the last to explore; items meet users by cell."""
     ev = events(spark, sf_dir).withColumn("position", F.col("k") % 8)
     prefs = ranking.preferences(ev, user="actor", position="position")
     weights = ranking.reactions(ev, user="actor").select("actor", "w")
-    users = ev.where("actor % 10 = 0").select("actor").distinct().withColumns({"l_lat": F.lit(LAT), "l_lon": F.lit(LON)})
+    n = F.col("actor")
+    users = ev.select("actor").distinct().withColumns({"l_lat": F.lit(34.9) + n * 6007 % 20011 * F.lit(0.00001), "l_lon": F.lit(138.9) + n * 8081 % 20021 * F.lit(0.00001)})
     food = items(spark, sf_dir).where("category = 'meal'").select("id", "n", "sub", "popularity", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    near = resolve.near_pairs(users, food, size=0.1).withColumn("dist_km", geo.haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where("dist_km <= 5")
+    near = resolve.within_cells(users, food, 2.0).withColumn("dist_km", geo.haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where("dist_km <= 2")
     rows = near.join(weights, "actor").join(prefs, ["actor", "sub"], "left")
-    rows = ranking.scored(rows, radius=F.lit(5.0), w=F.col("w"), content=F.round(F.coalesce(F.col("a") / (F.col("a") + F.col("b")), F.lit(0.5)), 6))
+    rows = ranking.scored(rows, radius=F.lit(2.0), w=F.col("w"), content=F.round(F.coalesce(F.col("a") / (F.col("a") + F.col("b")), F.lit(0.5)), 6))
     return ranking.top_list(rows, by=["actor"], chance=ranking.uniform(F.col("n"))).select("actor", "id", F.col("rank").cast("int").alias("rank"), "slot", "score")
 
 
@@ -221,10 +222,20 @@ def near_double_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.near_doubles(items(spark, sf_dir), km=0.5)
 
 
-@query()
+_SAME_NAMES = SAME_SQL.format(a="regexp_replace(a.name, '[^a-z0-9]', '', 'g')", b="regexp_replace(b.name, '[^a-z0-9]', '', 'g')")
+
+
+@query(f"""WITH RECURSIVE {ITEMS_SQL}, pr AS (SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.id <> b.id AND a.category = b.category AND {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 0.5 AND {_SAME_NAMES}),
+met AS (SELECT id, row_number() OVER (ORDER BY popularity DESC, coalesce(len(fine), -1) DESC, id) AS rn FROM items WHERE id IN (SELECT a FROM pr)),
+adj AS (SELECT a AS id, list(b) AS near FROM pr GROUP BY a), nodes AS (SELECT met.id, rn, near FROM met JOIN adj USING (id)),
+g AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept UNION ALL SELECT rn, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, id) END FROM g JOIN nodes ON rn = i + 1),
+k AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)), fell AS (SELECT id FROM met WHERE id NOT IN (SELECT id FROM k)),
+own AS (SELECT fell.id AS gone, arg_min(pr.b, met.rn) AS taker FROM fell JOIN pr ON pr.a = fell.id JOIN k ON k.id = pr.b JOIN met ON met.id = pr.b GROUP BY fell.id),
+src AS (SELECT id, unnest(['map', 's' || (n % 3)]) AS s FROM items), allof AS (SELECT id, s FROM src UNION SELECT own.taker, src.s FROM own JOIN src ON src.id = own.gone)
+SELECT id, list(s ORDER BY s) AS sources FROM allof WHERE id NOT IN (SELECT id FROM fell) GROUP BY id""")
 def without_near_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy removal, as a pass in order of richness would; tested against that pass."""
-    return resolve.dedupe_nearby(items(spark, sf_dir), richness=F.size("fine"), km=0.5).select("id", "sources")
+    """Greedy removal, as a pass in order of richness would."""
+    return resolve.dedupe_nearby(items(spark, sf_dir), richness=F.coalesce(F.size("fine"), F.lit(-1)), km=0.5).select("id", "sources")
 
 
 _HASH_SQL = "'0123456789bcdefghjkmnpqrstuvwxyz'"
@@ -281,9 +292,8 @@ w AS (SELECT child AS start, parent AS up, 1 AS depth FROM e UNION ALL SELECT st
 SELECT start, max(depth) AS depth, bool_or(up = 'r1') AS inside FROM w GROUP BY start""")
 def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a page lies below another, at most fifteen parents up."""
-    for name in ("nation", "customer", "region"):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"lf_{name}")
-    return spark.sql("""WITH RECURSIVE e AS (SELECT concat('n', n_nationkey) AS child, concat('r', n_regionkey) AS parent FROM lf_nation UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM lf_customer UNION ALL SELECT concat('r', r_regionkey), 'world' FROM lf_region),
+    tables = {name: table(spark, sf_dir, name) for name in ("nation", "customer", "region")}
+    return spark.sql("""WITH RECURSIVE e AS (SELECT concat('n', n_nationkey) AS child, concat('r', n_regionkey) AS parent FROM {nation} UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM {customer} UNION ALL SELECT concat('r', r_regionkey), 'world' FROM {region}),
 w(start, at, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT w.start, e.parent, w.depth + 1 FROM w JOIN e ON e.child = w.at WHERE w.depth < 15)
-SELECT start, max(depth) AS depth, bool_or(at = 'r1') AS inside FROM w GROUP BY start""")
+SELECT start, max(depth) AS depth, bool_or(at = 'r1') AS inside FROM w GROUP BY start""", **tables)
 

@@ -357,7 +357,13 @@ def test_simulated_walks_don_t_depend_on_tasks(spark):
     assert len(got) == 6 * 4 * 12
     table = items.orderBy("id").toPandas()
     catalogue = simulate._Catalogue(*(table[c].to_numpy() for c in ("id", "category", "sub", "lat", "lon", "popularity")))
-    want = sorted(t for p in simulate.POLICIES for seed in range(6) for t in simulate.walk(catalogue, p, seed, s))
+    kinds = sorted(set(zip(catalogue.category, catalogue.sub, strict=True)))
+
+    def start(seed):
+        at = simulate.begin(kinds, 300, seed, s)[2]
+        return catalogue.lat[at], catalogue.lon[at]
+
+    want = sorted(t for p in simulate.POLICIES for seed in range(6) for t in simulate.walk(catalogue, start(seed), kinds, 300, p, seed, s))
     assert sorted(tuple(r) for r in got) == want
     success = {p: sum(t[4] for t in want if t[0] == p) for p in simulate.POLICIES}
     assert success["learned"] >= success["fixed"] - 3
