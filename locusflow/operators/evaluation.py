@@ -115,6 +115,25 @@ def latency(rows: DataFrame, *, by: str, ms: str, failed: Column, seconds: float
     return out.withColumn("rate", F.col("n") / F.lit(float(seconds))) if seconds else out
 
 
+def two_versions(before: DataFrame, after: DataFrame, gold: DataFrame, key: str, value: str) -> DataFrame:
+    """(version, n, agreement) of two runs against a directory, over the rows that all three have."""
+    met = gold.select(key, F.col(value).alias("_g")).join(before.select(key, F.col(value).alias("_b")), key).join(after.select(key, F.col(value).alias("_a")), key)
+    both = F.array(F.struct(F.lit("before").alias("version"), F.col("_b").alias("v")), F.struct(F.lit("after").alias("version"), F.col("_a").alias("v")))
+    rows = met.select("_g", F.explode(both).alias("x")).select("_g", "x.version", "x.v")
+    return agreement(rows, "version", F.col("v").eqNullSafe(F.col("_g")))
+
+
+def scored_against(gold: DataFrame, predictions: DataFrame, key: str, label: str) -> DataFrame:
+    """`scores` over the keys that both have."""
+    return scores(gold.select(key, F.col(label).alias("gold")).join(predictions.select(key, F.col(label).alias("predicted")), key), "gold", "predicted")
+
+
+def majority_baseline(rows: DataFrame, label: str) -> DataFrame:
+    """One row (label, share): the commonest label and how often it is right."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
+    return counts.agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias(label), (F.max("n") / F.sum("n")).alias("share"))
+
+
 def compared(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, before, after, change) of two runs: added, removed, same or changed."""
     a, b = before.select(*keys, F.col(value).alias("before")), after.select(*keys, F.col(value).alias("after"))
@@ -134,10 +153,10 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.join(F.broadcast(mean)).select(label, "n", (F.col("_w") / F.col("_m")).alias("weight"))
 
 
-def simulation_summary(turns: DataFrame, by: str) -> DataFrame:
+def simulation_summary(turns: DataFrame, *by: str) -> DataFrame:
     """(by, turns, success, late_success, mean_rank, kinds, short): figures of simulated turns.
 
-    turns: chosen BOOLEAN, turn INT, rank INT, shown INT, subs INT.
+    turns: chosen BOOLEAN, turn INT, rank INT, shown INT, subs INT. `by` may name several columns, such as the day.
     """
     hit = F.col("chosen").cast("int")
-    return turns.groupBy(by).agg(F.count("*").alias("turns"), F.avg(hit).alias("success"), F.avg(F.when(F.col("turn") >= 4, hit)).alias("late_success"), F.avg(F.when(F.col("chosen"), F.col("rank"))).alias("mean_rank"), F.avg("subs").alias("kinds"), F.avg((F.col("shown") < 8).cast("int")).alias("short"))
+    return turns.groupBy(*by).agg(F.count("*").alias("turns"), F.avg(hit).alias("success"), F.avg(F.when(F.col("turn") >= 4, hit)).alias("late_success"), F.avg(F.when(F.col("chosen"), F.col("rank"))).alias("mean_rank"), F.avg("subs").alias("kinds"), F.avg((F.col("shown") < 8).cast("int")).alias("short"))

@@ -110,3 +110,35 @@ def page_after(rows: DataFrame, first: str, second: str, at: tuple, n: int, befo
     if before is not None:
         later = later.where(F.col(first) < before)
     return later.orderBy(first, second).limit(n)
+
+
+def looked_up(rows: DataFrame, dim: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows to insert with a value that the database looks up by key; rows whose key is unknown aren't inserted."""
+    return rows.join(dim.select(key, value), key)
+
+
+def unreferenced(rows: DataFrame, gone: DataFrame, column: str, key: str = "id") -> DataFrame:
+    """Rows with a reference set to null where what it points at was deleted."""
+    marked = gone.select(F.col(key).alias(column)).distinct().withColumn("_gone", F.lit(True))
+    return rows.join(marked, column, "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone").select(*rows.columns)
+
+
+def saved_places(saved: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
+    """Saved entries with their places; entries whose place left the catalogue drop out."""
+    return saved.join(items.select(F.col("id").alias("place_id"), *columns), "place_id")
+
+
+def accepted_props(props: Column, most: int = 1000) -> Column:
+    """Properties of an event as JSON, null where that is too long."""
+    text = F.to_json(props)
+    return F.when(F.length(text) <= most, text)
+
+
+def stored_profile(session: Column, *, device: Column, places: int = 2, without: tuple[str, ...] = ("candidates",)) -> Column:
+    """A session as it is kept: without passing fields, a device's position only coarsely."""
+    kept = session.dropFields(*without) if without else session
+    return F.when(device, kept.withField("lat", F.round(kept["lat"], places)).withField("lon", F.round(kept["lon"], places))).otherwise(kept)
+
+
+def month_before(day: Column) -> Column:
+    return F.date_format(F.add_months(day, -1), "yyyy-MM")

@@ -65,6 +65,36 @@ def near_any(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     return left.join(hit, "l_id", "left_semi")
 
 
+def mostly_near(left: DataFrame, right: DataFrame, size: float, by: str, share: float = 0.8) -> DataFrame:
+    """(by, n, near): groups of left rows of which at least a share has a right row in the same or an adjoining cell."""
+    hit = near_any(left, right, size).select("l_id", F.lit(1).alias("_hit"))
+    out = left.join(hit, "l_id", "left").groupBy(by).agg(F.count("*").alias("n"), F.count("_hit").alias("near"))
+    return out.where(F.col("near") >= share * F.col("n"))
+
+
+def any_name_same(a: Column, b: Column) -> Column:
+    """Whether any of several names is any of the other's; a and b are arrays of `name_keys`."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: text.same_name(x, y)))
+
+
+def all_known_keys(rows: DataFrame, dim: DataFrame, *, key: str, value: str, separator: str = ";") -> DataFrame:
+    """(id, key, value) for each element of a `a;b;c` key that the dimension holds."""
+    parts = rows.select("id", F.explode(F.array_distinct(F.transform(F.split(key, separator), lambda x: F.trim(x)))).alias(key))
+    return parts.join(dim.select(key, value), key).select("id", key, value)
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, value: str, width: int) -> DataFrame:
+    """Rows with the columns of the range (lo, hi, ...) that holds a value, nulls where none does; ranges don't overlap.
+
+    Ranges are spread over buckets of a width, so an equi-join finds the few that a value can lie in; a range
+    of many buckets costs a row each, so the width should be near the commonest length.
+    """
+    more = [c for c in ranges.columns if c not in ("lo", "hi")]
+    spread = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    hit = (F.col("_v") == F.col("_b")) & F.col(value).between(F.col("lo"), F.col("hi"))
+    return rows.withColumn("_v", F.floor(F.col(value) / width)).join(spread, hit, "left").select(*rows.columns, *more)
+
+
 def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kept): what a pass in order of rank keeps when a node falls to any kept neighbour before it.
 

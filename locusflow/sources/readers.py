@@ -50,6 +50,22 @@ def open_places(places: DataFrame, prefix: str = "Dining and Drinking") -> DataF
     return places.where(F.col("latitude").isNotNull() & fitting & F.col("date_closed").isNull() & (F.size(F.coalesce("unresolved_flags", F.array().cast("array<string>"))) == 0))
 
 
+def matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(row, vector) of a numpy file: one task reads a file, so keep large matrices as Parquet arrays."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def run(parts):
+        for part in parts:
+            for body in part["content"]:
+                x = np.load(io.BytesIO(body)).astype("float64")
+                yield pd.DataFrame({"row": np.arange(len(x)), "vector": list(x)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row bigint, vector array<double>")
+
+
 def xml_pages(spark: SparkSession, path: str, tag: str = "page") -> DataFrame:
     """A dump of pages, compressed or not, one row each."""
     return spark.read.format("xml").option("rowTag", tag).load(path)

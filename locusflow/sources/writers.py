@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.evaluation import content_hash
+from ..operators.ordered import numbered
 
 
 def parquet(rows: DataFrame, path: str, *, mode: str = "overwrite", by: list[str] | None = None) -> None:
@@ -26,9 +27,36 @@ def csv(rows: DataFrame, path: str, *, order: list[str] | None = None, mode: str
     rows.write.mode(mode).option("header", True).csv(path)
 
 
-def by_day(rows: DataFrame, path: str, ts: str, mode: str = "append") -> None:
-    """gzip JSON lines under date=..., each row by its own day."""
-    rows.withColumn("date", F.to_date(ts)).write.mode(mode).partitionBy("date").option("compression", "gzip").json(path)
+def by_day(rows: DataFrame, path: str, ts: str, number: int) -> None:
+    """gzip JSON lines under date=.../batch=number, each row by its own day; the same number again replaces what it wrote."""
+    dated = rows.withColumns({"date": F.to_date(ts), "batch": F.lit(number)})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").option("compression", "gzip").json(path)
+
+
+def verified_by_day(rows: DataFrame, path: str, ts: str, number: int, schema: str) -> int:
+    """`by_day`, then read again: fails unless as many rows are there as were written. Gives their number."""
+    seen = Observation(f"written-{number}")
+    by_day(rows.observe(seen, F.count(F.lit(1)).alias("n")), path, ts, number)
+    wrote = seen.get["n"]
+    if wrote:
+        again = rows.sparkSession.read.schema(f"{schema}, date date, batch int").json(path).where(F.col("batch") == number).count()
+        if again != wrote:
+            raise OSError(f"batch {number}: {wrote} rows were written, {again} are there")
+    return wrote
+
+
+def json_array(rows: DataFrame, path: str, *, order: list[str]) -> None:
+    """One JSON array in one text file, a row a line, in order: for catalogues that a client reads whole.
+
+    The lines are sorted and written by tasks; only the brackets and commas depend on a row's neighbours.
+    """
+    lines = numbered(rows, order, "_place").select("_place", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
+    last = lines.agg(F.max("_place").alias("_last"))
+    opened = F.when(F.col("_place") == 0, "[").otherwise("")
+    closed = F.when(F.col("_place") == F.col("_last"), "]").otherwise(",")
+    whole = lines.join(F.broadcast(last)).select("_place", F.concat(opened, "line", closed).alias("value"))
+    empty = rows.sparkSession.range(1).where(F.lit(rows.isEmpty())).select(F.lit(0).cast("bigint").alias("_place"), F.lit("[]").alias("value"))
+    whole.unionByName(empty).repartition(1).sortWithinPartitions("_place").select("value").write.mode("overwrite").text(path)
 
 
 def manifest(outputs: dict[str, DataFrame]) -> dict[str, dict]:

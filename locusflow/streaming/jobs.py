@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.profile import Profile, step
+from ..sources.writers import verified_by_day
 
 
 def log_stream(spark: SparkSession, path: str, schema: str, *, files: int = 1, fmt: str = "json") -> DataFrame:
@@ -19,16 +20,15 @@ def log_stream(spark: SparkSession, path: str, schema: str, *, files: int = 1, f
 
 
 def export_by_day(rows: DataFrame, path: str, checkpoint: str, *, ts: str = "created_at") -> StreamingQuery:
-    """Rows into date=.../batch=N folders as gzip JSON lines, each row under its own day.
+    """Rows into date=.../batch=N folders as gzip JSON lines, each row under its own day, counted again after writing.
 
     A batch writes the same folders when it runs again, replacing what a broken attempt left, so every row
-    is there once. Only one query can own a checkpoint.
+    is there once. Only one query can own a checkpoint; where the checkpoint is broken the query doesn't start.
     """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def write(batch: DataFrame, number: int) -> None:
-        dated = batch.withColumns({"date": F.to_date(ts), "batch": F.lit(number)})
-        out = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch")
-        out.option("compression", "gzip").json(path)
+        verified_by_day(batch, path, ts, number, schema)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -40,6 +40,43 @@ def settled(rows: DataFrame, after: str | None, now: str, *, ts: str = "created_
     return out.where(F.col(ts) > F.lit(after).cast("timestamp")) if after else out
 
 
+def export_table(table: DataFrame, path: str, state: str, now: str, *, ts: str = "created_at", key: str = "id", lag_seconds: int = 120) -> int:
+    """One run of a cursor export of a table: rows past the last run's cursor and older than the lag, under the next batch number.
+
+    The cursor (ts, key) and the number are a Parquet row in `state`, written to a new folder after the batch is
+    there: a run that broke in between writes the same batch again. A broken newest folder falls back to the
+    one before it. Gives the number of rows.
+    """
+    spark = table.sparkSession
+    last = _cursor(spark, state)
+    rows = table.where(F.col(ts) < F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(lag_seconds)))
+    if last is not None:
+        at = F.lit(last["ts"]).cast("timestamp")
+        rows = rows.where((F.col(ts) > at) | ((F.col(ts) == at) & (F.col(key) > last["key"])))
+    number = 0 if last is None else last["number"] + 1
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
+    wrote = verified_by_day(rows, path, ts, number, schema)
+    if wrote:
+        newest = rows.agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(key).alias("key"))).alias("at"))
+        newest.select("at.ts", "at.key", F.lit(number).alias("number")).coalesce(1).write.mode("overwrite").parquet(f"{state}/cursor-{number:012d}")
+    return wrote
+
+
+def _cursor(spark: SparkSession, state: str):
+    """The row of the newest whole cursor folder; null on the first run; fails where folders are there and none is whole."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(state)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted((s.getPath().getName() for s in fs.listStatus(folder)), reverse=True) if fs.exists(folder) else []
+    for name in (n for n in names if n.startswith("cursor-")):
+        try:
+            return spark.read.parquet(f"{state}/{name}").first().asDict()
+        except Exception:  # a folder without a whole file: the run that made it broke
+            continue
+    if names:
+        raise OSError(f"no cursor in {state} can be read")
+    return None
+
+
 def window_counts(rows: DataFrame, *, key: str, ts: str, width: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
     """(key, begin, n) per fixed window; in a stream the watermark bounds its state."""
     at = rows.withWatermark(ts, late) if rows.isStreaming else rows
