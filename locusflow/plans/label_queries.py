@@ -214,12 +214,10 @@ def seen_in_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey < 500 THEN 'A' WHEN o_custkey BETWEEN 500 AND 899 THEN 'B' WHEN o_custkey BETWEEN 1000 AND 1300 THEN 'C' END AS country FROM orders")
 def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges keyed by prefix, so that an equi-join finds the few a value can lie in."""
+    """The range that holds a value, by an equi-join on buckets."""
     ranges = spark.createDataFrame([(0, 499, "A"), (500, 899, "B"), (1000, 1300, "C")], "lo long, hi long, country string")
-    spread = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / 100), F.floor(F.col("hi") / 100))))
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey").withColumn("bucket", F.floor(F.col("o_custkey") / 100))
-    hit = (rows["bucket"] == spread["bucket"]) & F.col("o_custkey").between(F.col("lo"), F.col("hi"))
-    return rows.join(spread, hit, "left").select("id", "country")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    return resolve.in_ranges(rows, ranges, "o_custkey", 100).select("id", "country")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT category, count(*) AS n, count(*) FILTER (WHERE cuisine = 'unknown') AS unknown, round(avg(lat), 5) AS lat, round(avg(popularity), 5) AS popularity, count(DISTINCT sub) AS subs FROM items GROUP BY ALL")
