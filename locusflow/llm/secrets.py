@@ -63,7 +63,7 @@ def allowed(s: str) -> bool:
 
 _CANDIDATE = np.zeros(256, dtype=bool)
 _CANDIDATE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_CLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+_CLOG = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # one more: a character comes in before one goes
 Span = tuple[str, int, int]
 
 
