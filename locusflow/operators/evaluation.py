@@ -48,7 +48,7 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """One row (auc) by rank sums with mean ranks for ties, from counts per distinct score."""
     counts = rows.groupBy(F.col(score).alias("_s")).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("p"), F.sum((F.col(label) != 1).cast("bigint")).alias("q"))
     sums = running_totals(counts, ["_s"], ["q"]).agg(F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2)).alias("_u"), F.sum("p").alias("_np"), F.sum("q").alias("_nq"))
-    return sums.select((F.col("_u") / (F.col("_np") * F.col("_nq"))).alias("auc"))
+    return sums.select(F.try_divide(F.col("_u"), F.col("_np") * F.col("_nq")).alias("auc"))
 
 
 def neighbours(queries: DataFrame, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, places: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -37,7 +37,7 @@ def log_ratio(a: Column, b: Column) -> Column:
 
 def own_ratio(series: DataFrame, key: str, value: str) -> DataFrame:
     """`ratio`: a value over the mean of its own series."""
-    return series.withColumn("ratio", F.col(value) / F.avg(value).over(Window.partitionBy(key)))
+    return series.withColumn("ratio", F.try_divide(F.col(value), F.avg(value).over(Window.partitionBy(key))))
 
 
 def seasonality(series: DataFrame, key: str, value: str, month: Column, *, least_months: int = 12, least_total: float = 1200) -> DataFrame:
@@ -77,7 +77,7 @@ def trend(series: DataFrame, key: str, value: str, period: Column, *, epsilon: f
     years = [F.sum(F.when(period == p, F.col(value)).otherwise(0)) for p in (1, 2, 3)]
     rows = series.groupBy(key).agg(*(y.cast("double").alias(f"y{p}") for p, y in enumerate(years, 1)), *([peak.alias("peak")] if peak is not None else []))
     totals = series.agg(*(y.cast("double").alias(f"t{p}") for p, y in enumerate(years, 1)))
-    rows = rows.join(F.broadcast(totals)).withColumns({f"s{p}": F.col(f"y{p}") / F.col(f"t{p}") for p in (1, 2, 3)})
+    rows = rows.join(F.broadcast(totals)).withColumns({f"s{p}": F.try_divide(F.col(f"y{p}"), F.col(f"t{p}")) for p in (1, 2, 3)})
     change = (F.col("s3") + epsilon) / (F.col("s1") + epsilon)
     kind = F.when(change >= 1.3, "rising").when(change >= 1.15, "growing").when(change <= 1 / 1.3, "falling").otherwise("steady")
     if peak is not None:
@@ -93,10 +93,10 @@ def growth(series: DataFrame, key: str, before: Column, after: Column, smoothing
 
 
 def clipped_scale(rows: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """`scaled`: log1p of the value, cut to its low and high nearest-rank quantiles, onto 0.2 .. 1.0."""
+    """`scaled`: log1p of the value, cut to its low and high nearest-rank quantiles, onto 0.2 .. 1.0 (0.2 where the cuts are equal)."""
     marks = nearest_rank(rows, value, [low, high]).agg(F.log1p(F.min(value)).alias("_lo"), F.log1p(F.max(value)).alias("_hi"))
-    x = (F.log1p(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    return rows.join(F.broadcast(marks)).withColumn("scaled", 0.2 + 0.8 * F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).drop("_lo", "_hi")
+    x = (F.log1p(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    return rows.join(F.broadcast(marks)).withColumn("scaled", 0.2 + 0.8 * F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).drop("_lo", "_hi")
 
 
 def peak_month(values: Column) -> Column:
