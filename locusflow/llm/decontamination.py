@@ -79,11 +79,10 @@ def anchors(bench: DataFrame, *, item: str = "item_id", text: str = "text", wind
     )
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, anchor: int = ANCHOR, broadcast_bytes: int = BROADCAST_BYTES, only_hit: bool = False) -> DataFrame:
+def find_hits(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, anchor: int = ANCHOR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row per distinct (key, text): (k, text_hash, text_length, copies, n_words, hits, items).
 
     `hits` are the word positions inside occurrences of windows, `items` the items' ids as strings.
-    `only_hit` leaves out documents without hits (copies and n_words are then not counted).
     """
     found = anchors(bench, item=item, text=text, window=window, anchor=anchor)
     letters = F.sum(F.aggregate("a_words", F.lit(0), lambda n, w: n + F.octet_length(w) + F.lit(16)))
@@ -98,7 +97,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: s
         slices = 1 if whole else max(1, -(-HASH_BYTES * sizes[size][0] // max(broadcast_bytes, HASH_BYTES)))
         for s in range(slices):
             # The first pass has a position -1 for every document: it matches nothing and keeps the document.
-            first = -1 if number == 0 and s == 0 and not only_hit else 0
+            first = -1 if number == 0 and s == 0 else 0
             at = scanned.where(F.size("h") >= size) if first == 0 else scanned
             at = at.withColumn("pos", F.explode(F.sequence(F.lit(first), F.greatest(F.size("h") - size, F.lit(first)))))
             at = at.withColumn("a_hash", F.when(F.col("pos") >= 0, F.xxhash64(*(F.get("h", F.col("pos") + i) for i in range(size)))))
@@ -116,8 +115,6 @@ def find_hits(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: s
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    if only_hit:
-        rows = rows.where(F.col("item").isNotNull())
     return rows.groupBy("k", "text_hash", "text_length").agg(
         F.count("n_words").alias("copies"),
         F.max("n_words").alias("n_words"),
@@ -153,7 +150,7 @@ def remove_spans(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text
     Documents without hits pass unchanged; documents left without a word go. Documents with hits are
     few: their positions are written to a checkpoint, measured, and broadcast where the bound allows.
     """
-    hits = find_hits(docs, bench, key=key, text=text, broadcast_bytes=broadcast_bytes, only_hit=True, **options).select("k", "text_hash", "text_length", "hits")
+    hits = find_hits(docs, bench, key=key, text=text, broadcast_bytes=broadcast_bytes, **options).where(F.size("hits") > 0).select("k", "text_hash", "text_length", "hits")
     hits = cut(hits)
     took = hits.agg(F.sum(F.size("hits") * 8 + ANCHOR_BYTES)).first()[0] or 0
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("own_k"), F.xxhash64(text).alias("own_hash"), F.length(text).alias("own_length"))
