@@ -121,9 +121,9 @@ def sparkline(values: Column, bars: str = "▁▂▃▄▅▆▇█") -> Column:
 
 
 def template_fields(body: Column) -> Column:
-    """Map of `k=v` parts cut at bars outside [[links]]."""
+    """Map of `k=v` parts cut at bars outside [[links]]; keys are in lower case, of equal ones the last counts."""
     parts = F.filter(F.split(body, r"\|(?![^\[]*\]\])"), lambda x: F.contains(x, F.lit("=")))
-    pairs = F.transform(parts, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^=]*)=", 1)).alias("k"), F.trim(F.regexp_extract(x, r"(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    pairs = F.transform(parts, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^([^=]*)=", 1))).alias("k"), F.trim(F.regexp_extract(x, r"(?s)^[^=]*=(.*)$", 1)).alias("v")))
     kept = F.filter(pairs, lambda p: p["k"] != "")
     return F.aggregate(kept, F.expr("cast(map() as map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_key
+from ..functions.text import first_key, template_fields
 
 
 @dataclass(frozen=True)
@@ -104,3 +104,20 @@ def explicit_first(fine: Column, first: Column, parents: dict[str, str], parent:
     """A fine code moved to the front of those that share the parent."""
     known = F.create_map(*(F.lit(x) for pair in parents.items() for x in pair))
     return F.concat(F.array(first), F.filter(fine, lambda f: (f != first) & (F.try_element_at(known, f) == parent)))
+
+
+def listings(pages: DataFrame, key: str, body: str, *, kinds: tuple[str, ...] = ("eat", "drink"), open_kind: str = "listing") -> DataFrame:
+    """(key, place, kind, section, fields) of templates on pages, in order, with a name.
+
+    A template of an open kind counts only in a section named like one of the kinds, and is of that kind.
+    Headings and templates are taken in one pass; the heading in force comes from a running window per page.
+    """
+    tokens = r"(?is)((?:^|\n)==\s*[^=]+?\s*==|\{\{\s*(?:" + "|".join((*kinds, open_kind)) + r")\s*\|(?:[^{}]|\{\{[^{}]*\}\})*\}\})"
+    parts = pages.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(tokens), F.lit(1))).alias("place", "token"))
+    heading = F.when(~F.startswith("token", F.lit("{{")), F.lower(F.trim(F.regexp_extract("token", r"==\s*([^=]+?)\s*==", 1))))
+    sofar = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = parts.withColumn("section", F.last(heading, ignorenulls=True).over(sofar)).where(F.startswith("token", F.lit("{{")))
+    named = F.lower(F.regexp_extract("token", r"^\{\{\s*(\w+)", 1))
+    inside = F.regexp_extract("token", r"(?s)^\{\{\s*\w+\s*\|(.*)\}\}$", 1)
+    rows = placed.select(key, "place", F.when(named == open_kind, F.col("section")).otherwise(named).alias("kind"), "section", template_fields(inside).alias("fields"))
+    return rows.where(F.col("kind").isin(*kinds) & F.coalesce(F.try_element_at("fields", F.lit("name")) != "", F.lit(False)))

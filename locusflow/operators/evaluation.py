@@ -153,10 +153,14 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.join(F.broadcast(mean)).select(label, "n", (F.col("_w") / F.col("_m")).alias("weight"))
 
 
-def simulation_summary(turns: DataFrame, *by: str) -> DataFrame:
-    """(by, turns, success, late_success, mean_rank, kinds, short): figures of simulated turns.
+def simulation_summary(turns: DataFrame, *by: str, plain_food: Column | None = None, complied: Column | None = None) -> DataFrame:
+    """(by, turns, success, late_success, mean_rank, kinds, short[, food_success][, compliance]): figures of simulated turns.
 
     turns: chosen BOOLEAN, turn INT, rank INT, shown INT, subs INT. `by` may name several columns, such as the day.
+    plain_food: whether a turn asks for food without a kind; complied: whether a list keeps to what was asked, null where
+    nothing was.
     """
+    more = [F.avg(F.when(plain_food, F.col("chosen").cast("int"))).alias("food_success")] if plain_food is not None else []
+    more += [F.avg(complied.cast("int")).alias("compliance")] if complied is not None else []
     hit = F.col("chosen").cast("int")
-    return turns.groupBy(*by).agg(F.count("*").alias("turns"), F.avg(hit).alias("success"), F.avg(F.when(F.col("turn") >= 4, hit)).alias("late_success"), F.avg(F.when(F.col("chosen"), F.col("rank"))).alias("mean_rank"), F.avg("subs").alias("kinds"), F.avg((F.col("shown") < 8).cast("int")).alias("short"))
+    return turns.groupBy(*by).agg(F.count("*").alias("turns"), F.avg(hit).alias("success"), F.avg(F.when(F.col("turn") >= 4, hit)).alias("late_success"), F.avg(F.when(F.col("chosen"), F.col("rank"))).alias("mean_rank"), F.avg("subs").alias("kinds"), F.avg((F.col("shown") < 8).cast("int")).alias("short"), *more)

@@ -68,6 +68,22 @@ def share_labels(rows: DataFrame, key: str, value: str, share: float = 0.2) -> D
     return kept.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("labels"))
 
 
+def dataset(rows: DataFrame, name: Column, key: Column, fine: str, *, cap: int, share: float = 0.2, validation: float = 0.05, order: Column | None = None) -> DataFrame:
+    """(name, label, labels, part): one training row a name from the fine codes of the places that bear it.
+
+    The label is the commonest first code of a name's places (of equals the smaller), labels are it and, sorted, every
+    other code that a share of the places has; classes are cut to `cap` names in an order, by default one by hash.
+    Names are compared after trimming; those whose key is empty, and places without a code, stay out.
+    """
+    known = rows.select(F.trim(name).alias("name"), F.col(fine).alias("_f"), key.alias("_k")).where((F.size("_f") > 0) & (F.col("_k") != ""))
+    places = known.groupBy("name").agg(F.count("*").alias("_of"))
+    first = known.groupBy("name", F.get("_f", F.lit(0)).alias("label")).agg(F.count("*").alias("_n")).groupBy("name").agg(F.min_by("label", F.struct(-F.col("_n"), F.col("label"))).alias("label"))
+    codes = known.select("name", F.explode(F.array_distinct("_f")).alias("code")).groupBy("name", "code").agg(F.count("*").alias("_n")).join(places, "name").where(F.col("_n") >= share * F.col("_of"))
+    others = codes.groupBy("name").agg(F.array_sort(F.collect_list("code")).alias("_codes"))
+    whole = first.join(others, "name", "left").select("name", "label", F.concat(F.array("label"), F.filter(F.coalesce("_codes", F.array().cast("array<string>")), lambda c: c != F.col("label"))).alias("labels"))
+    return capped(whole, "label", [order if order is not None else F.md5(F.col("name").cast("binary")), F.col("name")], cap, validation)
+
+
 def capped(rows: DataFrame, by: str, order: list[Column], cap: int, validation: float = 0.05) -> DataFrame:
     """At most `cap` rows a class in the given order; `part` is val for the first share of them, else train."""
     window = Window.partitionBy(by).orderBy(*order)

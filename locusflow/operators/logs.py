@@ -99,6 +99,12 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], seq: str) -> D
     return newest.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*table.columns)
 
 
+def counted_up(counts: DataFrame, events: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Counters after more events: an event adds one to its key's counter, or opens it."""
+    more = events.groupBy(*keys).agg(F.count("*").alias(n))
+    return counts.select(*keys, n).unionByName(more).groupBy(*keys).agg(F.sum(n).alias(n))
+
+
 def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.unionByName(rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti").select(*table.columns))
 

@@ -203,3 +203,50 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = text.map_string(F.create_map(F.lit("k"), F.lit("v"), F.lit("w"), n.cast("string")))
     first, second = F.when(n % 6 == 0, F.concat(F.lit("q"), n.cast("string"))), F.when(n % 6 == 3, F.concat(F.lit("q"), n.cast("string")))
     return table(spark, sf_dir, "pages").select("page_id", text.unescape(raw).alias("plain"), tags.alias("tags"), F.coalesce(first, second).alias("snippet"))
+
+
+_WIKI = "'intro {{eat|name=A' || p_partkey || '|price=x}}' || chr(10) || '== Eat ==' || chr(10) || '{{Listing | NAME=' || p_name || ' | alt=[[a|b]] | lat=1}} {{listing|lat=2}}' || chr(10) || '== See ==' || chr(10) || '{{listing|name=no}}{{drink|name=D|name=E' || p_size || '}}'"
+
+
+@query("SELECT p_partkey AS page, unnest([0, 2, 6]) AS place, unnest(['eat', 'eat', 'drink']) AS kind, unnest([NULL, 'eat', 'see']) AS section, unnest(['A' || p_partkey, p_name, 'E' || p_size]) AS name, unnest([NULL, '[[a|b]]', NULL]) AS alt FROM part")
+def page_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates on pages with the section they stand in."""
+    from ..operators import build
+
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.expr(_WIKI.replace("chr(10)", "char(10)")).alias("body"))
+    field = lambda k: F.try_element_at("fields", F.lit(k))
+    return build.listings(pages, "page", "body").select("page", "place", "kind", "section", field("name").alias("name"), field("alt").alias("alt"))
+
+
+@query("""WITH r AS (SELECT p_name AS name, CASE WHEN p_size % 5 = 0 THEN ['f' || (p_size % 3), 'f' || (p_partkey % 4)] WHEN p_size % 7 > 0 THEN ['f' || (p_size % 3)] ELSE [] END AS fine FROM part), k AS (SELECT name, list_distinct(fine) AS fine, fine[1] AS first FROM r WHERE len(fine) > 0),
+o AS (SELECT name, count(*) AS whole FROM k GROUP BY name), c1 AS (SELECT name, first, count(*) AS n FROM k GROUP BY ALL), l AS (SELECT name, arg_min(first, (-n, first)) AS label FROM c1 GROUP BY name),
+c AS (SELECT name, code, count(*) AS n FROM (SELECT name, unnest(fine) AS code FROM k) GROUP BY ALL), x AS (SELECT c.name, list(code ORDER BY code) FILTER (WHERE code <> label) AS others FROM c JOIN o USING (name) JOIN l USING (name) WHERE n >= 0.2 * whole GROUP BY c.name),
+w AS (SELECT l.name, label, list_concat([label], coalesce(others, [])) AS labels, row_number() OVER (PARTITION BY label ORDER BY md5(l.name), l.name) AS p FROM l LEFT JOIN x USING (name)), q AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM w WHERE p <= 20)
+SELECT name, label, array_to_string(labels, ',') AS labels, CASE WHEN p <= greatest(1, floor(n * 0.05::DOUBLE)) THEN 'val' ELSE 'train' END AS part FROM q""")
+def name_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training set of names from the codes of the places that bear them."""
+    from ..operators import labels
+
+    size = F.col("p_size")
+    code = lambda x: F.concat(F.lit("f"), x.cast("string"))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("name"), F.when(size % 5 == 0, F.array(code(size % 3), code(F.col("p_partkey") % 4))).when(size % 7 > 0, F.array(code(size % 3))).otherwise(F.array().cast("array<string>")).alias("fine"))
+    out = labels.dataset(rows, F.col("name"), text.bare(F.col("name")), "fine", cap=20)
+    return out.select("name", "label", F.array_join("labels", ",").alias("labels"), "part")
+
+
+@query("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE event_id % 3 <> 1 GROUP BY ALL")
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counters after a second lot of events."""
+    from ..operators import logs
+
+    ev = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
+    have = ev.where("event_id % 3 = 0").groupBy("user_id", "day").agg(F.count("*").alias("n"))
+    return logs.counted_up(have, ev.where("event_id % 3 = 2"), ["user_id", "day"])
+
+
+@query(f"WITH {EVENTS_SQL} SELECT type AS policy, round(avg((value > 30)::INT) FILTER (WHERE k % 3 = 0 AND k % 4 > 0), 5) AS food_success, round(avg(CASE WHEN k % 5 > 0 THEN (k % 2 = 0)::INT END), 5) AS compliance FROM ev GROUP BY ALL")
+def simulation_food(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    t = events(spark, sf_dir).select(F.col("type").alias("policy"), (F.col("value") > 30).alias("chosen"), F.lit(1).alias("turn"), F.lit(1).alias("rank"), F.lit(8).alias("shown"), F.lit(1).alias("subs"), k)
+    out = e.simulation_summary(t, "policy", plain_food=(k % 3 == 0) & (k % 4 > 0), complied=F.when(k % 5 > 0, k % 2 == 0))
+    return out.select("policy", F.round("food_success", 5).alias("food_success"), F.round("compliance", 5).alias("compliance"))

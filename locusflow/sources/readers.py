@@ -30,9 +30,9 @@ def json_lines_first(spark: SparkSession, path: str, schema: str, key: str) -> D
     return first_wins(json_lines(spark, path, schema, seq=True), [key], "_seq")
 
 
-def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header; a byte order mark doesn't become part of the first name."""
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"')
+def csv(spark: SparkSession, path: str, schema: str | None = None, *, line_breaks: bool = False) -> DataFrame:
+    """CSV with a header; a byte order mark doesn't become part of the first name. `line_breaks`: values may hold some, so files aren't split."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", line_breaks).option("escape", '"')
     rows = reader.schema(schema).csv(path) if schema else reader.csv(path)
     return rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
 
