@@ -10,13 +10,13 @@ OUTCOMES = {"select": "selected", "save": "saved", "skip": "skipped", "card_open
 
 
 def outcomes(turns: DataFrame, reactions: DataFrame, *, schema: str = CANDIDATE, kinds: dict[str, str] | None = None) -> DataFrame:
-    """A row per shown candidate with whether each kind of reaction followed.
+    """A row per shown candidate with whether each kind of reaction followed; turns: a row a turn.
 
     Reactions are reduced to a row per (turn, place) before the join, so a place with very many costs
     one row a task. Equal candidates of one turn collapse; without reactions every flag is false.
     """
     kinds = kinds or OUTCOMES
-    shown = turns.withColumn("c", F.explode(F.from_json("candidates", schema))).drop("candidates").select("*", "c.*").drop("c").distinct()
+    shown = turns.withColumn("c", F.explode(F.array_distinct(F.from_json("candidates", schema)))).drop("candidates").select("*", "c.*").drop("c")
     flags = reactions.where(F.col("turn_id").isNotNull()).groupBy("turn_id", "place_id").agg(*(F.bool_or(F.col("type") == k).alias(v) for k, v in kinds.items()))
     joined = shown.join(flags, ["turn_id", "place_id"], "left")
     return joined.withColumns({v: F.coalesce(v, F.lit(False)) for v in kinds.values()})

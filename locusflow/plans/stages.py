@@ -6,11 +6,11 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.evaluation import content_hash
+from ..sources.writers import text_file
 
 Build = Callable[[SparkSession, dict[str, DataFrame]], DataFrame]
 
@@ -80,9 +80,7 @@ class Runner:
 
     def save_manifest(self, path: str) -> dict[str, dict]:
         now = self.manifest()
-        part = Path(path + ".part")
-        part.write_text(json.dumps(now, indent=1, sort_keys=True))
-        part.replace(path)
+        text_file(self.spark, path, json.dumps(now, indent=1, sort_keys=True))
         return now
 
     @staticmethod

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluation import content_hash
@@ -64,7 +64,19 @@ def manifest(outputs: dict[str, DataFrame]) -> dict[str, dict]:
     return {name: content_hash(rows).first().asDict() for name, rows in outputs.items()}
 
 
+def text_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small text in whatever store the path names: written beside, then renamed."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    part, whole = paths(path + ".part"), paths(path)
+    fs = whole.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(whole, False)
+    if not fs.rename(part, whole):
+        raise OSError(f"{path} can't be written")
+
+
 def report(row: DataFrame, path: str) -> None:
     """A one-row summary as a JSON file."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(json.loads(row.toJSON().first()), f, ensure_ascii=False, indent=1, sort_keys=True)
+    text_file(row.sparkSession, path, json.dumps(json.loads(row.toJSON().first()), ensure_ascii=False, indent=1, sort_keys=True))

@@ -326,7 +326,8 @@ def test_stage_runner(spark, tmp_path):
     assert runner.run(["b"])["b"]["state"] == "skipped" and runner.status()["c"] == "missing"
     with pytest.raises(PermissionError):
         runner.run(["c"])
-    first = runner.manifest()
+    first = runner.save_manifest(str(tmp_path / "manifest.json"))
+    assert json.loads((tmp_path / "manifest.json").read_text()) == first
     runner.run(["a"], force=True)
     assert Runner.compare(first, runner.manifest()) == {"a": "same", "b": "same"}
     with pytest.raises(ValueError):
