@@ -3,7 +3,9 @@
 Texts are cut at safe boundaries into words (the vocabulary's tokenizer drops white space and no
 token spans it), the distinct words of a block that are not yet known go to the tokenizer in batches
 balanced by bytes, and a text's length is the sum over its words. A worker remembers the lengths of a
-bounded number of words (`Memo`); results don't depend on it.
+bounded number of words (`Memo`); results don't depend on it. A word of more than `LONG_PIECE` characters (a text
+without white space) is cut again where the vocabulary's pre-tokenizer always begins a new piece: between ASCII
+letters and digits, and after East Asian punctuation that a letter follows.
 
 Cases: a null or empty text has no tokens; special strings inside a text count as the tokenizer's
 default has them (they hold no white space, so a cut never splits one); repeated rows give repeated
@@ -27,6 +29,8 @@ MAX_TOKENS = 2048
 BATCH_BYTES = 1 << 16
 MEMO_WORDS = 300_000
 LONG_WORD = 64
+LONG_PIECE = 4_096
+SAFE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[。、，．！？「」])(?=[^\W\d_])")
 SPACES = re.compile(r"[\t\n\x0b\x0c\r ]+")
 
 
@@ -80,11 +84,12 @@ def by_bytes(items: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
     batch: list[str] = []
     size = 0
     for item in items:
-        if batch and size + len(item) > most:
+        n = len(item.encode())
+        if batch and size + n > most:
             yield batch
             batch, size = [], 0
         batch.append(item)
-        size += len(item)
+        size += n
     if batch:
         yield batch
 
@@ -98,12 +103,26 @@ def split(text: str | None) -> list[str]:
     return text.split()
 
 
+def encoded_lengths(tokenizer, pieces: list[str]) -> list[int]:
+    """Tokens of each piece, in batches of about equal bytes."""
+    return [len(e) for batch in by_bytes(pieces) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+
+
+def safe_pieces(word: str) -> list[str]:
+    """A long word cut where the pre-tokenizer always cuts; one that may hold a special string stays whole."""
+    return [word] if "<|" in word else SAFE.split(word)
+
+
 def lengths(texts: list[str | None], path: str) -> list[int]:
     """Tokens of each whole text."""
     tokenizer, memo = load(path)
     cut = [split(text) for text in texts]
-    for batch in by_bytes(memo.missing({w for ws in cut for w in ws})):
-        memo.update(zip(batch, map(len, tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
+    missing = memo.missing({w for ws in cut for w in ws})
+    whole = [w for w in missing if len(w) <= LONG_PIECE]
+    memo.update(zip(whole, encoded_lengths(tokenizer, whole), strict=True))
+    for w in missing:
+        if len(w) > LONG_PIECE:
+            memo[w] = sum(encoded_lengths(tokenizer, safe_pieces(w)))
     out = [sum(map(memo.__getitem__, ws)) for ws in cut]
     memo.trim()
     return out
