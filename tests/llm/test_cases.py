@@ -306,3 +306,53 @@ def test_packing_wastes_little_however_rows_are_dealt(spark, tmp_path):
 def test_folds_are_those_of_the_contract():
     keys = list(range(50))
     assert lm.in_training(keys).tolist() == [zlib.crc32(str(k).encode()) % 7 != 2 for k in keys]
+
+
+def test_long_words_are_cut_where_the_tokenizer_cuts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_counts.VOCABULARY)
+    t, d = Tokenizer.from_file(path), random.Random(61)
+    alphabet = "ab1Z9é日本語。、！「」かŃ' ́ｱ.-ß".replace(" ", "")
+    texts = ["".join(d.choice(alphabet) for _ in range(6000)) for _ in range(20)] + ["日本語の文。" * 2000, "x1" * 5000, "<|endoftext|>a1" * 900, "a" * 9000]
+    assert token_counts.lengths(texts, path) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert max(map(len, token_counts.safe_pieces(texts[0]))) < 400
+
+
+def plain_score(model, text):
+    """The network step by step, one window after the other, from words found by a pattern."""
+    p = model.params
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    words = re.findall("[0-9A-Za-z\\u0080-\\U0010ffff]+", text)
+    rows = []
+    for w in words:  # inputs of a word alone are those of the word in its text
+        x, _ = model.inputs(toxicity.read_text(w))
+        rows.append(x[0])
+    best = 0.0
+    for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        window = rows[at : at + toxicity.WINDOW]
+        if not window:
+            continue
+        states = {}
+        for d, order in (("f", window), ("b", window[::-1])):
+            h, out = np.zeros(toxicity.HIDDEN), []
+            for x in order:
+                a, b = x @ p["W" + d] + p["c" + d], h @ p["U" + d]
+                n = toxicity.HIDDEN
+                z, r = sig(a[:n] + b[:n]), sig(a[n : 2 * n] + b[n : 2 * n])
+                h = z * h + (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :])
+                out.append(h)
+            states[d] = out
+        h = np.array([np.concatenate([f, b]) for f, b in zip(states["f"], states["b"][::-1], strict=True)])
+        e = np.exp(np.tanh(h @ p["A"]) @ p["v"])
+        best = max(best, float(sig((e / e.sum()) @ h @ p["u"] + p["o"][0])))
+    return best
+
+
+def test_toxicity_scores_equal_a_plain_network():
+    d = random.Random(71)
+    texts = [" ".join(d.choices(VOCABULARY, k=d.randrange(20, 90))) + (" zorgle quivexly" if i % 3 == 0 else "") for i in range(150)]
+    model = toxicity.train(texts, [int(i % 3 == 0) for i in range(150)], 1 / 3)
+    some = ["", "one", " ".join(VOCABULARY[:48]), " ".join(VOCABULARY[:49]), " ".join(VOCABULARY[:81]), texts[0] * 3, "Zorgle, ZORGLES! é日本 x-y_z 12"]
+    got = np.concatenate([toxicity.score_block(model, b) for b in blocks(pa.array(some))])
+    assert np.allclose(got, [plain_score(model, t) for t in some], atol=1e-4) and got[5] > 0.5
