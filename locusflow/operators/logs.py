@@ -148,3 +148,18 @@ def stored_profile(session: Column, *, device: Column, places: int = 2, without:
 
 def month_before(day: Column) -> Column:
     return F.date_format(F.add_months(day, -1), "yyyy-MM")
+
+
+def stamped(rows: DataFrame, versions: dict[str, str]) -> DataFrame:
+    """Rows with the versions of what made them, as one struct."""
+    return rows.withColumn("versions", F.struct(*(F.lit(v).alias(k) for k, v in versions.items())))
+
+
+def without_actors(rows: DataFrame, actors: DataFrame, actor: str = "actor") -> DataFrame:
+    """Rows of a log but those of some actors; rows without an actor stay."""
+    return rows.join(actors.select(F.col("actor").alias("_a")).distinct(), F.col(actor) == F.col("_a"), "left_anti")
+
+
+def picked(shown: Column, number: Column) -> Column:
+    """The entry of a shown list by its number from 1; null beyond it."""
+    return F.when(number > 0, F.try_element_at(shown, number))

@@ -287,3 +287,24 @@ def array_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(F.array_remove("fine", F.lit("f3")), ",").alias("without"), F.array_join(front, ",").alias("front"), F.array_join(F.array_sort(names), "|").alias("names"))
 
 
+
+
+@query("SELECT event_id, 'm1' AS model, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 5 BETWEEN 1 AND 3 THEN ['x', 'y', 'z'][CAST(json_extract_string(props, '$.k') AS INT) % 5] END AS card FROM events WHERE user_id % 7 <> 3")
+def cleaned_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log without test users, stamped with versions, and the card that was picked by its number."""
+    ev = events(spark, sf_dir)
+    left = logs.stamped(logs.without_actors(ev, ev.where("actor % 7 = 3").select("actor")), {"model": "m1", "rules": "r2"})
+    return left.select("event_id", "versions.model", logs.picked(F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.col("k") % 5).alias("card"))
+
+
+@query(f"""WITH {ITEMS_SQL}, t AS (SELECT s_suppkey AS qid, 34.9 + ((s_suppkey * 6007) % 20011) * 0.00001::DOUBLE AS q_lat, 138.9 + ((s_suppkey * 8081) % 20021) * 0.00001::DOUBLE AS q_lon FROM supplier),
+l AS (SELECT n, p_size % 100 AS qid, lat, lon FROM items) SELECT n, qid, round({km_sql('lat', 'lon', 'q_lat', 'q_lon')} * 1000, 2) AS dist_m FROM l JOIN t USING (qid) WHERE {km_sql('lat', 'lon', 'q_lat', 'q_lon')} * 1000 < 5000""")
+def near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between records whose places lie near each other."""
+    from ..functions import geo
+
+    n = F.col("s_suppkey")
+    t = table(spark, sf_dir, "supplier").select(n.alias("qid"), (F.lit(34.9) + n * 6007 % 20011 * F.lit(0.00001)).alias("q_lat"), (F.lit(138.9) + n * 8081 % 20021 * F.lit(0.00001)).alias("q_lon"))
+    rows = items(spark, sf_dir).select("n", (F.col("p_size") % 100).cast("bigint").alias("qid"), "lat", "lon").join(t, "qid")
+    far = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon")) * 1000
+    return rows.where(far < 5000).select("n", "qid", F.round(far, 2).alias("dist_m"))
