@@ -370,7 +370,9 @@ def brute_log_probabilities(tokens, counts, n, v):
     out = []
     for i, c in enumerate(tokens):
         b = tokens[i - 1] if i else "\0"
-        p = (value(q((b, c))) + lm.MU * (value(q((c,))) + 1) / (n + v + 1)) / (value(q((b,))) + lm.MU)
+        p = (value(q((c,))) + 1) / (n + v + 1)
+        if q((b,)):
+            p = lm.LAMBDA * value(q((b, c))) / value(q((b,))) + (1 - lm.LAMBDA) * p
         if i:
             a = tokens[i - 2] if i > 1 else "\0"
             if q((a, b)) > 1:
