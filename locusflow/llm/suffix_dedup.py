@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         raise TypeError(f"{key} is no integer: number the rows, for repeats fall to the earliest")
     bounded_batches(spark)
     size = input_bytes(docs)
-    buckets = min(max(64, size >> 22), 1 << 18)
+    buckets = min(max(64, size >> 25), 1 << 18)
     parts = max(64, size >> 22)
     rows = docs.selectExpr(f"cast(`{key}` AS bigint) AS k", f"cast(`{text}` AS string) AS t")
 
@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 sample = b"".join(block.data[a : a + kmer] for a in some.tolist())
                 out = [(0, number, -1, _pack("<i8", own.fill_null(-(1 << 63)).to_numpy()), _pack("<i8", block.offsets), press.compress(block.data), sample)]
                 for p in np.split(order, begins[1:]) if len(order) else ():
-                    out.append((1, number, int(bucket[p[0]]), _pack("<u8", once[p]), _pack("<u4", n[p]), b"", b""))
+                    out.append((1, number, int(bucket[p[0]]), _pack("<u8", once[p]), _pack("<u1", np.ceil(np.log2(n[p]))), b"", b""))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4], strict=True)], names)
 
@@ -356,14 +356,16 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def name(table: pa.Table) -> pa.Table:
         """For each block of a bucket its k-mers that occur again, those of very many places apart."""
         held = [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
-        places = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("b").to_pylist()]).astype(np.int64)
+        places = np.left_shift(1, np.concatenate([np.frombuffer(x, "<u1") for x in table.column("b").to_pylist()]).astype(np.int64))  # up to the next power of two
         hashes = np.concatenate(held)
         owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
         _, back = np.unique(hashes, return_inverse=True)
         places = np.bincount(back, weights=places)[back]
-        again, hot = places > 1, places > hot_kmer
-        ids = table.column("block").to_pylist()
-        out = [(ids[i], _pack("<u8", hashes[again & ~hot & (owner == i)]), _pack("<u8", hashes[hot & (owner == i)])) for i in np.unique(owner[again])]
+        lists = []
+        for chosen in ((places > 1) & (places <= hot_kmer), (places > 1) & (places > hot_kmer)):
+            at = np.flatnonzero(chosen)  # in order of their owners
+            lists.append([_pack("<u8", x) for x in np.split(hashes[at], np.searchsorted(owner[at], np.arange(1, len(held))))])
+        out = [x for x in zip(table.column("block").to_pylist(), *lists, strict=True) if x[1] or x[2]]
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["block", "again", "hot"])
 
     again = stored.where("kind = 1").select("bucket", "block", "a", "b").groupBy("bucket").applyInArrow(name, "block bigint, again binary, hot binary")
