@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .resolve import checkpointed
 
-RANGES = 256
+RANGES, SMALL = 256, 16_384
 
 
 def _sorted_parts(rows: DataFrame, order: list) -> DataFrame:
@@ -43,24 +43,36 @@ def running_totals(rows: DataFrame, order: list, values: list[str]) -> DataFrame
 def order_statistics(rows: DataFrame, value: str, marks: dict[str, Callable[[Column], Column]], by: list[str] | None = None) -> DataFrame:
     """(by, mark, n, value): the values at places 0..n-1 of the sorted rows that aren't null; marks give a place from n.
 
-    Spark's percentile sketch cuts values into ranges; rows are counted per range, and only those of a
-    range that holds a mark are counted by value and sorted. The cuts are written first, for
-    both readings must use the same ones.
+    Spark's percentile sketch brackets each mark's value between two cuts; one pass counts what lies below each
+    bracket, and only values inside it - three in 256, or all of a small group - are counted by value and
+    sorted. The brackets are written first, for both readings must use the same ones.
     """
     by = by or []
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    cuts = known.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 16 * RANGES)).alias("_cuts"))
-    cuts = checkpointed(cuts)
-    tagged = known.join(cuts, [*by]) if by else known.join(F.broadcast(cuts))
-    tagged = tagged.withColumn("_range", F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col("_v")).cast("int"))).drop("_cuts")
-    counts = tagged.groupBy(*by, "_range").agg(F.count("*").alias("_in"))  # so many ranges a group at most
-    whole, sofar = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_range")
-    placed = counts.select(*by, "_range", "_in", (F.sum("_in").over(sofar) - F.col("_in")).alias("_before"), F.sum("_in").over(whole).alias("n"))
-    wanted = F.explode(F.array(*(F.struct(F.lit(m).alias("mark"), place(F.col("n")).cast("bigint").alias("_at")) for m, place in marks.items())))
-    held = placed.withColumn("_m", wanted).where((F.col("_m._at") >= F.col("_before")) & (F.col("_m._at") < F.col("_before") + F.col("_in"))).select(*by, "_range", "_before", "n", F.col("_m.mark").alias("mark"), F.col("_m._at").alias("_at"))
-    near = tagged.join(held if by else F.broadcast(held), [*by, "_range"]).groupBy(*by, "mark", "n", "_at", "_before", "_v").agg(F.count("*").alias("_c"))
-    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "mark").orderBy("_v"))
-    found = near.withColumn("_upto", upto).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_c")))
+    sketch = F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 16 * RANGES)
+    groups = known.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_cuts")).where("n > 0")
+    names, brackets = list(marks), []
+    for i, place in enumerate(marks.values()):
+        at = place(F.col("n")).cast("bigint")
+        j = F.floor(at * RANGES / F.col("n")).cast("int")  # cuts[t] is the value of (t + 1) / RANGES
+        small = F.col("n") <= SMALL
+        low = F.when(small | (j < 2), F.col("_min")).otherwise(F.get("_cuts", j - 2))
+        high = F.when(small | (j + 1 > RANGES - 2), F.col("_max")).otherwise(F.get("_cuts", j + 1))
+        brackets += [at.alias(f"_at{i}"), low.alias(f"_low{i}"), high.alias(f"_high{i}")]
+    cuts = checkpointed(groups.select(*by, "n", *brackets))
+    met = known.join(cuts, by) if by else known.join(F.broadcast(cuts))
+    sums = met.groupBy(*by).agg(*(F.count_if(F.col("_v") < F.col(f"_low{i}")).alias(f"_b{i}") for i in range(len(names))))
+    each = F.array(*(F.struct(F.lit(m).alias("mark"), F.col(f"_b{i}").alias("before")) for i, m in enumerate(names)))
+    before = sums.select(*by, F.explode(each).alias("_x")).select(*by, "_x.mark", "_x.before")
+    inside = F.array(*(F.when(F.col("_v").between(F.col(f"_low{i}"), F.col(f"_high{i}")), F.struct(F.lit(m).alias("mark"), F.col(f"_at{i}").alias("at"))) for i, m in enumerate(names)))
+    held = F.lit(False)
+    for i in range(len(names)):
+        held |= F.col("_v").between(F.col(f"_low{i}"), F.col(f"_high{i}"))
+    near = met.where(held).select(*by, "n", "_v", F.explode(F.array_compact(inside)).alias("_x"))
+    near = near.groupBy(*by, "n", F.col("_x.mark").alias("mark"), F.col("_x.at").alias("at"), "_v").agg(F.count("*").alias("_c"))
+    near = near.join(before if by else F.broadcast(before), [*by, "mark"])
+    upto = F.col("before") + F.sum("_c").over(Window.partitionBy(*by, "mark").orderBy("_v"))
+    found = near.withColumn("_upto", upto).where((F.col("at") < F.col("_upto")) & (F.col("at") >= F.col("_upto") - F.col("_c")))
     return found.select(*by, "mark", "n", F.col("_v").alias(value))
 
 
