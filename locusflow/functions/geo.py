@@ -45,26 +45,28 @@ def _cells_in_row(i: Column, size: float) -> Column:
     return F.when((edge < 89.0) & (wide < 30), F.floor(360.0 / wide)).otherwise(1)
 
 
-def _column_in_row(i: Column, lon: Column, size: float) -> Column:
-    n = _cells_in_row(i, size)
-    return F.pmod(F.floor((lon + 180.0) / 360.0 * n), n)
+def _cell_number(i: Column, over: Column) -> Column:
+    """One number for a cell: its row in the upper half of a bigint."""
+    return F.shiftleft(i.cast("bigint"), 32) + over
 
 
 def near_cell(lat: Column, lon: Column, km: float) -> Column:
-    """The cell (i, j) of a grid whose columns widen towards the poles and close at the date line."""
+    """The number of the cell of a grid whose columns widen towards the poles and close at the date line."""
     size = km / 110.0
     i = cell(lat, size)
-    return F.struct(i.alias("i"), _column_in_row(i, lon, size).alias("j"))
+    n = _cells_in_row(i, size)
+    return _cell_number(i, F.pmod(F.floor((lon + 180.0) / 360.0 * n), n))
 
 
 def near_cells(lat: Column, lon: Column, km: float) -> Column:
-    """All cells of `near_cell` that can hold a point within km: at most nine."""
+    """All cells of `near_cell` that can hold a point within km: at most nine, each once."""
     size = km / 110.0
     out = []
     for step in (-1, 0, 1):
         i = cell(lat, size) + step
-        for over in (-1, 0, 1):
-            out.append(F.struct(i.alias("i"), F.pmod(_column_in_row(i, lon, size) + over, _cells_in_row(i, size)).alias("j")))
+        n = _cells_in_row(i, size)
+        column = F.floor((lon + 180.0) / 360.0 * n)
+        out += [_cell_number(i, F.pmod(column + over, n)) for over in (-1, 0, 1)]
     return F.array_distinct(F.array(*out))
 
 
