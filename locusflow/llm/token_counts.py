@@ -34,7 +34,6 @@ SAFE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[。、，
 SPACES = re.compile(r"[\t\n\x0b\x0c\r ]+")
 
 
-
 class Memo(dict):
     """What the tokenizer gave for words, in two generations of at most `MEMO_WORDS` each between blocks.
 
