@@ -22,9 +22,6 @@ def _by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir).groupBy("qid", "ym").agg(F.sum("views").alias("views"))
 
 
-
-
-
 @query(f"WITH {_M} SELECT qid, lang, ym, round((views + 5) / (sum(views + 5) OVER (PARTITION BY lang, ym)) * count(*) OVER (PARTITION BY lang, ym), 6) AS share FROM m")
 def smoothed_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.share(_monthly(spark, sf_dir), "views", ["lang", "ym"]).select("qid", "lang", "ym", F.round("share", 6).alias("share"))
@@ -205,6 +202,3 @@ def sparklines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import sparkline
 
     return _curves(spark, sf_dir).select("qid", sparkline(F.col("vs")).alias("spark"))
-
-
-

@@ -287,8 +287,6 @@ def array_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(F.array_remove("fine", F.lit("f3")), ",").alias("without"), F.array_join(front, ",").alias("front"), F.array_join(F.array_sort(names), "|").alias("names"))
 
 
-
-
 @query("SELECT event_id, 'm1' AS model, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 5 BETWEEN 1 AND 3 THEN ['x', 'y', 'z'][CAST(json_extract_string(props, '$.k') AS INT) % 5] END AS card FROM events WHERE user_id % 7 <> 3")
 def cleaned_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log without test users, stamped with versions, and the card that was picked by its number."""
