@@ -423,7 +423,12 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", s
     shared = cut(routed.join(leaders, "key").select("key", "sid", "n", F.col("leader.sid").alias("a"), F.col("leader.n").alias("m")))
     met = cut(shared.select("sid").distinct())
     small = met.count() * GONE_BYTES <= BROADCAST_BYTES
-    sets = cut(shingle_sets(docs, text=text, shingle=shingle).join(F.broadcast(met) if small else met, "sid", "left_semi").groupBy("sid").agg(F.first("h").alias("h")))
+    texts = docs.select(F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("x"))
+    if small:  # few texts share a band: only those are hashed again
+        wanted = cut(marked.join(F.broadcast(met), "sid", "left_semi").select(F.col("text_hash").alias("x")).distinct())
+        if wanted.count() * GONE_BYTES <= BROADCAST_BYTES:
+            texts = texts.join(F.broadcast(wanted), "x", "left_semi")
+    sets = cut(shingle_sets(texts, text="t", shingle=shingle).join(F.broadcast(met) if small else met, "sid", "left_semi").groupBy("sid").agg(F.first("h").alias("h")))
     near = F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")
     led = cut(confirmed(shared.where((F.col("a") != F.col("sid")) & near).select("a", F.col("sid").alias("b")).distinct(), sets, similarity))
     rest = remaining(shared, cut(components(led, "a", "b")), sets, similarity)
