@@ -38,8 +38,7 @@ CLOSING_ID = 0
 SPECIAL = b"<|endoftext|>"
 #: How the byte-level alphabet writes a space.
 SPACE_LETTER = "\u0120"
-LONG_WORD, MEMO_PIECES = 64, 1 << 19
-BLOCK = 1 << 20
+LONG_WORD, MEMO_PIECES = 64, 1 << 18
 
 
 class Bins:
@@ -273,7 +272,7 @@ def pack(docs: DataFrame, path: str, *, text: str = "text", key: str = "doc_id",
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 36
         for batch in batches:
-            for block in blocks(batch.column("t"), BLOCK):
+            for block in blocks(batch.column("t")):
                 rows: list[tuple] = []
                 found, count = encoder(path).encode(block)
                 data, ends = found.tobytes(), np.cumsum(count).tolist()

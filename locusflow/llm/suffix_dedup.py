@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .session import bounded_batches, cut, documents, input_bytes
-from .textblocks import Block, blocks, span_hashes
+from .textblocks import LARGE_BLOCK, Block, blocks, span_hashes
 
 LENGTH = 100
 KMER = 20
@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal number
             keys = pa.concat_arrays(held_k)
-            for block in blocks(pa.concat_arrays(held_t)):
+            for block in blocks(pa.concat_arrays(held_t), LARGE_BLOCK):
                 own = keys.slice(block.first_row, len(block))
                 at, _, _, _, hashes = anchors(block, length, kmer)
                 once, n = np.unique(hashes, return_counts=True)

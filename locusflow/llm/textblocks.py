@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Just below a power of two, so that tables over a block's places take no more than they must.
-BLOCK_BYTES = (2 << 20) - 4096
+BLOCK_BYTES = (1 << 20) - 4096
+#: For operators whose blocks merge what is equal in them.
+LARGE_BLOCK = (2 << 20) - 4096
 
 #: Bytes 0x09-0x0D and 0x20 separate words.
 IS_SPACE = np.zeros(256, dtype=bool)

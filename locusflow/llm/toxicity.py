@@ -45,7 +45,7 @@ EPOCHS, MIN_STEPS, BATCH, RATE = 4, 240, 64, 0.01
 SEED, COUNT_ENTRIES = 11, 4_000_000
 #: Character n-grams in bytes: from the word's beginning, and anywhere.
 PREFIXES, GRAM = (4, 5, 6), 5
-SCORE_WINDOWS = 2_048
+SCORE_WINDOWS = 1_024
 
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
@@ -384,7 +384,7 @@ def _scored(docs: DataFrame, model: Model, text: str, finish: Callable[[pa.Recor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for block in blocks(batch.column(text), 1 << 20):
+            for block in blocks(batch.column(text)):
                 out[block.first_row : block.first_row + len(block)] = score_block(shared.value, block)
             yield finish(batch, out)
 
