@@ -7,7 +7,7 @@ overlaps its own. A place between bytes that no token of either side spans is a
 
 How often two ids are linked over the whole corpus is counted once. Tasks gather texts into chunks; a chunk holds
 its distinct id pairs (`CHUNK_PAIRS`, beside one block's) with their counts, and every text's links as
-places among them. Both go to the shared folder as Parquet, a stage that nothing repeats. Pairs are added up by a
+places among them. Both are a checkpoint in the shared folder, which nothing repeats. Pairs are added up by a
 shuffle with map-side sums, each B id's highest count (at most a row an id of the vocabulary) is broadcast back,
 and the counts return to the chunks that asked, a row per chunk and pair: a pair that every text
 holds costs a row a chunk. Texts never travel, their packed links do, once; what a task holds of the counts is
@@ -22,7 +22,6 @@ read; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import LONG_WORD, Encoder, Memo
-from .session import bounded_batches, documents, shared_folder
+from .session import bounded_batches, cut, documents
 from .textblocks import Block, blocks, span_hashes
 
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -406,11 +405,8 @@ def alignment_figures(docs: DataFrame, path_a: str, path_b: str, *, text: str =
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row."""
     import sentencepiece
 
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    folder = f"{shared_folder(spark).rstrip('/')}/alignment-{uuid.uuid4().hex}"
-    _chunked(docs, path_a, path_b, text, key).write.option("compression", "zstd").parquet(folder)
-    stored = spark.read.parquet(folder)
+    bounded_batches(docs.sparkSession)
+    stored = cut(_chunked(docs, path_a, path_b, text, key))
     width = sentencepiece.SentencePieceProcessor(model_file=path_b).vocab_size()
     pairs = stored.where("codes IS NOT NULL").select("chunk", "place", F.posexplode(F.arrays_zip("codes", "counts")).alias("at", "x"))
     pairs = pairs.select("chunk", (F.col("place") + F.col("at")).alias("place"), F.col("x.codes").alias("code"), F.col("x.counts").alias("n"))
