@@ -1,77 +1,14 @@
-"""Shop chains in names: where a chain's name stands, what keywords stand beside it, and brands by key or by name.
-
-Everything is an expression over NFKC text; a chain list is a small dimension that is compiled into the plan.
-"""
+"""Names without their branch endings, and fine codes of category paths."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match
-
-#: What may follow a chain's name: the end, a space or bracket, or a branch name that ends the whole.
-AFTER = r"(?=$|[\s(（]|\S*店$)"
+#: Patterns of branch endings, in the order they are tried.
 BRANCH_ENDINGS = (r"\s+\S*店$", r"\S{1,8}支店$", r"\S{1,8}店$")
 
 
-@dataclass(frozen=True)
-class Chain:
-    category: str
-    name: str  # in NFKC form
-    start_only: bool = False
-
-    @property
-    def pattern(self) -> str:
-        return f"(?iu){'^' if self.start_only else '(?:^|[' + chr(92) + 's・])'}{re.escape(self.name)}{AFTER}"
-
-
-@dataclass(frozen=True)
-class Brand:
-    category: str
-    key: str  # an entity id
-    name: str | None = None  # looked for at the beginning of names, from two letters on
-    source: str = "vote"
-
-
-@dataclass(frozen=True)
-class ChainRules:
-    chains: list[Chain] = field(default_factory=list)
-    brands: list[Brand] = field(default_factory=list)
-    keywords: list[tuple[str, str]] = field(default_factory=list)  # (category, pattern) by priority
-
-    def keyword_hits(self, name: Column) -> Column:
-        return first_match(name, self.keywords, done=True)[1]
-
-    def labelled(self, name: Column) -> Column:
-        """(label, matched, kind): chains first, unless other keywords stand outside their names and none agrees."""
-        hits = F.array_compact(F.array(*(F.when(name.rlike(c.pattern), F.struct(F.lit(c.category).alias("category"), F.lit(c.name).alias("name"))) for c in self.chains)))
-        chains = F.array_distinct(F.transform(hits, lambda h: h["category"]))
-        rest = F.aggregate(hits, name, lambda left, h: F.replace(left, h["name"], F.lit(" ")))
-        beside = self.keyword_hits(rest)
-        held = F.when((F.size(beside) > 0) & ~F.arrays_overlap(chains, beside), F.array().cast("array<string>")).otherwise(chains)
-        matched = F.array_distinct(F.concat(held, self.keyword_hits(name)))
-        kind = F.when(F.size(held) > 0, "chain").when(F.size(matched) > 0, "keyword")
-        return F.struct(F.get(matched, F.lit(0)).alias("label"), matched.alias("matched"), kind.alias("kind"))
-
-    def branded(self, keys: Column, name: Column) -> Column:
-        """(label, rule, source) by the first known entity id of `a;b`, else by a brand's name, unless other keywords veto it; else null."""
-        known = F.create_map(*(x for b in self.brands for x in (F.lit(b.key), F.struct(F.lit(b.category).alias("label"), F.lit("brand_key").alias("rule"), F.lit(b.source).alias("source")))))
-        parts = F.transform(F.split(F.coalesce(keys, F.lit("")), ";"), lambda k: F.trim(k))
-        by_key = F.get(F.filter(F.transform(parts, lambda k: F.try_element_at(known, k)), lambda v: v.isNotNull()), F.lit(0))
-        by_name = F.lit(None)
-        for b in reversed([b for b in self.brands if b.name and len(b.name) >= 2]):
-            rest = F.concat(F.lit(" "), F.substr(name, F.lit(len(b.name) + 1)))
-            beside = self.keyword_hits(rest)
-            vetoed = (F.size(beside) > 0) & ~F.array_contains(beside, b.category)
-            value = F.struct(F.lit(b.category).alias("label"), F.lit("brand_name").alias("rule"), F.lit(f"{b.source} via {b.key}").alias("source"))
-            by_name = F.when(name.rlike(f"(?iu)^{re.escape(b.name)}{AFTER}"), F.when(~vetoed, value)).otherwise(by_name)
-        return F.coalesce(by_key, by_name)
-
-
 def without_branch(name: Column) -> Column:
     """A name without its branch ending: of the endings the first that leaves two letters or more."""
     bare = F.trim(name)

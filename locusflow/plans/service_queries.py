@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.chains import Brand, Chain, ChainRules, fine_codes, without_branch
-from ..operators import build, logs, ranking, search
+from ..functions.chains import fine_codes, without_branch
+from ..operators import build, chains, logs, ranking, search
 from ..operators import recommend as r
 from ..operators.candidates import Constraints, Context
 from .registry import query, table
@@ -22,11 +22,10 @@ def _shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", ending).alias("name"), F.concat_ws("; ", q(F.col("p_size") % 7), q(F.col("p_partkey") % 5)).alias("keys"))
 
 
-CHAINS = ChainRules(
-    chains=[Chain("grill", "red bolt"), Chain("cafe", "ring"), Chain("noodle", "hot", start_only=True)],
-    brands=[Brand("grill", "Q3", "red bolt"), Brand("cafe", "Q6", "hot"), Brand("bar", "Q8", "old plate", "manual")],
-    keywords=[("bar", "gear"), ("cafe", "plate|ring"), ("grill", "bolt")],
-)
+#: (seq, category, name, start_only), (seq, category, brand_key, name, source) and (category, pattern by priority)
+CHAINS = [(0, "grill", "red bolt", False), (1, "cafe", "ring", False), (2, "noodle", "hot", True)]
+BRANDS = [(0, "grill", "Q3", "red bolt", "vote"), (1, "cafe", "Q6", "hot", "vote"), (2, "bar", "Q8", "old plate", "manual")]
+KEYWORDS = [("bar", "gear"), ("cafe", "plate|ring"), ("grill", "bolt")]
 _END = r"($|[\s(（]|\S*店$)"
 _KEYWORDS = "list_filter([CASE WHEN contains({0}, 'gear') THEN 'bar' END, CASE WHEN regexp_matches({0}, 'plate|ring') THEN 'cafe' END, CASE WHEN contains({0}, 'bolt') THEN 'grill' END], lambda x: x IS NOT NULL)"
 
@@ -45,8 +44,9 @@ m AS (SELECT id, CASE WHEN len(beside) > 0 AND NOT list_has_any(chains, beside)
 SELECT id, {_distinct('whole')}[1] AS label, array_to_string({_distinct('whole')}, ',') AS matched, CASE WHEN len(held) > 0 THEN 'chain' WHEN len(whole) > 0 THEN 'keyword' END AS kind FROM w""")
 def chain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains in names, and keywords beside them that outweigh a chain."""
-    rows = _shops(spark, sf_dir).select("id", CHAINS.labelled(F.col("name")).alias("l"))
-    return rows.select("id", "l.label", F.array_join("l.matched", ",").alias("matched"), "l.kind")
+    table = chains.dimension(spark.createDataFrame(CHAINS, "seq int, category string, name string, start_only boolean"))
+    rows = chains.label_by_chains(_shops(spark, sf_dir), table, KEYWORDS)
+    return rows.select("id", "label", F.array_join("matched", ",").alias("matched"), "kind")
 
 
 _BRANDS = [("red bolt", "grill", "vote via Q3"), ("hot", "cafe", "vote via Q6"), ("old plate", "bar", "manual via Q8")]
@@ -57,8 +57,9 @@ _BY_NAME = " ".join(f"WHEN regexp_matches(name, '^{b}{_END}') THEN CASE WHEN len
 SELECT id, CASE WHEN len(known) > 0 THEN known[1] {_BY_NAME} END AS brand FROM k""")
 def brand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label by a brand's key, else by its name at the beginning, unless another keyword follows."""
-    rows = _shops(spark, sf_dir).select("id", CHAINS.branded(F.col("keys"), F.col("name")).alias("b"))
-    return rows.select("id", F.when(F.col("b").isNotNull(), F.concat_ws("|", "b.label", "b.rule", "b.source")).alias("brand"))
+    table = chains.dimension(spark.createDataFrame(BRANDS, "seq int, category string, brand_key string, name string, source string"))
+    rows = chains.label_by_brands(_shops(spark, sf_dir), table, KEYWORDS)
+    return rows.select("id", F.when(F.col("label").isNotNull(), F.concat_ws("|", "label", "rule", "source")).alias("brand"))
 
 
 _BASE = r"CASE WHEN regexp_replace(name, '\s+\S*店$', '') <> name THEN regexp_replace(name, '\s+\S*店$', '') WHEN regexp_replace(name, '\S{1,8}店$', '') <> name AND length(trim(regexp_replace(name, '\S{1,8}店$', ''))) >= 2 THEN trim(regexp_replace(name, '\S{1,8}店$', '')) ELSE name END"

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusflow.functions import text
-from locusflow.functions.chains import Brand, Chain, ChainRules, without_branch
-from locusflow.operators import build, evaluation, labels, learning, logs, ranking, recommend, resolve, search, series
+from locusflow.functions.chains import without_branch
+from locusflow.operators import build, chains, evaluation, labels, learning, logs, ranking, recommend, resolve, search, series
 from locusflow.operators.candidates import Constraints
 from locusflow.sources import readers, writers
 from locusflow.streaming import jobs
@@ -153,22 +153,71 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     assert got == {("a", 0): 2, ("b", 1): 1, ("a", 59): 1}
 
 
-CHAINS = ChainRules([Chain("sushi", "天狗"), Chain("cafe", "ウエスト"), Chain("donburi", "松屋", start_only=True), Chain("donburi", "韓丼")], [Brand("soba", "Q1", "小諸そば"), Brand("cafe", "Q2", "ウエスト")], [("sushi", "寿司|すし"), ("soba", "そば"), ("donburi", "丼"), ("cafe", "カフェ"), ("yakitori", "やきとり")])
+CHAIN_ROWS = [(0, "sushi", "天狗", False), (1, "cafe", "ウエスト", False), (2, "donburi", "松屋", True), (3, "donburi", "韓丼", False), (4, "bar", " ", False), (5, "bar", "Ｒｅｄ Ｄｏｏｒ", False)]
+BRAND_ROWS = [(0, "soba", "Q1", "小諸そば", "vote"), (1, "cafe", "Q2", "ウエスト", "vote"), (2, "bar", "Q5", None, "hand"), (3, "bar", "Q6", "x", "hand"), (4, "grill", "Q7", "ウエスト", "hand")]
+CHAIN_WORDS = [("sushi", "寿司|すし"), ("soba", "そば"), ("donburi", "丼"), ("cafe", "カフェ"), ("yakitori", "やきとり")]
 
 
-@pytest.mark.parametrize("name,want", [
-    ("天狗", ("sushi", "chain")), ("すし処 天狗", ("sushi", "chain")), ("やきとり 天狗", ("yakitori", "keyword")), ("ウエスト カフェ", ("cafe", "chain")), ("小松屋", (None, None)), ("松屋食堂", (None, None)), ("松屋 駅前店", ("donburi", "chain")),
-    ("駅前 松屋", (None, None)), ("韓丼", ("donburi", "chain")), ("天狗(新館)", ("sushi", "chain")), ("そば 花", ("soba", "keyword")), ("", (None, None)),
-])
-def test_chains_in_names(spark, name, want):
-    row = spark.createDataFrame([(name,)], "n string").select(CHAINS.labelled(F.col("n")).alias("l")).first().l
-    assert (row.label, row.kind) == want
+def chain_dimension(spark, rows=CHAIN_ROWS):
+    return chains.dimension(spark.createDataFrame(rows, "seq int, category string, name string, start_only boolean"))
+
+
+def brand_dimension(spark, rows=BRAND_ROWS):
+    return chains.dimension(spark.createDataFrame(rows, "seq int, category string, brand_key string, name string, source string"))
+
+
+def test_chains_in_names(spark):
+    want = [
+        ("天狗", ("sushi", "chain")), ("すし処 天狗", ("sushi", "chain")), ("やきとり 天狗", ("yakitori", "keyword")), ("ウエスト カフェ", ("cafe", "chain")), ("小松屋", (None, None)), ("松屋食堂", (None, None)), ("松屋 駅前店", ("donburi", "chain")),
+        ("松屋駅前店", ("donburi", "chain")), ("駅前 松屋", (None, None)), ("韓丼", ("donburi", "chain")), ("天狗(新館)", ("sushi", "chain")), ("そば 花", ("soba", "keyword")), ("", (None, None)), (None, (None, None)), ("天狗店", ("sushi", "chain")),
+        ("花・天狗", ("sushi", "chain")), ("the RED door 東店", ("bar", "chain")), ("red doors", (None, None)), ("天狗 ", ("sushi", "chain")), ("天狗や 店", (None, None)), ("天狗 ウエスト", ("sushi", "chain")),
+    ]
+    names = spark.createDataFrame([(i % 5 if i % 7 else None, n, "clash") for i, (n, _) in enumerate(want)] * 2, "id int, name string, seq string")
+    got = chains.label_by_chains(names, chain_dimension(spark), CHAIN_WORDS)
+    assert sorted(got.columns) == sorted([*names.columns, "matched", "label", "kind"])
+    rows = got.collect()
+    assert len(rows) == 2 * len(want)
+    assert all((r.label, r.kind) == dict((n or "", w) for n, w in want)[r.name] for r in rows)
+    assert next(r.matched for r in rows if r.name == "天狗 ウエスト") == ["sushi", "cafe"]
+    assert chains.label_by_chains(names, chain_dimension(spark, []), []).where("label IS NOT NULL").count() == 0
+    assert chains.label_by_chains(names.limit(0), chain_dimension(spark), CHAIN_WORDS).count() == 0
 
 
 def test_brands(spark):
-    rows = [("Q9; Q2", "x"), (None, "小諸そば 本店"), ("", "ウエストそば"), (None, "ウエスト そば"), (None, "ウエスト"), (None, None)]
-    got = spark.createDataFrame(rows, "k string, n string").select(CHAINS.branded(F.col("k"), text.folded(F.col("n"))).alias("b")).collect()
-    assert [r.b and (r.b.label, r.b.rule) for r in got] == [("cafe", "brand_key"), ("soba", "brand_name"), None, None, ("cafe", "brand_name"), None]
+    rows = [("Q9; Q2", "x"), (None, "小諸そば 本店"), ("", "ウエストそば"), (None, "ウエスト そば"), (None, "ウエスト"), (None, None), ("Q5;Q1", "ウエスト"), (None, "x 店"), ("Q1", None), (None, "の ウエスト")]
+    got = chains.label_by_brands(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, keys string, name string"), brand_dimension(spark), CHAIN_WORDS).orderBy("id").collect()
+    assert [r.label and (r.label, r.rule) for r in got] == [("cafe", "brand_key"), ("soba", "brand_name"), None, None, ("cafe", "brand_name"), None, ("bar", "brand_key"), None, ("soba", "brand_key"), None]
+    assert (got[4].source, got[6].source) == ("vote via Q2", "hand")
+
+
+def test_ten_thousand_chains_are_one_join(spark):
+    """The answers of a plain reader, and a plan that doesn't grow with the list."""
+    draw = random.Random(8)
+    parts = ["ka", "no", "ten", "mori", "bar", "屋", "亭", "grill", "no.1"]
+    words = sorted({"".join(draw.choice(parts) for _ in range(draw.randrange(1, 7))) for _ in range(30_000)})
+    shown = sorted({draw.choice(words) + draw.choice(["", "", " " + draw.choice(words)]) for _ in range(12_000)})[:10_000]
+    table = [(i, f"c{i % 9}", n, i % 4 == 0) for i, n in enumerate(shown)]
+    ends = ["", "", " 東店", "南店", "(x)", " annex", "x"]
+    names = [(i, draw.choice(["", "", "the ", "花・", "pre"]) + draw.choice(shown).title() + draw.choice(ends)) for i in range(600)]
+    by_first = {}
+    for row in table:
+        by_first.setdefault(row[2][0], []).append(row)
+
+    def plainly(name):
+        low, hits = name.lower(), []
+        for b in [i for i in range(len(low)) if i == 0 or low[i - 1] in " ・"]:
+            for seq, category, chain, start in by_first.get(low[b], []):
+                after = low[b + len(chain) :]
+                if low.startswith(chain, b) and not (start and b) and (not after or after[0] in " (（" or (after.endswith("店") and " " not in after)):
+                    hits.append((seq, category))
+        return list(dict.fromkeys(c for _, c in sorted(set(hits))))
+
+    frame = spark.createDataFrame(names, "id int, name string")
+    labelled = chains.label_by_chains(frame, chain_dimension(spark, table), [])
+    got = {r.id: r.matched for r in labelled.collect()}
+    assert got == {i: plainly(n) for i, n in names} and sum(map(bool, got.values())) > 300
+    plans = [chains.label_by_chains(frame, chain_dimension(spark, table[:n]), [])._jdf.queryExecution().optimizedPlan().toString() for n in (10, 10_000)]
+    assert abs(len(plans[0]) - len(plans[1])) < 200
 
 
 @pytest.mark.parametrize("name,want", [("ドトール 天神店", "ドトール"), ("とても長い名前の花屋中央支店", "とても長"), ("本店", "本店"), (" 鳥吉 ", "鳥吉"), ("山川支店", "山川支店")])
