@@ -281,7 +281,11 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names holding a word: the exact one first, then those that begin with it, then short ones."""
     from pyspark.sql import Window
 
-    names = table(spark, sf_dir, "part").where(F.contains("p_name", F.lit("red"))).groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("best"), F.count("*").alias("n"))
+    from ..operators.name_index import NameIndex
+    from ..sources import layout
+
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("best"), F.count("*").alias("n"))
+    names = NameIndex(spark, layout.once(spark, "part_names", f"{sf_dir}/part.parquet", lambda out: NameIndex.write(names, "key", out)), "key").holding("red")
     order = [F.col("key") != "red widget", ~F.startswith("key", F.lit("red")), F.length("key"), F.col("key")]
     best = names.orderBy(*order).limit(12)
     return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))
@@ -296,3 +300,14 @@ def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("""WITH RECURSIVE e AS (SELECT concat('n', n_nationkey) AS child, concat('r', n_regionkey) AS parent FROM {nation} UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM {customer} UNION ALL SELECT concat('r', r_regionkey), 'world' FROM {region}),
 w(start, at, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT w.start, e.parent, w.depth + 1 FROM w JOIN e ON e.child = w.at WHERE w.depth < 15)
 SELECT start, max(depth) AS depth, bool_or(at = 'r1') AS inside FROM w GROUP BY start""", **tables)
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT id, name, round({km_sql('35.0', '139.0', 'lat', 'lon')}, 6) AS km FROM items WHERE {km_sql('35.0', '139.0', 'lat', 'lon')} <= 3""")
+def places_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places within three kilometres, from a catalogue that is laid out by place: the scan skips other boxes."""
+    from ..sources import layout
+
+    shown = ("id", "name", "category", "lat", "lon", "popularity")
+    folder = layout.once(spark, "catalogue", f"{sf_dir}/part.parquet", lambda out: layout.write_by_place(items(spark, sf_dir).select(*shown), out))
+    km = geo.haversine_km(F.lit(HERE[0]), F.lit(HERE[1]), F.col("lat"), F.col("lon"))
+    return layout.within(spark, folder, HERE, 3.0).select("id", "name", F.round(km, 6).alias("km"))

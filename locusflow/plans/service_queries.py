@@ -9,6 +9,8 @@ from ..functions.chains import fine_codes, without_branch
 from ..operators import build, chains, logs, ranking, search
 from ..operators import recommend as r
 from ..operators.candidates import Constraints, Context
+from ..operators.name_index import NameIndex
+from ..sources import layout
 from .registry import query, table
 from .tables import EVENTS_SQL, HERE, ITEMS_SQL, TAXONOMY, events, items, km_sql
 
@@ -159,6 +161,19 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).withColumn("name_ja", F.lit(None).cast("string"))
 
 
+def _station_names(spark: SparkSession, sf_dir: str) -> NameIndex:
+    """The index of stations' names, written once for this state of the table."""
+    folder = layout.once(spark, "stations", f"{sf_dir}/supplier.parquet", lambda out: NameIndex.write(search.station_index(_stations(spark, sf_dir), done=True), "key", out))
+    return NameIndex(spark, folder, "key")
+
+
+def place_names(spark: SparkSession, sf_dir: str) -> NameIndex:
+    """The index of places' names with the columns that searches show."""
+    shown = ("id", "name", "name_key", "name_ja", "sub", "popularity", "lat", "lon")
+    folder = layout.once(spark, "places", f"{sf_dir}/part.parquet", lambda out: NameIndex.write(_places(spark, sf_dir).select(*shown), "name_key", out))
+    return NameIndex(spark, folder, "name_key")
+
+
 @query(f"""WITH RECURSIVE {ITEMS_SQL}, {_STATIONS}, b AS (SELECT id, min((key <> 're1', NOT starts_with(key, 're1'), length(key), key, id)) AS o, arg_min(name, (key <> 're1', NOT starts_with(key, 're1'), length(key), key)) AS name, any_value(sub) AS sub, any_value(lat) AS lat, any_value(lon) AS lon FROM sk WHERE contains(key, 're1') GROUP BY id),
 nb AS (SELECT *, row_number() OVER (ORDER BY o) AS rn FROM b), adj AS (SELECT x.id, list(y.id) FILTER (WHERE y.id IS NOT NULL) AS near FROM nb x LEFT JOIN nb y ON x.id <> y.id AND x.name = y.name AND {km_sql('x.lat', 'x.lon', 'y.lat', 'y.lon')} < 2 GROUP BY x.id),
 g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT nb.rn, CASE WHEN list_has_any(kept, coalesce(near, [])) THEN kept ELSE list_append(kept, nb.id) END FROM g JOIN nb ON nb.rn = i + 1 JOIN adj ON adj.id = nb.id),
@@ -171,7 +186,7 @@ def station_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start points, stations (once within two kilometres) and places whose names hold a word."""
     n = F.col("r_regionkey")
     starts = table(spark, sf_dir, "region").select(F.when(n < 3, F.concat(F.lit("Fare1 "), "r_name")).otherwise("none").alias("name"), F.col("r_name").alias("city"), F.lit("XXX").alias("code"), F.lit(35.0).alias("lat"), F.lit(139.0).alias("lon"), n.alias("seq"))
-    found = search.find("RE1 Station", starts=starts, index=search.station_index(_stations(spark, sf_dir), done=True), places=_places(spark, sf_dir), limit=30)
+    found = search.find("RE1 Station", starts=starts, index=_station_names(spark, sf_dir), places=place_names(spark, sf_dir), limit=30)
     return found.select(F.col("place").cast("bigint").alias("place"), "source", "name", "sub", "kind")
 
 
@@ -179,14 +194,14 @@ def station_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT 'place' AS asked, name, round(lat, 5) AS lat FROM items WHERE contains(regexp_replace(name, '[^a-z0-9]', '', 'g'), 'redbolt') ORDER BY popularity DESC, id LIMIT 1) SELECT * FROM a UNION ALL SELECT * FROM b""")
 def geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A station by its exact name nearest to here; a place where no station has the name, the most popular."""
-    index, places = search.station_index(_stations(spark, sf_dir), done=True), _places(spark, sf_dir)
+    index, places = _station_names(spark, sf_dir), place_names(spark, sf_dir)
     a = search.geocode("re7駅", index=index, places=places, near=HERE).select(F.lit("station").alias("asked"), "name", F.round("lat", 5).alias("lat"))
     return a.unionByName(search.geocode("Red Bolt", index=index, places=places).select(F.lit("place").alias("asked"), "name", F.round("lat", 5).alias("lat")))
 
 
 @query(f"WITH {ITEMS_SQL} SELECT id, name, popularity FROM items WHERE contains(regexp_replace(name, '[^a-z0-9]', '', 'g'), 'gear') ORDER BY popularity DESC, id LIMIT 20")
 def popular_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.by_name(_places(spark, sf_dir), "Gear").select("id", "name", "popularity")
+    return search.by_name(place_names(spark, sf_dir), "Gear").select("id", "name", "popularity")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT id, name, sub FROM items WHERE contains(name, 'ring') OR contains(sub, 'b1')")
