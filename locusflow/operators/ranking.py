@@ -40,22 +40,31 @@ def scored(pool: DataFrame, *, radius: Column, w: Column, content: Column, popul
 
 
 def top_list(rows: DataFrame, *, by: list[str] | None = None, n: int = SHOWN, chance: Column | None = None) -> DataFrame:
-    """n rows per group: n - 1 by score, and one to explore among kinds not yet shown (else any).
+    """n rows per group: n - 1 by score, and one to explore among kinds (`sub`) not yet shown, else among all others.
 
-    Order: score, then distance, then id. Columns rank and slot are added. Groups are cut by
-    row numbers, so a large catalogue per user is pruned before its sort ends.
+    Order: score, then distance, then id; the explored one has the greatest pick, then the least id. Columns rank and slot are
+    added. One pass over the rows: each enters its group's list by score and that of its kind by pick, tasks cut
+    every list to n rows before the shuffle, and a group's lists, n rows and n a kind at most, decide the rest. The first
+    n picks of a kind hold its best row outside the n - 1 by score, whichever those are. A null kind is one of its own.
     """
     by = by or []
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("dist_km"), F.asc("id"))
-    numbered = rows.withColumn("rank", F.row_number().over(order))
-    whole = Window.partitionBy(*by)
-    shown = numbered.withColumn("_subs", F.collect_set(F.when(F.col("rank") < n, F.col("sub"))).over(whole))
-    fresh = ~F.array_contains("_subs", F.col("sub"))
     pick = F.col("content") + 0.3 * (chance if chance is not None else F.lit(0.0))
-    rest = Window.partitionBy(*by).orderBy(F.desc(F.col("rank") >= n), F.desc(fresh), F.desc(pick), F.asc("id"))
-    ranked = shown.withColumn("_pick", F.row_number().over(rest))
-    kept = ranked.where((F.col("rank") < n) | ((F.col("_pick") == 1) & (F.col("rank") >= n)))
-    return kept.withColumns({"slot": F.when(F.col("rank") < n, "top").otherwise("explore"), "rank": F.least("rank", F.lit(n))}).drop("_subs", "_pick")
+    entry = lambda top, kind, a, b: F.struct(F.lit(top).alias("top"), kind.alias("kind"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    lists = F.array(entry(True, F.lit(None).cast("string"), -F.col("score"), F.col("dist_km")), entry(False, F.col("sub").cast("string"), -pick, F.lit(0.0)))
+    entered = rows.select(*by, F.struct(*(F.col(c) for c in rows.columns)).alias("_row"), F.explode(lists).alias("_l"))
+    order = Window.partitionBy(*by, "_l.top", "_l.kind").orderBy(F.col("_l.a").asc_nulls_first(), F.col("_l.b").asc_nulls_first(), F.asc("_row.id"))
+    cut = entered.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    held = cut.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_l.top") & (F.col("_n") < n), F.struct("_n", "_row")))).alias("_top"),
+        F.collect_list(F.when(~F.col("_l.top"), F.struct(F.col("_l.a").alias("a"), F.col("_row.id").alias("id"), "_row"))).alias("_others"),
+    )
+    others = F.filter("_others", lambda x: ~F.exists("_top", lambda t: t["_row"]["id"].eqNullSafe(x["id"])))
+    stale = lambda x: F.exists("_top", lambda t: t["_row"]["sub"].eqNullSafe(x["_row"]["sub"]))
+    best = F.array_min(F.transform(others, lambda x: F.struct(stale(x).alias("stale"), x["a"].alias("a"), x["id"].alias("id"), x["_row"].alias("_row"))))
+    shown = F.transform("_top", lambda t: F.struct(t["_n"].alias("rank"), F.lit("top").alias("slot"), t["_row"].alias("_row")))
+    explored = F.when(best.isNotNull(), F.array(F.struct(F.lit(n).alias("rank"), F.lit("explore").alias("slot"), best["_row"].alias("_row"))))
+    whole = held.select(F.explode(F.when(explored.isNotNull(), F.concat(shown, explored)).otherwise(shown)).alias("_s"))
+    return whole.select(*(F.col(f"_s._row.`{c}`").alias(c) for c in rows.columns), "_s.rank", "_s.slot")
 
 
 def preference_summary(prefs: DataFrame, *, user: str = "user", value: str = "sub", most: int = 5) -> DataFrame:

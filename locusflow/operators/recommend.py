@@ -78,41 +78,43 @@ def sentence(intent: Constraints, words: Words, n: Column, radius: Column) -> Co
     return F.when(n > 0, found).otherwise(F.concat(F.lit("nothing fits within "), F.format_string("%.0f", radius), F.lit(" km")))
 
 
-def top_of_one(rows: DataFrame, n: int = ranking.SHOWN, chance: Column | None = None) -> DataFrame:
-    """`ranking.top_list` for one user: limits that tasks take first, and no window over the whole pool."""
-    order = [F.desc("score"), F.asc("dist_km"), F.asc("id")]
-    top = rows.orderBy(*order).limit(n - 1)
-    subs = top.agg(F.collect_set("sub").alias("_subs"))
-    rest = rows.join(F.broadcast(top.select("id")), "id", "left_anti").join(F.broadcast(subs))
-    pick = F.col("content") + 0.3 * (chance if chance is not None else F.lit(0.0))
-    explored = rest.orderBy(F.desc(~F.array_contains("_subs", F.col("sub"))), F.desc(pick), F.asc("id")).limit(1).drop("_subs")
-    both = top.withColumn("slot", F.lit("top")).unionByName(explored.withColumn("slot", F.lit("explore")))
-    place = F.struct((F.col("slot") != "top").alias("a"), -F.col("score"), F.col("dist_km"), F.col("id"))
-    all_ = both.agg(F.array_sort(F.collect_list(F.struct(place.alias("_o"), *both.columns))).alias("_all"))  # n rows
-    return all_.select(F.posexplode("_all").alias("_n", "_r")).select((F.col("_n") + 1).alias("rank"), *(F.col(f"_r.{x}").alias(x) for x in both.columns))
+def top_of_rungs(pool: DataFrame, rungs: list[float], score, n: int = ranking.SHOWN, chance: Column | None = None) -> DataFrame:
+    """The list of the least radius that has n rows, else of the widest; `score(rows)` scores rows with a radius_km.
+
+    One pass: each row enters the lists of the radii it lies within, every list is cut to a few rows in the tasks, and only
+    then is it known, by the lists' lengths, which of them is shown.
+    """
+    within = pool.withColumn("radius_km", F.explode(F.filter(F.array(*map(F.lit, map(float, rungs))), lambda r: F.col("dist_km") <= r)))
+    lists = ranking.top_list(score(within), by=["radius_km"], n=n, chance=chance)
+    rows = F.struct("radius_km", "rank", F.struct(*lists.columns).alias("row"))
+    all_ = lists.agg(F.array_sort(F.collect_list(rows)).alias("all"))  # n rows a radius
+    of = lambda r: F.filter("all", lambda x: x["radius_km"] == r)
+    chosen = F.coalesce(*(F.when(F.size(of(F.lit(float(r)))) >= n, F.lit(float(r))) for r in rungs), F.lit(float(rungs[-1])))
+    shown = all_.select(F.explode(of(chosen)).alias("x"))
+    return shown.select(*(F.col(f"x.row.`{c}`").alias(c) for c in lists.columns))
 
 
 def recommend(items: DataFrame, intent: Constraints, at: Context, taxonomy: Taxonomy, *, prefs: DataFrame | None = None, n_reactions: int = 0, words: Words | None = None, chance: Column | None = None) -> Answer:
     """Eight places for one user.
 
-    prefs: sub, a, b of that user. The pool of the widest radius is counted once for all radii; the least
-    with eight candidates is taken.
+    prefs: sub, a, b of that user, a row a kind. The list and the turn each take one pass over the pool of the widest radius; the
+    least radius with eight candidates is taken.
     """
     words, want = words or Words(), asked(intent)
     rungs = radii(want)
     pool = c.candidates(items, replace(want, max_distance_km=rungs[-1]), at, taxonomy)
-    near = c.widened(pool, rungs)
     if prefs is not None:
-        near = near.join(F.broadcast(prefs.select("sub", "a", "b")), "sub", "left")
+        known = pool.join(prefs.select("sub", "a", "b"), "sub", "left")
     else:
-        near = near.withColumns({"a": F.lit(None).cast("double"), "b": F.lit(None).cast("double")})
+        known = pool.withColumns({"a": F.lit(None).cast("double"), "b": F.lit(None).cast("double")})
     content = F.round(F.coalesce(F.col("a") / (F.col("a") + F.col("b")), F.lit(0.5)), 6)
     w = F.lit(n_reactions / (n_reactions + ranking.SETTLING))
     pop = c.THEMES[want.theme][1](want.month) if want.theme else F.coalesce("popularity", F.lit(0.0))
-    shown = top_of_one(ranking.scored(near, radius=F.col("radius_km"), w=w, content=content, popularity=pop), chance=chance)
+    shown = top_of_rungs(known, rungs, lambda rows: ranking.scored(rows, radius=F.col("radius_km"), w=w, content=content, popularity=pop), chance=chance)
     logged = ("rank", "slot", "score", "pop", F.col("content").alias("taste"), "radius_km")
-    counts = near.agg(F.count("*").alias("n_candidates"), F.max("radius_km").alias("radius_km"))
-    radius = F.coalesce("radius_km", F.lit(float(rungs[-1])))
+    held = pool.agg(*(F.count_if(F.col("dist_km") <= r).alias(f"c{i}") for i, r in enumerate(rungs)))
+    chosen = F.coalesce(*(F.when(F.col(f"c{i}") >= ranking.SHOWN, F.struct(F.col(f"c{i}").alias("n"), F.lit(float(r)).alias("r"))) for i, r in enumerate(rungs)), F.struct(F.col(f"c{len(rungs) - 1}").alias("n"), F.lit(float(rungs[-1])).alias("r")))
+    counts, radius = held.select(chosen["n"].alias("n_candidates"), chosen["r"].alias("radius_km")), F.col("radius_km")
     n = F.least("n_candidates", F.lit(ranking.SHOWN))
     wider = F.when((radius > want.max_distance_km) & (F.col("n_candidates") > 0), F.concat(F.lit("few are near: searched up to "), F.format_string("%.0f", radius), F.lit(" km")))
     unknown = taxonomy.resolve(want.include_sub).unresolved + taxonomy.resolve(want.exclude_sub).unresolved

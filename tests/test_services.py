@@ -244,14 +244,67 @@ def test_themes_and_radii():
     assert recommend.radii(Constraints("sight", theme="local")) == [5.0, 15.0] and recommend.radii(Constraints("meal", max_distance_km=3)) == [3, 5.0, 15.0]
 
 
-def test_one_list_equals_the_grouped_one(spark):
-    rng = random.Random(2)
-    rows = [(f"i{n}", f"s{rng.randrange(6)}", round(rng.random(), 1), round(rng.random(), 2), round(rng.random(), 3)) for n in range(60)]
-    df = spark.createDataFrame(rows, "id string, sub string, score double, dist_km double, content double")
-    want = sorted((r["rank"], r.id, r.slot) for r in ranking.top_list(df).collect())
-    assert sorted((r["rank"], r.id, r.slot) for r in recommend.top_of_one(df).collect()) == want
-    few = df.limit(3)
-    assert recommend.top_of_one(few).count() == 3 and recommend.top_of_one(df.limit(0)).count() == 0
+def listed_plainly(rows, n):
+    """rows: (id, sub, score, dist_km, content, chance); (rank, id, slot) of the list."""
+    ranked = sorted(rows, key=lambda r: (-r[2], r[3], r[0]))
+    top, rest = ranked[: n - 1], ranked[n - 1 :]
+    shown = [(i, r[0], "top") for i, r in enumerate(top, 1)]
+    subs = {r[1] for r in top}
+    fresh = [r for r in rest if r[1] not in subs] or rest
+    return shown + [(n, r[0], "explore") for r in sorted(fresh, key=lambda r: (-(r[4] + 0.3 * r[5]), r[0]))[:1]]
+
+
+LISTED = "user int, id string, sub string, score double, dist_km double, content double, chance double"
+
+
+def list_rows(rng, users, most, kinds):
+    return [(u, f"i{n}", rng.choice([*(f"s{k}" for k in range(kinds)), None]), round(rng.random(), 1), round(rng.random(), 2), round(rng.random(), 1), rng.randrange(3) / 3) for u in range(users) for n in range(rng.randrange(1, most))]
+
+
+@pytest.mark.parametrize(("most", "kinds", "n"), [(200, 6, 8), (40, 2, 8), (9, 9, 8), (60, 1, 2)])
+def test_top_lists_equal_plain_ones(spark, most, kinds, n):
+    rows = list_rows(random.Random(most), 12, most, kinds)
+    df = spark.createDataFrame(rows, LISTED).repartition(5)
+    got = {}
+    for r in ranking.top_list(df, by=["user"], n=n, chance=F.col("chance")).collect():
+        got.setdefault(r.user, []).append((r["rank"], r.id, r.slot))
+    assert {u: sorted(x) for u, x in got.items()} == {u: listed_plainly([r[1:] for r in rows if r[0] == u], n) for u in {r[0] for r in rows}}
+    one = ranking.top_list(df.where("user = 3"), n=n, chance=F.col("chance"))
+    assert sorted((r["rank"], r.id, r.slot) for r in one.collect()) == listed_plainly([r[1:] for r in rows if r[0] == 3], n)
+    assert ranking.top_list(df.limit(0), by=["user"]).count() == 0
+
+
+def test_lists_are_cut_before_the_shuffle(spark):
+    """A user and task send n rows and n a kind at most; the rows are read once."""
+    rows = [(n % 2, f"i{n}", f"s{n % 3}", n % 97 / 97, 0.1, n % 89 / 89, 0.0) for n in range(20_000)]
+    df = spark.createDataFrame(rows, LISTED).repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ranking.top_list(df, by=["user"])._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        text_, sent, seen = plan.toString(), [], [plan]
+        while seen:
+            node = seen.pop()
+            kids = node.children()
+            seen += [kids.apply(i) for i in range(kids.size())]
+            if node.nodeName() == "Exchange":
+                sent.append(node.metrics().apply("shuffleRecordsWritten").value())
+        assert text_.count("WindowGroupLimit") >= 1 and text_.count("RoundRobinPartitioning") == 1
+        assert max(x for x in sent if x != 20_000) <= 2 * 4 * (8 + 8 * 3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_the_least_radius_with_a_whole_list_is_shown(spark):
+    rng = random.Random(4)
+    rows = [(0, f"i{n}", f"s{n % 5}", 0.0, n / 10, round(rng.random(), 1), rng.randrange(3) / 3) for n in range(60)]
+    df = spark.createDataFrame(rows, LISTED)
+    score = lambda x: x.withColumn("score", F.round(F.col("content") - F.col("dist_km") / F.col("radius_km"), 3))
+    for rungs, want in (([0.2, 0.5, 3.0], 3.0), ([0.7, 3.0], 0.7), ([0.01, 0.3], 0.3)):
+        got = recommend.top_of_rungs(df, rungs, score, chance=F.col("chance")).collect()
+        inside = [(r[1], r[2], round(r[5] - r[4] / want, 3), *r[4:]) for r in rows if r[4] <= want]
+        assert [(r["rank"], r.id, r.slot) for r in got] == listed_plainly(inside, 8) and {r.radius_km for r in got} == {want}
+    assert recommend.top_of_rungs(df.limit(0), [1.0], score).count() == 0
 
 
 def test_attractions(spark):
