@@ -1,15 +1,17 @@
 """Benchmark decontamination with DataFrame functions only.
 
-A window is `WINDOW` consecutive words of a benchmark item (a shorter item is one window). Of each
-window the n-gram of `ANCHOR` words with the least hash is its anchor, so neighbouring windows mostly
-share one. Every position of every document is probed with its n-gram's hash, inside generated code, and
-each hit is verified word by word against the item. Only verified windows count, so hashes never
-decide a result.
-
-The anchors are counted, with the bytes of their words. Up to `BROADCAST_BYTES` they are broadcast with their
-words, and one pass finds and verifies. Beyond it only their hashes are, in as many slices as keep each
-below the bound, a pass over the table for each; the few positions found, with the words near them,
-then meet the anchors in a shuffled join. Documents never travel.
+A window is `WINDOW` consecutive words of a benchmark item (a shorter item is one window). Equal windows are one, whatever
+number of items hold it. Of each window the n-gram of `ANCHOR` words with the least hash is its anchor, so
+neighbouring windows mostly share one. Every position of every document is probed with its n-gram's hash, inside
+generated code. About a hit, the words that a window with this anchor would take are hashed, met with the
+windows of that hash, and verified word by word. Only verified windows count, so hashes never decide a result.
+Documents' hits are the windows in them; items come last, once for each distinct set of windows that documents hold. So
+a preamble that every item has costs a document no more than one that one item has.
+
+The anchors' hashes are counted. Up to `BROADCAST_BYTES` they are broadcast together, beyond it in as many slices as keep
+each below the bound, a pass over the table for each. The windows, with their words, are broadcast up to the same
+bound; beyond it the few positions found, with the words near them, meet the windows in a shuffled
+join. Documents never travel.
 
 Cases: a null or empty text has no words; items without words have no windows; the same window in
 several items counts for each; equal rows are scanned once per copy and each keeps its own result
@@ -26,9 +28,9 @@ from .session import cut
 
 WINDOW = 10
 ANCHOR = 5
-#: Bounds in bytes for what is broadcast; a row of a hash set or an anchor is reckoned to take so many beside its words.
+#: The bound in bytes for each thing that is broadcast; an anchor's row, a window's beside its words and a document's hits are reckoned to take so many.
 BROADCAST_BYTES = 32 << 20
-HASH_BYTES, ANCHOR_BYTES = 32, 128
+ANCHOR_BYTES, WINDOW_BYTES, HIT_BYTES = 96, 128, 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words before A-Z are lowered, as a Java class and as characters to trim.
 RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -51,97 +53,81 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def anchors(bench: DataFrame, *, item: str = "item_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """A row per anchor: (size, a_hash, item, a_pos, first, last, len, a_words).
+def occurrences(bench: DataFrame, *, item: str = "item_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """A row per item and place of a window: (item, at, len, off, size, a_hash, w_hash, words).
 
-    `first`..`last` are the starts of the windows it stands for, `len` their words, and `a_words` the
-    item's words from `first` to the end of the last of them.
+    `off` is where in the window its anchor of `size` words begins; all but (item, at) depend on the words alone.
     """
     words = bench.select(F.col(item).cast("string").alias("item"), raw_words(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
     words = words.withColumn("h", word_hashes(F.col("w"))).withColumn("len", F.least(F.size("w"), F.lit(window))).withColumn("size", F.least("len", F.lit(anchor)))
+    placed = words.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("at")).withColumn("wh", F.slice("h", F.col("at") + 1, F.col("len")))
+    grams = F.transform(F.sequence(F.lit(0), F.col("len") - F.col("size")), lambda off: F.struct(F.xxhash64(F.slice("wh", off + 1, F.col("size"))).alias("hash"), off.alias("off")))
+    placed = placed.withColumn("least", F.array_min(grams))
+    return placed.select("item", "at", "len", F.col("least.off").alias("off"), "size", F.col("least.hash").alias("a_hash"), F.xxhash64("wh").alias("w_hash"), lowered(F.slice("w", F.col("at") + 1, F.col("len"))).alias("words"))
 
-    def least(start: Column) -> Column:
-        grams = F.transform(
-            F.sequence(start, start + F.col("len") - F.col("size")),
-            lambda at: F.struct(F.xxhash64(F.slice("h", at + 1, F.col("size"))).alias("hash"), at.alias("at")),
-        )
-        return F.struct(F.array_min(grams)["at"].alias("at"), start.alias("start"))
-
-    words = words.withColumn("windows", F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), least))
-    words = words.withColumn("a_pos", F.explode(F.array_distinct(F.transform("windows", lambda x: x["at"]))))
-    own = F.transform(F.filter("windows", lambda x: x["at"] == F.col("a_pos")), lambda x: x["start"])
-    words = words.withColumn("first", F.array_min(own)).withColumn("last", F.array_max(own))
-    return words.select(
-        "size",
-        F.xxhash64(F.slice("h", F.col("a_pos") + 1, F.col("size"))).alias("a_hash"),
-        *("item", "a_pos", "first", "last", "len"),
-        lowered(F.slice("w", F.col("first") + 1, F.col("last") - F.col("first") + F.col("len"))).alias("a_words"),
-    )
+
+def distinct_windows(found: DataFrame) -> DataFrame:
+    """A row per distinct window: (window, len, off, size, a_hash, w_hash, words); `window` names the least item and place that hold it."""
+    first = F.min(F.struct("item", "at"))
+    same = found.groupBy("len", "off", "size", "a_hash", "w_hash", "words").agg(first.alias("first"))
+    return same.withColumn("window", F.concat_ws(":", F.col("first.at").cast("string"), "first.item")).drop("first")
 
 
 def find_hits(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, anchor: int = ANCHOR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A row per distinct (key, text): (k, text_hash, text_length, copies, n_words, hits, items).
+    """A row per distinct (key, text): (k, text_hash, text_length, copies, n_words, hits, windows).
 
-    `hits` are the word positions inside occurrences of windows, `items` the items' ids as strings.
+    `hits` are the word positions inside occurrences of windows, `windows` the names of the distinct windows found, in order.
     """
-    found = anchors(bench, item=item, text=text, window=window, anchor=anchor)
-    letters = F.sum(F.aggregate("a_words", F.lit(0), lambda n, w: n + F.octet_length(w) + F.lit(16)))
-    sizes = {r["size"]: (r["n"], r["bytes"]) for r in found.groupBy("size").agg(F.count("*").alias("n"), letters.alias("bytes")).collect()}  # at most `anchor` rows
-    whole = sum(ANCHOR_BYTES * n + b for n, b in sizes.values()) <= broadcast_bytes
+    known = distinct_windows(occurrences(bench, item=item, window=window, anchor=anchor))
+    letters = F.sum(F.aggregate("words", F.lit(WINDOW_BYTES), lambda n, w: n + F.octet_length(w) + F.lit(16)))
+    sizes = {r["size"]: (r["n"], r["bytes"]) for r in known.groupBy("size").agg(F.count_distinct("a_hash").alias("n"), letters.alias("bytes")).collect()}  # at most `anchor` rows
+    sides = known.select("len", "off", "w_hash", "words", "window")
+    if sum(b for _, b in sizes.values()) <= broadcast_bytes:
+        sides = F.broadcast(sides)
     scanned = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("text_hash"), F.length(text).alias("text_length"), raw_words(F.col(text)).alias("w"))
     scanned = scanned.withColumn("h", word_hashes(F.col("w")))
     reach = window - 1  # a window about an anchor begins and ends within so many words of it
     parts = []
     for number, size in enumerate(sorted(sizes, reverse=True) or [anchor]):
-        side = found.where(F.col("size") == size).drop("size")
-        slices = 1 if whole else max(1, -(-HASH_BYTES * sizes[size][0] // max(broadcast_bytes, HASH_BYTES)))
+        # a window about an anchor: `form` is its length and how far before the anchor it begins, in one number
+        marks = known.where(F.col("size") == size).groupBy("a_hash").agg(F.sort_array(F.collect_set(F.col("len") * (window + 1) + F.col("off"))).alias("forms"))  # at most window * size forms
+        slices = max(1, -(-ANCHOR_BYTES * sizes.get(size, (0, 0))[0] // max(broadcast_bytes, ANCHOR_BYTES)))
         for s in range(slices):
             # The first pass has a position -1 for every document: it matches nothing and keeps the document.
             first = -1 if number == 0 and s == 0 else 0
             at = scanned.where(F.size("h") >= size) if first == 0 else scanned
             at = at.withColumn("pos", F.explode(F.sequence(F.lit(first), F.greatest(F.size("h") - size, F.lit(first)))))
             at = at.withColumn("a_hash", F.when(F.col("pos") >= 0, F.xxhash64(*(F.get("h", F.col("pos") + i) for i in range(size)))))
-            if whole:
-                met = at.join(F.broadcast(side), "a_hash", "left").where(F.col("item").isNotNull() | (F.col("pos") < 0))
-                near_from = F.lit(0)
-                parts.append(_verified(met.withColumn("near_w", F.col("w")), near_from))
-                continue
-            marks = side.where(F.pmod("a_hash", F.lit(slices)) == s).select("a_hash").distinct().withColumn("held", F.lit(True))
-            met = at.join(F.broadcast(marks), "a_hash", "left").where(F.col("held") | (F.col("pos") < 0))
+            own = marks if slices == 1 else marks.where(F.pmod("a_hash", F.lit(slices)) == s)
+            met = at.join(F.broadcast(own), "a_hash", "left").where(F.col("forms").isNotNull() | (F.col("pos") < 0))
             low = F.greatest(F.col("pos") - reach, F.lit(0))
-            few = met.select("k", "text_hash", "text_length", "pos", F.size("w").alias("n_w"), F.slice("w", low + 1, F.lit(2 * window + size)).alias("near_w"), F.when(F.col("pos") < 0, F.xxhash64("k", "text_hash")).otherwise(F.col("a_hash")).alias("a_hash"))
-            joined = few.join(side, "a_hash", "left").where(F.col("item").isNotNull() | (F.col("pos") < 0)).withColumn("item", F.when(F.col("pos") >= 0, F.col("item")))
-            parts.append(_verified(joined, low))
-    rows = parts[0]
+            parts.append(met.select(*("k", "text_hash", "text_length", "pos", "forms"), F.when(F.col("pos") < 0, F.size("w")).alias("n_words"), low.alias("low"), *(F.when(F.col("pos") >= 0, F.slice(c, low + 1, F.lit(2 * window + size))).alias(f"near_{c}") for c in ("w", "h"))))
+    few = parts[0]
     for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.groupBy("k", "text_hash", "text_length").agg(
-        F.count("n_words").alias("copies"),
-        F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("covered"))).alias("hits"),
-        F.collect_set("item").alias("items"),
-    )
-
-
-def _verified(met: DataFrame, near_from: Column) -> DataFrame:
-    """(k, text_hash, text_length, n_words, item, covered) of positions with an anchor; near_w: the text's words from near_from on."""
-    n_w = F.col("n_w") if "n_w" in met.columns else F.size("w")
-    shift = F.col("pos") - F.col("a_pos")  # from a position in the item to that in the document
-    low = F.greatest(shift + F.col("first"), F.lit(0))
-    near = F.when(F.col("item").isNotNull(), lowered(F.slice("near_w", low - near_from + 1, F.size("a_words"))))
-
-    def hit(start: Column) -> Column:
-        there = F.slice("near", start + shift - low + 1, F.col("len"))
-        return (start + shift >= 0) & (start + shift + F.col("len") <= n_w) & (there == F.slice("a_words", start - F.col("first") + 1, F.col("len")))
-
-    starts = F.when(F.col("item").isNotNull(), F.filter(F.sequence("first", "last"), lambda s: F.coalesce(hit(s), F.lit(False))))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s + shift, s + shift + F.col("len") - 1))))
-    return met.withColumn("near", near).withColumn("starts", starts).select(
-        *("k", "text_hash", "text_length"),
-        F.when(F.col("pos") < 0, n_w).alias("n_words"),
-        F.when(F.size("starts") > 0, F.col("item")).alias("item"),
-        F.when(F.size("starts") > 0, covered).alias("covered"),
-    )
+        few = few.unionByName(part)
+    few = few.select("*", F.explode_outer("forms").alias("form"))
+    few = few.withColumns({"len": F.floor(F.col("form") / (window + 1)).cast("int"), "off": F.pmod("form", F.lit(window + 1)).cast("int")})
+    few = few.withColumn("start", F.col("pos") - F.col("off"))
+    few = few.withColumn("within", F.coalesce((F.col("start") >= 0) & (F.col("start") - F.col("low") + F.col("len") <= F.size("near_h")), F.lit(False)))
+    # rows without a window to look up go by a hash of their own, so that they don't meet in one task
+    few = few.withColumn("w_hash", F.when(F.col("within"), F.xxhash64(F.slice("near_h", F.col("start") - F.col("low") + 1, F.col("len")))).otherwise(F.xxhash64("k", "text_hash", "pos"))).drop("near_h", "forms", "form")
+    there = lowered(F.slice("near_w", F.col("start") - F.col("low") + 1, F.col("len")))
+    joined = few.join(sides, ["w_hash", "len", "off"], "left")
+    hit = F.col("within") & F.coalesce(there == F.col("words"), F.lit(False))
+    found = joined.select("k", "text_hash", "text_length", "n_words", F.when(hit, F.struct("start", "len")).alias("span"), F.when(hit, F.col("window")).alias("window"))
+    whole = found.groupBy("k", "text_hash", "text_length").agg(F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.sort_array(F.collect_set("window")).alias("windows"))
+    hits = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
+    return whole.select("k", "text_hash", "text_length", "copies", "n_words", hits.alias("hits"), "windows")
+
+
+def item_sets(hits: DataFrame, bench: DataFrame, *, item: str = "item_id", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(windows, items): the ids, as strings in order, of the items that hold one of the windows; a row per distinct set of windows."""
+    found = occurrences(bench, item=item, window=window, anchor=anchor)
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("len", "w_hash", "words")]
+    holders = distinct_windows(found).alias("l").join(found.alias("r"), same).select("l.window", "r.item").distinct()
+    sets = hits.where(F.size("windows") > 0).select("windows").distinct()
+    met = sets.select("windows", F.explode("windows").alias("window")).join(holders, "window")
+    return met.groupBy("windows").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
@@ -152,7 +138,7 @@ def remove_spans(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text
     """
     hits = find_hits(docs, bench, key=key, text=text, broadcast_bytes=broadcast_bytes, **options).where(F.size("hits") > 0).select("k", "text_hash", "text_length", "hits")
     hits = cut(hits)
-    took = hits.agg(F.sum(F.size("hits") * 8 + ANCHOR_BYTES)).first()[0] or 0
+    took = hits.agg(F.sum(F.size("hits") * 8 + HIT_BYTES)).first()[0] or 0
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("own_k"), F.xxhash64(text).alias("own_hash"), F.length(text).alias("own_length"))
     same = F.col("own_k").eqNullSafe(F.col("k")) & (F.col("own_hash") == F.col("text_hash")) & F.col("own_length").eqNullSafe(F.col("text_length"))
     joined = base.join(F.broadcast(hits) if took <= broadcast_bytes else hits, same, "left")
@@ -172,13 +158,16 @@ def remove_spans(docs: DataFrame, bench: DataFrame, *, key: str = "doc_id", text
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = find_hits(docs, bench).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return found.select(
+    found = cut(find_hits(docs, bench))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    sets = item_sets(found, bench).select("windows", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"))
+    rows = found.join(sets, "windows", "left").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return rows.select(
         F.col("k").alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.size("hits").cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
 

@@ -14,6 +14,8 @@ import pytest
 pytest.importorskip("locusflow.llm.queries")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from locusflow.llm import chat, components, decontamination, lm, packing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity  # noqa: E402
 from locusflow.llm.textblocks import blocks  # noqa: E402
 
@@ -488,14 +490,36 @@ def brute_hits(text, items, window=10):
     return len(ws), len(covered), sorted(found)
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 60_000}])
+def test_decontamination_of_one_preamble_in_many_items(spark, options):
+    """Documents and items share fourteen words: a document has the five windows of them once, not once an item."""
+    draw = random.Random(6)
+    preamble = "Read the passage below and then choose the one best answer to the question"
+    more = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    items = [(i, f"{preamble} {more(12)}") for i in range(400)]
+    rows = [(i, f"{more(8)} {preamble} {more(8)}") for i in range(300)] + [(1000, f"{more(5)} {items[7][1]} {more(5)}"), (1001, more(20)), (1002, items[3][1] + " " + items[9][1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.find_hits(docs, bench, **options)
+    got = {r.k: r for r in found.collect()}
+    for k, text in (rows[0], *rows[-3:]):
+        r, (n_words, n_hit, own) = got[k], brute_hits(text, items)
+        sets = {tuple(x.windows): x["items"] for x in decontamination.item_sets(found.where(F.col("k") == k), bench).collect()}
+        assert (r.n_words, len(r.hits), sets.get(tuple(r.windows), [])) == (n_words, n_hit, own)
+    assert all(len(got[i].windows) == 5 and len(got[i].hits) == 14 for i in range(300))
+    assert {len(x["items"]) for x in decontamination.item_sets(found, bench).collect()} == {400} and decontamination.item_sets(found, bench).count() == 3
+    kept = {r.doc_id: r.text for r in decontamination.remove_spans(docs, bench, **options).collect()}
+    assert all(kept[i] == text.replace(preamble + " ", "") for i, text in rows[:300]) and 1002 not in kept
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, " ".join(LONG.split()[100:130])), (2, "Two, words"), (3, None), (4, " ".join(LONG.split()[120:133]).upper()), (5, "one"), (12, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for options in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 600}):
-        got = {r.k: r for r in decontamination.find_hits(docs, bench, **options).collect()}
+        found = decontamination.find_hits(docs, bench, **options)
+        got, items_of = {r.k: r for r in found.collect()}, {tuple(r.windows): r["items"] for r in decontamination.item_sets(found, bench).collect()}
         for i, text in enumerate(TEXTS):
             r = got[i * 3]
-            assert (r.n_words, len(r.hits), sorted(r["items"])) == brute_hits(text, items)
+            assert (r.n_words, len(r.hits), items_of.get(tuple(r.windows), [])) == brute_hits(text, items)
     kept = by_id(decontamination.remove_spans(docs, bench))
     assert set(kept) == {i * 3 for i in range(len(TEXTS))} - {9, 12}
     for i, text in enumerate(TEXTS):
