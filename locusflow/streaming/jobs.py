@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators.profile import Profile, step
 from ..sources.writers import verified_by_day
+from . import lease
 
 
 def log_stream(spark: SparkSession, path: str, schema: str, *, files: int = 1, fmt: str = "json") -> DataFrame:
@@ -40,13 +41,19 @@ def settled(rows: DataFrame, after: str | None, now: str, *, ts: str = "created_
     return out.where(F.col(ts) > F.lit(after).cast("timestamp")) if after else out
 
 
-def export_table(table: DataFrame, path: str, state: str, now: str, *, ts: str = "created_at", key: str = "id", lag_seconds: int = 120) -> int:
+def export_table(table: DataFrame, path: str, state: str, now: str, *, ts: str = "created_at", key: str = "id", lag_seconds: int = 120, lease_seconds: int = lease.SECONDS) -> int:
     """One run of a cursor export of a table: rows past the last run's cursor and older than the lag, under the next batch number.
 
     The cursor (ts, key) and the number are a Parquet row in `state`, written to a new folder after the batch is
     there: a run that broke in between writes the same batch again. A broken newest folder falls back to the
-    one before it. Gives the number of rows.
+    one before it. A run holds the lease on `state`: a second one meanwhile is refused (`LeaseHeldError`), and one that paused
+    for longer than `lease_seconds` while another ran doesn't move the cursor. Gives the number of rows.
     """
+    with lease.held(table.sparkSession, f"{state.rstrip('/')}/leases", seconds=lease_seconds) as own:
+        return _export(table, path, state, now, ts, key, lag_seconds, own)
+
+
+def _export(table: DataFrame, path: str, state: str, now: str, ts: str, key: str, lag_seconds: int, own: lease.Lease) -> int:
     spark = table.sparkSession
     last = _cursor(spark, state)
     rows = table.where(F.col(ts) < F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(lag_seconds)))
@@ -55,10 +62,12 @@ def export_table(table: DataFrame, path: str, state: str, now: str, *, ts: str =
         rows = rows.where((F.col(ts) > at) | ((F.col(ts) == at) & (F.col(key) > last["key"])))
     number = 0 if last is None else last["number"] + 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
+    own.renew()
     wrote = verified_by_day(rows, path, ts, number, schema)
     if wrote:
-        newest = rows.agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(key).alias("key"))).alias("at"))
-        newest.select("at.ts", "at.key", F.lit(number).alias("number")).coalesce(1).write.mode("overwrite").parquet(f"{state}/cursor-{number:012d}")
+        newest = rows.agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(key).alias("key"))).alias("at")).select("at.ts", "at.key", F.lit(number).alias("number"))
+        own.renew()
+        newest.coalesce(1).write.mode("overwrite").parquet(f"{state}/cursor-{number:012d}")
     return wrote
 
 
@@ -66,7 +75,7 @@ def _cursor(spark: SparkSession, state: str):
     """The row of the newest whole cursor folder; null on the first run; fails where folders are there and none is whole."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(state)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted((s.getPath().getName() for s in fs.listStatus(folder)), reverse=True) if fs.exists(folder) else []
+    names = sorted((n for s in fs.listStatus(folder) if (n := s.getPath().getName()) != "leases"), reverse=True) if fs.exists(folder) else []
     for name in (n for n in names if n.startswith("cursor-")):
         try:
             return spark.read.parquet(f"{state}/{name}").first().asDict()
