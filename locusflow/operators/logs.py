@@ -59,6 +59,20 @@ def sessions(rows: DataFrame, *, by: str, order: list[str], ends: Column) -> Dat
     return rows.withColumn("session", F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(past), F.lit(0)))
 
 
+def session_table(rows: DataFrame, *, by: str, ts: str, tie: str, ends: Column, idle_seconds: int, now: Column | None = None) -> DataFrame:
+    """(by, session, begin, end, n, closed_by): sessions that an end event closes, or so long without an event; the last one stays open until `now` says that."""
+    order = Window.partitionBy(by).orderBy(ts, tie)
+    long = lambda a, b: F.unix_micros(b) - F.unix_micros(a) > idle_seconds * 1_000_000
+    at = F.col(ts).cast("timestamp")
+    marked = rows.withColumns({"_at": at, "_ends": F.coalesce(ends, F.lit(False))}).withColumns({"_before": F.lag("_at").over(order), "_ended": F.lag("_ends").over(order)})
+    opens = F.col("_before").isNull() | F.col("_ended") | long(F.col("_before"), F.col("_at"))
+    numbered = marked.withColumn("session", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    whole = numbered.groupBy(by, "session").agg(F.min("_at").alias("begin"), F.max("_at").alias("end"), F.count("*").alias("n"), F.bool_or("_ends").alias("_ends"))
+    later = F.lead("session").over(Window.partitionBy(by).orderBy("session")).isNotNull()
+    idle = later | (long(F.col("end"), now) if now is not None else F.lit(False))
+    return whole.withColumn("closed_by", F.when(F.col("_ends"), "end").when(idle, "idle")).select(by, "session", "begin", "end", "n", "closed_by")
+
+
 def expired(users: DataFrame, *, now: Column, days: int = 30) -> DataFrame:
     """Guests that weren't seen for so many days."""
     return users.where(F.col("google_sub").isNull() & (F.col("last_seen_at") < now - F.expr(f"interval {days} days")))
