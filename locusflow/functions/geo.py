@@ -38,35 +38,43 @@ def neighbours(i: Column, j: Column) -> Column:
     return F.array(*(F.struct(F.lit(n).alias("ord"), (i + di).alias("i"), (j + dj).alias("j")) for n, (di, dj) in enumerate(steps)))
 
 
-def _cells_in_row(i: Column, size: float) -> Column:
-    """How many equal cells a row of the grid is cut into: no two points within the distance are more than one apart."""
+def _cell_width(i: Column, size: float) -> Column:
+    """Degrees of longitude of a cell in a row of the grid: nowhere in it or the rows beside it narrower than its height; 360 near the poles."""
     edge = F.greatest(F.abs(i), F.abs(i + 1)) * size + size  # towards the pole, with the next row
     wide = F.lit(size) / F.cos(F.radians(F.least(edge, F.lit(89.0))))
-    return F.when((edge < 89.0) & (wide < 30), F.floor(360.0 / wide)).otherwise(1)
+    return F.when((edge < 89.0) & (wide < 30), wide).otherwise(360.0)
 
 
-def _cell_number(i: Column, over: Column) -> Column:
-    """One number for a cell: its row in the upper half of a bigint."""
-    return F.shiftleft(i.cast("bigint"), 32) + over
+def _columns(lon: Column, i: Column, size: float, reach: Column | float) -> tuple[Column, Column]:
+    """The numbers of the cells of a row about a longitude less, and more, by the part `reach` of a cell."""
+    wide = _cell_width(i, size)
+    n = F.floor(360.0 / wide)  # cells of a row, each at least that wide
+    at = (lon + 180.0) / 360.0 * n
+    over = wide / 360.0 * n * reach
+    number = lambda x: F.shiftleft(i.cast("bigint"), 32) + F.pmod(F.floor(x), n)
+    return number(at - over), number(at + over)
+
+
+def _near_size(km: float) -> float:
+    """Degrees of a cell of the grid for a distance: twice as far, so that what is near lies in two rows and two columns."""
+    return 2 * km / 110.0
 
 
 def near_cell(lat: Column, lon: Column, km: float) -> Column:
     """The number of the cell of a grid whose columns widen towards the poles and close at the date line."""
-    size = km / 110.0
-    i = cell(lat, size)
-    n = _cells_in_row(i, size)
-    return _cell_number(i, F.pmod(F.floor((lon + 180.0) / 360.0 * n), n))
+    size = _near_size(km)
+    return _columns(lon, cell(lat, size), size, F.lit(0.0))[0]
 
 
 def near_cells(lat: Column, lon: Column, km: float) -> Column:
-    """All cells of `near_cell` that can hold a point within km: at most nine, each once."""
-    size = km / 110.0
+    """All cells of `near_cell` that can hold a point within km: at most four, each once.
+
+    The distance reaches half a cell, so from where the point lies in its own only two rows, and in each two columns, are met.
+    """
+    size = _near_size(km)
     out = []
-    for step in (-1, 0, 1):
-        i = cell(lat, size) + step
-        n = _cells_in_row(i, size)
-        column = F.floor((lon + 180.0) / 360.0 * n)
-        out += [_cell_number(i, F.pmod(column + over, n)) for over in (-1, 0, 1)]
+    for step in (-size / 2, size / 2):
+        out += _columns(lon, cell(lat + step, size), size, F.lit(0.5))
     return F.array_distinct(F.array(*out))
 
 

@@ -73,6 +73,17 @@ def session_table(rows: DataFrame, *, by: str, ts: str, tie: str, ends: Column,
     return whole.withColumn("closed_by", F.when(F.col("_ends"), "end").when(idle, "idle")).select(by, "session", "begin", "end", "n", "closed_by")
 
 
+def visits(rows: DataFrame, *, by: str, order: list[str], place: str) -> DataFrame:
+    """The rows with `added`, the place where its owner hadn't been before (null where nothing is added), and `n_before`, how many places those were.
+
+    A row's list of visited places is what the rows before it added; as changes it takes a value a row, not a list a row.
+    """
+    first = F.row_number().over(Window.partitionBy(by, place).orderBy(*order)) == 1
+    marked = rows.withColumn("added", F.when(F.col(place).isNotNull() & first, F.col(place)))
+    past = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return marked.withColumn("n_before", F.coalesce(F.count("added").over(past), F.lit(0).cast("bigint")))
+
+
 def expired(users: DataFrame, *, now: Column, days: int = 30) -> DataFrame:
     """Guests that weren't seen for so many days."""
     return users.where(F.col("google_sub").isNull() & (F.col("last_seen_at") < now - F.expr(f"interval {days} days")))

@@ -68,11 +68,24 @@ def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("session").cast("long").alias("session"))
 
 
-@query("""SELECT event_id, coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN event_type = 'purchase' THEN CAST(event_id % 97 AS VARCHAR) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), ','), '') AS visited FROM events""")
+@query("""WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'purchase' THEN event_id % 97 END AS place FROM events),
+f AS (SELECT *, place IS NOT NULL AND row_number() OVER (PARTITION BY user_id, place ORDER BY ts, event_id) = 1 AS adds FROM e)
+SELECT event_id, CASE WHEN adds THEN place END AS added, CAST(coalesce(sum(adds::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_before FROM f""")
 def visited_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
-    past = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_set(F.when(F.col("event_type") == "purchase", (F.col("event_id") % 97).cast("string"))).over(past)
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(seen), ",").alias("visited"))
+    """What each event adds to the places its user has visited, and how many they were before it: the lists themselves as their changes."""
+    rows = table(spark, sf_dir, "events").withColumn("place", F.when(F.col("event_type") == "purchase", F.col("event_id") % 97))
+    return logs.visits(rows, by="user_id", order=["ts", "event_id"], place="place").select("event_id", "added", "n_before")
+
+
+@query("""WITH e AS (SELECT user_id AS actor, ts, event_id, event_type = 'purchase' AS ends, lag(ts) OVER w AS b, lag(event_type = 'purchase') OVER w AS e FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum((b IS NULL OR e OR epoch_us(ts) - epoch_us(b) > 86400000000)::INT) OVER (PARTITION BY actor ORDER BY ts, event_id) - 1 AS session FROM e),
+g AS (SELECT actor, session, count(*) AS n, bool_or(ends) AS ended FROM n GROUP BY ALL)
+SELECT actor, CAST(session AS BIGINT) AS session, n, CASE WHEN ended THEN 'end' WHEN session < max(session) OVER (PARTITION BY actor) THEN 'idle' END AS closed_by FROM g""")
+def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that an end event closes, or a day without an event; a stream closes them by timers (`streaming.expiry`)."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("actor"), "ts", "event_id", "event_type")
+    found = logs.session_table(rows, by="actor", ts="ts", tie="event_id", ends=F.col("event_type") == "purchase", idle_seconds=86_400)
+    return found.select("actor", F.col("session").cast("long").alias("session"), "n", "closed_by")
 
 
 @query("""SELECT o_custkey, o_orderkey, CAST(floor((epoch(o_orderdate) - epoch(min(o_orderdate) OVER (PARTITION BY o_custkey))) / 86400) + 1 AS BIGINT) AS trip_day FROM orders""")

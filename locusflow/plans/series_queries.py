@@ -162,8 +162,9 @@ def season_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, mo, round(v / base, 5) AS relative FROM c JOIN g USING (mo)""")
 def relative_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _by_place(spark, sf_dir).withColumn("mo", F.substring("ym", 5, 2).cast("int"))
-    base = rows.groupBy("mo").agg(F.median("views").alias("base"))
-    kinds = rows.groupBy((F.col("qid") % 5).alias("kind"), "mo").agg(F.median("views").alias("v"))
+    rows = rows.select((F.col("qid") % 5).alias("kind"), "mo", "views")
+    base = ordered.interpolated(rows, "views", {"base": 0.5}, ["mo"])
+    kinds = ordered.interpolated(rows, "views", {"v": 0.5}, ["kind", "mo"])
     return kinds.join(base, "mo").select("kind", "mo", F.round(F.col("v") / F.col("base"), 5).alias("relative"))
 
 

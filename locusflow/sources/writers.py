@@ -64,6 +64,12 @@ def manifest(outputs: dict[str, DataFrame]) -> dict[str, dict]:
     return {name: content_hash(rows).first().asDict() for name, rows in outputs.items()}
 
 
+def artefacts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of every file below a path, its bytes as they are stored; a task hashes the files it is dealt. For files below 2 GB."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).withColumnRenamed("path", "file")
+
+
 def text_file(spark: SparkSession, path: str, text: str) -> None:
     """A small text in whatever store the path names: written beside, then renamed."""
     paths = spark._jvm.org.apache.hadoop.fs.Path
