@@ -364,8 +364,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float, hot_key: int
     return left.join(right, ["a", "s"]).select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint")
 
 
+def prefixes(ids: np.ndarray, n: np.ndarray, values: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(members, how many of each set) of the sets' prefixes: the members that fewest sets hold, so many of them that alike sets share one.
+
+    ids: the sets' members, set after set. Of two sets of this similarity each shares at least `similarity` of its own
+    members, so it can't miss all of its first n - similarity * n + 1 in an order common to all.
+    """
+    need = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    row = np.repeat(np.arange(len(n)), n)
+    held = np.bincount(ids, minlength=values)
+    order = np.lexsort((ids, held[ids], row))
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    return ids[order][place < need[row]], need
+
+
 def across(sids: np.ndarray, labels: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs of alike sets that join all labels so joined; where there are two parts, pairs of unequal part only."""
+    """Pairs of alike sets that join all labels so joined; where there are two parts, pairs of unequal part only.
+
+    A set is compared with those that share a member of its prefix: unlike sets that came together by chance share none.
+    """
     n = np.array([len(x) for x in sets])
     keep = np.flatnonzero(n)
     sids, labels, parts, n = sids[keep], labels[keep], parts[keep], n[keep]
@@ -375,15 +392,26 @@ def across(sids: np.ndarray, labels: np.ndarray, parts: np.ndarray, sets: list[n
     values, ids = np.unique(np.concatenate([sets[i] for i in keep]), return_inverse=True)
     starts = np.cumsum(n) - n
     two = len(np.unique(parts)) > 1
+    first, need = prefixes(ids, n, len(values), similarity)
+    at_first = np.cumsum(need) - need
+    by_value = np.argsort(first, kind="stable")
+    owners = np.repeat(np.arange(len(n)), need)[by_value]
+    ends = np.cumsum(np.bincount(first, minlength=len(values)))
     mark = np.zeros(len(values), dtype=np.int32)
     most = np.argmax(np.bincount(label))
     for i in np.flatnonzero(label != most):  # each pair of two labels has one of these
-        other = (label != label[i]) & ((parts != parts[i]) | (not two)) & (n + 1e-9 >= similarity * n[i]) & (n[i] + 1e-9 >= similarity * n)
-        if not other.any():
+        wanted = first[at_first[i] : at_first[i] + need[i]]
+        low = np.where(wanted > 0, ends[wanted - 1], 0)
+        others = np.unique(np.concatenate([owners[a:b] for a, b in zip(low.tolist(), ends[wanted].tolist(), strict=True)]))
+        fits = (label[others] != label[i]) & ((parts[others] != parts[i]) | (not two)) & (n[others] + 1e-9 >= similarity * n[i]) & (n[i] + 1e-9 >= similarity * n[others])
+        others = others[fits]
+        if not len(others):
             continue
         own = ids[starts[i] : starts[i] + n[i]]
         mark[own] = 1
-        met = np.flatnonzero(other & alike(np.add.reduceat(mark[ids], starts), n[i], n, similarity))
+        begins = np.cumsum(n[others]) - n[others]
+        places = np.repeat(starts[others] - begins, n[others]) + np.arange(int(n[others].sum()))
+        met = others[alike(np.add.reduceat(mark[ids[places]], begins), n[i], n[others], similarity)]
         mark[own] = 0
         for at in met[np.unique(label[met], return_index=True)[1]].tolist():
             yield int(sids[i]), int(sids[at])
