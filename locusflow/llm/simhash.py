@@ -110,27 +110,26 @@ def set_id(distinct: np.ndarray) -> int:
 
 
 def banded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int, bands: int, rows: int) -> DataFrame:
-    """(key, text_hash, fp, sid, n, keys): fingerprints, the name and size of the shingle set, and the keys of its bands; a narrow map."""
+    """(key, text_hash, sid, n, keys): the name and size of the shingle set, and the keys of its bands; a narrow map."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, sids = np.zeros(batch.num_rows, dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64)
+            sids = np.zeros(batch.num_rows, dtype=np.uint64)
             sizes = np.zeros(batch.num_rows, dtype=np.int64)
             keys = np.zeros((batch.num_rows, bands), dtype=np.uint64)
             for block in blocks(batch.column("t")):
                 for i in range(len(block)):
-                    hashes = shingle_hashes(block.row(i), shingle)
-                    distinct = np.unique(hashes)
+                    distinct = np.unique(shingle_hashes(block.row(i), shingle))
                     at = block.first_row + i
-                    out[at], sids[at], sizes[at] = from_hashes(hashes), set_id(distinct), len(distinct)
+                    sids[at], sizes[at] = set_id(distinct), len(distinct)
                     keys[at] = band_keys(distinct, bands, rows)
             flat = pa.array(keys.view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("x"), pa.array(out.view(np.int64)), pa.array(sids.view(np.int64)), pa.array(sizes), lists], ["k", "text_hash", "fp", "sid", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("x"), pa.array(sids.view(np.int64)), pa.array(sizes), lists], ["k", "text_hash", "sid", "n", "keys"])
 
-    return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t", f"xxhash64(`{text}`) AS x").mapInArrow(run, f"k {kind}, text_hash bigint, fp bigint, sid bigint, n bigint, keys array<bigint>").withColumnRenamed("k", key)
+    return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t", f"xxhash64(`{text}`) AS x").mapInArrow(run, f"k {kind}, text_hash bigint, sid bigint, n bigint, keys array<bigint>").withColumnRenamed("k", key)
 
 
 def shingle_sets(docs: DataFrame, *, text: str = "text", shingle: int) -> DataFrame:
@@ -326,11 +325,11 @@ def links(routed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def _named(marked: DataFrame, labels: DataFrame, key: str, by: str = "fp", *more: str) -> DataFrame:
-    """(key, fp, component, more) of marked rows, whose column `by` has the labels (node, label)."""
+    """(key, by, component, more) of marked rows, whose column `by` has the labels (node, label)."""
     distinct = cut(marked.groupBy(by).agg(F.min(key).alias("first")))
     named = distinct.join(labels, distinct[by] == labels["node"], "left").select(by, "first", F.coalesce("label", by).alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component"))
-    return marked.join(named.join(least, "label").select(by, "component"), by).select(key, "fp", "component", *more)
+    return marked.join(named.join(least, "label").select(by, "component"), by).select(key, by, "component", *more)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -438,7 +437,7 @@ def remaining(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
 
 
 def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
-    """(key, fp, component, text_hash) for texts whose shingle sets have this Jaccard similarity or more.
+    """(key, sid, component, text_hash) for texts whose shingle sets have this Jaccard similarity or more.
 
     Bands of shingle minima bring candidates together (a pair of similarity 0.8 shares one of 25 bands
     of 5 with probability above 0.9999); a link is a candidate pair whose shingle sets, compared whole,

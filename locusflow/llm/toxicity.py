@@ -301,7 +301,8 @@ def _learn(model: Model, adam: gru.Adam, batch: list[Example]) -> None:
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    """True for rows that no label is learnt from; a null key isn't one of them."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, max_toxic: int, max_clean: int, max_bytes: int) -> tuple[DataFrame | None, float]:
