@@ -9,8 +9,9 @@ from ..functions import geo
 from ..operators import candidates as c
 from ..operators import ranking, resolve
 from ..operators.candidates import Constraints, Context
+from ..sources import layout
 from .registry import query, table
-from .tables import EVENTS_SQL, HERE, ITEMS_SQL, SAME_SQL, TAXONOMY, events, items, km_sql, m_sql
+from .tables import EVENTS_SQL, HERE, ITEMS_SQL, SAME_SQL, TAXONOMY, catalogue, events, items, km_sql, m_sql
 
 LAT, LON = HERE
 _D = km_sql(str(LAT), str(LON), "lat", "lon")
@@ -24,13 +25,13 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 @query(f"WITH {ITEMS_SQL}, d AS (SELECT *, {_D} AS dist FROM items WHERE {_BOX.format(km=3.0)}) SELECT id, name, round(dist, 6) AS dist_km, popularity FROM d WHERE category = 'meal' AND dist <= 3")
 def nearby_meals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(c.candidates(items(spark, sf_dir), Constraints("meal", max_distance_km=3.0), AT, TAXONOMY))
+    return _shown(c.candidates(catalogue(spark, sf_dir), Constraints("meal", max_distance_km=3.0), AT, TAXONOMY))
 
 
 @query(f"WITH {ITEMS_SQL}, d AS (SELECT *, {_D} AS dist FROM items) SELECT id, name, round(dist, 6) AS dist_km, round(0.6 * popularity + 0.4 * 0.5 - 0.1 * dist / 3.0, 3) AS score, row_number() OVER (ORDER BY round(0.6 * popularity + 0.4 * 0.5 - 0.1 * dist / 3.0, 3) DESC, dist, id) AS rank FROM d WHERE category = 'meal' AND dist <= 3 ORDER BY rank LIMIT 8")
 def nearest_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: eight best meals within three kilometres by blended score."""
-    pool = c.candidates(items(spark, sf_dir), Constraints("meal", max_distance_km=3.0), AT, TAXONOMY)
+    pool = c.candidates(catalogue(spark, sf_dir), Constraints("meal", max_distance_km=3.0), AT, TAXONOMY)
     rows = ranking.scored(pool, radius=F.lit(3.0), w=F.lit(0.4), content=F.lit(0.5))
     best = rows.orderBy(F.desc("score"), "dist_km", "id").limit(8)
     from pyspark.sql import Window
@@ -51,23 +52,23 @@ _TRACE = " UNION ALL ".join(f"SELECT {n} AS step, '{name}' AS rule, count(*) FIL
 @query(f"WITH {ITEMS_SQL}, d AS (SELECT *, {_D} AS dist FROM items WHERE {_BOX.format(km=5.0)}) {_TRACE}")
 def rule_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = Constraints("meal", include_sub=["noodles", "skewers"], exclude_sub=["pubs"], max_distance_km=5.0)
-    return c.trace(items(spark, sf_dir), asked, AT, TAXONOMY)
+    return c.trace(catalogue(spark, sf_dir), asked, AT, TAXONOMY)
 
 
 @query(f"WITH {ITEMS_SQL}, d AS (SELECT *, {_D} AS dist FROM items) SELECT id, name, round(dist, 6) AS dist_km, popularity FROM d WHERE category = 'bar' AND dist <= 5 AND (coalesce(list_has_any(fine, ['f1', 'f2', 'f3']), false) OR contains(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), 'bolt'))")
 def include_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping kinds, and an unknown word looked for in names."""
-    return _shown(c.candidates(items(spark, sf_dir), Constraints("bar", include_sub=["Skewers", "bolt"], max_distance_km=5.0), AT, TAXONOMY))
+    return _shown(c.candidates(catalogue(spark, sf_dir), Constraints("bar", include_sub=["Skewers", "bolt"], max_distance_km=5.0), AT, TAXONOMY))
 
 
 @query(f"WITH {ITEMS_SQL}, d AS (SELECT *, {_D} AS dist FROM items) SELECT id, name, round(dist, 6) AS dist_km, popularity FROM d WHERE category = 'bar' AND dist <= 5 AND NOT (coalesce(list_has_any(fine, ['f1', 'f2', 'f3']), false) OR coalesce(cuisine IN ('c1'), false))")
 def exclude_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(c.candidates(items(spark, sf_dir), Constraints("bar", exclude_sub=["skewers", "noodles"], max_distance_km=5.0), AT, TAXONOMY))
+    return _shown(c.candidates(catalogue(spark, sf_dir), Constraints("bar", exclude_sub=["skewers", "noodles"], max_distance_km=5.0), AT, TAXONOMY))
 
 
 @query(f"WITH {ITEMS_SQL}, d AS (SELECT *, {_D} AS dist FROM items) SELECT id, name, round(dist, 6) AS dist_km, popularity FROM d WHERE category IN ('sight', 'walk', 'shop', 'rest') AND dist <= 5 AND cuisine IS NULL AND sub = 'sub3'")
 def include_attraction_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(c.candidates(items(spark, sf_dir), Constraints(include_sub=["Garden"], max_distance_km=5.0), AT, TAXONOMY))
+    return _shown(c.candidates(catalogue(spark, sf_dir), Constraints(include_sub=["Garden"], max_distance_km=5.0), AT, TAXONOMY))
 
 
 _ATTR = "category IN ('sight', 'walk', 'shop', 'rest')"
@@ -78,7 +79,7 @@ _THEMES_SQL = {"famous": "popularity >= 0.6", "local": "local > 0", "known": "kn
 def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for t in _THEMES_SQL:
-        rows = c.candidates(items(spark, sf_dir), Constraints(theme=t, month=4, max_distance_km=10.0), AT, TAXONOMY)
+        rows = c.candidates(catalogue(spark, sf_dir), Constraints(theme=t, month=4, max_distance_km=10.0), AT, TAXONOMY)
         parts.append(rows.agg(F.lit(t).alias("theme"), F.count("*").alias("n"), F.round(F.sum("dist_km"), 4).alias("km")))
     out = parts[0]
     for p in parts[1:]:
@@ -111,7 +112,7 @@ SELECT id, name, round(dist, 6) AS dist_km, popularity FROM d WHERE {_ATTR} AND
 AND NOT EXISTS (SELECT 1 FROM v WHERE {km_sql('v.lat', 'v.lon', 'd.lat', 'd.lon')} <= 0.1 AND {SAME_SQL.format(a="regexp_replace(v.name, '[^a-z0-9]', '', 'g')", b="regexp_replace(d.name, '[^a-z0-9]', '', 'g')")})""")
 def visited_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = Context(LAT, LON, ["p3", "p10", "p77", "p150"])
-    return _shown(c.candidates(items(spark, sf_dir), Constraints(max_distance_km=15.0), at, TAXONOMY))
+    return _shown(c.candidates(catalogue(spark, sf_dir), Constraints(max_distance_km=15.0), at, TAXONOMY))
 
 
 @query(f"""WITH {ITEMS_SQL}, d AS (SELECT *, {_D} AS dist FROM items WHERE category = 'cafe' AND cuisine = 'c2'),
@@ -120,13 +121,13 @@ r AS (SELECT CASE WHEN a >= 8 THEN 1.0::DOUBLE WHEN b >= 8 THEN 2.0::DOUBLE WHEN
 SELECT id, round(dist, 6) AS dist_km, radius_km FROM d, r WHERE dist <= radius_km""")
 def radius_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least radius with eight candidates, from one pass."""
-    pool = c.place(items(spark, sf_dir).where("category = 'cafe' and cuisine = 'c2'"), AT)
+    pool = c.place(catalogue(spark, sf_dir).where("category = 'cafe' and cuisine = 'c2'"), AT)
     return c.widened(pool, c.ladder(1.0)).select("id", F.round("dist_km", 6).alias("dist_km"), "radius_km")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT count(*) > 0 AS inside FROM items WHERE {_BOX.format(km=30.0)}")
 def service_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.in_service_area(items(spark, sf_dir), LAT, LON)
+    return c.in_service_area(catalogue(spark, sf_dir), LAT, LON)
 
 
 @query(f"WITH {ITEMS_SQL}, d AS (SELECT *, {_D} AS dist FROM items) SELECT id, round(dist, 6) AS dist_km FROM d ORDER BY dist, id LIMIT 20")
@@ -282,7 +283,6 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     from ..operators.name_index import NameIndex
-    from ..sources import layout
 
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("best"), F.count("*").alias("n"))
     names = NameIndex(spark, layout.once(spark, "part_names", f"{sf_dir}/part.parquet", lambda out: NameIndex.write(names, "key", out)), "key").holding("red")
@@ -305,9 +305,5 @@ SELECT start, max(depth) AS depth, bool_or(at = 'r1') AS inside FROM w GROUP BY
 @query(f"""WITH {ITEMS_SQL} SELECT id, name, round({km_sql('35.0', '139.0', 'lat', 'lon')}, 6) AS km FROM items WHERE {km_sql('35.0', '139.0', 'lat', 'lon')} <= 3""")
 def places_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places within three kilometres, from a catalogue that is laid out by place: the scan skips other boxes."""
-    from ..sources import layout
-
-    shown = ("id", "name", "category", "lat", "lon", "popularity")
-    folder = layout.once(spark, "catalogue", f"{sf_dir}/part.parquet", lambda out: layout.write_by_place(items(spark, sf_dir).select(*shown), out))
     km = geo.haversine_km(F.lit(HERE[0]), F.lit(HERE[1]), F.col("lat"), F.col("lon"))
-    return layout.within(spark, folder, HERE, 3.0).select("id", "name", F.round(km, 6).alias("km"))
+    return layout.within(catalogue(spark, sf_dir), HERE, 3.0).select("id", "name", F.round(km, 6).alias("km"))

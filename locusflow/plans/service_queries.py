@@ -12,7 +12,7 @@ from ..operators.candidates import Constraints, Context
 from ..operators.name_index import NameIndex
 from ..sources import layout
 from .registry import query, table
-from .tables import EVENTS_SQL, HERE, ITEMS_SQL, TAXONOMY, events, items, km_sql
+from .tables import EVENTS_SQL, HERE, ITEMS_SQL, TAXONOMY, catalogue, events, items, km_sql
 
 _SHOPS = "n AS (SELECT p_partkey AS id, p_name || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' 南店' WHEN 2 THEN '(x)' ELSE 'ish' END AS name, 'Q' || (p_size % 7) || '; Q' || (p_partkey % 5) AS keys FROM part)"
 
@@ -227,7 +227,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> r.Answer:
     prefs = ranking.preferences(events(spark, sf_dir).where("actor = 7"), user="actor").select("sub", "a", "b")
     words = r.Words(categories={"sight": "sights"}, themes={"local": "local favourites of month {month}"}, kinds={f"f{i}": f"fine {i}" for i in range(4)})
     intent = Constraints("sight", theme="local", month=4, max_distance_km=1.0)
-    return r.recommend(_places(spark, sf_dir), intent, Context(*HERE), TAXONOMY, prefs=prefs, n_reactions=20, words=words)
+    return r.recommend(catalogue(spark, sf_dir).withColumn("name_ja", F.lit(None).cast("string")), intent, Context(*HERE), TAXONOMY, prefs=prefs, n_reactions=20, words=words)
 
 
 @query(f"""{_ONE} SELECT rank::INT AS rank, id, slot, score, round(taste, 4) AS taste, CAST(round(dist * 1000) AS BIGINT) AS distance_m, sub AS kind,

@@ -55,9 +55,8 @@ def write_by_place(df: DataFrame, path: str, *, lat: str = "lat", lon: str = "lo
     dealt.write.mode("overwrite").option("parquet.block.size", group_bytes).option("parquet.page.size", group_bytes >> 4).parquet(path)
 
 
-def within(spark: SparkSession, path: str, at: tuple[float, float], km: float, *, lat: str = "lat", lon: str = "lon", columns: list[str] | None = None) -> DataFrame:
-    """The rows within km of a place, read from the row groups whose boxes meet the circle's."""
-    rows = spark.read.parquet(path)
+def within(rows: DataFrame, at: tuple[float, float], km: float, *, lat: str = "lat", lon: str = "lon", columns: list[str] | None = None) -> DataFrame:
+    """The rows within km of a place; of a table that `write_by_place` wrote, only row groups whose boxes meet the circle's are read."""
     rows = rows.where(geo.box(F.col(lat), F.col(lon), *at, km)).where(geo.haversine_km(F.lit(at[0]), F.lit(at[1]), F.col(lat), F.col(lon)) <= km)
     return rows.select(*columns) if columns else rows
 

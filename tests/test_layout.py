@@ -92,7 +92,7 @@ def test_a_box_reads_few_row_groups(spark, tmp_path):
                 if all(s.has_min_max for s in stats.values()) and stats["lat"].min <= north and stats["lat"].max >= south and stats["lon"].min <= east and stats["lon"].max >= west:
                     read += group.total_byte_size
         assert 0 < read < 0.05 * whole
-        found = layout.within(spark, path, at, 3.0)
+        found = layout.within(spark.read.parquet(path), at, 3.0)
         n, scanned = scanned_rows(spark, found)
         assert n == rows.where(geo.haversine_km(F.lit(at[0]), F.lit(at[1]), F.col("lat"), F.col("lon")) <= 3).count() and scanned < 0.05 * 240_000
 
