@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .ordered import numbered
 
 
@@ -68,6 +69,11 @@ def share_labels(rows: DataFrame, key: str, value: str, share: float = 0.2) -> D
     return kept.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("labels"))
 
 
+def named(rows: DataFrame, name: str, *, done: bool = False) -> DataFrame:
+    """The rows with their name trimmed, without those whose name has no letter or digit: names are told apart as they are written, not by their keys."""
+    return rows.where(text.bare(text.folded(F.col(name), done)) != "").withColumn(name, F.trim(name))
+
+
 def dataset(rows: DataFrame, name: Column, key: Column, fine: str, *, cap: int, share: float = 0.2, validation: float = 0.05, order: Column | None = None) -> DataFrame:
     """(name, label, labels, part): one training row a name from the fine codes of the places that bear it.
 

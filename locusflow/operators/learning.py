@@ -77,23 +77,42 @@ def hit_thresholds(rows: DataFrame, *, predicted: str, score: str, gold: str, pa
     return sums.select(F.inline(lines))
 
 
-def spread(links: DataFrame, seeds: DataFrame, *, alpha: float = 0.2, rounds: int = 10) -> DataFrame:
+def with_snippets(rows: DataFrame, found: DataFrame, *, name: str, area: str, query: str = "query", snippets: str = "snippets") -> DataFrame:
+    """The rows with what a search gave for `name area`, or where that is nothing for the name alone; an empty list where both are.
+
+    found: a row a query, as a search has answered it before.
+    """
+    both = F.trim(F.concat(F.col(name), F.lit(" "), F.coalesce(area, F.lit(""))))
+    some = found.where(F.size(snippets) > 0)
+    first = some.select(F.col(query).alias("_both"), F.col(snippets).alias("_first"))
+    second = some.select(F.col(query).alias("_name"), F.col(snippets).alias("_second"))
+    met = rows.withColumns({"_both": both, "_name": F.col(name)}).join(first, "_both", "left").join(second, "_name", "left")
+    return met.withColumn(snippets, F.coalesce("_first", "_second", F.array().cast("array<string>"))).drop("_both", "_name", "_first", "_second")
+
+
+def spread(links: DataFrame, seeds: DataFrame, *, alpha: float = 0.2, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
     """(node, score): label spreading over a weighted graph, F = alpha S F + (1 - alpha) Y with S the normalised weights.
 
     links: a, b, weight (either way, each once); seeds: node, y. A round is one join and one sum by node,
-    which tasks begin before the shuffle; every third round ends in a reliable checkpoint.
+    which tasks begin before the shuffle; every third round ends in a reliable checkpoint. With a tolerance, rounds end early,
+    at a checkpoint since which no score has moved by more.
     """
     both = links.select("a", "b", "weight").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     degree = both.groupBy("a").agg(F.sum("weight").alias("d"))
     s = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b").select("a", "b", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("s"))
     s = checkpointed(s)
     start = seeds.select("node", (F.col("y") * (1 - alpha)).alias("score"))
-    now = start
+    now = before = start
     for n in range(rounds):
         moved = s.join(now.select(F.col("node").alias("b"), "score"), "b").select(F.col("a").alias("node"), (F.col("s") * F.col("score") * alpha).alias("score"))
         now = moved.unionByName(start).groupBy("node").agg(F.sum("score").alias("score"))
         if n % 3 == 2:
             now = checkpointed(now)
+            if tolerance is not None:
+                moved = now.join(before.withColumnRenamed("score", "_was"), "node", "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("_was", F.lit(0.0)))))
+                if (moved.first()[0] or 0.0) <= tolerance:
+                    break
+                before = now
     return now
 
 

@@ -165,6 +165,24 @@ def accepted_props(props: Column, most: int = 1000) -> Column:
     return F.when(F.length(text) <= most, text)
 
 
+def json_line(rows: DataFrame) -> Column:
+    """The columns as one JSON object: times in ISO form with their zone, parts of a second where there are any, decimals as numbers, nulls kept."""
+
+    def plain(f) -> Column:
+        x, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("timestamp", "timestamp_ntz"):
+            at = x.cast("timestamp_ntz") if kind == "timestamp_ntz" else F.convert_timezone(F.current_timezone(), F.lit("UTC"), x.cast("timestamp_ntz"))
+            whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+            micros = F.date_format(at, "SSSSSS")
+            zone = F.lit("+00:00" if kind == "timestamp" else "")
+            return F.concat(whole, F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), zone).alias(f.name)
+        if kind == "decimal":
+            return x.cast("double").alias(f.name)
+        return x.alias(f.name)
+
+    return F.to_json(F.struct(*(plain(f) for f in rows.schema.fields)), {"ignoreNullFields": "false"})
+
+
 def stored_profile(session: Column, *, device: Column, places: int = 2, without: tuple[str, ...] = ("candidates",)) -> Column:
     """A session as it is kept: without passing fields, a device's position only coarsely."""
     kept = session.dropFields(*without) if without else session

@@ -123,6 +123,11 @@ def recommend(items: DataFrame, intent: Constraints, at: Context, taxonomy: Taxo
     return Answer(cards(shown, want.month, words, logged), turn)
 
 
+def ranking_view(taste: Column, n_reactions: Column, current: Column, visited: Column) -> Column:
+    """Of a user's profile what ranking reads: preferences, how many reactions they rest on, and the situation."""
+    return F.struct(taste.alias("preferences"), n_reactions.alias("n_reactions"), F.struct(current.alias("current"), visited.alias("visited")).alias("context"))
+
+
 def turn_context(current: Column, visited: Column, month: int, *, source: Column, places: int = 2) -> Column:
     """What a log keeps of the situation: a position from a device only coarsely, with its geohash."""
     from_device = source == "gps"

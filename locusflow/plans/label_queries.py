@@ -65,6 +65,26 @@ def share_threshold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.share_labels(table(spark, sf_dir, "part").select(F.col("p_name").alias("key"), F.col("p_type").alias("value")), "key", "value")
 
 
+_SPACED = "CASE p_size % 5 WHEN 0 THEN '  ' || p_name WHEN 1 THEN p_name || ' ' WHEN 2 THEN upper(p_name) WHEN 3 THEN ' .- ' ELSE p_name END"
+
+
+@query(f"WITH r AS (SELECT trim({_SPACED}) AS key, p_type AS value FROM part WHERE regexp_matches({_SPACED}, '[a-zA-Z0-9]')), c AS (SELECT key, value, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY key) AS whole FROM c) SELECT key, list(value ORDER BY value) AS labels FROM k WHERE n >= 0.2 * whole GROUP BY key")
+def labels_of_written_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by the trimmed name as it is written; names without a letter or digit go."""
+    name = F.expr(_SPACED)
+    rows = l.named(table(spark, sf_dir, "part").select(name.alias("key"), F.col("p_type").alias("value")), "key", done=True)
+    return l.share_labels(rows, "key", "value")
+
+
+@query("SELECT p_partkey AS id, p_name || 'カラオケ' || chr(CAST(12353 + p_size % 80 AS INT)) AS name FROM part".replace("カラオケ", "からおけ"))
+def hiragana_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katakana of names as hiragana."""
+    from ..functions.kana import hiragana
+
+    one = F.decode(F.unhex(F.concat(F.lit("30"), F.lpad(F.hex(F.col("p_size") % 80 + 0xA1), 2, "0"))), "UTF-16BE")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), hiragana(F.concat("p_name", F.lit("カラオケ"), one)).alias("name"))
+
+
 _U = "(p_partkey * 1103515 + 12345) % 1000003"
 
 

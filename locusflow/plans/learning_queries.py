@@ -250,3 +250,15 @@ def simulation_food(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = events(spark, sf_dir).select(F.col("type").alias("policy"), (F.col("value") > 30).alias("chosen"), F.lit(1).alias("turn"), F.lit(1).alias("rank"), F.lit(8).alias("shown"), F.lit(1).alias("subs"), k)
     out = e.simulation_summary(t, "policy", plain_food=(k % 3 == 0) & (k % 4 > 0), complied=F.when(k % 5 > 0, k % 2 == 0))
     return out.select("policy", F.round("food_success", 5).alias("food_success"), F.round("compliance", 5).alias("compliance"))
+
+
+@query("""WITH f AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN p_name || ' ' || p_brand ELSE p_name END AS query, min(s_name) AS one, count(*) AS n FROM part JOIN supplier ON s_suppkey = p_partkey % 100 + 1 WHERE p_size % 3 > 0 GROUP BY ALL),
+a AS (SELECT p_partkey AS id, p_name AS name, p_brand AS area FROM part) SELECT a.id, coalesce(x.one, y.one) AS snippet FROM a LEFT JOIN f x ON x.query = a.name || ' ' || a.area LEFT JOIN f y ON y.query = a.name""")
+def snippets_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found for a name with its area, or else for the name alone."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    asked = F.when(F.col("s_suppkey") % 2 == 0, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.col("p_name"))
+    met = part.where("p_size % 3 > 0").join(supplier, F.col("s_suppkey") == F.col("p_partkey") % 100 + 1)
+    found = met.groupBy(asked.alias("query")).agg(F.array(F.min("s_name")).alias("snippets"))
+    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("area"))
+    return m.with_snippets(rows, found, name="name", area="area").select("id", F.get("snippets", F.lit(0)).alias("snippet"))

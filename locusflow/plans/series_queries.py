@@ -203,3 +203,12 @@ def sparklines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import sparkline
 
     return _curves(spark, sf_dir).select("qid", sparkline(F.col("vs")).alias("spark"))
+
+
+@query(f"""WITH {_CURVE}, p AS (SELECT qid % 4 AS cluster, qid, row_number() OVER (PARTITION BY qid ORDER BY mo) AS m, v FROM md), g AS (SELECT cluster, m, avg(v) AS v, count(DISTINCT qid) AS n FROM p GROUP BY ALL),
+w AS (SELECT cluster, max(n) AS members, list(round(v, 4) ORDER BY m) AS curve, arg_max(m, (v, -m)) AS peak FROM g GROUP BY cluster) SELECT cluster, members, array_to_string(curve, ',') AS curve, CAST(peak AS INT) AS peak FROM w""")
+def curves_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean curve of each given cluster of curves, and the month of its peak."""
+    curves = _curves(spark, sf_dir)
+    found = s.cluster_curves(curves, curves.select("qid", (F.col("qid") % 4).alias("cluster")), "qid", "vs")
+    return found.select("cluster", "members", F.array_join(F.transform("curve", lambda v: F.round(v, 4).cast("string")), ",").alias("curve"), F.col("peak").cast("int").alias("peak"))

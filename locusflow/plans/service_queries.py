@@ -322,3 +322,11 @@ def near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).select("n", (F.col("p_size") % 100).cast("bigint").alias("qid"), "lat", "lon").join(t, "qid")
     far = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("q_lat"), F.col("q_lon")) * 1000
     return rows.where(far < 5000).select("n", "qid", F.round(far, 2).alias("dist_m"))
+
+
+@query("""SELECT c_custkey AS id, '{"preferences":{"' || c_mktsegment || '":1.5},"n_reactions":' || c_nationkey || ',"context":{"current":"' || c_name || '","visited":["p' || c_custkey % 7 || '"]}}' AS view FROM customer""")
+def ranking_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a profile what ranking reads."""
+    visited = F.array(F.concat(F.lit("p"), (F.col("c_custkey") % 7).cast("string")))
+    view = r.ranking_view(F.create_map("c_mktsegment", F.lit(1.5)), F.col("c_nationkey"), F.col("c_name"), visited)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.to_json(view).alias("view"))
