@@ -94,37 +94,55 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.class_weights(table(spark, sf_dir, "part").select(F.col("p_type").alias("label")), "label").withColumn("weight", F.round("weight", 6))
 
 
-#: The tables and what makes up the key of a row.
-_KEYS = {
-    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name"], "customer": ["c_custkey", "c_name"], "supplier": ["s_suppkey", "s_name"], "part": ["p_partkey", "p_name"],
-    "orders": ["o_orderkey", "o_orderpriority"], "lineitem": ["l_orderkey", "l_linenumber", "l_returnflag"], "events": ["event_id", "event_type", "props"], "documents": ["doc_id", "text"],
-    "embeddings": ["vec_id", "label"], "pages": ["page_id", "html"], "benchmark": ["item_id", "text"], "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role", "text"],
+#: The tables and their columns; `d` a number with a fraction (hashed in hundredths), `t` a time, `v` a vector (in thousandths), others as text.
+_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal:d c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal:d",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice:d", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:d o_orderdate:t o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag l_linestatus l_shipdate:t", "events": "event_id ts:t user_id event_type value:d props",
+    "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding:v label", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
 }
 
 
 def _hash_sql(name: str) -> str:
-    row = " || chr(31) || ".join(f"coalesce(CAST({k} AS VARCHAR), chr(30))" for k in _KEYS[name])
+    def part(column: str) -> str:
+        c, _, kind = column.partition(":")
+        shown = {"d": "CAST(CAST(round({} * 100) AS BIGINT) AS VARCHAR)", "t": "CAST(epoch_us({}) AS VARCHAR)", "v": "array_to_string(list_transform({}, lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)), ',')"}.get(kind, "CAST({} AS VARCHAR)").format(c)
+        return f"coalesce({shown}, chr(30))"
+
+    row = " || chr(31) || ".join(map(part, _COLUMNS[name].split()))
     return f"SELECT '{name}' AS name, count(*) AS n, CAST(sum(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT)::HUGEINT) AS VARCHAR) AS sum FROM {name}"
 
 
-@query(" UNION ALL ".join(map(_hash_sql, _KEYS)))
+@query(" UNION ALL ".join(map(_hash_sql, _COLUMNS)))
 def table_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and an order-free hash of keys and texts of each table."""
+    """Rows and an order-free hash of all columns of each table."""
+
+    def part(column: str):
+        c, _, kind = column.partition(":")
+        x = F.col(c)
+        if kind == "d":
+            x = F.round(x * 100).cast("bigint")
+        elif kind == "t":
+            x = F.unix_micros(x.cast("timestamp"))
+        elif kind == "v":
+            x = F.array_join(F.transform(x, lambda v: F.round(v.cast("double") * 1000).cast("bigint").cast("string")), ",")
+        return F.coalesce(x.cast("string"), F.lit("\x1e"))
+
     parts = []
-    for name, keys in _KEYS.items():
-        row = F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in keys))
-        part = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(38,0)")
-        parts.append(table(spark, sf_dir, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(part).cast("string").alias("sum")))
+    for name, columns in _COLUMNS.items():
+        row = F.concat_ws("\x1f", *map(part, columns.split()))
+        hashed = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(38,0)")
+        parts.append(table(spark, sf_dir, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(hashed).cast("string").alias("sum")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {name}" for name in _KEYS))
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {name}" for name in _COLUMNS))
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each table: no column is read."""
-    parts = [table(spark, sf_dir, name).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in _KEYS]
+    parts = [table(spark, sf_dir, name).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in _COLUMNS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
