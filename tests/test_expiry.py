@@ -1,6 +1,7 @@
 """Streams whose state ends by timers give what the batch queries give, late rows included."""
 
 import json
+import os
 import random
 
 import pytest
@@ -28,6 +29,8 @@ def events(spark, tmp_path_factory):
         (folder / f"{n}.json").write_text("\n".join(lines[n * 67 : n * 67 + 67]))
     for n in (6, 7):
         (folder / f"{n}.json").write_text(json.dumps({"key": "last", "seq": n, "kind": "view", "ts": BASE + FAR * n}))
+    for n in range(8):  # a stream takes files in the order of their times
+        os.utime(folder / f"{n}.json", (BASE + n, BASE + n))
     return str(folder)
 
 
