@@ -12,7 +12,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,024 rows; the operators cut them again by bytes."""
+    """Arrow batches of at most 1,024 rows, set for the session and left so: a plan runs under what holds at its action. The operators cut them again by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
 

@@ -13,6 +13,10 @@ and their pattern. Pairs of nodes go down together and are dropped, with all bel
 bits in both masks differ in more than `max_bits` places. Links found are reduced to one edge per
 fingerprint and key before they leave the task; alternating stars join them into components.
 
+`similar_texts` and `keep_first`, the pipeline's stage, link by the Jaccard similarity of shingle sets, which no bound on
+differing bits decides: bands of shingle minima bring candidates together, and sets that share a member of their prefixes are
+compared whole.
+
 Cases: a null or empty text has fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; repeated rows share a fingerprint; other columns are not read, or pass through `keep_first`
 whatever their names; an empty table gives no rows.

@@ -21,7 +21,8 @@ Texts are held compressed in the checkpoint and travel so.
 
 Order: by key, then block and row (rows of one key), then place. Keys are integers, others are refused; a null key
 comes first; other columns are not read. Cases: a null or empty text has no bytes and nothing removed; texts below `LENGTH` bytes stay
-whole; of equal rows the later one goes whole; an empty table gives no rows.
+whole; of equal rows the later one goes whole; an empty table gives no rows; a key of -2^63 marks a null one
+and comes back as null.
 """
 
 from __future__ import annotations
