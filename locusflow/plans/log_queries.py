@@ -226,12 +226,12 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AT = "o_orderdate + to_microseconds(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 1000000 ELSE 0 END)"
 
 
-@query(f"""WITH r AS (SELECT o_orderkey AS id, {_AT} AS t, CASE WHEN o_orderkey % 4 > 0 THEN round(o_totalprice / 1000, 2) END AS price, o_orderpriority AS level FROM orders)
+@query(f"""WITH r AS (SELECT o_orderkey AS id, {_AT} AS t, CASE WHEN o_orderkey % 4 > 0 THEN CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100000 AS DOUBLE) / 100 END AS price, o_orderpriority AS level FROM orders)
 SELECT id, '{{"id":' || id || ',"at":"' || strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(t) % 1000000 > 0 THEN '.' || lpad(CAST(epoch_us(t) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '","price":' || coalesce(CAST(price AS VARCHAR), 'null') || ',"level":"' || level || '"}}' AS line FROM r""")
 def json_lines_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as JSON lines: times in ISO form, decimals as numbers, nulls kept."""
     micros = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 1_000_000).otherwise(0)
     at = (F.col("o_orderdate") + F.make_dt_interval(secs=(micros / 1_000_000).cast("decimal(18,6)"))).cast("timestamp_ntz")
-    price = F.when(F.col("o_orderkey") % 4 > 0, F.round(F.col("o_totalprice") / 1000, 2).cast("decimal(10,2)"))
+    price = F.when(F.col("o_orderkey") % 4 > 0, (F.round(F.col("o_totalprice") * 100).cast("bigint") % 100_000 / 100).cast("decimal(10,2)"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), at.alias("at"), price.alias("price"), F.col("o_orderpriority").alias("level"))
     return rows.select("id", logs.json_line(rows).alias("line"))

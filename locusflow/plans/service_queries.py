@@ -46,7 +46,7 @@ m AS (SELECT id, CASE WHEN len(beside) > 0 AND NOT list_has_any(chains, beside)
 SELECT id, {_distinct('whole')}[1] AS label, array_to_string({_distinct('whole')}, ',') AS matched, CASE WHEN len(held) > 0 THEN 'chain' WHEN len(whole) > 0 THEN 'keyword' END AS kind FROM w""")
 def chain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains in names, and keywords beside them that outweigh a chain."""
-    table = chains.dimension(spark.createDataFrame(CHAINS, "seq int, category string, name string, start_only boolean"))
+    table = chains.dimension(spark.createDataFrame(CHAINS, "seq int, category string, name string, start_only boolean"), done=True)
     rows = chains.label_by_chains(_shops(spark, sf_dir), table, KEYWORDS)
     return rows.select("id", "label", F.array_join("matched", ",").alias("matched"), "kind")
 
@@ -59,7 +59,7 @@ _BY_NAME = " ".join(f"WHEN regexp_matches(name, '^{b}{_END}') THEN CASE WHEN len
 SELECT id, CASE WHEN len(known) > 0 THEN known[1] {_BY_NAME} END AS brand FROM k""")
 def brand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label by a brand's key, else by its name at the beginning, unless another keyword follows."""
-    table = chains.dimension(spark.createDataFrame(BRANDS, "seq int, category string, brand_key string, name string, source string"))
+    table = chains.dimension(spark.createDataFrame(BRANDS, "seq int, category string, brand_key string, name string, source string"), done=True)
     rows = chains.label_by_brands(_shops(spark, sf_dir), table, KEYWORDS)
     return rows.select("id", F.when(F.col("label").isNotNull(), F.concat_ws("|", "label", "rule", "source")).alias("brand"))
 
