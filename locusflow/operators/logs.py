@@ -84,6 +84,12 @@ def visits(rows: DataFrame, *, by: str, order: list[str], place: str) -> DataFra
     return marked.withColumn("n_before", F.coalesce(F.count("added").over(past), F.lit(0).cast("bigint")))
 
 
+def visited(rows: DataFrame, *, by: str, order: list[str], place: str) -> DataFrame:
+    """The rows with `visited`, the places of their owner's rows before them, each once and sorted; a null in the order comes last."""
+    past = Window.partitionBy(by).orderBy(*(F.asc_nulls_last(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("visited", F.array_sort(F.collect_set(place).over(past)))
+
+
 def expired(users: DataFrame, *, now: Column, days: int = 30) -> DataFrame:
     """Guests that weren't seen for so many days."""
     return users.where(F.col("google_sub").isNull() & (F.col("last_seen_at") < now - F.expr(f"interval {days} days")))

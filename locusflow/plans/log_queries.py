@@ -68,13 +68,12 @@ def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("session").cast("long").alias("session"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'purchase' THEN event_id % 97 END AS place FROM events),
-f AS (SELECT *, place IS NOT NULL AND row_number() OVER (PARTITION BY user_id, place ORDER BY ts, event_id) = 1 AS adds FROM e)
-SELECT event_id, CASE WHEN adds THEN place END AS added, CAST(coalesce(sum(adds::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_before FROM f""")
+@query("""SELECT event_id, coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN event_type = 'purchase' THEN CAST(event_id % 97 AS VARCHAR) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))), ','), '') AS visited FROM events""")
 def visited_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each event adds to the places its user has visited, and how many they were before it: the lists themselves as their changes."""
-    rows = table(spark, sf_dir, "events").withColumn("place", F.when(F.col("event_type") == "purchase", F.col("event_id") % 97))
-    return logs.visits(rows, by="user_id", order=["ts", "event_id"], place="place").select("event_id", "added", "n_before")
+    """The whole list of places that each event's user has visited before it."""
+    rows = table(spark, sf_dir, "events").withColumn("place", F.when(F.col("event_type") == "purchase", (F.col("event_id") % 97).cast("string")))
+    rows = logs.visited(rows, by="user_id", order=["ts", "event_id"], place="place")
+    return rows.select("event_id", F.array_join("visited", ",").alias("visited"))
 
 
 @query("""WITH e AS (SELECT user_id AS actor, ts, event_id, event_type = 'purchase' AS ends, lag(ts) OVER w AS b, lag(event_type = 'purchase') OVER w AS e FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

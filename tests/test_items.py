@@ -8,8 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from locusflow import catalogue
 from locusflow.functions import geo
 from locusflow.operators import labels, learning, logs, resolve
+from locusflow.plans import log_queries
 from locusflow.sources import writers
 
 
@@ -50,6 +52,23 @@ def test_visits_are_the_lists_as_changes(spark):
         seen[u] += [p] * new
 
 
+def test_visited_so_far_gives_whole_lists(spark, tmp_path):
+    """A list for each event, as the first SQL gave it, not what the event adds to it; nulls of the order come last in both."""
+    duckdb = pytest.importorskip("duckdb")
+    draw = random.Random(6)
+    rows = [(i, draw.choice([1, 2, None]), draw.choice([None, *range(40)]), draw.choice(["purchase", "purchase", "click", None])) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long, event_type string")
+    events.select("event_id", F.expr("cast(timestamp_seconds(s) AS timestamp_ntz)").alias("ts"), "user_id", "event_type").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.visited for r in log_queries.visited_so_far(spark, str(tmp_path)).collect()}
+    want, seen = {}, {}
+    for i, user, _, kind in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+        want[i] = ",".join(sorted(seen.setdefault(user, set())))
+        seen[user] |= {str(i % 97)} if kind == "purchase" else set()
+    assert got == want and max(v.count(",") for v in got.values()) > 20
+    sql = catalogue.ORACLES["visited_so_far"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert dict(duckdb.sql(sql).fetchall()) == want
+
+
 def test_idle_sessions(spark):
     rows = [("a", 0, "x"), ("a", 10, "end"), ("a", 20, "x"), ("a", 121, "x"), ("a", 221, "x"), ("b", 5, "x")]
     df = spark.createDataFrame(rows, "k string, s int, kind string").withColumn("ts", F.timestamp_seconds("s"))
