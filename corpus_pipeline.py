@@ -36,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents similar in 0.8 of their five-word shingles or more, the smallest doc_id stays.
 
+    Fingerprints within a loose bound come from the Gray-order index, and their shingle sets are compared whole.
     Links reach over others: a group is a component. Null and empty texts are one group, so the
     smallest of them stays; rows of equal doc_id and text stay or go together; a row without a doc_id
     stays where no row with one is like it.

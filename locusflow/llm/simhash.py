@@ -13,9 +13,10 @@ and their pattern. Pairs of nodes go down together and are dropped, with all bel
 bits in both masks differ in more than `max_bits` places. Links found are reduced to one edge per
 fingerprint and key before they leave the task; alternating stars join them into components.
 
-`similar_texts` and `keep_first`, the pipeline's stage, link by the Jaccard similarity of shingle sets, which no bound on
-differing bits decides: bands of shingle minima bring candidates together, and sets that share a member of their prefixes are
-compared whole.
+`similar_texts` and `keep_first`, the pipeline's stage, take the same way with a loose bound and an exact check: equal blocks of
+shingle minima (bands) are the keys, a key's first member leads those near it, the rest of a key goes by the members that alike
+sets must share and down the Gray-order index, and pairs of fingerprints within the bound are linked when their shingle sets,
+compared whole, have the Jaccard similarity. Alternating stars join the links.
 
 Cases: a null or empty text has fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; repeated rows share a fingerprint; other columns are not read, or pass through `keep_first`
@@ -43,9 +44,12 @@ MAX_BITS = 2
 FAN = 16
 HOT_KEY = 4_096
 LEADERS = 8
+#: Standard deviations above the mean of differing bits at which the index lets pairs go that may be alike.
+DEVIATIONS = 7
 ROWS_AT_ONCE = 1 << 17
 PAIRS_AT_ONCE = 1 << 18
 SHINGLES_AT_ONCE = 1 << 20
+KNOWN_PAIRS = 1 << 21
 #: A bound in bytes for what is broadcast, and what a row that goes, or a name of a set, is reckoned to take.
 BROADCAST_BYTES, GONE_BYTES = 32 << 20, 64
 _RNG = np.random.Generator(np.random.PCG64(41))
@@ -114,26 +118,26 @@ def set_id(distinct: np.ndarray) -> int:
 
 
 def banded(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int, bands: int, rows: int) -> DataFrame:
-    """(key, text_hash, sid, n, keys): the name and size of the shingle set, and the keys of its bands; a narrow map."""
+    """(key, text_hash, sid, fp, n, keys): the name, fingerprint and size of the shingle set, and the keys of its bands; a narrow map."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids = np.zeros(batch.num_rows, dtype=np.uint64)
+            sids, fps = np.zeros(batch.num_rows, dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64)
             sizes = np.zeros(batch.num_rows, dtype=np.int64)
             keys = np.zeros((batch.num_rows, bands), dtype=np.uint64)
             for block in blocks(batch.column("t")):
                 for i in range(len(block)):
                     distinct = np.unique(shingle_hashes(block.row(i), shingle))
                     at = block.first_row + i
-                    sids[at], sizes[at] = set_id(distinct), len(distinct)
+                    sids[at], fps[at], sizes[at] = set_id(distinct), from_hashes(distinct), len(distinct)
                     keys[at] = band_keys(distinct, bands, rows)
             flat = pa.array(keys.view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("x"), pa.array(sids.view(np.int64)), pa.array(sizes), lists], ["k", "text_hash", "sid", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("x"), pa.array(sids.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(sizes), lists], ["k", "text_hash", "sid", "fp", "n", "keys"])
 
-    return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t", f"xxhash64(`{text}`) AS x").mapInArrow(run, f"k {kind}, text_hash bigint, sid bigint, n bigint, keys array<bigint>").withColumnRenamed("k", key)
+    return docs.selectExpr(f"`{key}` AS k", f"cast(`{text}` AS string) AS t", f"xxhash64(`{text}`) AS x").mapInArrow(run, f"k {kind}, text_hash bigint, sid bigint, fp bigint, n bigint, keys array<bigint>").withColumnRenamed("k", key)
 
 
 def shingle_sets(docs: DataFrame, *, text: str = "text", shingle: int) -> DataFrame:
@@ -348,6 +352,16 @@ def alike(shared: int | np.ndarray, n: int | np.ndarray, m: int | np.ndarray, si
     return shared + 1e-9 >= similarity * (n + m - shared)
 
 
+def loose_bits(similarity: float) -> int:
+    """How many bits the fingerprints of alike sets may differ in: `DEVIATIONS` above the mean for large sets.
+
+    A pair's bits differ independently of each other, for 0.8 each with probability 0.151, and 0.188 at worst (four shingles of
+    five): a pair is beyond the 30 bits with probability 4e-10, and 7e-8 at worst.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return min(64, round(64 * p + DEVIATIONS * (64 * p * (1 - p)) ** 0.5))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float, hot_key: int = HOT_KEY) -> DataFrame:
     """The pairs (a, b) of set names whose sets (sid, h) are alike; a name in very many pairs is dealt over tasks."""
 
@@ -381,60 +395,78 @@ def prefixes(ids: np.ndarray, n: np.ndarray, values: int, similarity: float) ->
     return ids[order][place < need[row]], need
 
 
-def across(sids: np.ndarray, labels: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+def across(sids: np.ndarray, labels: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], similarity: float, codes: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Pairs of alike sets that join all labels so joined; where there are two parts, pairs of unequal part only.
 
-    A set is compared with those that share a member of its prefix: unlike sets that came together by chance share none.
+    The sets that share a member of their prefixes are a key of the Gray-order index: unlike sets that came together by chance
+    share none. Pairs of fingerprints (`codes`) that it finds within the loose bound are compared as sets.
     """
     n = np.array([len(x) for x in sets])
     keep = np.flatnonzero(n)
-    sids, labels, parts, n = sids[keep], labels[keep], parts[keep], n[keep]
+    codes = np.array([from_hashes(x) for x in sets], dtype=np.uint64) if codes is None else codes
+    sids, labels, parts, codes, n = sids[keep], labels[keep], parts[keep], codes[keep], n[keep]
     names, label = np.unique(labels, return_inverse=True)
     if len(names) < 2:
         return
     values, ids = np.unique(np.concatenate([sets[i] for i in keep]), return_inverse=True)
     starts = np.cumsum(n) - n
-    two = len(np.unique(parts)) > 1
+    two, bits = len(np.unique(parts)) > 1, loose_bits(similarity)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+        begins = np.flatnonzero(np.diff(a, prepend=-1))
+        for i, others in zip(a[begins].tolist(), np.split(b, begins[1:]), strict=False):
+            others = others[label[others] != label[i]]
+            if not len(others):
+                continue
+            members = ids[starts[i] : starts[i] + n[i]]
+            mark[members] = 1
+            offsets = np.cumsum(n[others]) - n[others]
+            places = np.repeat(starts[others] - offsets, n[others]) + np.arange(int(n[others].sum()))
+            near = others[alike(np.add.reduceat(mark[ids[places]], offsets), n[i], n[others], similarity)]
+            mark[members] = 0
+            for at in near[np.unique(label[near], return_index=True)[1]].tolist():
+                yield int(sids[i]), int(sids[at])
+            if len(near):
+                label[np.isin(label, label[near])] = label[i]
+
     first, need = prefixes(ids, n, len(values), similarity)
-    at_first = np.cumsum(need) - need
     by_value = np.argsort(first, kind="stable")
-    owners = np.repeat(np.arange(len(n)), need)[by_value]
-    ends = np.cumsum(np.bincount(first, minlength=len(values)))
+    first, owner = first[by_value], np.repeat(np.arange(len(n)), need)[by_value]
+    held = np.bincount(first, minlength=len(values))[first]
+    first, owner, held = first[held > 1], owner[held > 1], held[held > 1]
     mark = np.zeros(len(values), dtype=np.int32)
-    most = np.argmax(np.bincount(label))
-    for i in np.flatnonzero(label != most):  # each pair of two labels has one of these
-        wanted = first[at_first[i] : at_first[i] + need[i]]
-        low = np.where(wanted > 0, ends[wanted - 1], 0)
-        others = np.unique(np.concatenate([owners[a:b] for a, b in zip(low.tolist(), ends[wanted].tolist(), strict=True)]))
-        fits = (label[others] != label[i]) & ((parts[others] != parts[i]) | (not two)) & (n[others] + 1e-9 >= similarity * n[i]) & (n[i] + 1e-9 >= similarity * n[others])
-        others = others[fits]
-        if not len(others):
-            continue
-        own = ids[starts[i] : starts[i] + n[i]]
-        mark[own] = 1
-        begins = np.cumsum(n[others]) - n[others]
-        places = np.repeat(starts[others] - begins, n[others]) + np.arange(int(n[others].sum()))
-        met = others[alike(np.add.reduceat(mark[ids[places]], begins), n[i], n[others], similarity)]
-        mark[own] = 0
-        for at in met[np.unique(label[met], return_index=True)[1]].tolist():
-            yield int(sids[i]), int(sids[at])
-        if len(met):
-            label[np.isin(label, label[met])] = label[i]
+    seen = np.zeros(min(len(n) ** 2, KNOWN_PAIRS), dtype=np.int64)  # a pair that shares several members is compared once while it is known here
+    begins = np.flatnonzero(np.diff(first, prepend=-1))
+    run = (np.cumsum(held) - held)[begins] // (16 * PAIRS_AT_ONCE)  # keys some at a time, so that labels joined by then cut what follows
+    bounds = begins[np.diff(run, prepend=-1) != 0].tolist()
+    for begin, end in zip(bounds, [*bounds[1:], len(first)], strict=False):
+        key, own = first[begin:end], owner[begin:end]
+        alone = np.bincount(label)[label] == 1  # sets that nothing is joined to yet lie in Gray order among themselves
+        order = np.lexsort((gray_rank(codes)[own], np.where(alone, -1, label)[own], key))
+        key, own = key[order], own[order]
+        for x, y in linked(key, codes[own], label[own], bits):
+            a, b = np.minimum(own[x], own[y]), np.maximum(own[x], own[y])
+            fits = (label[a] != label[b]) & ((parts[a] != parts[b]) | (not two)) & (n[a] + 1e-9 >= similarity * n[b]) & (n[b] + 1e-9 >= similarity * n[a])
+            met = np.sort(a[fits] * len(n) + b[fits])
+            met = met[np.diff(met, prepend=-1) != 0]
+            met = met[seen[met % len(seen)] != met]
+            seen[met % len(seen)] = met
+            yield from compare(met // len(n), met % len(n))
 
 
 def remaining(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, most: int = SHINGLES_AT_ONCE) -> DataFrame:
     """Alike pairs (a, b) of equal keys and two labels; keys above so many shingles go by pairs of blocks."""
-    members = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("label", "sid").alias("label"))
+    members = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "fp", "n", F.coalesce("label", "sid").alias("label"))
     mixed = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), (F.sum("n") / most).cast("int").alias("more")).where("l <> m").select("key", "more")
     i = F.pmod(F.xxhash64("sid"), F.col("more") + 1).cast("int")
     dealt = members.join(mixed, "key").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("more"))))
-    dealt = dealt.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "sid", "label")
+    dealt = dealt.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "sid", "fp", "label")
 
     def run(table: pa.Table) -> pa.Table:
-        sids, own, parts = (table.column(c).to_numpy() for c in ("sid", "label", "i"))
+        sids, own, parts, fps = (table.column(c).to_numpy() for c in ("sid", "label", "i", "fp"))
         pairs = []
         if table.column("x")[0] == table.column("y")[0] or len(np.unique(parts)) > 1:
-            pairs = list(across(sids, own, parts, [np.frombuffer(h.as_buffer(), "<u8") for h in table.column("h")], similarity))
+            pairs = list(across(sids, own, parts, [np.frombuffer(h.as_buffer(), "<u8") for h in table.column("h")], similarity, fps.view(np.uint64)))
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     return dealt.join(sets, "sid").groupBy("key", "x", "y").applyInArrow(run, "a bigint, b bigint")
@@ -443,15 +475,15 @@ def remaining(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
 def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
     """(key, sid, component, text_hash) for texts whose shingle sets have this Jaccard similarity or more.
 
-    Bands of shingle minima bring candidates together (a pair of similarity 0.8 shares one of 25 bands
-    of 5 with probability above 0.9999); a link is a candidate pair whose shingle sets, compared whole,
-    are alike. First each key's least set meets all others of the key, a pair a member; then those that
-    are still of two components meet within each key.
+    Bands of shingle minima are the keys (a pair of similarity 0.8 shares one of 25 bands of 5 with probability
+    above 0.9999); a link is a pair of a key whose fingerprints are within `loose_bits` and whose shingle sets,
+    compared whole, are alike. First each key's least set leads: it meets all of the key that are near it, a pair a
+    member; then those that are still of two components go down the key's Gray-order index.
     """
     marked = cut(banded(docs, key=key, text=text, shingle=shingle, bands=bands, rows=rows))
-    routed = marked.where("n > 0").dropDuplicates(["sid"]).select("sid", "n", F.explode("keys").alias("key"))
-    leaders = routed.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
-    shared = cut(routed.join(leaders, "key").select("key", "sid", "n", F.col("leader.sid").alias("a"), F.col("leader.n").alias("m")))
+    routed = marked.where("n > 0").dropDuplicates(["sid"]).select("sid", "fp", "n", F.explode("keys").alias("key"))
+    leaders = routed.groupBy("key").agg(F.min(F.struct("sid", "fp", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
+    shared = cut(routed.join(leaders, "key").select("key", "sid", "fp", "n", F.col("leader.sid").alias("a"), F.col("leader.fp").alias("fa"), F.col("leader.n").alias("m")))
     met = cut(shared.select("sid").distinct())
     small = met.count() * GONE_BYTES <= BROADCAST_BYTES
     texts = docs.select(F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("x"))
@@ -460,7 +492,7 @@ def similar_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", s
         if wanted.count() * GONE_BYTES <= BROADCAST_BYTES:
             texts = texts.join(F.broadcast(wanted), "x", "left_semi")
     sets = cut(shingle_sets(texts, text="t", shingle=shingle).join(F.broadcast(met) if small else met, "sid", "left_semi").groupBy("sid").agg(F.first("h").alias("h")))
-    near = F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")
+    near = (F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= loose_bits(similarity))
     led = cut(confirmed(shared.where((F.col("a") != F.col("sid")) & near).select("a", F.col("sid").alias("b")).distinct(), sets, similarity))
     rest = remaining(shared, cut(components(led, "a", "b")), sets, similarity)
     return _named(marked, components(led.unionByName(rest), "a", "b"), key, "sid", "text_hash")

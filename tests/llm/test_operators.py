@@ -322,6 +322,43 @@ def test_alike_sets_are_found_by_their_prefixes(similarity):
         assert groups(joined) == groups(want)
 
 
+def test_alike_sets_meet_in_the_gray_index(monkeypatch):
+    """Links of shingle sets come through the index: fingerprints within the bound are compared, those beyond aren't, and without it there is no link."""
+    bits = simhash.loose_bits(0.8)
+    rng = np.random.Generator(np.random.PCG64(9))
+    base = np.unique(rng.integers(0, 2**60, 50, dtype=np.uint64))
+    sets, at = [base, base[1:], base[2:]], np.arange(3)
+    found = lambda *codes: list(simhash.across(at, at, at * 0, sets, 0.8, *codes))
+    far, near = np.uint64(2 ** (bits + 1) - 1), np.uint64(2**bits - 1)
+    assert len(found()) == 2 and {i for pair in found() for i in pair} == {0, 1, 2}
+    assert [sorted(pair) for pair in found(np.array([0, near, far << np.uint64(64 - bits - 1)], np.uint64))] == [[0, 1]]
+    assert found(np.array([0, far, far << np.uint64(64 - bits - 1)], np.uint64)) == []
+    monkeypatch.setattr(simhash, "linked", lambda *_: iter(()))
+    assert found() == []
+
+
+def test_the_loose_bound_loses_no_alike_sets():
+    """The exact chance that alike sets differ in more bits, for all small sizes; large sets are below them."""
+    bits = simhash.loose_bits(0.8)
+    chance = lambda n: [math.comb(n, i) / 2**n for i in range(n + 1)]
+    worst = 0.0
+    for c in range(4, 33):
+        for a in range(c // 4 + 1):
+            for b in range(max(a, 1), c // 4 + 1 - a):
+                p = 0.0
+                for x, px in enumerate(chance(c)):
+                    left, right = (sum(q for y, q in enumerate(chance(k)) if 2 * (x + y) > c + k) for k in (a, b))
+                    p += px * (left * (1 - right) + right * (1 - left))
+                worst = max(worst, sum(math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(bits + 1, 65)))
+    assert 0 < worst < 1e-7
+
+
+def test_bands_carry_fingerprints_of_their_sets(spark, docs):
+    got = by_id(simhash.banded(docs, shingle=5, bands=2, rows=2))
+    for i, text in enumerate(TEXTS):
+        assert got[i * 3].fp % (1 << 64) == simhash.from_hashes(np.unique(simhash.shingle_hashes((text or "").encode(), 5)))
+
+
 def test_many_unlike_sets_of_one_band_take_linear_work():
     """Sets of 100 shingles that share twenty common ones: four times as many take about four times as long, not sixteen."""
     rng = np.random.Generator(np.random.PCG64(3))
