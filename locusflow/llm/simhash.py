@@ -49,7 +49,7 @@ DEVIATIONS = 7
 ROWS_AT_ONCE = 1 << 17
 PAIRS_AT_ONCE = 1 << 18
 SHINGLES_AT_ONCE = 1 << 20
-KNOWN_PAIRS = 1 << 21
+KNOWN_PAIRS = 1 << 23
 #: A bound in bytes for what is broadcast, and what a row that goes, or a name of a set, is reckoned to take.
 BROADCAST_BYTES, GONE_BYTES = 32 << 20, 64
 _RNG = np.random.Generator(np.random.PCG64(41))
@@ -435,7 +435,7 @@ def across(sids: np.ndarray, labels: np.ndarray, parts: np.ndarray, sets: list[n
     held = np.bincount(first, minlength=len(values))[first]
     first, owner, held = first[held > 1], owner[held > 1], held[held > 1]
     mark = np.zeros(len(values), dtype=np.int32)
-    seen = np.zeros(min(len(n) ** 2, KNOWN_PAIRS), dtype=np.int64)  # a pair that shares several members is compared once while it is known here
+    seen = np.zeros(min(len(n) ** 2, KNOWN_PAIRS), dtype=np.uint32)  # a pair that shares several members is compared once while it is known here
     begins = np.flatnonzero(np.diff(first, prepend=-1))
     run = (np.cumsum(held) - held)[begins] // (16 * PAIRS_AT_ONCE)  # keys some at a time, so that labels joined by then cut what follows
     bounds = begins[np.diff(run, prepend=-1) != 0].tolist()
@@ -449,8 +449,8 @@ def across(sids: np.ndarray, labels: np.ndarray, parts: np.ndarray, sets: list[n
             fits = (label[a] != label[b]) & ((parts[a] != parts[b]) | (not two)) & (n[a] + 1e-9 >= similarity * n[b]) & (n[b] + 1e-9 >= similarity * n[a])
             met = np.sort(a[fits] * len(n) + b[fits])
             met = met[np.diff(met, prepend=-1) != 0]
-            met = met[seen[met % len(seen)] != met]
-            seen[met % len(seen)] = met
+            met = met[seen[met % len(seen)] != met // len(seen) + 1]
+            seen[met % len(seen)] = met // len(seen) + 1
             yield from compare(met // len(n), met % len(n))
 
 
