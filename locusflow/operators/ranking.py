@@ -16,13 +16,21 @@ def uniform(key: Column, seed: int = 0) -> Column:
     return F.pmod(key * 1103515 + 12345 + seed * 7919, F.lit(1000003)) / 1000003.0
 
 
-def preferences(events: DataFrame, *, user: str = "user", value: str = "sub", kind: str = "type", position: str | None = None) -> DataFrame:
-    """(user, value, a, b): Beta counts from 1; a skip counts less the further down it was shown."""
+def preferences(events: DataFrame, *, user: str = "user", value: str = "sub", kind: str = "type", position: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """(user, value, a, b): Beta counts from 1; a skip counts less the further down it was shown.
+
+    `order` (unique within a user's value): the weights are added one after the other in it, so equal shares come out
+    alike however the rows are dealt out; without it, sums differ in the last digit with the partitions.
+    """
     weight = {side: F.lit(0.0) for side in "ab"}
     for event, (side, w) in EVENTS.items():
         amount = F.lit(w) / (1 + F.coalesce(position, F.lit(0))) if event == "skip" and position else F.lit(w)
         weight[side] = weight[side] + F.when(F.col(kind) == event, amount).otherwise(0.0)
     known = events.where(F.col(kind).isin(*EVENTS) & F.col(value).isNotNull())
+    if order:
+        upto = Window.partitionBy(user, value).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        known = known.select(user, value, F.sum(weight["a"]).over(upto).alias("_a"), F.sum(weight["b"]).over(upto).alias("_b"))
+        return known.groupBy(user, value).agg((F.lit(1.0) + F.max("_a")).alias("a"), (F.lit(1.0) + F.max("_b")).alias("b"))  # they only grow: the greatest is the last
     return known.groupBy(user, value).agg((F.lit(1.0) + F.sum(weight["a"])).alias("a"), (F.lit(1.0) + F.sum(weight["b"])).alias("b"))
 
 

@@ -287,7 +287,7 @@ _PREF = f"{EVENTS_SQL}, pref AS (SELECT actor, sub, 1.0::DOUBLE + sum(CASE type
 @query(f"WITH {_PREF}, k AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY a / (a + b) DESC, a + b DESC, sub) AS place FROM pref) SELECT actor, CAST(place AS INT) AS place, sub || ' ' || CAST(round(a / (a + b) * 100) AS INT) || '% (' || printf('%.1f', a + b) || ')' AS line FROM k WHERE place <= 5")
 def preference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest preferences of each user as text."""
-    return ranking.preference_summary(ranking.preferences(events(spark, sf_dir), user="actor"), user="actor")
+    return ranking.preference_summary(ranking.preferences(events(spark, sf_dir), user="actor", order=["event_id"]), user="actor")
 
 
 @query(f"WITH {ITEMS_SQL}, e AS (SELECT id, array_to_string(list_filter(fine, lambda f: f <> 'f3'), ',') AS without, array_to_string(list_concat([fine[1]], list_filter(fine, lambda f: f <> fine[1] AND (substr(f, 2)::INT % 5) = (substr(fine[1], 2)::INT % 5))), ',') AS front, array_to_string(list_sort([name, sub]), '|') AS names FROM items WHERE fine IS NOT NULL) SELECT * FROM e")
