@@ -180,7 +180,7 @@ def personal_top_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strongest_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    prefs = ranking.preferences(events(spark, sf_dir).withColumn("position", F.col("k") % 8), user="actor", position="position")
+    prefs = ranking.preferences(events(spark, sf_dir).withColumn("position", F.col("k") % 8), user="actor", position="position", order=["event_id"])
     share = F.col("a") / (F.col("a") + F.col("b"))
     place = F.row_number().over(Window.partitionBy("actor").orderBy(F.desc(share), F.desc(F.col("a") + F.col("b")), "sub"))
     return prefs.withColumn("place", place).where("place <= 5").select("actor", "place", "sub", F.round(share, 4).alias("share"))
