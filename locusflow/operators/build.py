@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_key, template_fields
+from .resolve import checkpointed
 
 
 @dataclass(frozen=True)
@@ -121,3 +122,28 @@ def listings(pages: DataFrame, key: str, body: str, *, kinds: tuple[str, ...] =
     inside = F.regexp_extract("token", r"(?s)^\{\{\s*\w+\s*\|(.*)\}\}$", 1)
     rows = placed.select(key, "place", F.when(named == open_kind, F.col("section")).otherwise(named).alias("kind"), "section", template_fields(inside).alias("fields"))
     return rows.where(F.col("kind").isin(*kinds) & F.coalesce(F.try_element_at("fields", F.lit("name")) != "", F.lit(False)))
+
+
+def below(edges: DataFrame, root: str, most: int = 15) -> DataFrame:
+    """(start, depth, inside): how many parents up a chain goes, at most so many, and whether root is among them.
+
+    edges: start, up; a start may have several parents, and cycles end at `most`. A round takes chains one parent
+    further, over starts that are parents themselves only, each ending in a reliable checkpoint; when a round changes
+    nothing, or the last but one is reached, one join gives all starts theirs.
+    """
+
+    def further(rows: DataFrame, known: DataFrame) -> DataFrame:
+        met = rows.join(known.select(F.col("start").alias("up"), "depth", F.col("inside").alias("_above")), "up", "left")
+        here, above = F.col("up") == root, F.col("_above")
+        return met.groupBy("start").agg((1 + F.max(F.coalesce("depth", F.lit(0)))).cast("int").alias("depth"), F.bool_or(F.coalesce(here | above, here, above)).alias("inside"))
+
+    inner = checkpointed(edges.join(edges.select(F.col("up").alias("start")).distinct(), "start", "left_semi"))
+    known = checkpointed(inner.select("start", F.lit(1).alias("depth"), (F.col("up") == root).alias("inside")).groupBy("start").agg(F.max("depth").alias("depth"), F.bool_or("inside").alias("inside")))
+    for _ in range(2, most):
+        now = checkpointed(further(inner, known))
+        same = (F.col("a.depth") == F.col("b.depth")) & F.col("a.inside").eqNullSafe(F.col("b.inside"))
+        settled = now.alias("a").join(known.alias("b"), "start").where(~same).isEmpty()
+        known = now
+        if settled:
+            break
+    return further(edges, known if most > 1 else known.limit(0))

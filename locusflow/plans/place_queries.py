@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import candidates as c
-from ..operators import ranking, resolve
+from ..operators import build, ranking, resolve
 from ..operators.candidates import Constraints, Context
 from ..sources import layout
 from .registry import query, table
@@ -296,10 +296,12 @@ w AS (SELECT child AS start, parent AS up, 1 AS depth FROM e UNION ALL SELECT st
 SELECT start, max(depth) AS depth, bool_or(up = 'r1') AS inside FROM w GROUP BY start""")
 def parent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a page lies below another, at most fifteen parents up."""
-    tables = {name: table(spark, sf_dir, name) for name in ("nation", "customer", "region")}
-    return spark.sql("""WITH RECURSIVE e AS (SELECT concat('n', n_nationkey) AS child, concat('r', n_regionkey) AS parent FROM {nation} UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM {customer} UNION ALL SELECT concat('r', r_regionkey), 'world' FROM {region}),
-w(start, at, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT w.start, e.parent, w.depth + 1 FROM w JOIN e ON e.child = w.at WHERE w.depth < 15)
-SELECT start, max(depth) AS depth, bool_or(at = 'r1') AS inside FROM w GROUP BY start""", **tables)
+    of = lambda prefix, key: F.concat(F.lit(prefix), key)
+    nations = table(spark, sf_dir, "nation").select(of("n", "n_nationkey").alias("start"), of("r", "n_regionkey").alias("up"))
+    customers = table(spark, sf_dir, "customer").select(of("c", "c_custkey").alias("start"), of("n", "c_nationkey").alias("up"))
+    regions = table(spark, sf_dir, "region").select(of("r", "r_regionkey").alias("start"), F.lit("world").alias("up"))
+    edges = nations.unionByName(customers).unionByName(regions)
+    return build.below(edges, "r1", most=15)
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT id, name, round({km_sql('35.0', '139.0', 'lat', 'lon')}, 6) AS km FROM items WHERE {km_sql('35.0', '139.0', 'lat', 'lon')} <= 3""")

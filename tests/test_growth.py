@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from locusflow.operators import build
 from locusflow.plans import place_queries, service_queries
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -39,3 +40,31 @@ def test_preferences_of_equal_share_don_t_depend_on_files(spark, tmp_path, query
     for r in query(spark, str(tmp_path)).collect():
         got.setdefault(r.actor, {})[r.place] = (r.sub if position else r.line.split()[0])
     assert {u: [x[p] for p in sorted(x)] for u, x in got.items()} == strongest(one_after_the_other(rows, position))
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 15])
+def test_chains_of_parents_equal_plain_ones(spark, most):
+    """Several parents, a cycle, a null parent and chains longer than the bound."""
+    pairs = [("a", "b"), ("b", "c"), ("a", "d"), ("c", "root"), ("x", "y"), ("y", "x"), ("z", "x"), ("q", None), ("root", "top"), *((f"l{i}", f"l{i + 1}") for i in range(20)), ("l20", "root")]
+    up = {}
+    for a, b in pairs:
+        up.setdefault(a, []).append(b)
+
+    def plain(start):
+        level, depth, seen = up[start], 0, []
+        while level and depth < most:
+            depth, seen, level = depth + 1, seen + level, list({p for x in level for p in up.get(x, [])})
+        known = [x == "root" for x in seen if x is not None]
+        return depth, any(known) if known else None
+
+    got = {r.start: (r.depth, r.inside) for r in build.below(spark.createDataFrame(pairs, "start string, up string"), "root", most).collect()}
+    assert got == {a: plain(a) for a in up}
+
+
+def test_a_chain_of_many_starts_has_no_bound_of_rows(spark, tmp_path):
+    """More rows on the way than a recursive query may make (a million by default)."""
+    spark.createDataFrame([(0, 1)], "n_nationkey int, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(1,)], "r_regionkey int").write.parquet(str(tmp_path / "region.parquet"))
+    spark.range(400_000).selectExpr("id AS c_custkey", "0 AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = place_queries.parent_chain(spark, str(tmp_path)).groupBy("depth", "inside").count().collect()
+    assert {(r.depth, r.inside, r["count"]) for r in got} == {(3, True, 400_000), (2, True, 1), (1, False, 1)}
