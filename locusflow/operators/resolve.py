@@ -128,17 +128,46 @@ def greedy_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(fell.withColumn("_fell", F.lit(True)), "id", "left").select("id", F.col("_fell").isNull().alias("kept"))
 
 
+def held_keys(keys: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(key, part): which known keys each key holds, itself among them where it is one; keys, others (parts; else keys): one column key.
+
+    A key's pieces of all lengths meet the distinct parts by equality, so the work grows with the letters of distinct keys.
+    """
+    whole = keys.select("key").where("key is not null").distinct()
+    parts = whole.select(F.col("key").alias("part")) if others is None else others.select(F.col("key").alias("part")).where("key is not null").distinct()
+    lengths = lambda i: F.sequence(F.lit(0), F.length("key") - i + 1)
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length("key") + 1), lambda i: F.transform(lengths(i), lambda n: F.substring(F.col("key"), i, n))))
+    return whole.select("key", F.explode(F.array_distinct(pieces)).alias("part")).join(parts, "part").select("key", "part")
+
+
 def near_doubles(items: DataFrame, *, km: float = 0.1, same: Column | None = None, within: str | None = "category") -> DataFrame:
-    """(a, b) pairs of items of one kind, within km, of one name; columns id, lat, lon, keys."""
+    """(a, b) pairs of items of one kind, within km, of one name; columns id, lat, lon, keys.
+
+    Without a `same` of one's own, items meet by cell and by a key that one's name holds and the other has, so others of
+    a cell aren't compared. A pair that meets in several ways counts where the holder's way is the first.
+    """
     keep = ["id", "lat", "lon", "keys"] + ([within] if within else [])
     left = items.select(*(F.col(c).alias(f"l_{c}") for c in keep))
     right = items.select(*(F.col(c).alias(f"r_{c}") for c in keep))
-    pairs = within_cells(left, right, km).where(F.col("l_id") < F.col("r_id"))
-    if within:
-        pairs = pairs.where(F.col(f"l_{within}").eqNullSafe(F.col(f"r_{within}")))
     near = geo.haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")) <= km
-    match = text.same_name(F.col("l_keys"), F.col("r_keys")) if same is None else same
-    return pairs.where(near & match).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    if within:
+        near &= F.col(f"l_{within}").eqNullSafe(F.col(f"r_{within}"))
+    if same is not None:
+        pairs = within_cells(left, right, km).where(F.col("l_id") < F.col("r_id"))
+        return pairs.where(near & same).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    key = items.select(F.explode("keys").alias("key"))
+    of = held_keys(key).groupBy("key").agg(F.collect_list("part").alias("_parts"))
+    names = items.select("keys").distinct().select("keys", F.explode("keys").alias("key")).join(of, "key")
+    holds = names.groupBy("keys").agg(F.array_distinct(F.flatten(F.collect_list("_parts"))).alias("_holds"))
+    holder = left.join(holds.withColumnRenamed("keys", "l_keys"), "l_keys").withColumn("_key", F.explode("_holds")).drop("_holds")
+    held = right.withColumn("_key", F.explode(F.array_distinct("r_keys")))
+    spread = holder.withColumn("_c", F.explode(geo.near_cells(F.col("l_lat"), F.col("l_lon"), km)))
+    met = spread.join(held.withColumn("_c", geo.near_cell(F.col("r_lat"), F.col("r_lon"), km)), ["_c", "_key"]).where((F.col("l_id") != F.col("r_id")) & near)
+    parts = lambda a, b: F.filter(b, lambda y: F.exists(a, lambda x: F.contains(x, y)))
+    first = F.col("_key") == F.get(parts(F.col("l_keys"), F.col("r_keys")), F.lit(0))
+    back = F.size(parts(F.col("r_keys"), F.col("l_keys"))) > 0
+    once = met.where(first & ((F.col("l_id") < F.col("r_id")) | ~back))
+    return once.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
 
 
 def dedupe_nearby(items: DataFrame, *, richness: Column, km: float = 0.1, same: Column | None = None) -> DataFrame:

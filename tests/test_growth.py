@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from locusflow.operators import build
+from locusflow.functions import text
+from locusflow.operators import build, resolve
 from locusflow.plans import place_queries, service_queries
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -68,3 +70,29 @@ def test_a_chain_of_many_starts_has_no_bound_of_rows(spark, tmp_path):
     spark.range(400_000).selectExpr("id AS c_custkey", "0 AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
     got = place_queries.parent_chain(spark, str(tmp_path)).groupBy("depth", "inside").count().collect()
     assert {(r.depth, r.inside, r["count"]) for r in got} == {(3, True, 400_000), (2, True, 1), (1, False, 1)}
+
+
+def named_places(spark, seed, n=160):
+    """Places about the date line whose keys hold one another in many ways; some without a key or a place."""
+    rng = random.Random(seed)
+    keys = lambda: rng.choice([None, [], ["ab"], ["abc", "bc"], ["c", "abcd"], ["x", "xab"], *([["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))] for _ in range(8)])])
+    rows = [(f"i{i}", rng.choice("uv"), None if i == 7 else 10 + rng.uniform(-0.01, 0.01), (180 + rng.uniform(-0.01, 0.01) + 180) % 360 - 180, keys()) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, category string, lat double, lon double, keys array<string>")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_doubles_by_keys_equal_doubles_by_pairs(spark, seed):
+    items = named_places(spark, seed)
+    for within in ("category", None):
+        plain = resolve.near_doubles(items, km=0.5, same=text.same_name(F.col("l_keys"), F.col("r_keys")), within=within)
+        got = [tuple(r) for r in resolve.near_doubles(items, km=0.5, within=within).collect()]
+        assert sorted(got) == sorted(tuple(r) for r in plain.collect()) and len(got) > 100
+
+
+def joined_on(df, key):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and line.count(key) >= 2 and " = " in line]
+
+
+def test_doubles_meet_by_name_and_cell(spark):
+    """Places of other names in a cell aren't compared: names are a key of the join."""
+    assert joined_on(resolve.near_doubles(named_places(spark, 3)), "_key#")
