@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 
+#: Pairs that may meet in one go when the nearest is looked for, and how many others a row should meet at first.
+LEAST_PAIRS, AIM = 20_000_000, 24
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that spark.checkpoint.dir names; a new one only on local threads, as in tests."""
@@ -21,13 +24,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def within_cells(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+def within_cells(left: DataFrame, right: DataFrame, km: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Rows of both sides in cells that hold every pair within km, anywhere on the globe: an equi-join on the cell.
 
-    left: l_lat, l_lon; right: r_lat, r_lon.
+    left: l_lat, l_lon; right: r_lat, r_lon; `on`: columns of both that must be equal, too.
     """
     spread = left.withColumn("_c", F.explode(geo.near_cells(F.col("l_lat"), F.col("l_lon"), km)))
-    return spread.join(right.withColumn("_c", geo.near_cell(F.col("r_lat"), F.col("r_lon"), km)), "_c").drop("_c")
+    return spread.join(right.withColumn("_c", geo.near_cell(F.col("r_lat"), F.col("r_lon"), km)), ["_c", *on]).drop("_c")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, *, size: float, towards_zero: bool = False) -> DataFrame:
@@ -43,18 +46,54 @@ def near_pairs(left: DataFrame, right: DataFrame, *, size: float, towards_zero:
     return spread.join(placed, ["_i", "_j"]).drop("_i", "_j")
 
 
-def nearest_match(left: DataFrame, right: DataFrame, *, metres: float = 100.0, same: Column | None = None, compat: bool = False) -> DataFrame:
+def _rungs(left: DataFrame, right: DataFrame, metres: float, on: tuple[str, ...]) -> list[float]:
+    """Radii to search one after the other, each four times the one before, the last being `metres`: the least lets a row meet some AIM others.
+
+    What would meet at the widest is counted by cell, without making a pair.
+    """
+    km = metres / 1000
+    spread = left.select("l_id", *on, F.explode(geo.near_cells(F.col("l_lat"), F.col("l_lon"), km)).alias("_c")).groupBy("_c", *on).agg(F.count("*").alias("_n"))
+    placed = right.select(*on, geo.near_cell(F.col("r_lat"), F.col("r_lon"), km).alias("_c")).groupBy("_c", *on).agg(F.count("*").alias("_m"))
+    met = spread.join(placed, ["_c", *on], "left").agg(F.sum(F.col("_n") * F.coalesce("_m", F.lit(0)).cast("double")).alias("pairs"), (F.sum("_n") / 4).alias("rows")).first()
+    out = [metres]
+    if met["pairs"] and met["pairs"] > LEAST_PAIRS:
+        while met["pairs"] / met["rows"] * (out[0] / metres) ** 2 > 4 * AIM and len(out) < 12:
+            out.insert(0, out[0] / 4)
+    return out
+
+
+def nearest_match(left: DataFrame, right: DataFrame, *, metres: float = 100.0, same: Column | None = None, compat: bool = False, names: bool = False) -> DataFrame:
     """For each l_id the nearest r row within `metres` for which `same` holds, with dist_m.
 
     `compat` takes 0.001 degree cells cut towards zero, which miss some pairs of 91-100 m. Ties: cell order
-    there, then r_id.
+    there, then r_id. `names`: only rows with a key in r_keys that holds one in l_keys or is held by it; they meet by
+    that key. Where many rows lie in reach a small radius is searched first, and only rows that found nothing
+    search the next: who finds something within a radius has met all that is as near.
     """
-    pairs = near_pairs(left, right, size=0.001, towards_zero=True) if compat else within_cells(left, right, metres / 1000).withColumn("ord", F.lit(0))
-    pairs = pairs.withColumn("dist_m", geo.flat_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("dist_m") <= metres)
-    if same is not None:
-        pairs = pairs.where(same)
     order = Window.partitionBy("l_id").orderBy("dist_m", "ord", "r_id")
-    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "ord")
+
+    def nearest(pairs: DataFrame, most: float) -> DataFrame:
+        pairs = pairs.withColumn("dist_m", geo.flat_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("dist_m") <= most)
+        if same is not None:
+            pairs = pairs.where(same)
+        return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "ord")
+
+    if compat:
+        return nearest(near_pairs(left, right, size=0.001, towards_zero=True), metres)
+    on = ("_key",) if names else ()
+    if names:
+        known = [side.select(F.explode(f"{s}_keys").alias("key")) for s, side in (("l", left), ("r", right))]
+        there, back = held_keys(known[0], known[1]), held_keys(known[1], known[0])
+        left = with_parts(left, "l_keys", checkpointed(there.unionByName(back.select(F.col("part").alias("key"), F.col("key").alias("part"))).distinct()))
+        right = right.withColumn("_key", F.explode(F.array_distinct("r_keys")))
+    rungs, out = _rungs(left, right, metres, on), None
+    for radius in rungs:
+        found = nearest(within_cells(left, right, radius / 1000, on).withColumn("ord", F.lit(0)), radius).drop(*on)
+        if radius != rungs[-1]:
+            found = checkpointed(found)
+            left = left.join(found.select(F.col("l_id").alias("_found")), F.col("l_id").eqNullSafe(F.col("_found")), "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def near_any(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
@@ -140,6 +179,14 @@ def held_keys(keys: DataFrame, others: DataFrame | None = None) -> DataFrame:
     return whole.select("key", F.explode(F.array_distinct(pieces)).alias("part")).join(parts, "part").select("key", "part")
 
 
+def with_parts(rows: DataFrame, keys: str, pairs: DataFrame) -> DataFrame:
+    """rows once for each part, as `_key`, of any of their keys; pairs: key, part."""
+    parts = pairs.groupBy("key").agg(F.collect_list("part").alias("_parts"))
+    names = rows.select(keys).distinct().select(keys, F.explode(keys).alias("key")).join(parts, "key")
+    held = names.groupBy(keys).agg(F.array_distinct(F.flatten(F.collect_list("_parts"))).alias("_held"))
+    return rows.join(held, keys).withColumn("_key", F.explode("_held")).drop("_held")
+
+
 def near_doubles(items: DataFrame, *, km: float = 0.1, same: Column | None = None, within: str | None = "category") -> DataFrame:
     """(a, b) pairs of items of one kind, within km, of one name; columns id, lat, lon, keys.
 
@@ -155,14 +202,9 @@ def near_doubles(items: DataFrame, *, km: float = 0.1, same: Column | None = Non
     if same is not None:
         pairs = within_cells(left, right, km).where(F.col("l_id") < F.col("r_id"))
         return pairs.where(near & same).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    key = items.select(F.explode("keys").alias("key"))
-    of = held_keys(key).groupBy("key").agg(F.collect_list("part").alias("_parts"))
-    names = items.select("keys").distinct().select("keys", F.explode("keys").alias("key")).join(of, "key")
-    holds = names.groupBy("keys").agg(F.array_distinct(F.flatten(F.collect_list("_parts"))).alias("_holds"))
-    holder = left.join(holds.withColumnRenamed("keys", "l_keys"), "l_keys").withColumn("_key", F.explode("_holds")).drop("_holds")
+    holder = with_parts(left, "l_keys", held_keys(items.select(F.explode("keys").alias("key"))))
     held = right.withColumn("_key", F.explode(F.array_distinct("r_keys")))
-    spread = holder.withColumn("_c", F.explode(geo.near_cells(F.col("l_lat"), F.col("l_lon"), km)))
-    met = spread.join(held.withColumn("_c", geo.near_cell(F.col("r_lat"), F.col("r_lon"), km)), ["_c", "_key"]).where((F.col("l_id") != F.col("r_id")) & near)
+    met = within_cells(holder, held, km, ("_key",)).where((F.col("l_id") != F.col("r_id")) & near)
     parts = lambda a, b: F.filter(b, lambda y: F.exists(a, lambda x: F.contains(x, y)))
     first = F.col("_key") == F.get(parts(F.col("l_keys"), F.col("r_keys")), F.lit(0))
     back = F.size(parts(F.col("r_keys"), F.col("l_keys"))) > 0

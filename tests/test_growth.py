@@ -96,3 +96,43 @@ def joined_on(df, key):
 def test_doubles_meet_by_name_and_cell(spark):
     """Places of other names in a cell aren't compared: names are a key of the join."""
     assert joined_on(resolve.near_doubles(named_places(spark, 3)), "_key#")
+
+
+def points(rng, n, side, spread=0.006):
+    """Most in a dense spot, some far apart, over the date line; equal places give equal distances."""
+    at = lambda: rng.choice((rng.uniform(-spread, spread), round(rng.uniform(-spread, spread), 3), rng.uniform(-spread, spread) / 30))
+    return [(i, 20 + at(), (180 + at() + 180) % 360 - 180, rng.choice(("ab", "abc", "bc", "x", "cx", "q"))) for i in range(n)]
+
+
+@pytest.mark.parametrize("names", [False, True])
+def test_nearest_by_rungs_equals_nearest_of_all(spark, monkeypatch, names):
+    """Who finds something near by doesn't search further, and the nearest stays the nearest."""
+    rng = random.Random(9)
+    left = spark.createDataFrame(points(rng, 150, "l"), "l_id int, l_lat double, l_lon double, l_k string").withColumn("l_keys", F.array("l_k", F.lit("zz")))
+    right = spark.createDataFrame(points(rng, 200, "r"), "r_id int, r_lat double, r_lon double, r_k string").withColumn("r_keys", F.array("r_k"))
+    same = F.col("l_id") % 5 == F.col("r_id") % 5
+    call = {"same": same, "names": True} if names else {"same": same}
+    plain = resolve.within_cells(left, right, 0.7).withColumn("d", resolve.geo.flat_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where("d <= 700").where(same)
+    plain = plain.where(text.same_name(F.col("l_keys"), F.col("r_keys"))) if names else plain
+    want = {}
+    for r in plain.collect():
+        want[r.l_id] = min(want.get(r.l_id, (9e9, 0)), (r.d, r.r_id))
+    monkeypatch.setattr(resolve, "LEAST_PAIRS", 0)
+    monkeypatch.setattr(resolve, "AIM", 0.05)
+    on = ("_key",) if names else ()
+    assert names or len(resolve._rungs(left, right, 700.0, on)) > 2
+    got = [(r.l_id, (r.dist_m, r.r_id)) for r in resolve.nearest_match(left, right, metres=700.0, **call).collect()]
+    assert len(got) == len(want) > 100 and dict(got) == want
+
+
+def test_near_rows_are_searched_near_by_first(spark, monkeypatch):
+    """A hundred thousand pairs within reach are not all met: names are keys, and the search widens from a small radius."""
+    rows = [(i, 10 + (i % 40) * 1e-4, 20 + (i // 40) * 1e-4) for i in range(400)]
+    left = spark.createDataFrame(rows, "l_id int, l_lat double, l_lon double").withColumn("l_keys", F.array(F.lit("ab")))
+    right = spark.createDataFrame(rows, "r_id int, r_lat double, r_lon double").withColumn("r_keys", F.array(F.lit("abc")))
+    monkeypatch.setattr(resolve, "LEAST_PAIRS", 1000)
+    searched, plain = [], resolve.within_cells
+    monkeypatch.setattr(resolve, "within_cells", lambda a, b, km, on=(): searched.append((km, on, plain(a, b, km, on).count())) or plain(a, b, km, on))
+    got = resolve.nearest_match(left, right, metres=900.0, names=True).collect()
+    assert sorted((r.l_id, r.r_id) for r in got) == [(i, i) for i in range(400)]
+    assert searched[0][0] < 0.9 and all(on == ("_key",) for _, on, _ in searched) and sum(n for *_, n in searched) < 400 * 400
