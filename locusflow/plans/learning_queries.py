@@ -160,10 +160,10 @@ SELECT r_id AS page, id, round(d, 3) AS dist_m FROM p WHERE n = 1""")
 def any_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest place of which any name is any of an entry's names."""
     n = F.col("s_suppkey")
-    names = F.when(n % 3 == 0, F.array(F.array(F.lit("redbolt")), F.array(F.lit("gear")))).when(n % 3 == 1, F.array(F.array(F.lit("plate")))).otherwise(F.array(F.array(F.lit("oldring")), F.array(F.lit("xx"))))
-    left = table(spark, sf_dir, "supplier").select(n.alias("l_id"), (F.lit(34.9) + n * 6007 % 20011 * F.lit(0.00001)).alias("l_lat"), (F.lit(138.9) + n * 8081 % 20021 * F.lit(0.00001)).alias("l_lon"), names.alias("alt"))
-    right = items(spark, sf_dir).select(F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.array(F.array("name_key")).alias("names"))
-    found = resolve.nearest_match(left, right, metres=900.0, same=resolve.any_name_same(F.col("alt"), F.col("names")))
+    names = F.when(n % 3 == 0, F.array(F.lit("redbolt"), F.lit("gear"))).when(n % 3 == 1, F.array(F.lit("plate"))).otherwise(F.array(F.lit("oldring"), F.lit("xx")))
+    left = table(spark, sf_dir, "supplier").select(n.alias("l_id"), (F.lit(34.9) + n * 6007 % 20011 * F.lit(0.00001)).alias("l_lat"), (F.lit(138.9) + n * 8081 % 20021 * F.lit(0.00001)).alias("l_lon"), names.alias("l_keys"))
+    right = items(spark, sf_dir).select(F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.array("name_key").alias("r_keys"))
+    found = resolve.nearest_match(left, right, metres=900.0, names=True)
     return found.select(F.col("l_id").alias("page"), F.col("r_id").alias("id"), F.round("dist_m", 3).alias("dist_m"))
 
 
