@@ -136,3 +136,19 @@ def test_near_rows_are_searched_near_by_first(spark, monkeypatch):
     got = resolve.nearest_match(left, right, metres=900.0, names=True).collect()
     assert sorted((r.l_id, r.r_id) for r in got) == [(i, i) for i in range(400)]
     assert searched[0][0] < 0.9 and all(on == ("_key",) for _, on, _ in searched) and sum(n for *_, n in searched) < 400 * 400
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_removal_by_keys_equals_a_pass_over_all_pairs(spark, seed):
+    items = named_places(spark, seed).withColumns({"popularity": F.lit(0.5), "sources": F.array(F.concat(F.lit("s"), F.substring("id", 2, 3)))})
+    pairs = resolve.near_doubles(items, km=0.5, same=text.same_name(F.col("l_keys"), F.col("r_keys"))).collect()
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for i in sorted(r.id for r in items.collect()):
+        taker = min(near.get(i, set()) & set(want), default=None)
+        want.setdefault(taker or i, []).append(f"s{i[1:]}")
+    plan = resolve.dedupe_nearby(items, richness=F.lit(1), km=0.5)
+    assert {r.id: r.sources for r in plan.collect()} == {i: sorted(x) for i, x in want.items()}
