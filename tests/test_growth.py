@@ -152,3 +152,40 @@ def test_removal_by_keys_equals_a_pass_over_all_pairs(spark, seed):
         want.setdefault(taker or i, []).append(f"s{i[1:]}")
     plan = resolve.dedupe_nearby(items, richness=F.lit(1), km=0.5)
     assert {r.id: r.sources for r in plan.collect()} == {i: sorted(x) for i, x in want.items()}
+
+
+def test_a_walker_holds_what_lies_about_it_only(spark, monkeypatch):
+    """A turn's task gets the places of its category within the widest radius, not all that the walk could reach."""
+    from locusflow.operators import simulate
+
+    rows = [(f"i{n}", ("meal", "bar")[n % 2], f"s{n % 5}", 35 + (n % 60) * 0.002, 139 + (n // 60) * 0.002, n % 97 / 97) for n in range(3600)]
+    items = spark.createDataFrame(rows, "id string, category string, sub string, lat double, lon double, popularity double")
+    s = simulate.Settings(plan=("meal", "bar") * 3, radii=(0.5, 1.0))
+    met, plain = [], simulate.within_cells
+
+    def within(left, right, km):
+        out = plain(left, right, km)
+        met.append((km, right.select("category").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simulate, "within_cells", within)
+    got = simulate.simulate(items, 3, settings=s).collect()
+    assert len(got) == 3 * 4 * 6 and len(met) == 6
+    assert all(km < 1.1 and kinds == 1 and n < 12 * 300 for km, kinds, n in met)  # some 200 of 1,800 lie in a walker's cells
+
+
+def test_walks_over_a_wide_catalogue_equal_single_ones(spark):
+    from locusflow.operators import simulate
+
+    rng = random.Random(2)
+    rows = [(f"i{n}", ("meal", "bar")[n % 2], f"s{n % 7}", 35 + rng.uniform(-0.1, 0.1), 139 + rng.uniform(-0.1, 0.1), rng.random()) for n in range(1500)]
+    items = spark.createDataFrame(rows, "id string, category string, sub string, lat double, lon double, popularity double")
+    s = simulate.Settings(plan=("meal", "bar", "walk") * 3)
+    table = items.orderBy("id").toPandas()
+    catalogue = simulate._Catalogue(*(table[c].to_numpy() for c in ("id", "category", "sub", "lat", "lon", "popularity")))
+    kinds = sorted(set(zip(catalogue.category, catalogue.sub, strict=True)))
+    want = []
+    for seed in range(4):
+        at = simulate.begin(kinds, 1500, seed, s)[2]
+        want += [t for p in simulate.POLICIES for t in simulate.walk(catalogue, (catalogue.lat[at], catalogue.lon[at]), kinds, 1500, p, seed, s)]
+    assert sorted((tuple(r) for r in simulate.simulate(items, 4, settings=s).collect()), key=str) == sorted(want, key=str)
