@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import candidates as c
-from ..operators import build, ranking, resolve
+from ..operators import build, ranking, resolve, shortlist
 from ..operators.candidates import Constraints, Context
 from ..sources import layout
 from .registry import query, table
@@ -163,16 +163,18 @@ SELECT actor, id, CAST(rank AS INT) AS rank, 'top' AS slot, score FROM k WHERE r
 
 @query(_TOP)
 def personal_top_eight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight for every user within two kilometres of where they are, the last to explore; items meet users by cell."""
+    """Eight for every user within two kilometres of where they are, the last to explore; items meet users by cell, and only those that can be on a list are ranked."""
     ev = events(spark, sf_dir).withColumn("position", F.col("k") % 8)
-    prefs = ranking.preferences(ev, user="actor", position="position")
+    prefs = resolve.checkpointed(ranking.preferences(ev, user="actor", position="position"))
+    content = F.round(F.coalesce(F.col("a") / (F.col("a") + F.col("b")), F.lit(0.5)), 6)
     weights = ranking.reactions(ev, user="actor").select("actor", "w")
+    tastes = prefs.groupBy("actor").agg(F.collect_list(F.struct("sub", content.alias("content"))).alias("_t")).select("actor", F.col("_t.sub").alias("_subs"), F.col("_t.content").alias("_tastes"))
     n = F.col("actor")
-    users = ev.select("actor").distinct().withColumns({"l_lat": F.lit(34.9) + n * 6007 % 20011 * F.lit(0.00001), "l_lon": F.lit(138.9) + n * 8081 % 20021 * F.lit(0.00001)})
+    users = weights.withColumns({"l_lat": F.lit(34.9) + n * 6007 % 20011 * F.lit(0.00001), "l_lon": F.lit(138.9) + n * 8081 % 20021 * F.lit(0.00001)}).join(tastes, "actor", "left")
     food = items(spark, sf_dir).where("category = 'meal'").select("id", "n", "sub", "popularity", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    near = resolve.within_cells(users, food, 2.0).withColumn("dist_km", geo.haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where("dist_km <= 2")
-    rows = near.join(weights, "actor").join(prefs, ["actor", "sub"], "left")
-    rows = ranking.scored(rows, radius=F.lit(2.0), w=F.col("w"), content=F.round(F.coalesce(F.col("a") / (F.col("a") + F.col("b")), F.lit(0.5)), 6))
+    near = shortlist.contenders(users, food, user="actor", km=2.0, chance=F.round(ranking.uniform(F.col("n")) * 1000003).cast("bigint"))
+    near = near.withColumn("dist_km", geo.haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where("dist_km <= 2")
+    rows = ranking.scored(near.join(prefs, ["actor", "sub"], "left"), radius=F.lit(2.0), w=F.col("w"), content=content)
     return ranking.top_list(rows, by=["actor"], chance=ranking.uniform(F.col("n"))).select("actor", "id", F.col("rank").cast("int").alias("rank"), "slot", "score")
 
 

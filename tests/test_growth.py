@@ -189,3 +189,28 @@ def test_walks_over_a_wide_catalogue_equal_single_ones(spark):
         at = simulate.begin(kinds, 1500, seed, s)[2]
         want += [t for p in simulate.POLICIES for t in simulate.walk(catalogue, (catalogue.lat[at], catalogue.lon[at]), kinds, 1500, p, seed, s)]
     assert sorted((tuple(r) for r in simulate.simulate(items, 4, settings=s).collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize(("seed", "per"), [(6, 1024), (7, 5)])
+def test_lists_from_contenders_equal_lists_of_all(spark, monkeypatch, seed, per):
+    """Equal scores, distances and chances, users with few places about them, a null kind, and users over several tasks."""
+    from locusflow.operators import ranking, shortlist
+
+    monkeypatch.setattr(shortlist, "USERS", per)
+    rng = random.Random(seed)
+    at = lambda: rng.choice((rng.uniform(-0.02, 0.02), round(rng.uniform(-0.02, 0.02), 3)))
+    places = spark.createDataFrame([(f"p{i}", rng.choice((*"abcde", None)), rng.choice((0.1, 0.5, 0.501, rng.random())), rng.randrange(40), 40 + at(), (180 + at() + 180) % 360 - 180) for i in range(1500)], "id string, sub string, popularity double, lot long, r_lat double, r_lon double")
+    people = [(u, 40 + at() * (40 if u % 9 == 0 else 1), (180 + at() + 180) % 360 - 180, rng.choice((0.0, 0.3, 0.95)), [*"abc"], [rng.random(), 0.5, 0.9]) for u in range(40)]
+    users = spark.createDataFrame([*people, (99, None, 180.0, 0.5, None, None)], "user int, l_lat double, l_lon double, w double, _subs array<string>, _tastes array<double>")
+
+    def listed(near):
+        near = near.withColumn("dist_km", resolve.geo.haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where("dist_km <= 2")
+        near = near.join(users.select("user", F.map_from_arrays("_subs", "_tastes").alias("_m")), "user")
+        rows = ranking.scored(near, radius=F.lit(2.0), w=F.col("w"), content=F.coalesce(F.try_element_at("_m", F.coalesce("sub", F.lit(""))), F.lit(0.5)))
+        return sorted((r.user, r["rank"], r.id, r.slot) for r in ranking.top_list(rows.drop("_m"), by=["user"], chance=F.col("lot") / 40).collect())
+
+    few = shortlist.contenders(users, places, user="user", km=2.0, chance=F.col("lot"))
+    all_ = resolve.within_cells(users.drop("_subs", "_tastes"), places, 2.0)
+    want = listed(all_)
+    assert listed(few) == want and len(want) > 250
+    assert few.count() < all_.count() / 4 and few.groupBy("user").count().agg({"count": "max"}).first()[0] < 200  # what the ranking sees
