@@ -44,7 +44,7 @@ HOT_WORDS = 1 << 19
 MAX_FILTER_BYTES = 192 << 20
 BITS, PROBES, TOP = 7, 4, 40
 LAMBDA = 0.5
-FLUSH_TOKENS, GROUP_BYTES = 1 << 20, 6 << 20
+FLUSH_TOKENS, GROUP_BYTES, PROBED_BYTES = 1 << 20, 6 << 20, 1 << 20
 END = np.uint64(0x5EED_0E4D_0000_0001)
 _TAG = 0x9E3779B97F4A7C15
 _PAIR, _TRIPLE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
@@ -244,6 +244,17 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
         yield int(bucket[order[b]]), order[b:e]
 
 
+def probed(asks: pa.ChunkedArray, bits: Filter) -> Iterator[bytes]:
+    """The answers to each of many questions, a byte a gram: runs of PROBED_BYTES are probed at once, for a question may be a few grams."""
+    size = pc.binary_length(asks).to_numpy().astype(np.int64)
+    run = (np.cumsum(size) - size) // PROBED_BYTES
+    for r in np.unique(run).tolist():
+        at = np.flatnonzero(run == r)
+        q = bits.probe(unpack_grams(b"".join(asks.slice(int(at[0]), len(at)).to_pylist()))).astype(np.uint8).tobytes()
+        ends = (np.cumsum(size[at]) // 4).tolist()
+        yield from (q[i:j] for i, j in zip([0, *ends], ends, strict=False))
+
+
 @dataclass
 class Looked:
     """The distinct n-grams of a block and where each token finds its own."""
@@ -354,8 +365,9 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hot
         parts = [own.select(["uid", "k", "mark", "held_out", "n_tokens", "n_known", "base", "lm"])]
         keys = np.frombuffer(held.column("keys")[0].as_py(), "<u8") if held.num_rows else np.zeros(0, np.uint64)
         counts = unpack_counts(held.column("counts")[0].as_py(), len(keys)) if held.num_rows else np.zeros(0, np.int64)
-        for row in asked.filter(asked.column("ask").is_valid()).to_pylist():
-            ask, who = np.frombuffer(row["ask"], "<u8"), np.frombuffer(row["who"], "<i8")
+        sent = asked.filter(asked.column("ask").is_valid())
+        if sent.num_rows:  # all questions at once: they are many and small
+            ask, who = (np.frombuffer(b"".join(sent.column(c).to_pylist()), t) for c, t in (("ask", "<u8"), ("who", "<i8")))
             uid, back = np.unique(who, return_inverse=True)
             at = np.minimum(np.searchsorted(keys, ask), max(len(keys) - 1, 0))
             c = np.where(keys[at] == ask, counts[at], 0) if len(keys) else np.zeros(len(ask))
@@ -421,7 +433,7 @@ def asked_scores(rows: DataFrame, filters: DataFrame, buckets: int, n: int, v: i
         bucket = asked.column("bucket")[0].as_py() if asked.num_rows else 0
         bits = Filter({0: held.column("filter")[0].as_py()} if held.num_rows else {}, 1)
         press = zstandard.ZstdCompressor(level=1)
-        found = [press.compress(bits.probe(unpack_grams(x)).astype(np.uint8).tobytes()) for x in asked.column("ask").to_pylist()]
+        found = [press.compress(q) for q in probed(asked.column("ask"), bits)]
         return pa.table([asked.column("g"), asked.column("kind"), pa.array([bucket] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["g", "kind", "bucket", "q"])
 
     def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
